@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.feature import PCA
@@ -138,10 +139,15 @@ def mask_overlay(masks: DataFrame, image: str, mask: str, cells: str, seed: int
     return pixels.groupBy(image, "pixel").agg(*[F.sum(n).alias(n) for n in "rgb"])
 
 
+def _tagged_union(parts: Mapping[str, DataFrame], tag: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df.withColumn(tag, F.lit(name)) for name, df in parts.items()])
+
+
 def panel_stack(panels: Mapping[str, DataFrame]) -> DataFrame:
     """Panels of several sources, such as prediction and truth, under a ``source`` column."""
-    out = None
-    for source, df in panels.items():
-        tagged = df.withColumn("source", F.lit(source))
-        out = tagged if out is None else out.unionByName(tagged)
-    return out
+    return _tagged_union(panels, "source")
+
+
+def dataset_union(parts: Mapping[str, DataFrame]) -> DataFrame:
+    """Samples of several datasets, with the same columns in any order, under a ``dataset`` column."""
+    return _tagged_union(parts, "dataset")

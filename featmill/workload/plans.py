@@ -35,7 +35,7 @@ seen AS (SELECT e.event_id, e.user_id, e.value, r.* FROM events e JOIN registry
 
 def _mixes_sql(*names: str) -> str:
     rows = [
-        f"('{mix}',{pos},'{dataset}',{weight!r}::DOUBLE)"
+        f"('{mix}',{pos}::BIGINT,'{dataset}',{weight!r}::DOUBLE)"
         for mix in names
         for pos, (dataset, weight) in enumerate(NAMED_MIXES[mix])
     ]
