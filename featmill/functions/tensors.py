@@ -5,17 +5,20 @@ output element is worked out once with numpy on an index tensor, becomes a liter
 ``transform(index, i -> tensor[i])`` picks the elements inside the JVM. On 65,536-element tensors that
 costs no more than the scan, where index arithmetic per element costs six times it.
 
+A lambda evaluates whatever it refers to once per element. Tensors therefore enter lambdas through
+:func:`bind`, which evaluates them once per row, however the optimizer has inlined them.
+
 A null tensor stays null; a tensor of another size fails on the element access instead of being misread.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -31,12 +34,25 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column | str, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row; null for a null value."""
+    return F.transform(F.array(_col(value)), lambda v: F.when(v.isNotNull(), body(v)))[0]
+
+
 def gather(tensor: Column | str, index: np.ndarray) -> Column:
     """``out[k] = tensor[index[k]]`` for a static ``index``."""
-    tensor = _col(tensor)
-    index = np.ascontiguousarray(index, dtype=np.int32).ravel()
-    picked = F.transform(F.lit(index), lambda i: tensor[i])
-    return F.when(tensor.isNotNull(), picked)
+    positions = F.lit(np.ascontiguousarray(index, dtype=np.int32).ravel())
+    return bind(tensor, lambda t: F.transform(positions, lambda i: t[i]))
+
+
+def unroll(df: DataFrame, keys: Sequence, tensor: Column | str, pos: str = "pos", value: str = "value") -> DataFrame:
+    """``(keys..., pos, value)``, one row per element.
+
+    The outer form keeps the optimizer from adding a filter on the tensor's size, which would compute the
+    tensor a second time.
+    """
+    rows = df.select(*keys, F.posexplode_outer(_col(tensor)).alias(pos, value))
+    return rows.where(F.col(pos).isNotNull())
 
 
 def grid(*shape: int) -> np.ndarray:
@@ -168,7 +184,7 @@ def _per_channel(tokens, c: int, n_tokens: int, discard: int, reduce) -> Column:
     used = n_tokens - 1 - discard
     by_channel = gather(tokens, grid(n_tokens, c)[1 : n_tokens - discard].T)
     starts = F.lit(np.arange(c, dtype=np.int32) * used + 1)
-    return F.when(_col(tokens).isNotNull(), F.transform(starts, lambda s: reduce(F.slice(by_channel, s, used))))
+    return bind(by_channel, lambda rows: F.transform(starts, lambda s: reduce(F.slice(rows, s, used))))
 
 
 def pool_mean(tokens, c: int, n_tokens: int, discard: int = 0) -> Column:
@@ -237,13 +253,12 @@ def sum_of_squares(tensor) -> Column:
 
 def l2_normalize(tensor) -> Column:
     """The flat tensor divided by its L2 norm."""
-    tensor = _col(tensor)
-    norm = F.greatest(F.sqrt(sum_of_squares(tensor)), F.lit(L2_FLOOR))
-    # The norm is computed once per row, outside the element function.
-    return F.transform(
-        F.arrays_zip(F.array(norm).alias("n"), F.array(tensor).alias("t")),
-        lambda row: F.transform(row["t"], lambda v: v.cast("double") / row["n"]),
-    )[0]
+
+    def divide(t: Column) -> Column:
+        norm = F.greatest(F.sqrt(sum_of_squares(t)), F.lit(L2_FLOOR))
+        return bind(norm, lambda n: F.transform(t, lambda v: v.cast("double") / n))
+
+    return bind(tensor, divide)
 
 
 def foreground_mask(first_component: Column, values: Column, threshold: float = -100.0) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featmill.functions.tensors import L2_FLOOR
+from featmill.functions.tensors import L2_FLOOR, unroll
 
 LOSSES = ("mse", "cos", "l1")
 # Shares of the cosine and the smooth-L1 loss in the combined main loss (fixed values).
@@ -32,7 +32,7 @@ def sample_losses(pairs: DataFrame, keys: Sequence[str] = ("key", "model")) -> D
 
     The tensors are exploded and reduced in one generated loop; what is shuffled is one row per sample.
     """
-    long = pairs.select(*keys, "target", F.posexplode("pred").alias("_i", "_p"))
+    long = unroll(pairs, [*keys, "target"], "pred", "_i", "_p")
     p = F.col("_p").cast("double")
     t = F.expr("target[_i]").cast("double")
     long = long.select(*keys, p.alias("p"), t.alias("t"))

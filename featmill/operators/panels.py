@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featmill.functions.hashing import seeded_uniform
-from featmill.functions.tensors import foreground_mask
+from featmill.functions.tensors import bind, foreground_mask, unroll
 
 # Colour of a mask drawn without a random colour (fixed values).
 MASK_COLOR = (30 / 255, 144 / 255, 255 / 255)
@@ -30,8 +30,8 @@ class Projection:
 def token_rows(df: DataFrame, keys: Sequence[str], tokens: str, c: int, n_tokens: int) -> DataFrame:
     """One row per token: ``(keys..., token, vector)`` with ``vector`` the token's ``c`` channels."""
     starts = F.lit(np.arange(n_tokens, dtype=np.int32) * c + 1)
-    vectors = F.transform(starts, lambda s: F.slice(F.col(tokens), s, c))
-    return df.select(*keys, F.posexplode(vectors).alias("token", "vector"))
+    vectors = bind(tokens, lambda t: F.transform(starts, lambda s: F.slice(t, s, c)))
+    return unroll(df, keys, vectors, "token", "vector")
 
 
 def fit_pca(tokens: DataFrame, k: int = 3) -> Projection:
@@ -62,26 +62,28 @@ def project(tokens: DataFrame, fit: Projection) -> DataFrame:
 def minmax_scale(df: DataFrame, columns: Sequence[str], keep: Column | None = None) -> DataFrame:
     """Scale columns to [0, 1] over all rows, or over the rows where ``keep`` holds; the others become 0.
 
-    The extremes are one row, joined as scalar subqueries. A constant column becomes 0.
+    All extremes come from one aggregation, used as a scalar subquery. A constant column becomes 0.
     """
     inside = F.lit(True) if keep is None else keep
-    out = df
-    for name in columns:
-        chosen = df.where(inside)
-        low = chosen.agg(F.min(name)).scalar()
-        high = chosen.agg(F.max(name)).scalar()
-        scaled = F.when(high > low, (F.col(name) - low) / (high - low)).otherwise(F.lit(0.0))
-        out = out.withColumn(f"_{name}", F.when(inside, scaled).otherwise(F.lit(0.0)))
-    return out.drop(*columns).withColumnsRenamed({f"_{c}": c for c in columns})
+    extremes = F.struct(*[f(c).alias(f"{n}_{c}") for c in columns for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    # As a column of its own the subquery is planned once, not once per use.
+    bounded = df.withColumn("_bounds", df.where(inside).agg(extremes.alias("bounds")).scalar())
+    scaled = {}
+    for c in columns:
+        low, high = F.col(f"_bounds.lo_{c}"), F.col(f"_bounds.hi_{c}")
+        share = F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(F.lit(0.0))
+        scaled[c] = F.when(inside, share).otherwise(F.lit(0.0))
+    return bounded.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
 
 
 def minmax_image(values: Column) -> Column:
     """Scale one image's values to [0, 1]."""
-    low, high = F.array_min(values), F.array_max(values)
-    return F.transform(
-        F.arrays_zip(F.array(low).alias("lo"), F.array(high).alias("hi"), F.array(values).alias("v")),
-        lambda r: F.transform(r["v"], lambda x: (x.cast("double") - r["lo"]) / (r["hi"].cast("double") - r["lo"])),
-    )[0]
+
+    def scale(v: Column) -> Column:
+        ends = F.struct(F.array_min(v).cast("double").alias("lo"), F.array_max(v).cast("double").alias("hi"))
+        return bind(ends, lambda e: F.transform(v, lambda x: (x.cast("double") - e["lo"]) / (e["hi"] - e["lo"])))
+
+    return bind(values, scale)
 
 
 def pca_rgb(
@@ -135,7 +137,7 @@ def mask_overlay(masks: DataFrame, image: str, mask: str, cells: str, seed: int
     else:
         color = [seeded_uniform(seed, F.col(image), F.col(mask), F.lit(channel)) for channel in "rgb"]
     painted = masks.select(image, *[v.alias(n) for v, n in zip(color, "rgb", strict=True)], cells)
-    pixels = painted.select(image, "r", "g", "b", F.posexplode(cells).alias("pixel", "_on")).where("_on > 0")
+    pixels = unroll(painted, [image, "r", "g", "b"], cells, "pixel", "_on").where("_on > 0")
     return pixels.groupBy(image, "pixel").agg(*[F.sum(n).alias(n) for n in "rgb"])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featmill.functions.naming import member_column, sample_key
+from featmill.functions.tensors import unroll
 from featmill.operators.ordinals import number_rows
 from featmill.sources.tarshards import _filesystem, walk_members
 
@@ -106,7 +107,7 @@ def feature_diff(stored: DataFrame, again: DataFrame, keys: Sequence[str], by: S
     pairs = stored.select(*dict.fromkeys([*by, *keys]), F.col("embedding").alias("_a")).join(
         again.select(*keys, F.col("embedding").alias("_b")), list(keys)
     )
-    long = pairs.select(*by, "_b", F.posexplode("_a").alias("_i", "_x"))
+    long = unroll(pairs, [*by, "_b"], "_a", "_i", "_x")
     gap = F.abs(F.col("_x").cast("double") - F.expr("_b[_i]").cast("double"))
     return (
         long.select(*by, gap.alias("_gap"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featmill.functions.tensors import feature_denormalize, feature_normalize
+from featmill.functions.tensors import feature_denormalize, feature_normalize, unroll
 from featmill.session import small_table
 
 
@@ -17,7 +17,7 @@ def channel_values(df: DataFrame, tensor: str, c: int, n_tokens: int, keep: Sequ
     Meant to feed an aggregation: the exploded rows live inside one generated loop and are reduced on the
     map side, so they never reach a shuffle.
     """
-    long = df.select(*keep, F.posexplode(tensor).alias("_pos", "_value"))
+    long = unroll(df, keep, tensor, "_pos", "_value")
     return long.select(
         *keep,
         F.expr(f"_pos div {int(n_tokens)}").cast("int").alias("channel"),

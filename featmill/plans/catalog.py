@@ -118,9 +118,10 @@ def mix_weights(plan: DataFrame, ratio: float = 1.0) -> DataFrame:
     Fails when all lengths are 0.
     """
     share = F.col("weight") * expected_length(F.col("n"), ratio)
-    total = plan.agg(F.sum(share)).scalar()
+    summed = plan.withColumn("_total", plan.agg(F.sum(share)).scalar())
+    total = F.col("_total")
     checked = F.when(total == 0, F.raise_error(F.lit("sum of dataset lengths is 0")).cast("double")).otherwise(total)
-    return plan.withColumn("expected", checked).withColumn("weight", share / F.col("expected"))
+    return summed.withColumn("expected", checked).withColumn("weight", share / F.col("expected")).drop("_total")
 
 
 def target_models(spark: SparkSession) -> DataFrame:

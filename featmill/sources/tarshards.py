@@ -1,13 +1,14 @@
 """Tar shards as a Spark data source, ``spark.read/df.write.format("tarshards")``.
 
-Reading gives one row per archive member: ``shard`` (path below the root), ``member`` and ``data``. A shard
-is split by byte range: every task walks the 512-byte member headers, which seeks over the payloads, and
+Reading gives one row per archive member: ``shard`` (path below the root), ``member``, the ``offset`` and
+``size`` of its bytes in the archive, and the bytes as ``data``. A shard is split by byte range: every task walks the 512-byte member headers, which seeks over the payloads, and
 reads the payloads of the members that start inside its own range. One oversized shard therefore is read by
 many tasks, and no task ever holds a whole shard.
 
 Options: ``path``; ``pattern``, shell-style on the file name, e.g. ``*-train.tar`` (default ``*.tar``);
-``payload=false`` to list members without touching their bytes (``data`` is null, ``size`` is set either
-way); ``splitBytes`` (default 512 MiB).
+``payload=false`` to list members without touching their bytes (``data`` is null; :func:`fetch_members` reads
+the bytes of chosen members afterwards); ``splitBytes``, the most one task reads (default 512 MiB); ``parallelism``, the least number of tasks
+to aim for. Small shards are packed together, each counted with the cost of opening it.
 
 Writing expects ``shard``, ``member`` and ``data`` with the rows of a shard next to each other in one task;
 :func:`write_shards` arranges that. Each shard is written under a name no reader lists and renamed when
@@ -33,11 +34,13 @@ from pyspark.sql.datasource import (
     InputPartition,
     WriterCommitMessage,
 )
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-SCHEMA = "shard string, member string, size bigint, data binary"
+SCHEMA = "shard string, member string, offset bigint, size bigint, data binary"
 # A batch is handed to Spark at this many rows or bytes, whichever comes first.
-BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
+# Opening a shard counts like reading this many bytes.
+OPEN_COST = 1 << 20
 
 
 def _filesystem(path: str):
@@ -73,10 +76,32 @@ def walk_members(handle) -> Iterator[tuple[tarfile.TarFile, tarfile.TarInfo]]:
 
 
 @dataclass
-class ShardRange(InputPartition):
-    shard: str
-    start: int
-    end: int
+class ShardRanges(InputPartition):
+    """Byte ranges of shards, as ``(shard, start, end)``."""
+
+    ranges: list[tuple[str, int, int]]
+
+
+def pack_ranges(
+    shards: list[tuple[str, int]], split_bytes: int, parallelism: int, split: bool = True
+) -> list[ShardRanges]:
+    """Cut large shards and pack small ones into ranges of about equal cost, in shard order."""
+    total = sum(size + OPEN_COST for _, size in shards)
+    step = max(1, min(split_bytes, max(OPEN_COST, total // max(parallelism, 1))))
+    packed: list[ShardRanges] = []
+    ranges, cost = [], 0
+    for shard, size in shards:
+        width = step if split else max(size, 1)
+        for start in range(0, max(size, 1), width):
+            part = min(width, size - start) + OPEN_COST
+            if ranges and cost + part > step + OPEN_COST:
+                packed.append(ShardRanges(ranges))
+                ranges, cost = [], 0
+            ranges.append((shard, start, start + width))
+            cost += part
+    if ranges:
+        packed.append(ShardRanges(ranges))
+    return packed
 
 
 class TarShardReader(DataSourceReader):
@@ -85,46 +110,48 @@ class TarShardReader(DataSourceReader):
         self.pattern = options.get("pattern", "*.tar")
         self.payload = options.get("payload", "true").lower() == "true"
         self.split_bytes = int(options.get("splitbytes", 512 << 20))
+        self.parallelism = int(options.get("parallelism", 8))
 
     def partitions(self):
-        ranges = []
-        for shard, size in list_shards(self.path, self.pattern):
-            # Headers alone are one cheap walk, so a listing does not split shards.
-            step = self.split_bytes if self.payload else max(size, 1)
-            ranges += [ShardRange(shard, at, at + step) for at in range(0, max(size, 1), step)]
-        return ranges
-
-    def read(self, partition: ShardRange):
+        shards = list_shards(self.path, self.pattern)
+        if not self.payload:
+            # Headers alone are one cheap walk per shard, whatever its size.
+            return pack_ranges([(shard, 0) for shard, _ in shards], self.split_bytes, self.parallelism, split=False)
+        return pack_ranges(shards, self.split_bytes, self.parallelism)
+
+    def read(self, partition: ShardRanges):
         if partition is None:
             return
         files, base = _filesystem(self.path)
         rows, held = [], 0
-        with files.open_input_file(f"{base.rstrip('/')}/{partition.shard}") as handle:
-            for tar, info in walk_members(handle):
-                if info.offset >= partition.end:
-                    break
-                if info.offset < partition.start:
-                    continue
-                data = tar.extractfile(info).read() if self.payload else None
-                rows.append((partition.shard, info.name, info.size, data))
-                held += info.size if self.payload else 0
-                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
-                    yield _batch(rows)
-                    rows, held = [], 0
+        for shard, start, end in partition.ranges:
+            with files.open_input_file(f"{base.rstrip('/')}/{shard}") as handle:
+                for tar, info in walk_members(handle):
+                    if self.payload and info.offset >= end:
+                        break
+                    if info.offset < start:
+                        continue
+                    data = tar.extractfile(info).read() if self.payload else None
+                    rows.append((shard, info.name, info.offset_data, info.size, data))
+                    held += info.size if self.payload else 0
+                    if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                        yield _batch(rows)
+                        rows, held = [], 0
         if rows:
             yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    shard, member, size, data = zip(*rows, strict=True)
+    shard, member, offset, size, data = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(shard, pa.string()),
             pa.array(member, pa.string()),
+            pa.array(offset, pa.int64()),
             pa.array(size, pa.int64()),
             pa.array(data, pa.binary()),
         ],
-        names=["shard", "member", "size", "data"],
+        names=["shard", "member", "offset", "size", "data"],
     )
 
 
@@ -192,10 +219,43 @@ def read_shards(spark: SparkSession, path: str, pattern: str = "*.tar", payload:
         spark.read.format("tarshards")
         .option("pattern", pattern)
         .option("payload", str(payload).lower())
+        .option("parallelism", spark.sparkContext.defaultParallelism)
         .load(path)
     )
 
 
+def fetch_members(members: DataFrame, path: str) -> DataFrame:
+    """Add ``data`` to listed members ``(shard, member, offset, size, ...)`` by reading just their bytes.
+
+    For spot checks and lookups: the cost follows the members asked for, not the shards they are in.
+    """
+    listed = members.drop("data")
+    schema = StructType([*listed.schema.fields, StructField("data", BinaryType())])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = _filesystem(path)
+        base = base.rstrip("/")
+        for batch in batches:
+            # A few rows at a time, as payloads can be megabytes each.
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                names = part.schema.names
+                shards, offsets, sizes = (part.column(names.index(c)).to_pylist() for c in ("shard", "offset", "size"))
+                data, opened, handle = [], None, None
+                for shard, offset, size in zip(shards, offsets, sizes, strict=True):
+                    if shard != opened:
+                        if handle is not None:
+                            handle.close()
+                        opened, handle = shard, files.open_input_file(f"{base}/{shard}")
+                    handle.seek(offset)
+                    data.append(handle.read(size))
+                if handle is not None:
+                    handle.close()
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=[*names, "data"])
+
+    return listed.sortWithinPartitions("shard", "offset").mapInArrow(fetch, schema)
+
+
 def write_shards(df: DataFrame, path: str, existing: DataFrame | None = None) -> None:
     """Write ``(shard, member, data)`` rows as tar shards, members in name order.
 
@@ -206,7 +266,13 @@ def write_shards(df: DataFrame, path: str, existing: DataFrame | None = None) ->
     if existing is not None:
         df = df.join(existing.where("ok").select("shard"), "shard", "left_anti")
     (
-        df.select("shard", "member", F.length("data").cast("bigint").alias("size"), "data")
+        df.select(
+            "shard",
+            "member",
+            F.lit(None).cast("bigint").alias("offset"),
+            F.length("data").cast("bigint").alias("size"),
+            "data",
+        )
         .repartition("shard")
         .sortWithinPartitions("shard", "member")
         .write.format("tarshards")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featmill.functions.tensors import unroll
 from featmill.operators.ordinals import number_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +51,7 @@ def big(value: Column | str) -> Column:
 
 def long_form(df: DataFrame, keys: list[str], tensor: Column, exact: bool = True) -> DataFrame:
     """``(keys..., pos, value)``, one row per element."""
-    rows = df.select(*keys, F.posexplode(tensor).alias("pos", "value"))
+    rows = unroll(df, keys, tensor)
     value = F.col("value").cast("double") if exact else r6("value")
     return rows.select(*keys, big("pos").alias("pos"), value.alias("value"))
 

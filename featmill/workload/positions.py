@@ -147,14 +147,14 @@ def batch_assign(spark, sf):
 @query(
     "meter_running",
     """SELECT event_id, event_type, (sum(n) OVER w)::BIGINT AS count, round(sum(value * n) OVER w, 2) + 0.0 AS sum,
-  round(sum(value * n) OVER w / sum(n) OVER w + 1e-9, 6) + 0.0 AS avg
+  round(sum(value * n) OVER w / sum(n) OVER w + 1.2345678e-9, 6) + 0.0 AS avg
 FROM (SELECT *, 1 + event_id % 16 AS n FROM events)
 WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""",
 )
 def running_meter(spark, sf):
     """Metric ``value`` reported over batches of varying size, one meter per event type.
 
-    Averages of two-decimal values often end exactly in a 5; the 1e-9 takes them off the rounding tie.
+    Averages of two-decimal values often end exactly in a 5; the small offset takes them off the rounding tie.
     """
     updates = _events(spark, sf).select(
         "event_id", "event_type", "ts", F.col("value").alias("val"), (F.col("event_id") % 16 + 1).alias("n")
@@ -165,7 +165,7 @@ def running_meter(spark, sf):
         "event_type",
         big("count").alias("count"),
         (F.round("sum", 2) + 0.0).alias("sum"),
-        r6(F.col("avg") + 1e-9).alias("avg"),
+        r6(F.col("avg") + 1.2345678e-9).alias("avg"),
     )
 
 

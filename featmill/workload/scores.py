@@ -215,17 +215,17 @@ def updates(events):
 
 
 def meters_out(meters, *more):
-    """Averages of two-decimal values can end exactly in a 5; the 1e-9 takes them off the rounding tie."""
+    """Averages of two-decimal values can end exactly in a 5; the small offset takes them off the rounding tie."""
     return meters.select(
-        *m.METER, *more, F.round("sum", 2).alias("sum"), "count", r6(F.col("avg") + 1e-9).alias("avg")
+        *m.METER, *more, F.round("sum", 2).alias("sum"), "count", r6(F.col("avg") + 1.2345678e-9).alias("avg")
     )
 
 
 @query(
     "meter_avg",
     f"""WITH {_UPDATES_SQL} SELECT mode, model, loss, mode || '_' || model || '_' || loss || '_loss' AS name,
-  round(s, 2) AS sum, c AS count, round(s / c + 1e-9, 6) + 0.0 AS avg,
-  round(s / c + 1e-9, 6) + 0.0 AS average_summary, round(s, 2) AS sum_summary, c::DOUBLE AS count_summary
+  round(s, 2) AS sum, c AS count, round(s / c + 1.2345678e-9, 6) + 0.0 AS avg,
+  round(s / c + 1.2345678e-9, 6) + 0.0 AS average_summary, round(s, 2) AS sum_summary, c::DOUBLE AS count_summary
 FROM meters""",
 )
 def meter_avg(spark, sf):
@@ -235,7 +235,7 @@ def meter_avg(spark, sf):
     return meters_out(
         meters,
         m.meter_name(F.col("mode"), F.col("loss"), F.col("model")).alias("name"),
-        r6(F.col("average_summary") + 1e-9).alias("average_summary"),
+        r6(F.col("average_summary") + 1.2345678e-9).alias("average_summary"),
         F.round("sum_summary", 2).alias("sum_summary"),
         "count_summary",
     )
@@ -244,7 +244,7 @@ def meter_avg(spark, sf):
 @query(
     "meter_merge",
     f"""WITH {_UPDATES_SQL} SELECT mode, model, loss, round(s, 2) AS sum, c AS count,
-  round(s / c + 1e-9, 6) + 0.0 AS avg FROM meters""",
+  round(s / c + 1.2345678e-9, 6) + 0.0 AS avg FROM meters""",
 )
 def meter_merge(spark, sf):
     workers = m.meter_avg(updates(table(spark, sf, "events")), [*m.METER, "worker"])

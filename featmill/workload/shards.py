@@ -13,7 +13,7 @@ from featmill.operators.ordinals import batch_assign, number_rows, shard_assign,
 from featmill.session import scratch_path
 from featmill.sources.episodes import episode_frames, nest_episodes
 from featmill.sources.files import read_image_folder, read_splits, write_splits
-from featmill.sources.tarshards import _filesystem, read_shards, write_shards
+from featmill.sources.tarshards import _filesystem, fetch_members, read_shards, write_shards
 from featmill.sources.tensor_bytes import decode_features, decode_images, encode_features, encode_image
 from featmill.streaming import shards as st
 from featmill.workload.base import (
@@ -121,8 +121,11 @@ def shard_members(spark, sf):
     f"""WITH {_MEMBERS_SQL} SELECT shard, member, pos, md5(data) AS digest FROM placed WHERE pos IN (0, 2, 5)""",
 )
 def shard_nth_member(spark, sf):
-    rows = read_shards(spark, written_documents(spark, sf)).select("shard", "member", F.md5("data").alias("digest"))
-    return q.nth_member(rows, [0, 2, 5])
+    """Positions come from a listing; then only the bytes of the members found are read."""
+    path = written_documents(spark, sf)
+    listed = read_shards(spark, path, payload=False).drop("data")
+    found = fetch_members(q.nth_member(listed, [0, 2, 5]), path)
+    return found.select("shard", "member", "pos", F.md5("data").alias("digest"))
 
 
 @query(
@@ -470,7 +473,7 @@ def stream_channel_stats(spark, sf):
 @query(
     "stream_meters",
     f"""WITH {_UPDATES_SQL} SELECT mode, model, loss, round(s, 2) AS sum, c AS count,
-  round(s / c + 1e-9, 6) + 0.0 AS avg FROM meters""",
+  round(s / c + 1.2345678e-9, 6) + 0.0 AS avg FROM meters""",
 )
 def stream_meters(spark, sf):
     reports = updates(table(spark, sf, "events"))
