@@ -39,9 +39,18 @@ def bind(value: Column | str, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(_col(value)), lambda v: F.when(v.isNotNull(), body(v)))[0]
 
 
+def int_array(values: np.ndarray) -> Column:
+    """A literal ``array<int>``.
+
+    Passed as one string, which constant folding turns into the array; element by element, the plan of a
+    large tensor would take longer to build than to run.
+    """
+    return F.split(F.lit(",".join(map(str, np.ravel(values).tolist()))), ",").cast("array<int>")
+
+
 def gather(tensor: Column | str, index: np.ndarray) -> Column:
     """``out[k] = tensor[index[k]]`` for a static ``index``."""
-    positions = F.lit(np.ascontiguousarray(index, dtype=np.int32).ravel())
+    positions = int_array(index)
     return bind(tensor, lambda t: F.transform(positions, lambda i: t[i]))
 
 
@@ -124,13 +133,11 @@ def drop_alpha(px, n_pixels: int) -> Column:
 
 def image_normalize(px, n_pixels: int, mean=IMAGENET_MEAN, std=IMAGENET_STD, scale: float = 255.0) -> Column:
     """Interleaved ``[n, 3]`` pixel values to ``(x / scale - mean) / std`` per channel."""
-    channels = len(mean)
-    per_value = [F.lit(np.tile(np.asarray(v, dtype=float), n_pixels)) for v in (mean, std)]
-    if channels != len(std):
+    if len(mean) != len(std):
         raise ValueError("mean and std differ in length")
+    means, stds = (F.array(*[F.lit(float(v)) for v in values]) for values in (mean, std))
     scaled = F.transform(_col(px), lambda x: x.cast("double") / scale)
-    centred = F.zip_with(scaled, per_value[0], lambda x, m: x - m)
-    return F.zip_with(centred, per_value[1], lambda x, s: x / s)
+    return feature_normalize(scaled, means, stds, len(mean), n_pixels)
 
 
 def image_to_float(px) -> Column:
@@ -141,29 +148,32 @@ def image_to_float(px) -> Column:
 # ---- statistics applied to features --------------------------------------------------------------------
 
 
-def _spread(stats: Column, n_tokens: int, c: int, tokens_first: bool) -> Column:
-    """Repeat a length-``c`` array to the element order of a feature."""
-    channel = np.tile(np.arange(c), n_tokens) if tokens_first else np.arange(c).repeat(n_tokens)
-    return gather(stats, channel)
+def _channels(n_tokens: int, c: int, tokens_first: bool) -> Column:
+    """Channel of every element of a feature, as a literal array."""
+    return int_array(np.tile(np.arange(c), n_tokens) if tokens_first else np.arange(c).repeat(n_tokens))
 
 
 def feature_normalize(x, mean, std, c: int, n_tokens: int, tokens_first: bool = True) -> Column:
-    """``(x - mean) / std`` per channel; unchanged when either array is null."""
+    """``(x - mean) / std`` per channel; unchanged when either array is null.
+
+    ``mean`` and ``std`` are length-``c`` arrays: literals, or columns of the row.
+    """
     x, mean, std = _col(x), _col(mean), _col(std)
-    wide = F.transform(x, lambda v: v.cast("double"))
-    centred = F.zip_with(wide, _spread(mean, n_tokens, c, tokens_first), lambda v, m: v - m)
-    scaled = F.zip_with(centred, _spread(std, n_tokens, c, tokens_first), lambda v, s: v / s)
-    return F.when(mean.isNull() | std.isNull(), wide).otherwise(scaled)
+    channels = _channels(n_tokens, c, tokens_first)
+    scaled = F.zip_with(x, channels, lambda v, k: (v.cast("double") - mean[k]) / std[k])
+    return F.when(mean.isNull() | std.isNull(), F.transform(x, lambda v: v.cast("double"))).otherwise(scaled)
 
 
 def feature_denormalize(x, mean, std, c: int, n_tokens: int, tokens_first: bool = True) -> Column:
     """``x * std + mean`` per channel; a null array leaves its step out."""
     x, mean, std = _col(x), _col(mean), _col(std)
-    wide = F.transform(x, lambda v: v.cast("double"))
-    scaled = F.zip_with(wide, _spread(std, n_tokens, c, tokens_first), lambda v, s: v * s)
-    scaled = F.when(std.isNull(), wide).otherwise(scaled)
-    moved = F.zip_with(scaled, _spread(mean, n_tokens, c, tokens_first), lambda v, m: v + m)
-    return F.when(mean.isNull(), scaled).otherwise(moved)
+    channels = _channels(n_tokens, c, tokens_first)
+    return (
+        F.when(mean.isNull() & std.isNull(), F.transform(x, lambda v: v.cast("double")))
+        .when(mean.isNull(), F.zip_with(x, channels, lambda v, k: v.cast("double") * std[k]))
+        .when(std.isNull(), F.zip_with(x, channels, lambda v, k: v.cast("double") + mean[k]))
+        .otherwise(F.zip_with(x, channels, lambda v, k: v.cast("double") * std[k] + mean[k]))
+    )
 
 
 # ---- token selection and pooling -----------------------------------------------------------------------
@@ -183,7 +193,7 @@ def _per_channel(tokens, c: int, n_tokens: int, discard: int, reduce) -> Column:
     """``reduce`` over the spatial tokens of every channel."""
     used = n_tokens - 1 - discard
     by_channel = gather(tokens, grid(n_tokens, c)[1 : n_tokens - discard].T)
-    starts = F.lit(np.arange(c, dtype=np.int32) * used + 1)
+    starts = int_array(np.arange(c) * used + 1)
     return bind(by_channel, lambda rows: F.transform(starts, lambda s: reduce(F.slice(rows, s, used))))
 
 

@@ -70,7 +70,7 @@ def compare_panel(
     ``images`` and each panel hold ``(key, px)`` with ``[h, w, channels]`` values. A panel that a sample
     lacks is shown black.
     """
-    black = F.lit(np.zeros(h * w * channels))
+    black = F.array_repeat(F.lit(0.0), h * w * channels)
     joined = images.select(key, F.col("px").alias("_px_0"))
     for i, panel in enumerate(panels.values(), start=1):
         joined = joined.join(panel.select(key, F.col("px").alias(f"_px_{i}")), key, "left")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featmill.functions.hashing import seeded_uniform
-from featmill.functions.tensors import bind, foreground_mask, unroll
+from featmill.functions.tensors import bind, foreground_mask, int_array, unroll
 
 # Colour of a mask drawn without a random colour (fixed values).
 MASK_COLOR = (30 / 255, 144 / 255, 255 / 255)
@@ -29,7 +29,7 @@ class Projection:
 
 def token_rows(df: DataFrame, keys: Sequence[str], tokens: str, c: int, n_tokens: int) -> DataFrame:
     """One row per token: ``(keys..., token, vector)`` with ``vector`` the token's ``c`` channels."""
-    starts = F.lit(np.arange(n_tokens, dtype=np.int32) * c + 1)
+    starts = int_array(np.arange(n_tokens) * c + 1)
     vectors = bind(tokens, lambda t: F.transform(starts, lambda s: F.slice(t, s, c)))
     return unroll(df, keys, vectors, "token", "vector")
 
