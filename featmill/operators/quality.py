@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from featmill.functions.naming import member_column, sample_key
 from featmill.functions.tensors import unroll
 from featmill.operators.ordinals import number_rows
-from featmill.sources.tarshards import _filesystem, walk_members
+from featmill.sources.tarshards import _filesystem, count_members
 
 
 def list_shard_files(spark: SparkSession, path: str, pattern: str = "*.tar") -> DataFrame:
@@ -29,8 +29,9 @@ def list_shard_files(spark: SparkSession, path: str, pattern: str = "*.tar") ->
 def shard_integrity(files: DataFrame, planned: DataFrame | None = None) -> DataFrame:
     """``(shard, ok, n, error)``: walk every archive to its end.
 
-    A broken archive is a row with ``ok`` false, never a failed job. Shards of ``planned`` that have no file
-    are reported as missing. Only headers are read; one task walks a file, and the files are dealt out evenly.
+    A broken archive is a row with ``ok`` false, never a failed job. Shards of ``planned`` that have no file,
+    or an empty one (which the listing leaves out), are reported as missing. Only headers are read; one task
+    walks a file, and the files are dealt out evenly.
     """
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,11 +42,7 @@ def shard_integrity(files: DataFrame, planned: DataFrame | None = None) -> DataF
                 try:
                     handles, local = _filesystem(path)
                     with handles.open_input_file(local) as handle:
-                        for _, info in walk_members(handle):
-                            members += 1
-                            end = info.offset_data + info.size
-                        if members and end > handle.size():
-                            raise tarfile.ReadError("unexpected end of data")
+                        members = count_members(handle)
                 except (tarfile.TarError, OSError) as problem:
                     error = f"{type(problem).__name__}: {problem}"
                 rows.append((shard, error is None, members, error))

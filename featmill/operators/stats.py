@@ -11,24 +11,25 @@ from featmill.functions.tensors import feature_denormalize, feature_normalize, u
 from featmill.session import small_table
 
 
-def channel_values(df: DataFrame, tensor: str, c: int, n_tokens: int, keep: Sequence[str] = ()) -> DataFrame:
-    """Long form ``(keep..., channel, value)`` of ``[c, n_tokens]`` tensors.
+def channel_values(
+    df: DataFrame, tensor: str, c: int, n_tokens: int, keep: Sequence[str] = (), tokens_first: bool = False
+) -> DataFrame:
+    """Long form ``(keep..., channel, value)`` of ``[c, n_tokens]`` tensors, or ``[n_tokens, c]`` ones.
 
     Meant to feed an aggregation: the exploded rows live inside one generated loop and are reduced on the
     map side, so they never reach a shuffle.
     """
     long = unroll(df, keep, tensor, "_pos", "_value")
-    return long.select(
-        *keep,
-        F.expr(f"_pos div {int(n_tokens)}").cast("int").alias("channel"),
-        F.col("_value").cast("double").alias("value"),
-    )
+    channel = F.col("_pos") % c if tokens_first else F.expr(f"_pos div {int(n_tokens)}")
+    return long.select(*keep, channel.cast("int").alias("channel"), F.col("_value").cast("double").alias("value"))
 
 
-def channel_stats(df: DataFrame, tensor: str, c: int, n_tokens: int, by: Sequence[str] = ()) -> DataFrame:
+def channel_stats(
+    df: DataFrame, tensor: str, c: int, n_tokens: int, by: Sequence[str] = (), tokens_first: bool = False
+) -> DataFrame:
     """``(by..., channel, n, mean, std)``; ``std`` is the sample standard deviation."""
     return (
-        channel_values(df, tensor, c, n_tokens, by)
+        channel_values(df, tensor, c, n_tokens, by, tokens_first)
         .groupBy(*by, "channel")
         .agg(
             F.count("value").alias("n"),

@@ -75,6 +75,24 @@ def walk_members(handle) -> Iterator[tuple[tarfile.TarFile, tarfile.TarInfo]]:
             tar.members.clear()
 
 
+def count_members(handle) -> int:
+    """Members of a complete archive; raises ``tarfile.ReadError`` for one that is cut off or not an archive.
+
+    An archive that stops between two members still reads without an error; only the closing block of zeros
+    tells that its writer finished.
+    """
+    members = 0
+    with tarfile.open(fileobj=handle, mode="r:") as tar:
+        while (info := tar.next()) is not None:
+            members += info.isfile()
+            tar.members.clear()
+        handle.seek(tar.offset)
+        closing = handle.read(tarfile.BLOCKSIZE)
+    if len(closing) < tarfile.BLOCKSIZE or any(closing):
+        raise tarfile.ReadError("no end of archive")
+    return members
+
+
 @dataclass
 class ShardRanges(InputPartition):
     """Byte ranges of shards, as ``(shard, start, end)``."""
