@@ -29,7 +29,7 @@ from featmill.operators.mixing import buffer_shuffle, mix_all_exhausted, spot_ch
 from featmill.operators.ordinals import number_rows, shard_assign, split_assign, split_totals, subsample_global
 from featmill.operators.stats import channel_stats, normalize_features
 from featmill.plans.catalog import mix_concat, mix_entries, mix_weights
-from featmill.session import materialize, small_table
+from featmill.session import materialize, qualified, small_table
 from featmill.sources.column_store import read_column
 from featmill.sources.files import read_image_folder, read_stats, write_splits, write_stats
 from featmill.sources.tarshards import _filesystem, fetch_members, read_shards, write_shards
@@ -60,16 +60,16 @@ class Extractor:
         return ex.extract_features(floats, "_px", self.make, self.input_shape, "embedding", self.batch_size).drop("_px")
 
 
-def _exists(path: str) -> bool:
+def _exists(spark: SparkSession, path: str) -> bool:
     from pyarrow import fs
 
-    files, local = _filesystem(path)
+    files, local = _filesystem(qualified(spark, path))
     return files.get_file_info(local).type != fs.FileType.NotFound
 
 
 def shard_report(spark: SparkSession, path: str) -> DataFrame:
     """Integrity of the shards below ``path``; none if there is no such folder."""
-    if not _exists(path):
+    if not _exists(spark, path):
         return spark.createDataFrame([], "shard string, ok boolean, n bigint, error string")
     return q.shard_integrity(q.list_shard_files(spark, path))
 
@@ -119,7 +119,7 @@ def split_dataset(spark: SparkSession, root: str, dataset: str, samples_per_shar
     The catalog is written last, so a run that broke off is taken up where it stopped: shards renamed before
     keep their rank, because the split is appended to the name.
     """
-    if _exists(f"{root}/{dataset}/splits.json"):
+    if _exists(spark, f"{root}/{dataset}/splits.json"):
         return
     path = f"{root}/{dataset}/images"
     files = q.list_shard_files(spark, path, "*-*.tar").select(
@@ -133,10 +133,11 @@ def split_dataset(spark: SparkSession, root: str, dataset: str, samples_per_shar
     size = F.when(F.col("found") == last["found"], F.lit(counted)).otherwise(samples_per_shard)
     shards = materialize(split_assign(files.withColumn("n", size.cast("bigint")), "dataset", "shard"), "splits")
     target = split_shard_name(F.col("shard"), F.col("split"))
+    folder = qualified(spark, path)
 
     def rename(rows):
         for row in rows:
-            handle, base = _filesystem(path)
+            handle, base = _filesystem(folder)
             handle.move(f"{base}/{row['found']}", f"{base}/{row['target']}")
 
     shards.select("found", target.alias("target")).where("found <> target").foreachPartition(rename)
@@ -172,7 +173,7 @@ def feature_statistics(
 ) -> DataFrame:
     """Channel statistics of the models not stored yet; returns those of all ``sizes``."""
     known = set()
-    if _exists(stats):
+    if _exists(spark, stats):
         # At most one row per model of this call.
         complete = read_stats(spark, stats, list(sizes)).where("mean is not null and std is not null")
         known = {row["model"] for row in complete.select("model").distinct().collect()}

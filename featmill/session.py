@@ -20,19 +20,28 @@ def scratch_root(spark: SparkSession) -> str:
     to a folder under the system's temporary directory; a cluster session is refused, because a
     machine-local folder is neither visible to other executors nor safe against losing one.
     """
-    root = _setting(spark, "spark.checkpoint.dir")
+    context = spark.sparkContext
+    root = _setting(spark, "spark.checkpoint.dir") or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="featmill-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="featmill-"))
+    return context.getCheckpointDir()
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system spelled out, as Spark resolves it.
+
+    Archives are opened from Python, which does not know the cluster's default file system.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below :func:`scratch_root`; nothing is created yet."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return qualified(spark, f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featmill.functions.naming import model_name_legit, path_key
+from featmill.session import qualified
 from featmill.sources.tarshards import _filesystem
 from featmill.sources.tensor_bytes import decode_vector
 
@@ -45,6 +46,8 @@ def splits_long(wide: DataFrame) -> DataFrame:
 def write_splits(wide: DataFrame, root: str) -> None:
     """Write one ``splits.json`` per dataset folder from ``(dataset, train, val, test)`` rows."""
 
+    root = qualified(wide.sparkSession, root)
+
     def write(rows):
         for row in rows:
             files, base = _filesystem(root)

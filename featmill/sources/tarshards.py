@@ -36,6 +36,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from featmill.session import qualified
+
 SCHEMA = "shard string, member string, offset bigint, size bigint, data binary"
 # A batch is handed to Spark at this many rows or bytes, whichever comes first.
 BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
@@ -238,7 +240,7 @@ def read_shards(spark: SparkSession, path: str, pattern: str = "*.tar", payload:
         .option("pattern", pattern)
         .option("payload", str(payload).lower())
         .option("parallelism", spark.sparkContext.defaultParallelism)
-        .load(path)
+        .load(qualified(spark, path))
     )
 
 
@@ -248,6 +250,7 @@ def fetch_members(members: DataFrame, path: str) -> DataFrame:
     For spot checks and lookups: the cost follows the members asked for, not the shards they are in.
     """
     listed = members.drop("data")
+    path = qualified(members.sparkSession, path)
     schema = StructType([*listed.schema.fields, StructField("data", BinaryType())])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,5 +298,5 @@ def write_shards(df: DataFrame, path: str, existing: DataFrame | None = None) ->
         .sortWithinPartitions("shard", "member")
         .write.format("tarshards")
         .mode("append")
-        .save(path)
+        .save(qualified(spark, path))
     )
