@@ -52,18 +52,20 @@ def buffer_shuffle(
     return placed.withColumn("position", position).drop("_ord", "_buffer")
 
 
-def _race(df: DataFrame, weights: DataFrame, dataset: str, order: Sequence[str], seed: int) -> DataFrame:
+def _race(
+    df: DataFrame, weights: DataFrame, dataset: str, order: Sequence[str], key: str, seed: int
+) -> DataFrame:
     """Arrival times: dataset i is a Poisson stream of rate ``weight_i``.
 
     The next arrival over all streams belongs to a live stream with probability proportional to its weight,
-    and a stream that has ended simply stops, which leaves the others with renormalised weights. Adds
+    and a stream that has ended simply stops, which leaves the others with renormalised weights. The gap
+    before a sample comes from the sample's own key, so it needs no position and one pass gives all. Adds
     ``_j`` (rank in the dataset), ``_n`` (its size), ``_w`` and ``_t`` (arrival time).
     """
-    placed = number_rows(df, [dataset], order, ordinal="_j", size="_n")
     rates = small_table(weights.where(F.col("weight") > 0).select(F.col(dataset), F.col("weight").alias("_w")))
-    gap = -F.log(seeded_uniform(seed, F.col(dataset), F.col("_j"))) / F.col("_w")
-    stepped = placed.join(rates, dataset).withColumn("_gap", gap)
-    return number_rows(stepped, [dataset], ["_j"], running={"_t": "_gap"}).drop("_gap")
+    gap = -F.log(seeded_uniform(seed, F.col(dataset), F.col(key))) / F.col("_w")
+    stepped = df.join(rates, dataset).withColumn("_gap", gap)
+    return number_rows(stepped, [dataset], order, ordinal="_j", size="_n", running={"_t": "_gap"}).drop("_gap")
 
 
 def _ranked(raced: DataFrame, dataset: str) -> DataFrame:
@@ -72,22 +74,23 @@ def _ranked(raced: DataFrame, dataset: str) -> DataFrame:
 
 
 def mix_all_exhausted(
-    df: DataFrame, weights: DataFrame, dataset: str, order: Sequence[str], seed: int = 0
+    df: DataFrame, weights: DataFrame, dataset: str, order: Sequence[str], key: str, seed: int = 0
 ) -> DataFrame:
     """Weighted random interleave that runs until every dataset is used up; adds ``mix_rank``.
 
-    ``weights`` is ``(dataset, weight)``. Each sample occurs once, in the order of its own dataset.
+    ``weights`` is ``(dataset, weight)``; ``key`` identifies a sample within its dataset. Each sample occurs
+    once, in the ``order`` of its own dataset.
     """
-    return _ranked(_race(df, weights, dataset, order, seed), dataset)
+    return _ranked(_race(df, weights, dataset, order, key, seed), dataset)
 
 
 def mix_first_exhausted(
-    df: DataFrame, weights: DataFrame, dataset: str, order: Sequence[str], seed: int = 0
+    df: DataFrame, weights: DataFrame, dataset: str, order: Sequence[str], key: str, seed: int = 0
 ) -> DataFrame:
     """The same interleave up to the first draw from a dataset that has nothing left."""
-    raced = _race(df, weights, dataset, order, seed)
-    # The draw after a dataset's last sample is the arrival of an n-th (0-based) one that does not exist.
-    extra = -F.log(seeded_uniform(seed, F.col(dataset), F.col("_n"))) / F.col("_w")
+    raced = _race(df, weights, dataset, order, key, seed)
+    # The draw that finds nothing is one more arrival after the dataset's last sample.
+    extra = -F.log(seeded_uniform(seed, F.col(dataset), F.lit("end"))) / F.col("_w")
     ends = raced.where(F.col("_j") == F.col("_n") - 1).select((F.col("_t") + extra).alias("_end"))
     stop = ends.agg(F.min("_end").alias("_stop"))
     kept = raced.where(F.col("_t") < stop.scalar())

@@ -261,7 +261,7 @@ def frame_batches(
         lengths = lengths.withColumn("weight", F.lit(1.0))
     weights = mix_weights(materialize(lengths, "lengths"), ratio).select("dataset", "weight")
     keys = images.select("dataset", "shard_idx", "key")
-    mixed = mix_all_exhausted(keys, weights, "dataset", ["shard_idx", "key"], seed)
+    mixed = mix_all_exhausted(keys, weights, "dataset", ["shard_idx", "key"], "key", seed)
     if shuffle_buffer:
         tagged = mixed.withColumn("_id", F.concat_ws("/", "dataset", "key"))
         mixed = buffer_shuffle(tagged, ["mix_rank"], "_id", seed, shuffle_buffer).drop("_id", "mix_rank")

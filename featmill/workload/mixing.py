@@ -57,8 +57,8 @@ _WEIGHTS = {"click": 2.0, "view": 1.0, "purchase": 0.5, "signup": 1.0, "error":
 _RACE_SQL = f"""weights(event_type, w) AS (VALUES {",".join(f"('{k}',{v}::DOUBLE)" for k, v in _WEIGHTS.items())}),
 placed AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS j,
   count(*) OVER (PARTITION BY event_type) AS n FROM events),
-gaps AS (SELECT *, -ln((('0x' || substr(md5('11:' || event_type || ':' || j), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / w AS gap,
-  -ln((('0x' || substr(md5('11:' || event_type || ':' || n), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / w AS extra
+gaps AS (SELECT *, -ln((('0x' || substr(md5('11:' || event_type || ':' || event_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / w AS gap,
+  -ln((('0x' || substr(md5('11:' || event_type || ':end'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / w AS extra
   FROM placed JOIN weights USING (event_type)),
 raced AS (SELECT *, sum(gap) OVER (PARTITION BY event_type ORDER BY j) AS t FROM gaps)"""
 
@@ -77,7 +77,7 @@ def _events(spark, sf):
     f"""WITH {_RACE_SQL} SELECT event_id, event_type, row_number() OVER (ORDER BY t, event_type, j) - 1 AS mix_rank FROM raced""",
 )
 def mix_all_exhausted(spark, sf):
-    mixed = x.mix_all_exhausted(_events(spark, sf), _weights(spark), "event_type", ["ts", "event_id"], _SEED)
+    mixed = x.mix_all_exhausted(_events(spark, sf), _weights(spark), "event_type", ["ts", "event_id"], "event_id", _SEED)
     return mixed.drop("ts")
 
 
@@ -88,7 +88,7 @@ SELECT event_id, event_type, row_number() OVER (ORDER BY t, event_type, j) - 1 A
 FROM raced, stop WHERE t < stop""",
 )
 def mix_first_exhausted(spark, sf):
-    mixed = x.mix_first_exhausted(_events(spark, sf), _weights(spark), "event_type", ["ts", "event_id"], _SEED)
+    mixed = x.mix_first_exhausted(_events(spark, sf), _weights(spark), "event_type", ["ts", "event_id"], "event_id", _SEED)
     return mixed.drop("ts")
 
 
@@ -102,7 +102,7 @@ SELECT event_id, mix_rank FROM ranked, bound WHERE mix_rank < b""",
 def epoch_limit(spark, sf):
     """One epoch of a mix at three tenths of its length, batch size 16 on 4 ranks."""
     events, weights = _events(spark, sf), _weights(spark)
-    mixed = x.mix_all_exhausted(events, weights, "event_type", ["ts", "event_id"], _SEED)
+    mixed = x.mix_all_exhausted(events, weights, "event_type", ["ts", "event_id"], "event_id", _SEED)
     lengths = events.groupBy("event_type").agg(F.count("*").alias("n")).join(weights, "event_type")
     expected = mix_weights(lengths, 0.3).agg(F.max("expected").alias("expected"))
     return x.epoch_limit(mixed, expected, 16, 4).select("event_id", "mix_rank")

@@ -20,7 +20,7 @@ def weights(spark):
 
 def test_all_exhausted_uses_each_sample_once_in_order(spark):
     sizes = {"a": 3000, "b": 700, "c": 300}
-    mixed = x.mix_all_exhausted(samples(spark, sizes), weights(spark), "dataset", ["i"], seed=3)
+    mixed = x.mix_all_exhausted(samples(spark, sizes), weights(spark), "dataset", ["i"], "i", seed=3)
     rows = sorted(mixed.collect(), key=lambda r: r["mix_rank"])
     assert [r["mix_rank"] for r in rows] == list(range(4000))
     for dataset, n in sizes.items():
@@ -34,9 +34,9 @@ def test_first_exhausted_stops_at_a_draw_that_finds_nothing(spark):
     sizes = {"a": 3000, "b": 700, "c": 300}
     df = samples(spark, sizes)
     full = {(r["dataset"], r["i"]): r["mix_rank"] for r in x.mix_all_exhausted(
-        df, weights(spark), "dataset", ["i"], seed=3).collect()}
+        df, weights(spark), "dataset", ["i"], "i", seed=3).collect()}
     part = {(r["dataset"], r["i"]): r["mix_rank"] for r in x.mix_first_exhausted(
-        df, weights(spark), "dataset", ["i"], seed=3).collect()}
+        df, weights(spark), "dataset", ["i"], "i", seed=3).collect()}
     assert part == {k: v for k, v in full.items() if v < len(part)}
     used = Counter(d for d, _ in part)
     assert any(used[d] == n for d, n in sizes.items())
@@ -45,13 +45,13 @@ def test_first_exhausted_stops_at_a_draw_that_finds_nothing(spark):
 
 def test_a_dataset_without_weight_is_left_out(spark):
     df = samples(spark, {"a": 10, "z": 10})
-    assert {r["dataset"] for r in x.mix_all_exhausted(df, weights(spark), "dataset", ["i"]).collect()} == {"a"}
+    assert {r["dataset"] for r in x.mix_all_exhausted(df, weights(spark), "dataset", ["i"], "i").collect()} == {"a"}
 
 
 def test_seed_decides(spark):
     df, w = samples(spark, {"a": 50, "b": 50}), weights(spark)
     order = lambda seed: [
-        (r["dataset"], r["i"]) for r in x.mix_all_exhausted(df, w, "dataset", ["i"], seed).orderBy("mix_rank").collect()
+        (r["dataset"], r["i"]) for r in x.mix_all_exhausted(df, w, "dataset", ["i"], "i", seed).orderBy("mix_rank").collect()
     ]
     assert order(1) == order(1) != order(2)
 
