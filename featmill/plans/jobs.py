@@ -32,7 +32,7 @@ from featmill.plans.catalog import mix_concat, mix_entries, mix_weights
 from featmill.session import materialize, qualified, small_table
 from featmill.sources.column_store import read_column
 from featmill.sources.files import read_image_folder, read_stats, write_splits, write_stats
-from featmill.sources.tarshards import _filesystem, fetch_members, read_shards, write_shards
+from featmill.sources.tarshards import _filesystem, arrange, fetch_files, fetch_members, read_shards, write_shards
 from featmill.sources.tensor_bytes import decode_features, decode_images, encode_features
 
 # Video sets: file mark of their archives and the default sampling rate (fixed values).
@@ -74,10 +74,15 @@ def shard_report(spark: SparkSession, path: str) -> DataFrame:
     return q.shard_integrity(q.list_shard_files(spark, path))
 
 
-def _write_samples(samples: DataFrame, name, path: str) -> None:
-    spark = samples.sparkSession
-    named = samples.select(name.alias("shard"), F.concat("key", F.lit(".image")).alias("member"), "data")
-    write_shards(named, path, existing=shard_report(spark, path))
+def _arranged(samples: DataFrame, name, path: str) -> DataFrame:
+    """Listed samples ``(key, ...)`` by target shard and member, without those of finished shards."""
+    named = samples.withColumn("target", name).withColumn("member", F.concat("key", F.lit(".image")))
+    done = shard_report(samples.sparkSession, path).where("ok").select(F.col("shard").alias("target"))
+    return arrange(resume_pending(named, done, ["target"]), "target")
+
+
+def _write_images(fetched: DataFrame, path: str) -> None:
+    write_shards(fetched.select(F.col("target").alias("shard"), "member", "data"), path, arranged=True)
 
 
 def organize_images(
@@ -85,11 +90,11 @@ def organize_images(
     pattern: str = "*.JPEG",
 ) -> None:
     """Files of an image folder, in path order, to shards of the dataset's split."""
+    target = f"{root}/{dataset}/images"
     paths = read_image_folder(spark, folder, pattern, content=False)
-    placed = shard_assign(paths, ["path"], samples_per_shard).select("path", "shard_idx")
-    files = read_image_folder(spark, folder, pattern).withColumnRenamed("content", "data")
+    placed = shard_assign(paths, ["path"], samples_per_shard)
     name = shard_name(F.lit(dataset), F.lit(OWN_VIEW), F.lit(split), F.col("shard_idx"), F.lit(False))
-    _write_samples(files.join(placed, "path"), name, f"{root}/{dataset}/images")
+    _write_images(fetch_files(_arranged(placed, name, target)), target)
 
 
 def subsample_videos(
@@ -103,14 +108,14 @@ def subsample_videos(
         if dataset not in VIDEO_RATES:
             raise NotImplementedError(f"{dataset} has no default rate")
         rate = VIDEO_RATES[dataset]
+    target = f"{root}/{dataset}_1in{rate}/images"
     frames = read_shards(spark, archives, payload=False).drop("data").where(F.col("member").contains(".jpg"))
     kept = subsample_global(frames, "shard", ["member"], rate).withColumnRenamed("ordinal", "_at")
-    placed = shard_assign(kept.drop("_at"), ["shard", "frame_idx"], samples_per_shard)
-    fetched = fetch_members(placed, archives)
+    placed = shard_assign(kept.drop("_at", "member"), ["shard", "frame_idx"], samples_per_shard)
     video = F.replace(F.col("shard"), F.lit(".tar"), F.lit(""))
-    keyed = fetched.withColumn("key", video_frame_key(video, F.col("frame_idx")))
+    keyed = placed.withColumn("key", video_frame_key(video, F.col("frame_idx")))
     name = F.format_string("%s-%06d.tar", F.lit(f"{dataset}_1in{rate}"), "shard_idx")
-    _write_samples(keyed, name, f"{root}/{dataset}_1in{rate}/images")
+    _write_images(fetch_members(_arranged(keyed, name, target), archives, arranged=True), target)
 
 
 def split_dataset(spark: SparkSession, root: str, dataset: str, samples_per_shard: int = 1000) -> None:
@@ -160,11 +165,12 @@ def extract_dataset(
     first, end = shard_range(start, num, total, samples_per_shard)
     wanted = ranked.where((F.col("_idx") >= first) & (F.col("_idx") < end)).select("shard")
     pending = small_table(resume_pending(wanted, shard_report(spark, features).where("ok"), ["shard"]), rows=100_000)
-    rows = fetch_members(listed.join(pending, "shard", "left_semi"), images)
+    # A shard's images are fetched, extracted and written in one task; only the listing is shuffled.
+    rows = fetch_members(arrange(listed.join(pending, "shard", "left_semi")), images, arranged=True)
     found = extractor.run(rows.select("shard", sample_key(F.col("member")).alias("key"), "data"))
     data = encode_features(F.col("embedding"), *extractor.output_shape, bf16=bf16)
     member = F.concat("key", F.lit(f".{extractor.column}.safetensors"))
-    write_shards(found.select("shard", member.alias("member"), data.alias("data")), features)
+    write_shards(found.select("shard", member.alias("member"), data.alias("data")), features, arranged=True)
 
 
 def feature_statistics(

@@ -18,7 +18,7 @@ SPLITS = ("train", "val", "test")
 def read_image_folder(spark: SparkSession, path: str, pattern: str = "*.JPEG", content: bool = True) -> DataFrame:
     """``key``, ``path`` and, if asked for, ``content`` of every matching file below ``path``.
 
-    Without content only the listing is read. Order by ``path`` for the reference order of samples.
+    Without content only the listing is read. Samples are numbered in the order of ``path``.
     """
     files = (
         spark.read.format("binaryFile")

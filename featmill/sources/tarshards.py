@@ -244,10 +244,28 @@ def read_shards(spark: SparkSession, path: str, pattern: str = "*.tar", payload:
     )
 
 
-def fetch_members(members: DataFrame, path: str) -> DataFrame:
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for work whose rows are small but whose payloads are not.
+
+    An explicit number, as adaptive execution would merge the partitions of a listing into a single one.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def arrange(members: DataFrame, shard: str = "shard", member: str = "member") -> DataFrame:
+    """Bring the rows of each shard together, in member order, ready for ``write_shards(arranged=True)``.
+
+    Done on a listing before the payloads are fetched, it saves shuffling them.
+    """
+    return members.repartition(_tasks(members.sparkSession), shard).sortWithinPartitions(shard, member)
+
+
+def fetch_members(members: DataFrame, path: str, shard: str = "shard", arranged: bool = False) -> DataFrame:
     """Add ``data`` to listed members ``(shard, member, offset, size, ...)`` by reading just their bytes.
 
-    For spot checks and lookups: the cost follows the members asked for, not the shards they are in.
+    For spot checks and lookups: the cost follows the members asked for, not the shards they are in. The work
+    is dealt out by position, so many members of one shard are read by many tasks. ``arranged`` keeps rows
+    where they are, for a listing already brought into the order of a write.
     """
     listed = members.drop("data")
     path = qualified(members.sparkSession, path)
@@ -256,47 +274,69 @@ def fetch_members(members: DataFrame, path: str) -> DataFrame:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _filesystem(path)
         base = base.rstrip("/")
+        opened, handle = None, None
         for batch in batches:
             # A few rows at a time, as payloads can be megabytes each.
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 names = part.schema.names
-                shards, offsets, sizes = (part.column(names.index(c)).to_pylist() for c in ("shard", "offset", "size"))
-                data, opened, handle = [], None, None
-                for shard, offset, size in zip(shards, offsets, sizes, strict=True):
-                    if shard != opened:
+                places = zip(*(part.column(names.index(c)).to_pylist() for c in (shard, "offset", "size")), strict=True)
+                data = []
+                for name, offset, size in places:
+                    if name != opened:
                         if handle is not None:
                             handle.close()
-                        opened, handle = shard, files.open_input_file(f"{base}/{shard}")
+                        opened, handle = name, files.open_input_file(f"{base}/{name}")
                     handle.seek(offset)
                     data.append(handle.read(size))
-                if handle is not None:
-                    handle.close()
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=[*names, "data"])
+        if handle is not None:
+            handle.close()
+
+    if not arranged:
+        listed = listed.repartitionByRange(_tasks(members.sparkSession), shard, "offset")
+        listed = listed.sortWithinPartitions(shard, "offset")
+    return listed.mapInArrow(fetch, schema)
+
+
+def fetch_files(files: DataFrame, path: str = "path") -> DataFrame:
+    """Add the bytes of whole files as ``data``, in the tasks and order the rows are in."""
+    schema = StructType([*files.schema.fields, StructField("data", BinaryType())])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                names = part.schema.names
+                data = []
+                for name in part.column(names.index(path)).to_pylist():
+                    handles, local = _filesystem(name)
+                    with handles.open_input_stream(local) as stream:
+                        data.append(stream.read())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=[*names, "data"])
 
-    return listed.sortWithinPartitions("shard", "offset").mapInArrow(fetch, schema)
+    return files.mapInArrow(fetch, schema)
 
 
-def write_shards(df: DataFrame, path: str, existing: DataFrame | None = None) -> None:
+def write_shards(df: DataFrame, path: str, existing: DataFrame | None = None, arranged: bool = False) -> None:
     """Write ``(shard, member, data)`` rows as tar shards, members in name order.
 
     ``existing`` is an integrity report (``shard``, ``ok``): shards that it finds complete are left alone.
+    Unless the rows are ``arranged`` already, they are shuffled by shard first.
     """
     spark = df.sparkSession
     spark.dataSource.register(TarShards)
     if existing is not None:
+        if arranged:
+            raise ValueError("leave finished shards out before arranging the others")
         df = df.join(existing.where("ok").select("shard"), "shard", "left_anti")
-    (
-        df.select(
-            "shard",
-            "member",
-            F.lit(None).cast("bigint").alias("offset"),
-            F.length("data").cast("bigint").alias("size"),
-            "data",
-        )
-        .repartition("shard")
-        .sortWithinPartitions("shard", "member")
-        .write.format("tarshards")
-        .mode("append")
-        .save(qualified(spark, path))
+    rows = df.select(
+        "shard",
+        "member",
+        F.lit(None).cast("bigint").alias("offset"),
+        F.length("data").cast("bigint").alias("size"),
+        "data",
     )
+    if not arranged:
+        rows = rows.repartition("shard").sortWithinPartitions("shard", "member")
+    rows.write.format("tarshards").mode("append").save(qualified(spark, path))
