@@ -48,6 +48,11 @@ def int_array(values: np.ndarray) -> Column:
     return F.split(F.lit(",".join(map(str, np.ravel(values).tolist()))), ",").cast("array<int>")
 
 
+def double_array(values: Sequence[float]) -> Column:
+    """A literal ``array<double>``, passed the same way; the digits of ``repr`` give the exact values back."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
 def gather(tensor: Column | str, index: np.ndarray) -> Column:
     """``out[k] = tensor[index[k]]`` for a static ``index``."""
     positions = int_array(index)

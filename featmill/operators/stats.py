@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featmill.functions.tensors import feature_denormalize, feature_normalize, unroll
+from featmill.functions.tensors import double_array, feature_denormalize, feature_normalize, unroll
 from featmill.session import small_table
 
 
@@ -90,6 +90,21 @@ def normalize_features(df: DataFrame, stats: DataFrame, c: int, n_tokens: int) -
     return _with_stats(df, stats, feature_normalize("embedding", "_mean", "_std", c, n_tokens))
 
 
+def normalize_model(df: DataFrame, stats: DataFrame, model: str, c: int, n_tokens: int) -> DataFrame:
+    """Normalise ``embedding`` (tokens) where all rows are one model's; without statistics it stays as it is.
+
+    The model's ``c`` means and spreads become literals of the plan, so there is nothing to join.
+    """
+    rows = stats.where(F.col("model") == model).select("channel", "mean", "std").limit(c + 1).collect()
+    if not rows:
+        return df
+    rows.sort(key=lambda r: r["channel"])
+    if [r["channel"] for r in rows] != list(range(c)):
+        raise ValueError(f"statistics of {model} do not cover {c} channels")
+    mean, std = (double_array([r[name] for r in rows]) for name in ("mean", "std"))
+    return df.withColumn("embedding", feature_normalize("embedding", mean, std, c, n_tokens))
+
+
 def denormalize_features(df: DataFrame, stats: DataFrame, c: int, n_tokens: int) -> DataFrame:
     """Inverse of :func:`normalize_features`."""
     return _with_stats(df, stats, feature_denormalize("embedding", "_mean", "_std", c, n_tokens))

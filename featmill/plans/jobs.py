@@ -27,7 +27,7 @@ from featmill.operators import quality as q
 from featmill.operators.columns import merge_columns, resume_pending
 from featmill.operators.mixing import buffer_shuffle, mix_all_exhausted, spot_check_sample
 from featmill.operators.ordinals import number_rows, shard_assign, split_assign, split_totals, subsample_global
-from featmill.operators.stats import channel_stats, normalize_features
+from featmill.operators.stats import channel_stats, normalize_model
 from featmill.plans.catalog import mix_concat, mix_entries, mix_weights
 from featmill.session import materialize, qualified, small_table
 from featmill.sources.column_store import read_column
@@ -283,6 +283,6 @@ def frame_batches(
         name = model.replace("/", "_").lower()
         feature = read_column(spark, root, name, split=split).select("dataset", "key", "embedding")
         if stats is not None:
-            feature = normalize_features(feature.withColumn("model", F.lit(name)), stats, c, h * w).drop("model")
+            feature = normalize_model(feature, stats, name, c, h * w)
         columns.append(feature.withColumnRenamed("embedding", name))
     return merge_columns(columns)
