@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from featmill.session import materialize
 
-_ID, _PART, _POS = "_row_id", "_part", "_pos"
+_ID, _PART, _POS, _SALT = "_row_id", "_part", "_pos", "_salt"
 _FIRST, _ROWS, _BEFORE, _TOTAL = "_first", "_rows", "_before", "_total"
 # monotonically_increasing_id(): partition number above bit 33, row number below.
 _POS_BITS = 33
@@ -51,11 +51,14 @@ def number_rows(
     group_index: str | None = None,
     global_ordinal: str | None = None,
     running: Mapping[str, str] | None = None,
+    ties: bool = False,
 ) -> DataFrame:
     """Add 0-based positions to ``df``; every output column is optional.
 
-    ``by`` and ``order`` name columns; together they must order the rows totally, or equal rows get their
-    positions in any order.
+    ``by`` and ``order`` name columns that together should identify a row. Where they do not, set ``ties``:
+    rows equal in them take their positions in any order, and are told apart by a salt so that even a great
+    many copies spread over partitions. The salt numbers locally sorted rows, so a repeated task gives the
+    same ones.
 
     ordinal: position within the group. size: rows in the group. group_index: position of the group among
     the groups. global_ordinal: position among all rows, groups in order. running: ``{new: value column}``,
@@ -63,10 +66,12 @@ def number_rows(
     """
     by, order = list(by), list(order)
     running = dict(running or {})
-    ranged = df.repartitionByRange(*by, *order) if (by or order) else df
-    staged = materialize(
-        ranged.sortWithinPartitions(*by, *order).withColumn(_ID, F.monotonically_increasing_id()), "ordered"
-    )
+    keys, rows = [*by, *order], df
+    if ties:
+        rows = df.sortWithinPartitions(*df.columns).withColumn(_SALT, F.monotonically_increasing_id())
+        keys.append(_SALT)
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(_SALT) if keys else rows
+    staged = materialize(ranged.withColumn(_ID, F.monotonically_increasing_id()), "ordered")
     staged = (
         staged.withColumn(_PART, F.shiftright(_ID, _POS_BITS))
         .withColumn(_POS, F.col(_ID).bitwiseAND(F.lit((1 << _POS_BITS) - 1)))
@@ -122,9 +127,11 @@ def number_rows(
     return out.select(*wanted)
 
 
-def shard_assign(df: DataFrame, order: Sequence[str], samples_per_shard: int = 1000) -> DataFrame:
+def shard_assign(
+    df: DataFrame, order: Sequence[str], samples_per_shard: int = 1000, ties: bool = False
+) -> DataFrame:
     """Contiguous shards of ``samples_per_shard`` rows in ``order``; the last one may be short."""
-    out = number_rows(df, order=order, ordinal="ordinal")
+    out = number_rows(df, order=order, ordinal="ordinal", ties=ties)
     return out.withColumn("shard_idx", F.expr(f"ordinal div {int(samples_per_shard)}"))
 
 

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featmill.operators.ordinals import number_rows
+
 
-def nest_episodes(steps: DataFrame, episode: str, frame: str, length: int = 1000) -> DataFrame:
-    """``(episode, segment, steps)`` from one row per step with an ``observation`` map.
+def nest_episodes(
+    steps: DataFrame, episode: str, order: Sequence[str], observation: str = "observation", length: int = 1000
+) -> DataFrame:
+    """``(episode, segment, steps)`` from one row per step with an ``observation`` map by camera view.
 
-    An episode is held as segments of ``length`` frames, so a row stays small however long it is.
+    An episode is held as segments of ``length`` consecutive steps, so a row stays small however long it is.
     """
-    packed = steps.withColumn("segment", F.expr(f"`{frame}` div {int(length)}"))
-    step = F.struct(F.col(frame).alias("frame"), "observation")
-    # Maps have no order; a step's own number decides.
-    return packed.groupBy(episode, "segment").agg(
-        F.array_sort(
-            F.collect_list(step),
-            lambda a, b: F.when(a["frame"] < b["frame"], -1).when(a["frame"] > b["frame"], 1).otherwise(0),
-        ).alias("steps")
+    narrow = number_rows(steps, [episode], order, ordinal="frame")
+    step = F.struct("frame", F.col(observation).alias("observation"))
+    # Maps have no order of their own; the frame decides.
+    by_frame = lambda a, b: (a["frame"] - b["frame"]).cast("int")
+    return (
+        narrow.withColumn("segment", F.expr(f"frame div {int(length)}"))
+        .groupBy(episode, "segment")
+        .agg(F.array_sort(F.collect_list(step), by_frame).alias("steps"))
     )
 
 

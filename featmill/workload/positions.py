@@ -35,7 +35,7 @@ FROM (SELECT l_orderkey, (row_number() OVER (ORDER BY l_orderkey) - 1) // 1000 A
 GROUP BY ALL""",
 )
 def shard_assign_volume(spark, sf):
-    placed = o.shard_assign(table(spark, sf, "lineitem").select("l_orderkey"), ["l_orderkey"], 1000)
+    placed = o.shard_assign(table(spark, sf, "lineitem").select("l_orderkey"), ["l_orderkey"], 1000, ties=True)
     return placed.groupBy("shard_idx").agg(
         F.count("*").alias("n"), F.min("l_orderkey").alias("first_order"), F.max("l_orderkey").alias("last_order")
     )

@@ -177,14 +177,15 @@ def image_folder_files(spark, sf):
 
 @query(
     "episode_frames",
-    """SELECT conv_id, turn AS frame_idx, role AS view, md5(text) AS digest FROM conversations""",
+    """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS frame_idx, role AS view,
+  md5(text) AS digest FROM conversations""",
 )
 def episode_frames_query(spark, sf):
     """Conversations as episodes: a step per turn, its text under the view that spoke."""
     steps = table(spark, sf, "conversations").select(
         "conv_id", "turn", F.create_map("role", F.encode("text", "UTF-8")).alias("observation")
     )
-    frames = episode_frames(nest_episodes(steps, "conv_id", "turn"), "conv_id")
+    frames = episode_frames(nest_episodes(steps, "conv_id", ["turn"]), "conv_id")
     return frames.select("conv_id", big("frame_idx").alias("frame_idx"), "view", F.md5("image").alias("digest"))
 
 

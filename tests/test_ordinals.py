@@ -51,6 +51,25 @@ def test_a_hot_group_spreads_over_partitions(spark):
     assert largest < 30_000 / 3
 
 
+def test_copies_spread_and_are_counted_once(spark):
+    """Every row alike in group and order, four fifths of them complete copies."""
+    df = spark.range(20_000).select(F.lit("g").alias("g"), F.lit(1).alias("k"), F.greatest("id", F.lit(16_000)).alias("v"))
+    df = df.withColumn("one", F.lit(1)).repartition(6)
+    # Adaptive execution would merge partitions as small as these.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = o.number_rows(df, ["g"], ["k"], ordinal="i", running={"run": "one"}, ties=True)
+        rows = out.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted(r["i"] for r in rows) == list(range(20_000))
+    assert all(r["run"] == r["i"] + 1 for r in rows)
+    assert sum(r["v"] == 16_000 for r in rows) == 16_001
+    # One file per range partition; none holds the bulk of the rows.
+    sizes = [spark.read.parquet(f).count() for f in out.inputFiles()]
+    assert sum(sizes) == 20_000 and max(sizes) < 20_000 / 3
+
+
 def test_no_groups_and_null_groups(spark):
     df = spark.createDataFrame([(None, 2), ("x", 1), (None, 1), ("x", 3)], "g string, k int")
     got = {(r["g"], r["k"]): r["i"] for r in o.number_rows(df, ["g"], ["k"], ordinal="i").collect()}

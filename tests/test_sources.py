@@ -154,7 +154,7 @@ def test_episodes(spark):
         [("e", i, {"front": bytearray([i % 250]), "wrist": bytearray([1])}) for i in range(25)],
         "ep string, frame int, observation map<string, binary>",
     )
-    nested = nest_episodes(steps, "ep", "frame", length=10)
+    nested = nest_episodes(steps, "ep", ["frame"], length=10)
     assert sorted(len(r["steps"]) for r in nested.collect()) == [5, 10, 10]
     assert [s["frame"] for r in nested.orderBy("segment").collect() for s in r["steps"]] == list(range(25))
     frames = episode_frames(nested, "ep")
