@@ -242,30 +242,20 @@ def _as_stored(embedding, c: int, h: int, w: int):
     return decode_features(encode_features(embedding, c, h, w, bf16=True), c, h, w)["embedding"]
 
 
-def frame_batches(
-    spark: SparkSession,
-    root: str,
-    mix: str | Mapping[str, float] | Sequence[str],
-    models: Mapping[str, tuple[int, int, int]],
-    split: str = "train",
-    ratio: float = 1.0,
+def batch_columns(
+    images: DataFrame,
+    features: Mapping[str, DataFrame],
+    weights: DataFrame,
     batch_size: int = 16,
     seed: int = 0,
     shuffle_buffer: int | None = None,
-    stats: DataFrame | None = None,
 ) -> DataFrame:
-    """Mixed, aligned and batched samples of a column store.
+    """Mix, align and batch the columns of samples: ``(dataset, key, batch_idx, batch_pos, image, <features>)``.
 
-    ``(batch_idx, batch_pos, dataset, key, image, <model columns>)``. Mixing, shuffling and batching work on
-    keys; image and feature columns are joined by key afterwards, so they stay aligned by construction.
-    Features are normalised where ``stats`` are given. Every dataset of the mix contributes.
+    ``images`` is ``(dataset, shard_idx, key, image)``, each feature ``(dataset, key, embedding)``, ``weights``
+    ``(dataset, weight)``. Mixing, shuffling and batching work on keys; the payloads are joined by key
+    afterwards, so they stay aligned by construction. Columns bucketed by (dataset, key) do not move for it.
     """
-    images = read_column(spark, root, "images", split=split)
-    entries = mix_concat(mix_entries(spark, mix))
-    lengths = images.groupBy("dataset").agg(F.count("*").alias("n")).join(entries, "dataset")
-    if split in ("val", "eval"):
-        lengths = lengths.withColumn("weight", F.lit(1.0))
-    weights = mix_weights(materialize(lengths, "lengths"), ratio).select("dataset", "weight")
     keys = images.select("dataset", "shard_idx", "key")
     mixed = mix_all_exhausted(keys, weights, "dataset", ["shard_idx", "key"], "key", seed)
     if shuffle_buffer:
@@ -278,11 +268,37 @@ def frame_batches(
         F.expr(f"mix_rank div {int(batch_size)}").alias("batch_idx"),
         (F.col("mix_rank") % batch_size).alias("batch_pos"),
     )
-    columns = [placed, images.select("dataset", "key", "image")]
+    payloads = [df.select("dataset", "key", F.col("embedding").alias(name)) for name, df in features.items()]
+    return merge_columns([placed, images.select("dataset", "key", "image"), *payloads])
+
+
+def frame_batches(
+    spark: SparkSession,
+    root: str,
+    mix: str | Mapping[str, float] | Sequence[str],
+    models: Mapping[str, tuple[int, int, int]],
+    split: str = "train",
+    ratio: float = 1.0,
+    batch_size: int = 16,
+    seed: int = 0,
+    shuffle_buffer: int | None = None,
+    stats: DataFrame | None = None,
+) -> DataFrame:
+    """:func:`batch_columns` of a column store, weighted by a mix and the datasets' lengths.
+
+    Features are normalised where ``stats`` are given. Every dataset of the mix contributes; in validation
+    all count alike.
+    """
+    stored = "val" if split == "eval" else split
+    images = read_column(spark, root, "images", split=stored)
+    entries = mix_concat(mix_entries(spark, mix))
+    lengths = images.groupBy("dataset").agg(F.count("*").alias("n")).join(entries, "dataset")
+    if stored == "val":
+        lengths = lengths.withColumn("weight", F.lit(1.0))
+    weights = mix_weights(materialize(lengths, "lengths"), ratio).select("dataset", "weight")
+    features = {}
     for model, (c, h, w) in models.items():
         name = model.replace("/", "_").lower()
-        feature = read_column(spark, root, name, split=split).select("dataset", "key", "embedding")
-        if stats is not None:
-            feature = normalize_model(feature, stats, name, c, h * w)
-        columns.append(feature.withColumnRenamed("embedding", name))
-    return merge_columns(columns)
+        feature = read_column(spark, root, name, split=stored)
+        features[name] = feature if stats is None else normalize_model(feature, stats, name, c, h * w)
+    return batch_columns(images, features, weights, batch_size, seed, shuffle_buffer)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Columns every column table has besides its payload.
 SAMPLE = ("dataset", "split", "shard_idx", "key")
@@ -36,7 +37,13 @@ def read_column(
     shards: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Samples of a column, optionally of one dataset, one split, or shards ``first <= i < end``."""
-    df = spark.read.parquet(f"{root}/{column}")
+    path = f"{root}/{column}"
+    df = spark.read.parquet(path)
+    kinds = dict(df.dtypes)
+    if (kinds["dataset"], kinds["split"]) != ("string", "string"):
+        # Folder names that look like numbers are names all the same.
+        fields = [StructField(f.name, StringType()) if f.name in ("dataset", "split") else f for f in df.schema]
+        df = spark.read.schema(StructType(fields)).parquet(path)
     if dataset is not None:
         df = df.where(F.col("dataset") == dataset)
     if split is not None:

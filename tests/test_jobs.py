@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from featmill.plans import jobs
 from featmill.sources import tarshards as ts
-from featmill.sources.column_store import write_column
+from featmill.sources.column_store import write_bucketed, write_column
 from featmill.sources.tensor_bytes import load_tensors
 
 # Workers cannot import this module.
@@ -200,3 +200,33 @@ def test_frame_batches(spark, tmp_path):
     for r in rows:
         assert r["key"] == f"k{r['image']:04d}"
         assert r["m_x"] == pytest.approx([(r["image"] - 10.0) / 2.0, (r["image"] + 1) / 0.5])
+
+
+def test_bucketed_payloads_do_not_move(spark, tmp_path):
+    samples = spark.range(500).select(
+        F.lit("a").alias("dataset"),
+        F.expr("id div 40").alias("shard_idx"),
+        F.format_string("k%04d", "id").alias("key"),
+        F.col("id").alias("image"),
+        F.array(F.col("id").cast("float")).alias("embedding"),
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("bucketed_images", "bucketed_features"):
+            write_bucketed(samples, name, str(tmp_path / name), ["dataset", "key"], 8)
+        images, features = spark.table("bucketed_images"), spark.table("bucketed_features")
+        weights = spark.sql("SELECT 'a' AS dataset, 1.0D AS weight")
+        batches = jobs.batch_columns(images.drop("embedding"), {"m": features}, weights, batch_size=32)
+        plan = batches._jdf.queryExecution().executedPlan().toString()
+        # Each scan of a payload is read in buckets and goes into its join without an exchange.
+        for line in plan.splitlines():
+            if "Exchange" in line:
+                below = plan[plan.index(line) :].splitlines()[1:4]
+                assert not any("image#" in b or "embedding#" in b for b in below), line
+        assert plan.count("Bucketed: true") == 2
+        rows = batches.collect()
+        assert len(rows) == 500 and all(r["m"] == [float(r["image"])] for r in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+        spark.sql("DROP TABLE IF EXISTS bucketed_images")
+        spark.sql("DROP TABLE IF EXISTS bucketed_features")

@@ -186,6 +186,11 @@ def test_column_store_prunes(spark, samples, tmp_path):
     assert "ReadSchema: struct<shard_idx:bigint,key:string,value:bigint>" in plan
 
 
+def test_numbers_as_dataset_names(spark, samples, tmp_path):
+    write_column(samples.withColumn("dataset", F.lit("007")), str(tmp_path), "images")
+    assert read_column(spark, str(tmp_path), "images", "007", "val").first()["dataset"] == "007"
+
+
 def test_bucketed_columns_join_without_a_shuffle(spark, samples, tmp_path):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
