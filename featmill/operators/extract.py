@@ -77,6 +77,18 @@ def stored_embeddings(embedding: Column, model: str, c: int, h: int, w: int) ->
     return out
 
 
+def stored_rows(df: DataFrame, models: Sequence[str], c: int, h: int, w: int) -> DataFrame:
+    """``(..., name, tensor)``: what is stored for rows ``(model, embedding)`` of any of ``models``, in one pass."""
+    by_model = None
+    for model in models:
+        made = stored_embeddings(F.col("embedding"), model, c, h, w)
+        entries = F.array(*[F.struct(F.lit(n).alias("name"), t.alias("tensor")) for n, t in made.items()])
+        match = F.col("model") == model
+        by_model = F.when(match, entries) if by_model is None else by_model.when(match, entries)
+    kept = [x for x in df.columns if x not in ("model", "embedding")]
+    return df.select(*kept, F.inline_outer(by_model)).where(F.col("name").isNotNull())
+
+
 def patch_mean(c: int, h: int, w: int, patch: int) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
     """A model stand-in: the mean of every patch, ``[c, h, w]`` to ``[c, h/patch, w/patch]``."""
 

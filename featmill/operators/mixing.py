@@ -16,23 +16,23 @@ from featmill.operators.ordinals import number_rows
 from featmill.session import small_table
 
 
+def pick_shards(shards: DataFrame, shard: str, seed: int, n: int = 5) -> DataFrame:
+    """``n`` random rows of a table of shards; a top-n per task, then over all."""
+    return shards.orderBy(seeded_order(seed, F.col(shard)), shard).limit(n)
+
+
+def sample_per_shard(df: DataFrame, shard: str, key: str, seed: int, n: int = 8) -> DataFrame:
+    """``n`` random samples of each shard; every task keeps its own best ``n`` per shard before the shuffle."""
+    rank = Window.partitionBy(shard).orderBy(seeded_order(seed, F.col(shard), F.col(key)), key)
+    return df.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= n).drop("_rank")
+
+
 def spot_check_sample(
     df: DataFrame, shard: str, key: str, seed: int, shards: int = 5, per_shard: int = 8
 ) -> DataFrame:
-    """``per_shard`` random samples of each of ``shards`` random shards.
-
-    Both limits cut on the map side first (top-k per task), so neither a big shard nor many shards
-    gather anywhere.
-    """
-    chosen = (
-        df.select(shard)
-        .distinct()
-        .orderBy(seeded_order(seed, F.col(shard)), shard)
-        .limit(shards)
-    )
-    rank = Window.partitionBy(shard).orderBy(seeded_order(seed, F.col(shard), F.col(key)), key)
-    sampled = df.join(F.broadcast(chosen), shard, "left_semi").withColumn("_rank", F.row_number().over(rank))
-    return sampled.where(F.col("_rank") <= per_shard).drop("_rank")
+    """``per_shard`` random samples of each of ``shards`` random shards."""
+    chosen = pick_shards(df.select(shard).distinct(), shard, seed, shards)
+    return sample_per_shard(df.join(F.broadcast(chosen), shard, "left_semi"), shard, key, seed, per_shard)
 
 
 def shard_shuffle(shards: DataFrame, shard: str, seed: int, epoch: int = 0) -> DataFrame:

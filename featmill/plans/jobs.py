@@ -25,14 +25,22 @@ from featmill.functions.naming import (
 from featmill.operators import extract as ex
 from featmill.operators import quality as q
 from featmill.operators.columns import merge_columns, resume_pending
-from featmill.operators.mixing import buffer_shuffle, mix_all_exhausted, spot_check_sample
+from featmill.operators.mixing import buffer_shuffle, mix_all_exhausted, pick_shards, sample_per_shard
 from featmill.operators.ordinals import number_rows, shard_assign, split_assign, split_totals, subsample_global
 from featmill.operators.stats import channel_stats, normalize_model
 from featmill.plans.catalog import mix_concat, mix_entries, mix_weights
 from featmill.session import materialize, qualified, small_table
 from featmill.sources.column_store import read_column
 from featmill.sources.files import read_image_folder, read_stats, write_splits, write_stats
-from featmill.sources.tarshards import _filesystem, arrange, fetch_files, fetch_members, read_shards, write_shards
+from featmill.sources.tarshards import (
+    _filesystem,
+    arrange,
+    fetch_files,
+    fetch_members,
+    list_members,
+    read_shards,
+    write_shards,
+)
 from featmill.sources.tensor_bytes import decode_features, decode_images, encode_features
 
 # Video sets: file mark of their archives and the default sampling rate (fixed values).
@@ -158,15 +166,13 @@ def extract_dataset(
     ``start`` and ``num`` restrict the samples, rounded out to whole shards.
     """
     images, features = f"{root}/{dataset}/images", f"{root}/{dataset}/{extractor.column}"
-    listed = read_shards(spark, images, f"*-{split}.tar", payload=False).drop("data")
-    shards = listed.groupBy("shard").agg(F.count("*").alias("_n"))
-    ranked = number_rows(shards, order=["shard"], ordinal="_idx")
-    total = shards.agg(F.sum("_n")).scalar()
-    first, end = shard_range(start, num, total, samples_per_shard)
-    wanted = ranked.where((F.col("_idx") >= first) & (F.col("_idx") < end)).select("shard")
-    pending = small_table(resume_pending(wanted, shard_report(spark, features).where("ok"), ["shard"]), rows=100_000)
+    files = q.list_shard_files(spark, images, f"*-{split}.tar").select("shard", "path")
+    ranked = number_rows(files, order=["shard"], ordinal="_idx", size="_shards")
+    first, end = shard_range(start, num, F.col("_shards") * samples_per_shard, samples_per_shard)
+    wanted = ranked.where((F.col("_idx") >= first) & (F.col("_idx") < end)).select("shard", "path")
+    pending = resume_pending(wanted, shard_report(spark, features).where("ok"), ["shard"])
     # A shard's images are fetched, extracted and written in one task; only the listing is shuffled.
-    rows = fetch_members(arrange(listed.join(pending, "shard", "left_semi")), images, arranged=True)
+    rows = fetch_members(arrange(list_members(pending)), images, arranged=True)
     found = extractor.run(rows.select("shard", sample_key(F.col("member")).alias("key"), "data"))
     data = encode_features(F.col("embedding"), *extractor.output_shape, bf16=bf16)
     member = F.concat("key", F.lit(f".{extractor.column}.safetensors"))
@@ -201,18 +207,22 @@ def check_dataset(
 
     Images and features are paired by their position in the shard, as the keys are part of the check.
     """
-    pattern = f"*-{split}.tar"
     images = f"{root}/{dataset}/images"
 
-    def positions(path: str) -> DataFrame:
-        listed = read_shards(spark, path, pattern, payload=False).drop("data")
-        return number_rows(listed, ["shard"], ["member"], ordinal="pos")
+    def files(path: str) -> DataFrame:
+        return q.list_shard_files(spark, path, f"*-{split}.tar").select("shard", "path")
+
+    def positions(chosen: DataFrame) -> DataFrame:
+        return number_rows(list_members(chosen), ["shard"], ["member"], ordinal="pos")
 
-    sample = materialize(spot_check_sample(positions(images), "shard", "member", seed, shards, per_shard), "sample")
+    # Shards are chosen by name, so only the headers of those are read.
+    chosen = small_table(pick_shards(files(images), "shard", seed, shards))
+    sample = materialize(sample_per_shard(positions(chosen), "shard", "member", seed, per_shard), "sample")
     out = None
     for extractor in extractors:
         path = f"{root}/{dataset}/{extractor.column}"
-        stored = fetch_members(positions(path).join(sample.select("shard", "pos"), ["shard", "pos"], "left_semi"), path)
+        listed = positions(files(path).join(chosen.select("shard"), "shard", "left_semi"))
+        stored = fetch_members(listed.join(sample.select("shard", "pos"), ["shard", "pos"], "left_semi"), path)
         stored = stored.select(
             "shard",
             "pos",

@@ -252,6 +252,31 @@ def _tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def list_members(files: DataFrame) -> DataFrame:
+    """``(shard, member, offset, size)`` of the given shard files ``(shard, path)``, from their headers.
+
+    Like a listing by :func:`read_shards`, for shards that a query has chosen.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            for shard, path in zip(*(batch.column(names.index(c)).to_pylist() for c in ("shard", "path")), strict=True):
+                handles, local = _filesystem(path)
+                rows = []
+                with handles.open_input_file(local) as handle:
+                    for _, info in walk_members(handle):
+                        rows.append((shard, info.name, info.offset_data, info.size, None))
+                        if len(rows) >= BATCH_ROWS:
+                            yield _batch(rows).drop_columns(["data"])
+                            rows = []
+                if rows:
+                    yield _batch(rows).drop_columns(["data"])
+
+    spread = files.select("shard", "path").repartition(_tasks(files.sparkSession), "path")
+    return spread.mapInArrow(walk, "shard string, member string, offset bigint, size bigint")
+
+
 def arrange(members: DataFrame, shard: str = "shard", member: str = "member") -> DataFrame:
     """Bring the rows of each shard together, in member order, ready for ``write_shards(arranged=True)``.
 

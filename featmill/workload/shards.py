@@ -10,6 +10,7 @@ from featmill.operators import extract as ex
 from featmill.operators import mixing as x
 from featmill.operators import quality as q
 from featmill.operators.ordinals import batch_assign, number_rows, shard_assign, split_totals
+from featmill.plans.registry import MODEL_SIZES
 from featmill.session import scratch_path
 from featmill.sources.episodes import episode_frames, nest_episodes
 from featmill.sources.files import read_image_folder, read_splits, write_splits
@@ -336,15 +337,11 @@ FROM embeddings JOIN {MODEL_SQL} ON label % 6 = m.pos, range(2) c(u) WHERE u = 0
 )
 def stored_embeddings(spark, sf):
     """What each sample's model stores, with the resized copies."""
-    out = None
+    models = [m.replace("/", "_").lower() for m in MODEL_SIZES]
     e = embeddings_by_model(spark, sf).withColumn("model", F.lower(F.translate("model", "/", "_")))
-    models = [r["model"] for r in e.select("model").distinct().collect()]
-    for model in models:
-        for name, tensor in ex.stored_embeddings(F.col("embedding"), model, C, H, W).items():
-            part = e.where(F.col("model") == model).select("vec_id", F.lit(name).alias("name"), tensor.alias("tensor"))
-            out = part if out is None else out.unionAll(part)
+    rows = ex.stored_rows(e.select("vec_id", "model", "embedding"), models, C, H, W)
     total = F.aggregate("tensor", F.lit(0.0), lambda acc, v: acc + v.cast("double"))
-    return out.select("vec_id", "name", big(F.size("tensor")).alias("size"), (F.round(total, 4) + 0.0).alias("total"))
+    return rows.select("vec_id", "name", big(F.size("tensor")).alias("size"), (F.round(total, 4) + 0.0).alias("total"))
 
 
 @query(
