@@ -137,6 +137,12 @@ def test_mix_plan_drops_empty_splits_and_levels_validation(spark):
         assert [(r["dataset"], r["weight"], r["n"]) for r in val] == [("viola", 1.0, 2)]
 
 
+def test_mix_plan_refuses_unknown_datasets(spark):
+    splits = spark.createDataFrame([("toto", "train", 10)], "dataset string, split string, n bigint")
+    with pytest.raises(ValueError, match="bridge_dataset"):
+        c.mix_plan(c.mix_entries(spark, "rtx"), c.dataset_registry(spark), splits, "train")
+
+
 def test_worklist(spark):
     shards = spark.createDataFrame([("viola", 2), ("imagenet", 1), ("toto", 0)], "dataset string, n_shards bigint")
     work = c.extraction_worklist(c.dataset_registry(spark), c.target_models(spark), shards).collect()
