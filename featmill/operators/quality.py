@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from featmill.functions.naming import member_column, sample_key
 from featmill.functions.tensors import unroll
 from featmill.operators.ordinals import number_rows
-from featmill.sources.tarshards import _filesystem, count_members
+from featmill.sources.tarshards import _filesystem, count_members, shard_of
 
 
 def list_shard_files(spark: SparkSession, path: str, pattern: str = "*.tar") -> DataFrame:
@@ -22,7 +22,7 @@ def list_shard_files(spark: SparkSession, path: str, pattern: str = "*.tar") ->
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .load(path)
-        .select(F.substring_index("path", "/", -1).alias("shard"), "path", "length")
+        .select(shard_of(spark, path).alias("shard"), "path", "length")
     )
 
 

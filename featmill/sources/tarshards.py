@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from io import BytesIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
@@ -181,6 +181,16 @@ class ShardsWritten(WriterCommitMessage):
     members: int
 
 
+def publish(files, part: str, final: str) -> None:
+    """Give a finished file its name; another attempt's file of the same content may be there already."""
+    try:
+        files.move(part, final)
+    except OSError:
+        # Some file systems do not rename onto an existing file.
+        files.delete_file(final)
+        files.move(part, final)
+
+
 class TarShardWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -194,7 +204,7 @@ class TarShardWriter(DataSourceArrowWriter):
         def finish():
             tar.close()
             stream.close()
-            files.move(part, f"{base}/{name}")
+            publish(files, part, f"{base}/{name}")
 
         for batch in iterator:
             columns = [batch.column(batch.schema.get_field_index(c)) for c in ("shard", "member", "data")]
@@ -252,6 +262,11 @@ def _tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shard_of(spark: SparkSession, root: str) -> Column:
+    """Name of the shard in a file's ``path``: what follows the root folder."""
+    return F.replace(F.col("path"), F.lit(qualified(spark, root).rstrip("/") + "/"), F.lit(""))
+
+
 def list_members(files: DataFrame) -> DataFrame:
     """``(shard, member, offset, size)`` of the given shard files ``(shard, path)``, from their headers.
 

@@ -11,6 +11,10 @@ from pyspark.sql.types import StructType
 
 from featmill.operators.meters import METER, meter_avg
 from featmill.operators.stats import channel_stats
+from featmill.sources.tarshards import fetch_members, list_members, shard_of
+
+# Schema of Spark's binaryFile source.
+FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def stream_shards(
@@ -23,6 +27,22 @@ def stream_shards(
     return reader.parquet(path)
 
 
+def stream_archives(
+    spark: SparkSession, path: str, pattern: str = "*.tar", max_files: int | None = None
+) -> DataFrame:
+    """Tar shards arriving below ``path`` as a stream of members ``(shard, member, offset, size, data)``.
+
+    The stream carries file names only; archives are walked and members fetched by the tasks of a trigger.
+    Shards appear under their name when complete, so none is picked up half written.
+    """
+    reader = spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", pattern)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    files = reader.option("recursiveFileLookup", "true").load(path)
+    named = files.select(shard_of(spark, path).alias("shard"), "path")
+    return fetch_members(list_members(named), path, arranged=True)
+
+
 def stream_channel_stats(shards: DataFrame, tensor: str, c: int, n_tokens: int, by: Sequence[str] = ()) -> DataFrame:
     """Channel statistics kept up to date; state is one row per channel."""
     return channel_stats(shards, tensor, c, n_tokens, by)

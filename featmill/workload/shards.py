@@ -455,6 +455,22 @@ def stream_shards(spark, sf):
     return spark.read.parquet(out)
 
 
+@query(
+    "stream_archives",
+    f"""WITH {_MEMBERS_SQL} SELECT shard, member, octet_length(encode(data)) AS size, md5(data) AS digest FROM members""",
+)
+def stream_archives(spark, sf):
+    """Tar shards of documents that arrive in two goes; each member lands once."""
+    arrived, out, progress = (scratch_path(spark, n) for n in ("arrived", "landed", "progress"))
+    members = document_members(spark, sf)
+    early = F.col("shard") < "src2"
+    for part in (early, ~early):
+        write_shards(members.where(part), arrived)
+        stream = st.stream_archives(spark, arrived, max_files=500)
+        st.drain(stream.select("shard", "member", "size", F.md5("data").alias("digest")), out, progress)
+    return spark.read.parquet(out)
+
+
 @query(
     "stream_channel_stats",
     """WITH long AS (SELECT i // 16 AS channel, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) r(i))

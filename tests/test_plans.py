@@ -14,7 +14,7 @@ from featmill.session import scratch_root, small_table
 
 QUERIES = entry.queries()
 # Work of these happens while the query is built, in jobs of their own.
-EAGER = {"stream_shards", "stream_channel_stats", "stream_meters", "stream_extract"}
+EAGER = {"stream_shards", "stream_archives", "stream_channel_stats", "stream_meters", "stream_extract"}
 
 
 def executed(df):

@@ -70,6 +70,17 @@ def test_fetch_reads_the_members_asked_for(spark, path, rows):
     assert got.count() == 100 and got.exceptAll(rows).count() == 0
 
 
+def test_shards_in_subfolders(spark, rows, tmp_path):
+    path = str(tmp_path)
+    nested = rows.withColumn("shard", F.concat(F.lit("view/"), F.col("shard")))
+    ts.write_shards(nested, path)
+    files = q.list_shard_files(spark, path)
+    assert files.count() == 4 and files.where("shard like 'view/s-%'").count() == 4
+    got = ts.fetch_members(ts.list_members(files), path).select("shard", "member", "data")
+    assert got.count() == 1000 and got.exceptAll(nested).count() == 0
+    assert ts.read_shards(spark, path).select("shard", "member", "data").exceptAll(nested).count() == 0
+
+
 def test_complete_shards_are_left_alone(spark, rows, tmp_path):
     path = str(tmp_path)
     ts.write_shards(rows.where("shard < 's-002'"), path)
