@@ -17,12 +17,12 @@ def nest_episodes(
 
     An episode is held as segments of ``length`` consecutive steps, so a row stays small however long it is.
     """
-    narrow = number_rows(steps, [episode], order, ordinal="frame")
-    step = F.struct("frame", F.col(observation).alias("observation"))
+    narrow = number_rows(steps, [episode], order, ordinal="_frame")
+    step = F.struct(F.col("_frame").alias("frame"), F.col(observation).alias("observation"))
     # Maps have no order of their own; the frame decides.
     by_frame = lambda a, b: (a["frame"] - b["frame"]).cast("int")
     return (
-        narrow.withColumn("segment", F.expr(f"frame div {int(length)}"))
+        narrow.withColumn("segment", F.expr(f"_frame div {int(length)}"))
         .groupBy(episode, "segment")
         .agg(F.array_sort(F.collect_list(step), by_frame).alias("steps"))
     )
