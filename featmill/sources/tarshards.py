@@ -1,14 +1,16 @@
 """Tar shards as a Spark data source, ``spark.read/df.write.format("tarshards")``.
 
 Reading gives one row per archive member: ``shard`` (path below the root), ``member``, the ``offset`` and
-``size`` of its bytes in the archive, and the bytes as ``data``. A shard is split by byte range: every task walks the 512-byte member headers, which seeks over the payloads, and
-reads the payloads of the members that start inside its own range. One oversized shard therefore is read by
-many tasks, and no task ever holds a whole shard.
+``size`` of its bytes in the archive, and the bytes as ``data``. A shard is split by byte range: every task
+walks the 512-byte member headers, which seeks over the payloads, and reads the payloads of the members that
+start inside its own range. One oversized shard therefore is read by many tasks, and no task ever holds a
+whole shard.
 
 Options: ``path``; ``pattern``, shell-style on the file name, e.g. ``*-train.tar`` (default ``*.tar``);
 ``payload=false`` to list members without touching their bytes (``data`` is null; :func:`fetch_members` reads
-the bytes of chosen members afterwards); ``splitBytes``, the most one task reads (default 512 MiB); ``parallelism``, the least number of tasks
-to aim for. Small shards are packed together, each counted with the cost of opening it.
+the bytes of chosen members afterwards); ``splitBytes``, the most one task reads (default 512 MiB);
+``parallelism``, the least number of tasks to aim for. Small shards are packed together, each counted with
+the cost of opening it.
 
 Writing expects ``shard``, ``member`` and ``data`` with the rows of a shard next to each other in one task;
 :func:`write_shards` arranges that. Each shard is written under a name no reader lists and renamed when

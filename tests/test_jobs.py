@@ -192,8 +192,12 @@ def test_frame_batches(spark, tmp_path):
     root = str(tmp_path)
     write_column(df.drop("embedding"), root, "images")
     write_column(df.drop("image"), root, "m_x")
-    stats = spark.createDataFrame([("m_x", 0, 10.0, 2.0), ("m_x", 1, 0.0, 0.5)], "model string, channel int, mean double, std double")
-    batches = jobs.frame_batches(spark, root, {"a": 1.0, "b": 2.0}, {"M/x": (2, 1, 1)}, batch_size=16, stats=stats, shuffle_buffer=64)
+    stats = spark.createDataFrame(
+        [("m_x", 0, 10.0, 2.0), ("m_x", 1, 0.0, 0.5)], "model string, channel int, mean double, std double"
+    )
+    batches = jobs.frame_batches(
+        spark, root, {"a": 1.0, "b": 2.0}, {"M/x": (2, 1, 1)}, batch_size=16, stats=stats, shuffle_buffer=64
+    )
     rows = batches.collect()
     assert len(rows) == 300 and {r["key"] for r in rows} == {f"k{i:04d}" for i in range(300)}
     assert sorted((r["batch_idx"], r["batch_pos"]) for r in rows) == [(i // 16, i % 16) for i in range(300)]

@@ -43,7 +43,9 @@ def test_normalised_features_have_no_mean_and_unit_spread(spark):
 
 def test_statistics_of_one_model(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0, 6.0],)], "embedding array<double>")
-    known = spark.createDataFrame([("m", 1, 2.0, 0.1), ("m", 0, 1.0, 2.0)], "model string, channel int, mean double, std double")
+    known = spark.createDataFrame(
+        [("m", 1, 2.0, 0.1), ("m", 0, 1.0, 2.0)], "model string, channel int, mean double, std double"
+    )
     row = stats.normalize_model(df, known, "m", 2, 2).first()
     assert row["embedding"] == [0.0, 0.0, 1.0, 4.0 / 0.1]
     assert stats.normalize_model(df, known, "other", 2, 2).first()["embedding"] == [1.0, 2.0, 3.0, 6.0]
