@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from featmill.functions import tensors as t
 from featmill.operators import ordinals, stats
 from featmill.session import scratch_root, small_table
 
-QUERIES = entry.queries()
-# Work of these happens while the query is built, in jobs of their own.
-EAGER = {"stream_shards", "stream_archives", "stream_channel_stats", "stream_meters", "stream_extract"}
-
 
 def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
-def test_no_cross_join_and_no_gathering_window(name, spark, sf):
-    plan = executed(QUERIES[name](spark, sf))
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    for window in re.findall(r"Exchange SinglePartition.*?\n((?:.*\n){3})", plan):
-        # Only totals, and offsets of whole range partitions, may meet in one task.
-        assert "HashAggregate" in window or "_p_rows" in window or "_rows" in window or "_part" in window, window
-
-
 def test_statistics_read_one_column_and_reduce_before_the_shuffle(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     plan = executed(stats.channel_stats(df, "embedding", 4, 16))
