@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from featmill.functions.naming import member_column, sample_key
 from featmill.functions.tensors import unroll
 from featmill.operators.ordinals import number_rows
-from featmill.sources.tarshards import _filesystem, count_members, shard_of
+from featmill.sources.tarshards import _filesystem, count_members, payload_tasks, shard_of
 
 
 def list_shard_files(spark: SparkSession, path: str, pattern: str = "*.tar") -> DataFrame:
@@ -50,7 +50,7 @@ def shard_integrity(files: DataFrame, planned: DataFrame | None = None) -> DataF
 
     checked = (
         files.select("shard", "path")
-        .repartition(F.col("path"))
+        .repartition(payload_tasks(files.sparkSession), "path")
         .mapInPandas(check, "shard string, ok boolean, n bigint, error string")
     )
     if planned is None:

@@ -25,7 +25,7 @@ from featmill.functions.naming import (
 from featmill.operators import extract as ex
 from featmill.operators import quality as q
 from featmill.operators.columns import merge_columns, resume_pending
-from featmill.operators.mixing import buffer_shuffle, mix_all_exhausted, pick_shards, sample_per_shard
+from featmill.operators.mixing import buffer_shuffle, epoch_limit, mix_all_exhausted, pick_shards, sample_per_shard
 from featmill.operators.ordinals import number_rows, shard_assign, split_assign, split_totals, subsample_global
 from featmill.operators.stats import channel_stats, normalize_model
 from featmill.plans.catalog import mix_concat, mix_entries, mix_weights
@@ -259,15 +259,20 @@ def batch_columns(
     batch_size: int = 16,
     seed: int = 0,
     shuffle_buffer: int | None = None,
+    expected: DataFrame | None = None,
+    world: int = 1,
 ) -> DataFrame:
     """Mix, align and batch the columns of samples: ``(dataset, key, batch_idx, batch_pos, image, <features>)``.
 
     ``images`` is ``(dataset, shard_idx, key, image)``, each feature ``(dataset, key, embedding)``, ``weights``
     ``(dataset, weight)``. Mixing, shuffling and batching work on keys; the payloads are joined by key
     afterwards, so they stay aligned by construction. Columns bucketed by (dataset, key) do not move for it.
+    With an ``expected`` length the mix ends after one epoch on ``world`` ranks.
     """
     keys = images.select("dataset", "shard_idx", "key")
     mixed = mix_all_exhausted(keys, weights, "dataset", ["shard_idx", "key"], "key", seed)
+    if expected is not None:
+        mixed = epoch_limit(mixed, expected, batch_size, world)
     if shuffle_buffer:
         tagged = mixed.withColumn("_id", F.concat_ws("/", "dataset", "key"))
         mixed = buffer_shuffle(tagged, ["mix_rank"], "_id", seed, shuffle_buffer).drop("_id", "mix_rank")
@@ -293,11 +298,13 @@ def frame_batches(
     seed: int = 0,
     shuffle_buffer: int | None = None,
     stats: DataFrame | None = None,
+    world: int | None = None,
 ) -> DataFrame:
     """:func:`batch_columns` of a column store, weighted by a mix and the datasets' lengths.
 
     Features are normalised where ``stats`` are given. Every dataset of the mix contributes; in validation
-    all count alike.
+    all count alike. With ``world`` ranks given, the result is one epoch: as many samples as the weighted
+    lengths, times ``ratio``, come to in whole steps, and at most all; otherwise it is one pass over all.
     """
     stored = "val" if split == "eval" else split
     images = read_column(spark, root, "images", split=stored)
@@ -305,10 +312,12 @@ def frame_batches(
     lengths = images.groupBy("dataset").agg(F.count("*").alias("n")).join(entries, "dataset")
     if stored == "val":
         lengths = lengths.withColumn("weight", F.lit(1.0))
-    weights = mix_weights(materialize(lengths, "lengths"), ratio).select("dataset", "weight")
+    weights = materialize(mix_weights(materialize(lengths, "lengths"), ratio), "weights")
     features = {}
     for model, (c, h, w) in models.items():
         name = model.replace("/", "_").lower()
         feature = read_column(spark, root, name, split=stored)
         features[name] = feature if stats is None else normalize_model(feature, stats, name, c, h * w)
-    return batch_columns(images, features, weights, batch_size, seed, shuffle_buffer)
+    expected = None if world is None else weights.agg(F.max("expected").alias("expected"))
+    weights = weights.select("dataset", "weight")
+    return batch_columns(images, features, weights, batch_size, seed, shuffle_buffer, expected, world or 1)

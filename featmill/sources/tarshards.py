@@ -256,7 +256,7 @@ def read_shards(spark: SparkSession, path: str, pattern: str = "*.tar", payload:
     )
 
 
-def _tasks(spark: SparkSession) -> int:
+def payload_tasks(spark: SparkSession) -> int:
     """Tasks for work whose rows are small but whose payloads are not.
 
     An explicit number, as adaptive execution would merge the partitions of a listing into a single one.
@@ -290,7 +290,7 @@ def list_members(files: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows).drop_columns(["data"])
 
-    spread = files.select("shard", "path").repartition(_tasks(files.sparkSession), "path")
+    spread = files.select("shard", "path").repartition(payload_tasks(files.sparkSession), "path")
     return spread.mapInArrow(walk, "shard string, member string, offset bigint, size bigint")
 
 
@@ -299,7 +299,7 @@ def arrange(members: DataFrame, shard: str = "shard", member: str = "member") ->
 
     Done on a listing before the payloads are fetched, it saves shuffling them.
     """
-    return members.repartition(_tasks(members.sparkSession), shard).sortWithinPartitions(shard, member)
+    return members.repartition(payload_tasks(members.sparkSession), shard).sortWithinPartitions(shard, member)
 
 
 def fetch_members(members: DataFrame, path: str, shard: str = "shard", arranged: bool = False) -> DataFrame:
@@ -336,7 +336,7 @@ def fetch_members(members: DataFrame, path: str, shard: str = "shard", arranged:
             handle.close()
 
     if not arranged:
-        listed = listed.repartitionByRange(_tasks(members.sparkSession), shard, "offset")
+        listed = listed.repartitionByRange(payload_tasks(members.sparkSession), shard, "offset")
         listed = listed.sortWithinPartitions(shard, "offset")
     return listed.mapInArrow(fetch, schema)
 

@@ -11,7 +11,7 @@ from featmill.operators import meters as m
 from featmill.operators import panels as p
 from featmill.operators import quality as q
 from featmill.operators import stats as s
-from featmill.session import scratch_path
+from featmill.session import materialize, scratch_path
 from featmill.sources.files import read_stats, write_stats
 from featmill.workload.base import (
     DOC_SAMPLES_SQL,
@@ -171,7 +171,7 @@ FROM (SELECT *, (CASE model {_WEIGHTS_SQL} END)::DOUBLE AS w FROM per_model))
 SELECT model, round(mse, 6) + 0.0 AS mse, round(cos, 6) + 0.0 AS cos, round(l1, 6) + 0.0 AS l1 FROM results""",
 )
 def distill_losses(spark, sf):
-    per_model = loss.model_losses(_samples(spark, sf))
+    per_model = materialize(loss.model_losses(_samples(spark, sf)), "losses")
     out = per_model
     for name, weights in (("all", None), ("weighted", _WEIGHTS)):
         out = out.unionByName(loss.distill_losses(per_model, weights).withColumn("model", F.lit(name)))
@@ -398,7 +398,7 @@ def feature_diff(spark, sf):
         "embedding",
         F.transform("embedding", lambda v, i: F.when(damaged & (i == 0), v + 0.5).otherwise(v)),
     )
-    diff = q.feature_diff(e, again, ["vec_id"], ["model", "shard"])
+    diff = materialize(q.feature_diff(e, again, ["vec_id"], ["model", "shard"]), "differences")
     failing = q.failing_models(diff).withColumn("_failed", F.lit(True))
     return diff.join(failing, "model", "left").select(
         "model",

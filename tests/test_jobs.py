@@ -201,6 +201,9 @@ def test_frame_batches(spark, tmp_path):
     rows = batches.collect()
     assert len(rows) == 300 and {r["key"] for r in rows} == {f"k{i:04d}" for i in range(300)}
     assert sorted((r["batch_idx"], r["batch_pos"]) for r in rows) == [(i // 16, i % 16) for i in range(300)]
+    epoch = jobs.frame_batches(spark, root, {"a": 1.0, "b": 2.0}, {}, ratio=0.1, batch_size=8, world=2).collect()
+    # 20 + 2 * 10 samples, in steps of 16.
+    assert len(epoch) == 48 and max(r["batch_idx"] for r in epoch) == 5
     for r in rows:
         assert r["key"] == f"k{r['image']:04d}"
         assert r["m_x"] == pytest.approx([(r["image"] - 10.0) / 2.0, (r["image"] + 1) / 0.5])
