@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from featmill.functions import tensors as t
 from featmill.operators import ordinals, stats
+from featmill.operators import quality as q
 from featmill.session import scratch_root, small_table
+from featmill.sources import tarshards as ts
 
 
 def executed(df):
@@ -35,6 +37,26 @@ def test_split_filters_reach_the_scan(spark, sf):
     assert "ReadSchema: struct<doc_id:bigint>" in plan
 
 
+def test_work_on_files_is_dealt_out_explicitly(spark, tmp_path):
+    """Rows that name files are tiny; adaptive execution would put them all in one task."""
+    files = spark.createDataFrame([("s", "file:/x")], "shard string, path string")
+    members = spark.createDataFrame([], "shard string, member string, offset bigint, size bigint")
+    for df in (
+        q.shard_integrity(files),
+        ts.list_members(files),
+        ts.fetch_members(members, str(tmp_path)),
+        ts.fetch_members(ts.arrange(members), str(tmp_path), arranged=True),
+    ):
+        plan = executed(df)
+        assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("Exchange") == 1
+
+
+def test_arranged_rows_are_not_joined_again(spark):
+    rows = spark.createDataFrame([("s", "m", bytearray(b"x"))], "shard string, member string, data binary")
+    with pytest.raises(ValueError):
+        ts.write_shards(rows, "/nowhere", existing=rows.withColumn("ok", F.lit(True)), arranged=True)
+
+
 def test_small_table_checks_its_bound(spark):
     df = spark.range(100)
     assert "LocalTableScan" in executed(small_table(df, rows=100))
