@@ -63,3 +63,59 @@ def op7_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return plan.select(
         "doc_id", "size", "source_size", "target", (F.col("taken_copies") * F.col("size")).alias("taken")
     )
+
+
+@query("op2_fingerprints")
+def op2_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of texts and of their edited forms, and how alike they are."""
+    from featmill.llm.fingerprints import fingerprint_text, likeness, next_documents, replace_end
+
+    rows = next_documents(documents(spark, sf), replace_end)
+    return rows.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint_text("fp").alias("fingerprint"), fingerprint_text("edited_fp").alias("edited_fingerprint"),
+        likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"),
+    )
+
+
+LICENSE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+t AS (SELECT n, label, is_base, words, len(words) - 2 AS runs FROM (VALUES {templates}) v(n, label, is_base, words)),
+tp AS (SELECT n, label, is_base, runs, i AS t, array_to_string(words[i + 1:i + 3], ' ') AS gram
+  FROM t, unnest(range(runs)) u(i)),
+g AS (SELECT doc_id, i AS p, array_to_string(w[i + 1:i + 3], ' ') AS gram
+  FROM d, unnest(range(greatest(len(w) - 2, 0))) u(i)),
+h AS (SELECT doc_id, n, label, is_base, runs, p - t AS diagonal, count(*) AS votes, min(t) AS lo, max(t) AS hi
+  FROM g JOIN tp USING (gram) GROUP BY ALL),
+m AS (SELECT *, CASE WHEN is_base OR coalesce(diagonal - lag(diagonal) OVER x > 4, true) THEN 1 ELSE 0 END AS fresh
+  FROM h WINDOW x AS (PARTITION BY doc_id, n ORDER BY diagonal)),
+c AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, n ORDER BY diagonal) AS cluster FROM m),
+s AS (SELECT doc_id, n, label, is_base, runs, min(diagonal + lo) AS a, max(diagonal + hi + 2) AS z, sum(votes) AS found
+  FROM c GROUP BY doc_id, n, label, is_base, runs, cluster),
+k AS (SELECT doc_id, label, is_base, a, least(1.0::DOUBLE, found::DOUBLE / runs) AS cover FROM s
+  WHERE CASE WHEN is_base THEN found = runs
+        ELSE least(1.0::DOUBLE, found::DOUBLE / runs) >= 0.6::DOUBLE AND z - a + 1 <= (runs + 2) * 1.5 END)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, count(k.doc_id) FILTER (is_base)::BIGINT AS n_base,
+  (min(a) FILTER (is_base))::BIGINT AS first_word, (max(a) FILTER (is_base))::BIGINT AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels,
+  coalesce(max(cover), 0.0::DOUBLE) AS score
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id, w
+"""
+
+
+def _license_sql() -> str:
+    from featmill.llm.licenses import BASE, NOTICES
+
+    rows = [(True, *x) for x in BASE] + [(False, *x) for x in NOTICES]
+    values = ", ".join(f"({n}, '{label}', {str(b).lower()}, {words.split()})" for n, (b, label, words) in enumerate(rows))
+    return LICENSE_SQL.replace("{templates}", values)
+
+
+@query("op4_license_scan", _license_sql())
+def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """License phrases and notices in each document."""
+    from featmill.llm.licenses import license_summary, scan_licenses
+
+    return license_summary(scan_licenses(documents(spark, sf)))
