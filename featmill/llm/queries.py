@@ -119,3 +119,61 @@ def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     from featmill.llm.licenses import license_summary, scan_licenses
 
     return license_summary(scan_licenses(documents(spark, sf)))
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of each document, learned from two thirds of them."""
+    from featmill.llm.language import held_out, learn_profiles, predict_language
+
+    docs = documents(spark, sf).withColumn("held_out", held_out("doc_id", 3, 1))
+    profiles = learn_profiles(docs.where(~F.col("held_out")))
+    return predict_language(docs, profiles, ["doc_id", "held_out"])
+
+
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of each document, learned from four fifths of the labelled ones."""
+    from featmill.llm import quality
+    from featmill.llm.language import held_out
+
+    docs = documents(spark, sf).withColumn("held_out", held_out("doc_id", 5, 0))
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    weights = quality.train(docs.where(~F.col("held_out")), labels.where(~held_out("doc_id", 5, 0)), "quality")
+    scored = quality.score(docs, weights, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+TOP_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op3_top_inner_products", TOP_SQL)
+def op3_top_inner_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten best inner products of every hundredth vector with all others."""
+    from featmill.llm.vectors import floor_components, top_inner_products
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = rows.select(F.col("vec_id").alias("id"), floor_components("embedding").alias("v"))
+    return top_inner_products(rows, F.col("id") % 100 == 0)
+
+
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_bpe")
+def op5_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of each document and what they decode to."""
+    from featmill.llm.bpe import token_digests, tokenize
+
+    return token_digests(tokenize(documents(spark, sf), word_vocabulary(), ["doc_id"]), ["doc_id"])
