@@ -34,10 +34,28 @@ _END = "</w>"
 # White space of Unicode (fixed values).
 _SPACE = "\t-\r \x85\xa0  -     　"
 
-
-def _class(first: str) -> str:
+# Letters, numbers and capitals that came with Unicode 16 and 17, which the tokenizers library knows and Python's
+# tables may not (fixed values).
+LATER_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+LATER_NUMBERS = (
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
+    (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA),
+)
+LATER_LOWER = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB,
+    0xA7DC: 0x19B, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+_LOWER = LATER_LOWER | {ord("Σ"): "σ"}
+
+
+def _class(first: str, later: tuple) -> str:
     """The code points whose general category starts with ``first``, as ranges of a character class."""
-    ranges, start = [], None
+    ranges, start = [f"\\U{a:08x}-\\U{b:08x}" for a, b in later], None
     for c in range(0x110001):
         inside = c < 0x110000 and unicodedata.category(chr(c))[0] == first
         if inside and start is None:
@@ -73,7 +91,7 @@ class Tokenizer:
         letters = _byte_letters()
         self.inner = [vocabulary[x] for x in letters]
         self.last = [vocabulary[x + _END] for x in letters]
-        letter, number = _class("L"), _class("N")
+        letter, number = _class("L", LATER_LETTERS), _class("N", LATER_NUMBERS)
         self.pattern = f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{_SPACE}{letter}{number}]+"
         self.split = "(" + "|".join(re.escape(t) for t in self.special) + ")"
 
@@ -130,7 +148,7 @@ class Tokenizer:
 def _plain(text: str) -> str:
     """Canonical composition and lower case, letter by letter."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = unicodedata.normalize("NFC", text).translate(_LOWER)
     return text.lower()
 
 
