@@ -177,3 +177,23 @@ def op5_bpe(spark: SparkSession, sf: str) -> DataFrame:
     from featmill.llm.bpe import token_digests, tokenize
 
     return token_digests(tokenize(documents(spark, sf), word_vocabulary(), ["doc_id"]), ["doc_id"])
+
+
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of each document without passages of smaller ids."""
+    from featmill.llm.repeats import remove_repeats
+
+    found = remove_repeats(documents(spark, sf))
+    lost = F.aggregate("removed", F.lit(0).cast("bigint"), lambda acc, x: acc + x["end"] - x["start"])
+    return found.select(
+        "doc_id", "n_words", lost.alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+@query("op9_near_dedup")
+def op9_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    from featmill.llm.neardup import near_components
+
+    return near_components(documents(spark, sf))
