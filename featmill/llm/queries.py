@@ -197,3 +197,11 @@ def op9_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from featmill.llm.neardup import near_components
 
     return near_components(documents(spark, sf))
+
+
+@query("op6_personal_data")
+def op6_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in each document."""
+    from featmill.llm.pii import find_personal_data, personal_data_summary
+
+    return personal_data_summary(find_personal_data(documents(spark, sf)))
