@@ -31,10 +31,8 @@ LEAST_LIKE, SIMILARITY = 0.1, 80
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language; a null or letterless text is in none."""
     profiles = language.learn_profiles(docs)
-    judged = language.predict_language(docs, profiles, docs.columns)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LIKE)).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    judged = language.predict_language(docs, profiles, docs.columns, names=("_lang_pred", "_like"))
+    return judged.where((F.col("_lang_pred") != "und") & (F.col("_like") >= LEAST_LIKE)).drop("_lang_pred", "_like")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words in the lexicon, their most bytes; words a task counts or remembers at a time; documents handled at a time.
 WORDS, LONGEST, HELD, ROWS = 1 << 16, 48, 300_000, 256
@@ -313,8 +314,8 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, lexicon: bytes, keep: list[str
                 )
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kinds}, ids array<int>, decoded string")
+    ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], ids, T.StructField("decoded", T.StringType())]))
 
 
 def decode_ids(ids, tokens: list[str]) -> str:

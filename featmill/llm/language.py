@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows of a profile; letters counted at a time; distinct n-grams a task holds before it hands them on.
 PROFILE, CHUNK, HELD = 300, 1 << 20, 1 << 19
@@ -103,27 +104,33 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray
     return {lang: group["gram"].to_numpy(np.int64) for lang, group in found.groupby("lang")}
 
 
-def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str], size: int = PROFILE) -> DataFrame:
-    """The columns ``keep`` with ``lang_pred`` and ``score`` for each row of ``docs(text)``.
+def predict_language(
+    docs: DataFrame,
+    profiles: dict[str, np.ndarray],
+    keep: list[str],
+    size: int = PROFILE,
+    names: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """The columns ``keep`` with the predicted language and its score, under ``names``, for each row of ``docs(text)``.
 
     The score is 1 minus the distance to the nearest profile over the largest possible distance. A text that is null
     or has no letter, and any text where there are no profiles, is ``und`` with score 0. Equal distances go to the
     smaller name.
     """
-    names = sorted(profiles)
+    langs = sorted(profiles)
     tables = []
-    for name in names:
+    for name in langs:
         order = np.argsort(profiles[name], kind="stable")
         tables.append((profiles[name][order], order.astype(np.int64)))
 
     def nearest(text: str | None, letters: np.ndarray) -> tuple[str, float]:
         codes, counts = ngram_counts(text, letters)
-        if not len(codes) or not names:
+        if not len(codes) or not langs:
             return "und", 0.0
         own = _ranked(codes, counts, size)
         ranks = np.arange(len(own))
         best = None
-        for name, (grams, places) in zip(names, tables, strict=True):
+        for name, (grams, places) in zip(langs, tables, strict=True):
             at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
             away = np.where(grams[at] == own, np.abs(places[at] - ranks), size).sum()
             if best is None or away < best[0]:
@@ -135,13 +142,13 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], keep: lis
         for batch in batches:
             found = [nearest(t, letters) for t in batch["_text"]]
             out = batch[keep].copy()
-            out["lang_pred"] = [f[0] for f in found]
-            out["score"] = np.array([f[1] for f in found], float)
+            out[names[0]] = [f[0] for f in found]
+            out[names[1]] = np.array([f[1] for f in found], float)
             yield out
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInPandas(predict, f"{kinds}, lang_pred string, score double")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return rows.mapInPandas(predict, schema)
 
 
 def held_out(doc_id: Column | str, parts: int, part: int) -> Column:

@@ -114,7 +114,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     Documents without words are in no mix. Equal rows, whatever their columns, are one document repeated.
     """
-    key = F.xxhash64(*[F.col(f"`{c}`").cast("string") if c == "text" else F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns])
+    key = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), key.alias("_key"),
                         "source", "doc_id", F.size(blank_words(text_of("text"))).cast("bigint").alias("size"))
     plan = mix_plan(whole.select("doc_id", "source", "size", "_key"), **options)

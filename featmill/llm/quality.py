@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featmill.llm.common import text_of
 
@@ -107,5 +108,4 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*keep, "score"])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], token_hashes().alias("_h"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(dots, f"{kinds}, score double")
+    return rows.mapInArrow(dots, T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
