@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featmill.llm.common import text_of
+from featmill.llm.common import materialize, text_of
 
 SLOTS = 1 << 18
-# Labelled rows to learn from (those whose ids hash lowest), the shards they are dealt to and the passes over them.
-SAMPLE, SHARDS, PASSES = 24_000, 8, 4
+# Labelled rows to learn from (those whose ids hash lowest), the fewest in a shard, the most shards, passes over them.
+SAMPLE, SHARD, SHARDS, PASSES = 24_000, 1_500, 8, 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.005, 0.0
 TOKENS = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -76,8 +76,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE)
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_y"))
     chosen = known.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(sample)
+    chosen = materialize(chosen, "labelled")
+    shards = max(1, min(SHARDS, chosen.count() // SHARD))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        "_h", F.pmod("_h", F.lit(SHARDS)).alias("_shard"), F.col("_y").cast("double").alias("y"), token_hashes().alias("h")
+        "_h", F.pmod("_h", F.lit(shards)).alias("_shard"), F.col("_y").cast("double").alias("y"), token_hashes().alias("h")
     )
 
     def lead(group: pd.DataFrame) -> pd.DataFrame:
