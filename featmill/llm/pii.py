@@ -292,8 +292,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     found = find_personal_data(docs).where(F.size("spans") > 0).select(
         F.col("doc_id").alias("_id"), "_hash", F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["place"])).alias("_spans")
     )
-    rows = docs.withColumn("_text_hash", F.xxhash64(text_of("text")))
-    met = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    match = F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(F.col("_doc.text"))) == F.col("_hash"))
+    met = whole.join(found, match, "left").select("_doc", "_spans", F.col("_doc.text").alias("text"))
     before = F.concat(
         F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"), F.lit(0).alias("place"))),
         F.slice("_spans", 1, F.size("_spans") - 1),
@@ -310,14 +311,15 @@ def redacted(docs: DataFrame) -> DataFrame:
     pieces = F.zip_with("_spans", before, piece)
     rest = F.substring("text", (F.element_at("_spans", -1)["end"] + 1).cast("int"), F.length("text"))
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), rest))
-    new = met.withColumn("_new", text)
-    wanted = [
-        F.col("_new").alias("text") if c == "text"
-        else F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars"
-        else F.col(f"`{c}`")
-        for c in docs.columns
-    ]
-    return new.select(*wanted)
+    new = met.select("_doc", "_spans", text.alias("_new"))
+    length = F.when(F.col("_spans").isNull(), F.col("_doc.n_chars")).otherwise(F.length("_new")) if "n_chars" in docs.columns else None
+    changed = {"text": F.col("_new"), "n_chars": length}
+    return new.select(
+        *[
+            (changed[f.name].cast(f.dataType) if f.name in changed else F.col(f"_doc.`{f.name}`")).alias(f.name)
+            for f in docs.schema
+        ]
+    )
 
 
 def _running_ends(spans: str) -> Column:
