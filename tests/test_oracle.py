@@ -8,8 +8,9 @@ import pytest
 from check import connect, rows_of
 
 import __spark_entry__ as entry
+from featmill import workload
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = workload.QUERIES, workload.SQL
 TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
