@@ -82,7 +82,7 @@ def find_repeats(docs: DataFrame, width: int, buckets: list[int], homes: list[in
             ids, one, two = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             bucket = (two % np.uint64(len(buckets))).astype(np.int64)
-            rows = []
+            rows, away = [], []
             order = np.argsort(bucket, kind="stable")
             ids, one, bucket = ids[order], one[order], bucket[order]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -90,8 +90,9 @@ def find_repeats(docs: DataFrame, width: int, buckets: list[int], homes: list[in
                 first_ids, first, later_ids, later = _later(ids[a:b], one[a:b])
                 by_id = np.argsort(first_ids, kind="stable")
                 rows.append((0, buckets[bucket[a]], _packed(first_ids[by_id], first[by_id])))
-                rows += [(1, home, blob) for home, blob in by_home(later_ids, later)]
-            return table(rows)
+                away.append((later_ids, later))
+            later_ids, later = (np.concatenate(x) for x in zip(*away, strict=True))
+            return table(rows + [(1, home, blob) for home, blob in by_home(later_ids, later)])
 
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(), batch.column(1)
