@@ -8,7 +8,7 @@ costs no more than the scan, where index arithmetic per element costs six times
 A lambda evaluates whatever it refers to once per element. Tensors therefore enter lambdas through
 :func:`bind`, which evaluates them once per row, however the optimizer has inlined them.
 
-A null tensor stays null; a tensor of another size fails on the element access instead of being misread.
+A null tensor stays null; a tensor of another size ends the job (:func:`sized`) instead of being misread.
 """
 
 from __future__ import annotations
@@ -53,10 +53,20 @@ def double_array(values: Sequence[float]) -> Column:
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
-def gather(tensor: Column | str, index: np.ndarray) -> Column:
-    """``out[k] = tensor[index[k]]`` for a static ``index``."""
+def sized(value: Column | str, size: int, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` of a tensor with ``size`` elements; one of another size ends the job, a null one stays null."""
+
+    def checked(t: Column) -> Column:
+        said = F.concat(F.lit(f"a tensor of {size} elements was expected, not of "), F.size(t).cast("string"))
+        return F.when(F.size(t) == size, body(t)).otherwise(F.raise_error(said))
+
+    return bind(value, checked)
+
+
+def gather(tensor: Column | str, index: np.ndarray, size: int) -> Column:
+    """``out[k] = tensor[index[k]]`` for a static ``index`` into a tensor of ``size`` elements."""
     positions = int_array(index)
-    return bind(tensor, lambda t: F.transform(positions, lambda i: t[i]))
+    return sized(tensor, size, lambda t: F.transform(positions, lambda i: t[i]))
 
 
 def unroll(df: DataFrame, keys: Sequence, tensor: Column | str, pos: str = "pos", value: str = "value") -> DataFrame:
@@ -79,7 +89,7 @@ def grid(*shape: int) -> np.ndarray:
 
 def chw_to_tokens(tensor, c: int, h: int, w: int) -> Column:
     """``[c, h, w]`` to ``[h*w, c]``."""
-    return gather(tensor, grid(c, h * w).T)
+    return gather(tensor, grid(c, h * w).T, c * h * w)
 
 
 def tokens_to_chw(tokens, c: int, n_tokens: int) -> Column:
@@ -87,12 +97,12 @@ def tokens_to_chw(tokens, c: int, n_tokens: int) -> Column:
     side = math.isqrt(n_tokens)
     if side * side != n_tokens:
         raise ValueError(f"{n_tokens} tokens do not form a square grid")
-    return gather(tokens, grid(n_tokens, c).T)
+    return gather(tokens, grid(n_tokens, c).T, n_tokens * c)
 
 
 def history_permute(obs, t: int, h: int, w: int, c: int) -> Column:
     """``[t, h, w, c]`` to ``[c*t, h, w]`` with the channel varying slowest."""
-    return gather(obs, grid(t, h, w, c).transpose(3, 0, 1, 2))
+    return gather(obs, grid(t, h, w, c).transpose(3, 0, 1, 2), t * h * w * c)
 
 
 def _nearest(n_in: int, n_out: int) -> np.ndarray:
@@ -102,7 +112,7 @@ def _nearest(n_in: int, n_out: int) -> np.ndarray:
 def resize_nearest(tensor, c: int, h: int, w: int, out_h: int, out_w: int) -> Column:
     """Nearest-neighbour spatial resize; source row and column are ``floor(dst * in / out)``."""
     rows, cols = _nearest(h, out_h), _nearest(w, out_w)
-    return gather(tensor, grid(c, h, w)[:, rows][:, :, cols])
+    return gather(tensor, grid(c, h, w)[:, rows][:, :, cols], c * h * w)
 
 
 def block_upscale(image, h: int, w: int, channels: int, out: int = 224) -> Column:
@@ -110,17 +120,17 @@ def block_upscale(image, h: int, w: int, channels: int, out: int = 224) -> Colum
     factor = out // h
     index = np.full((out, out, channels), -1)
     index[: factor * h, : factor * w] = grid(h, w, channels).repeat(factor, 0).repeat(factor, 1)
+    size = h * w * channels
     if (index >= 0).all():
-        return gather(image, index)
-    image = _col(image)
-    padded = F.concat(image, F.array(F.lit(0.0).cast("float")))
-    return gather(padded, np.where(index < 0, h * w * channels, index))
+        return gather(image, index, size)
+    padded = F.concat(_col(image), F.array(F.lit(0.0).cast("float")))
+    return gather(padded, np.where(index < 0, size, index), size + 1)
 
 
 def center_crop(tensor, c: int, h: int, w: int, k: int) -> Column:
     """The ``k`` by ``k`` window in the middle of ``[c, h, w]``."""
     top, left = round((h - k) / 2), round((w - k) / 2)
-    return gather(tensor, grid(c, h, w)[:, top : top + k, left : left + k])
+    return gather(tensor, grid(c, h, w)[:, top : top + k, left : left + k], c * h * w)
 
 
 # ---- pixels -----------------------------------------------------------------------------------------
@@ -128,12 +138,12 @@ def center_crop(tensor, c: int, h: int, w: int, k: int) -> Column:
 
 def gray_to_rgb(px, n_pixels: int) -> Column:
     """``[n]`` to ``[n, 3]``."""
-    return gather(px, grid(n_pixels).repeat(3))
+    return gather(px, grid(n_pixels).repeat(3), n_pixels)
 
 
 def drop_alpha(px, n_pixels: int) -> Column:
     """``[n, 4]`` to ``[n, 3]``."""
-    return gather(px, grid(n_pixels, 4)[:, :3])
+    return gather(px, grid(n_pixels, 4)[:, :3], 4 * n_pixels)
 
 
 def image_normalize(px, n_pixels: int, mean=IMAGENET_MEAN, std=IMAGENET_STD, scale: float = 255.0) -> Column:
@@ -161,24 +171,39 @@ def _channels(n_tokens: int, c: int, tokens_first: bool) -> Column:
 def feature_normalize(x, mean, std, c: int, n_tokens: int, tokens_first: bool = True) -> Column:
     """``(x - mean) / std`` per channel; unchanged when either array is null.
 
-    ``mean`` and ``std`` are length-``c`` arrays: literals, or columns of the row.
+    ``mean`` and ``std`` are length-``c`` arrays: literals, or columns of the row. A spread of 0 counts as 1, so a
+    channel that is the same everywhere becomes 0. A tensor or array of another length ends the job.
     """
-    x, mean, std = _col(x), _col(mean), _col(std)
+    mean, std = _col(mean), _col(std)
     channels = _channels(n_tokens, c, tokens_first)
-    scaled = F.zip_with(x, channels, lambda v, k: (v.cast("double") - mean[k]) / std[k])
-    return F.when(mean.isNull() | std.isNull(), F.transform(x, lambda v: v.cast("double"))).otherwise(scaled)
+
+    def scale(v: Column, k: Column) -> Column:
+        return (v.cast("double") - mean[k]) / F.when(std[k] == 0, 1.0).otherwise(std[k])
+
+    def apply(t: Column) -> Column:
+        plain = F.transform(t, lambda v: v.cast("double"))
+        return F.when(mean.isNull() | std.isNull(), plain).otherwise(_same_length(F.zip_with(t, channels, scale), c, mean, std))
+
+    return sized(x, c * n_tokens, apply)
+
+
+def _same_length(value: Column, c: int, *arrays: Column) -> Column:
+    """``value``, unless one of the arrays has not ``c`` elements, which ends the job; null arrays are left alone."""
+    other = F.lit(False)
+    for a in arrays:
+        other = other | F.coalesce(F.size(a) != c, F.lit(False))
+    return F.when(other, F.raise_error(F.lit(f"statistics of {c} channels were expected"))).otherwise(value)
 
 
 def feature_denormalize(x, mean, std, c: int, n_tokens: int, tokens_first: bool = True) -> Column:
-    """``x * std + mean`` per channel; a null array leaves its step out."""
-    x, mean, std = _col(x), _col(mean), _col(std)
+    """``x * std + mean`` per channel; a null array leaves its step out. Other lengths end the job."""
+    mean, std = _col(mean), _col(std)
     channels = _channels(n_tokens, c, tokens_first)
-    return (
-        F.when(mean.isNull() & std.isNull(), F.transform(x, lambda v: v.cast("double")))
-        .when(mean.isNull(), F.zip_with(x, channels, lambda v, k: v.cast("double") * std[k]))
-        .when(std.isNull(), F.zip_with(x, channels, lambda v, k: v.cast("double") + mean[k]))
-        .otherwise(F.zip_with(x, channels, lambda v, k: v.cast("double") * std[k] + mean[k]))
-    )
+
+    def undo(v: Column, k: Column) -> Column:
+        return v.cast("double") * F.coalesce(std[k], F.lit(1.0)) + F.coalesce(mean[k], F.lit(0.0))
+
+    return sized(x, c * n_tokens, lambda t: _same_length(F.zip_with(t, channels, undo), c, mean, std))
 
 
 # ---- token selection and pooling -----------------------------------------------------------------------
@@ -191,13 +216,13 @@ def pool_cls(tokens, c: int) -> Column:
 
 def pool_spatial(tokens, c: int, n_tokens: int, discard: int = 0) -> Column:
     """All tokens but the first and the last ``discard``."""
-    return F.slice(_col(tokens), c + 1, c * (n_tokens - 1 - discard))
+    return sized(tokens, c * n_tokens, lambda t: F.slice(t, c + 1, c * (n_tokens - 1 - discard)))
 
 
 def _per_channel(tokens, c: int, n_tokens: int, discard: int, reduce) -> Column:
     """``reduce`` over the spatial tokens of every channel."""
     used = n_tokens - 1 - discard
-    by_channel = gather(tokens, grid(n_tokens, c)[1 : n_tokens - discard].T)
+    by_channel = gather(tokens, grid(n_tokens, c)[1 : n_tokens - discard].T, n_tokens * c)
     starts = int_array(np.arange(c) * used + 1)
     return bind(by_channel, lambda rows: F.transform(starts, lambda s: reduce(F.slice(rows, s, used))))
 
@@ -236,10 +261,10 @@ def reduce_tokens(tokens, method: str | None, c: int, n_tokens: int, discard: in
 
 def concat_models(tokens: Sequence, channels: Sequence[int], n_tokens: int) -> Column:
     """Per token, the channels of all models side by side."""
-    joined = F.concat(*[_col(t) for t in tokens])
+    joined = F.concat(*[sized(t, c * n_tokens, lambda v: v) for t, c in zip(tokens, channels, strict=True)])
     starts = np.cumsum([0] + [c * n_tokens for c in channels[:-1]])
     blocks = [start + grid(n_tokens, c) for start, c in zip(starts, channels, strict=True)]
-    return gather(joined, np.concatenate(blocks, axis=1))
+    return gather(joined, np.concatenate(blocks, axis=1), sum(channels) * n_tokens)
 
 
 def obs_split(obs, k: int) -> tuple[Column, Column]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featmill.functions.naming import sample_key
-from featmill.functions.tensors import gather, grid
+from featmill.functions.tensors import gather, grid, sized
 from featmill.operators.ordinals import number_rows
 
 
@@ -68,13 +68,14 @@ def compare_panel(
     """One wide image per sample: the input and every panel side by side, row by row of pixels.
 
     ``images`` and each panel hold ``(key, px)`` with ``[h, w, channels]`` values. A panel that a sample
-    lacks is shown black.
+    lacks is shown black; one of another size ends the job.
     """
-    black = F.array_repeat(F.lit(0.0), h * w * channels)
+    size = h * w * channels
+    black = F.array_repeat(F.lit(0.0), size)
     joined = images.select(key, F.col("px").alias("_px_0"))
     for i, panel in enumerate(panels.values(), start=1):
         joined = joined.join(panel.select(key, F.col("px").alias(f"_px_{i}")), key, "left")
-    parts: list[Column] = [F.col("_px_0")]
-    parts += [F.coalesce(F.col(f"_px_{i}"), black) for i in range(1, len(panels) + 1)]
-    blocks = [k * h * w * channels + grid(h, w, channels) for k in range(len(parts))]
-    return joined.select(key, gather(F.concat(*parts), np.concatenate(blocks, axis=1)).alias("px"))
+    parts: list[Column] = [sized(f"_px_{i}", size, lambda t: t) for i in range(len(panels) + 1)]
+    parts[1:] = [F.coalesce(part, black) for part in parts[1:]]
+    blocks = [k * size + grid(h, w, channels) for k in range(len(parts))]
+    return joined.select(key, gather(F.concat(*parts), np.concatenate(blocks, axis=1), len(parts) * size).alias("px"))

@@ -30,8 +30,12 @@ def smooth_l1(diff: Column) -> Column:
 def sample_losses(pairs: DataFrame, keys: Sequence[str] = ("key", "model")) -> DataFrame:
     """Per sample: element count, squared and smooth-L1 sums, and ``1 - cosine`` of the flat tensors.
 
-    The tensors are exploded and reduced in one generated loop; what is shuffled is one row per sample.
+    The tensors are exploded and reduced in one generated loop; what is shuffled is one row per sample. A pair of
+    which one is null, or of another size than the other, ends the job.
     """
+    same = F.coalesce(F.size("pred") == F.size("target"), F.lit(False)) & F.col("pred").isNotNull()
+    wrong = F.raise_error(F.concat(F.lit("prediction and target differ in size: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
+    pairs = pairs.withColumn("pred", F.when(same, F.col("pred")).otherwise(wrong))
     long = unroll(pairs, [*keys, "target"], "pred", "_i", "_p")
     p = F.col("_p").cast("double")
     t = F.expr("target[_i]").cast("double")
@@ -62,11 +66,13 @@ def model_losses(samples: DataFrame, by: Sequence[str] = ("model",)) -> DataFram
 def distill_losses(per_model: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
     """Combined ``(mse, cos, l1)`` over all models, one row.
 
-    ``mse`` and ``l1`` use the given weight per model, else equal shares; ``cos`` always uses equal shares.
+    ``mse`` and ``l1`` use the given weight per model, else equal shares; ``cos`` always uses equal shares. Where
+    weights are given, a model without one ends the job.
     """
     if weights:
         pairs = [F.lit(x) for item in weights.items() for x in (item[0], float(item[1]))]
-        weight = F.element_at(F.create_map(*pairs), F.col("model"))
+        unknown = F.raise_error(F.concat(F.lit("no weight for model "), F.coalesce("model", F.lit("null"))))
+        weight = F.coalesce(F.element_at(F.create_map(*pairs), F.col("model")), unknown.cast("double"))
         mse, l1 = F.sum(F.col("mse") * weight), F.sum(F.col("l1") * weight)
     else:
         mse, l1 = F.avg("mse"), F.avg("l1")

@@ -12,6 +12,10 @@ from featmill.operators.ordinals import number_rows
 METER = ("mode", "model", "loss")
 
 
+def _average() -> Column:
+    return F.col("sum") / F.when(F.col("count") != 0, F.col("count"))
+
+
 def meter_name(mode: Column, loss: Column, model: Column | None = None) -> Column:
     """``{mode}[_{model}]_{loss}_loss``"""
     parts = [mode, loss] if model is None else [mode, model, loss]
@@ -19,9 +23,12 @@ def meter_name(mode: Column, loss: Column, model: Column | None = None) -> Colum
 
 
 def meter_avg(updates: DataFrame, by: Sequence[str] = METER) -> DataFrame:
-    """``(by..., sum, count, avg)`` of updates ``(val, n)``, where ``val`` is a mean over ``n`` samples."""
+    """``(by..., sum, count, avg)`` of updates ``(val, n)``, where ``val`` is a mean over ``n`` samples.
+
+    Here and below, the average over no samples is null.
+    """
     sums = updates.groupBy(*by).agg(F.sum(F.col("val") * F.col("n")).alias("sum"), F.sum("n").alias("count"))
-    return sums.withColumn("avg", F.col("sum") / F.col("count"))
+    return sums.withColumn("avg", _average())
 
 
 def meter_summary(meters: DataFrame, kind: str) -> DataFrame:
@@ -37,11 +44,11 @@ def meter_summary(meters: DataFrame, kind: str) -> DataFrame:
 def meter_merge(meters: DataFrame, by: Sequence[str] = METER) -> DataFrame:
     """Merge workers' meters: sum of sums over sum of counts."""
     sums = meters.groupBy(*by).agg(F.sum("sum").alias("sum"), F.sum("count").alias("count"))
-    return sums.withColumn("avg", F.col("sum") / F.col("count"))
+    return sums.withColumn("avg", _average())
 
 
 def meter_running(updates: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The running average after every update. One busy meter spreads over many tasks."""
     weighted = updates.withColumn("_weighted", F.col("val") * F.col("n"))
     out = number_rows(weighted, by, order, running={"sum": "_weighted", "count": "n"})
-    return out.drop("_weighted").withColumn("avg", F.col("sum") / F.col("count"))
+    return out.drop("_weighted").withColumn("avg", _average())

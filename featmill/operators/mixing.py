@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from featmill.functions.hashing import seeded_order, seeded_uniform
 from featmill.operators.ordinals import number_rows
-from featmill.session import small_table
+from featmill.session import materialize
 
 
 def pick_shards(shards: DataFrame, shard: str, seed: int, n: int = 5) -> DataFrame:
@@ -62,7 +62,7 @@ def _race(
     before a sample comes from the sample's own key, so it needs no position and one pass gives all. Adds
     ``_j`` (rank in the dataset), ``_n`` (its size), ``_w`` and ``_t`` (arrival time).
     """
-    rates = small_table(weights.where(F.col("weight") > 0).select(F.col(dataset), F.col("weight").alias("_w")))
+    rates = materialize(weights.where(F.col("weight") > 0).select(F.col(dataset), F.col("weight").alias("_w")), "rates")
     gap = -F.log(seeded_uniform(seed, F.col(dataset), F.col(key))) / F.col("_w")
     stepped = df.join(rates, dataset).withColumn("_gap", gap)
     return number_rows(stepped, [dataset], order, ordinal="_j", size="_n", running={"_t": "_gap"}).drop("_gap")

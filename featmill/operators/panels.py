@@ -9,11 +9,12 @@ from functools import reduce
 import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featmill.functions.hashing import seeded_uniform
-from featmill.functions.tensors import bind, foreground_mask, int_array, unroll
+from featmill.functions.tensors import bind, double_array, foreground_mask, int_array, sized, unroll
 
 # Colour of a mask drawn without a random colour (fixed values).
 MASK_COLOR = (30 / 255, 144 / 255, 255 / 255)
@@ -40,9 +41,8 @@ def fit_pca(tokens: DataFrame, k: int = 3) -> Projection:
     Only channel means and the component matrix reach the driver. Each component's sign is fixed by
     making its largest loading positive.
     """
-    c = len(tokens.select("vector").first()["vector"])
-    means = tokens.agg(*[F.avg(F.col("vector")[i].cast("double")).alias(str(i)) for i in range(c)]).first()
     vectors = tokens.select(array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
+    means = vectors.select(Summarizer.mean(F.col("v"))).first()[0].toArray()
     loadings = PCA(k=k, inputCol="v", outputCol="p").fit(vectors).pc.toArray()
     signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
     return Projection(
@@ -51,12 +51,19 @@ def fit_pca(tokens: DataFrame, k: int = 3) -> Projection:
 
 
 def project(tokens: DataFrame, fit: Projection) -> DataFrame:
-    """Centre and project token vectors; adds ``pc1``, ``pc2``, ..."""
-    columns = []
-    for i, row in enumerate(fit.components, start=1):
-        terms = [(F.col("vector")[j].cast("double") - fit.mean[j]) * row[j] for j in range(len(row))]
-        columns.append(sum(terms[1:], terms[0]).alias(f"pc{i}"))
-    return tokens.select("*", *columns)
+    """Centre and project token vectors; adds ``pc1``, ``pc2``, ... A vector of another length ends the job."""
+    mean = double_array(fit.mean)
+
+    def component(row: Sequence[float]) -> Column:
+        loadings = double_array(row)
+
+        def along(v: Column) -> Column:
+            centred = F.zip_with(v, mean, lambda x, m: x.cast("double") - m)
+            return F.aggregate(F.zip_with(centred, loadings, lambda x, a: x * a), F.lit(0.0), lambda acc, x: acc + x)
+
+        return sized("vector", len(row), along)
+
+    return tokens.select("*", *[component(row).alias(f"pc{i}") for i, row in enumerate(fit.components, start=1)])
 
 
 def minmax_scale(df: DataFrame, columns: Sequence[str], keep: Column | None = None) -> DataFrame:
@@ -77,11 +84,14 @@ def minmax_scale(df: DataFrame, columns: Sequence[str], keep: Column | None = No
 
 
 def minmax_image(values: Column) -> Column:
-    """Scale one image's values to [0, 1]."""
+    """Scale one image's values to [0, 1]; a constant image becomes 0."""
 
     def scale(v: Column) -> Column:
         ends = F.struct(F.array_min(v).cast("double").alias("lo"), F.array_max(v).cast("double").alias("hi"))
-        return bind(ends, lambda e: F.transform(v, lambda x: (x.cast("double") - e["lo"]) / (e["hi"] - e["lo"])))
+        return bind(ends, lambda e: F.transform(v, lambda x: share(x.cast("double"), e["lo"], e["hi"])))
+
+    def share(x: Column, low: Column, high: Column) -> Column:
+        return F.when(high > low, (x - low) / (high - low)).otherwise(F.when(x.isNotNull(), 0.0))
 
     return bind(values, scale)
 

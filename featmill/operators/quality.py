@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featmill.functions.naming import member_column, sample_key
-from featmill.functions.tensors import unroll
 from featmill.operators.ordinals import number_rows
 from featmill.sources.tarshards import _filesystem, count_members, payload_tasks, shard_of
 
@@ -100,17 +99,35 @@ def nth_member(members: DataFrame, positions: Sequence[int]) -> DataFrame:
 
 
 def feature_diff(stored: DataFrame, again: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """``(by..., total, largest, equal)``: differences of stored and recomputed ``embedding`` tensors."""
-    pairs = stored.select(*dict.fromkeys([*by, *keys]), F.col("embedding").alias("_a")).join(
-        again.select(*keys, F.col("embedding").alias("_b")), list(keys)
-    )
-    long = unroll(pairs, [*by, "_b"], "_a", "_i", "_x")
+    """``(by..., total, largest, missing, missized, equal)`` of stored and recomputed ``embedding`` tensors.
+
+    ``total`` and ``largest`` are sum and maximum of the differences of whole tensors; ``missing`` counts samples that
+    one side lacks or has as null, ``missized`` those whose sizes differ. All must be 0 for ``equal``. ``again`` needs
+    the columns of ``by`` for samples that are not stored to be counted in their group; those it lacks are null there.
+    """
+    columns = list(dict.fromkeys([*by, *keys]))
+    only = [c for c in columns if c not in keys and c in again.columns]
+    left = stored.select(*columns, F.col("embedding").alias("_a"))
+    right = again.select(*keys, *[F.col(c).alias(f"_again_{c}") for c in only], F.col("embedding").alias("_b"))
+    pairs = left.join(right, list(keys), "full_outer")
+    pairs = pairs.withColumns({c: F.coalesce(c, f"_again_{c}") for c in only})
+    lacking = F.col("_a").isNull() | F.col("_b").isNull()
+    other = ~lacking & (F.size("_a") != F.size("_b"))
+    # A sample that cannot be compared has one row without a difference.
+    compared = F.when(~lacking & ~other, F.col("_a"))
+    pairs = pairs.select(*by, lacking.alias("_lacking"), other.alias("_other"), "_b", compared.alias("_a"))
+    long = pairs.select(*by, "_lacking", "_other", "_b", F.posexplode_outer("_a").alias("_i", "_x"))
     gap = F.abs(F.col("_x").cast("double") - F.expr("_b[_i]").cast("double"))
     return (
-        long.select(*by, gap.alias("_gap"))
+        long.select(*by, "_lacking", "_other", gap.alias("_gap"))
         .groupBy(*by)
-        .agg(F.sum("_gap").alias("total"), F.max("_gap").alias("largest"))
-        .withColumn("equal", F.col("largest") == 0)
+        .agg(
+            F.coalesce(F.sum("_gap"), F.lit(0.0)).alias("total"),
+            F.coalesce(F.max("_gap"), F.lit(0.0)).alias("largest"),
+            F.count(F.when(F.col("_lacking"), 1)).alias("missing"),
+            F.count(F.when(F.col("_other"), 1)).alias("missized"),
+        )
+        .withColumn("equal", (F.col("largest") == 0) & (F.col("missing") == 0) & (F.col("missized") == 0))
     )
 
 

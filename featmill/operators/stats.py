@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featmill.functions.tensors import double_array, feature_denormalize, feature_normalize, unroll
-from featmill.session import small_table
+from featmill.session import materialize
 
 
 def channel_values(
@@ -53,7 +53,7 @@ def partial_moments(df: DataFrame, tensor: str, c: int, n_tokens: int, by: Seque
 
 
 def merge_moments(partials: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Merge partial moments into ``(by..., channel, n, mean, std)``.
+    """Merge partial moments into ``(by..., channel, n, mean, std)``; one value has no spread (null).
 
     Spread is measured around the merged mean, not from raw squares, so a large mean costs no digits.
     """
@@ -67,7 +67,7 @@ def merge_moments(partials: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return shifted.groupBy(*keys).agg(
         F.first("_n").alias("n"),
         F.first("_mean").alias("mean"),
-        F.sqrt(F.sum("_m2") / (F.first("_n") - 1)).alias("std"),
+        F.sqrt(F.sum("_m2") / F.when(F.first("_n") > 1, F.first("_n") - 1)).alias("std"),
     )
 
 
@@ -81,8 +81,9 @@ def stats_arrays(stats: DataFrame) -> DataFrame:
 
 def _with_stats(df: DataFrame, stats: DataFrame, value: Column) -> DataFrame:
     arrays = stats_arrays(stats).withColumnsRenamed({"mean": "_mean", "std": "_std"})
-    # Features of one model are many rows of one key; they must not be shuffled on it.
-    return df.join(small_table(arrays, rows=1000), "model", "left").withColumn("embedding", value).drop("_mean", "_std")
+    # Written first, the statistics' true size decides how Spark joins them: sent to all, or as a sorted join whose
+    # large keys adaptive execution splits.
+    return df.join(materialize(arrays, "statistics"), "model", "left").withColumn("embedding", value).drop("_mean", "_std")
 
 
 def normalize_features(df: DataFrame, stats: DataFrame, c: int, n_tokens: int) -> DataFrame:

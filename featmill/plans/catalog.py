@@ -1,7 +1,7 @@
 """Plan tables: registry, mixes, weights, work lists.
 
 These are small tables about datasets, never about samples; joins against them go through
-:func:`featmill.session.small_table` or Spark's own size check.
+:func:`featmill.session.materialize` or Spark's own size check.
 """
 
 from __future__ import annotations

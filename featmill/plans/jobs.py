@@ -29,7 +29,7 @@ from featmill.operators.mixing import buffer_shuffle, epoch_limit, mix_all_exhau
 from featmill.operators.ordinals import number_rows, shard_assign, split_assign, split_totals, subsample_global
 from featmill.operators.stats import channel_stats, normalize_model
 from featmill.plans.catalog import mix_concat, mix_entries, mix_weights
-from featmill.session import materialize, qualified, small_table
+from featmill.session import materialize, qualified
 from featmill.sources.column_store import read_column
 from featmill.sources.files import read_image_folder, read_stats, write_splits, write_stats
 from featmill.sources.tarshards import (
@@ -203,7 +203,7 @@ def check_dataset(
     spark: SparkSession, root: str, dataset: str, extractors: Sequence[Extractor], split: str = "val", seed: int = 0,
     shards: int = 5, per_shard: int = 8,
 ) -> DataFrame:
-    """Recompute a seeded sample and compare: ``(model, shard, total, largest, equal, keys_ok, passed)``.
+    """Recompute a seeded sample and compare: ``(model, shard, total, largest, missing, missized, equal, keys_ok, passed)``.
 
     Images and features are paired by their position in the shard, as the keys are part of the check.
     """
@@ -216,7 +216,7 @@ def check_dataset(
         return number_rows(list_members(chosen), ["shard"], ["member"], ordinal="pos")
 
     # Shards are chosen by name, so only the headers of those are read.
-    chosen = small_table(pick_shards(files(images), "shard", seed, shards))
+    chosen = materialize(pick_shards(files(images), "shard", seed, shards), "chosen")
     sample = materialize(sample_per_shard(positions(chosen), "shard", "member", seed, per_shard), "sample")
     out = None
     for extractor in extractors:
@@ -235,13 +235,15 @@ def check_dataset(
         )
         c, h, w = extractor.output_shape
         again = again.withColumn("embedding", _as_stored(F.col("embedding"), c, h, w))
+        again = again.withColumn("model", F.lit(extractor.model))
         diff = q.feature_diff(stored, again, ["shard", "pos"], ["model", "shard"])
         keys = (
             again.select("shard", "pos", "image_key")
-            .join(stored.select("shard", "pos", "feature_key"), ["shard", "pos"], "left")
+            .join(stored.select("shard", "pos", "feature_key"), ["shard", "pos"], "full_outer")
             .groupBy("shard")
             .agg(F.bool_and(F.col("image_key").eqNullSafe(F.col("feature_key"))).alias("keys_ok"))
         )
+        # A sampled shard without features has a row too: all its samples are missing.
         part = diff.join(keys, "shard").withColumn("passed", F.col("equal") & F.col("keys_ok"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def _setting(spark: SparkSession, name: str) -> str | None:
@@ -53,16 +52,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_table(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """``df`` as a broadcast side if it has at most ``rows`` rows, else unchanged.
-
-    For plan tables (weights, statistics per model, work lists) joined on a key that few values share out:
-    a shuffle on such a key would gather a whole dataset in one task. Counting stops at the bound. Past it
-    the ordinary join remains, where Spark chooses the strategy and splits skewed partitions.
-    """
-    found = df.limit(rows + 1).toArrow()
-    if found.num_rows > rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(found, schema=df.schema))

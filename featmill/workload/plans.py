@@ -11,7 +11,6 @@ from featmill.functions import naming as n
 from featmill.operators.ordinals import number_rows, split_totals
 from featmill.plans import catalog as c
 from featmill.plans.registry import MODEL_SIZES, NAMED_MIXES, registry_rows
-from featmill.session import small_table
 from featmill.sources.files import splits_long
 from featmill.workload.base import DOC_SAMPLES_SQL, MODEL_SQL, big, doc_samples, doc_shards, query, table
 from featmill.workload.tensors import embeddings_by_model
@@ -51,7 +50,7 @@ def numbered_registry(spark):
 def seen(spark, sf):
     """Events with the registry entry of the dataset their user stands for."""
     events = table(spark, sf, "events").select("event_id", "user_id", "value")
-    registry = small_table(numbered_registry(spark))
+    registry = numbered_registry(spark)
     return events.join(registry, F.col("user_id") % _N_DATASETS == F.col("pos"))
 
 

@@ -408,11 +408,11 @@ picked AS (SELECT shard FROM (SELECT DISTINCT shard FROM e) ORDER BY md5('11:' |
 r AS (SELECT e.*, row_number() OVER (PARTITION BY shard ORDER BY md5('11:' || shard || ':' || vec_id), vec_id) AS rank
   FROM e JOIN picked USING (shard)),
 sampled AS (SELECT * FROM r WHERE rank <= 8)
-SELECT 'm' || label AS model, shard, count(*) AS n, label <> 3 AS equal, label <> 5 AS keys_ok,
-  label <> 3 AND label <> 5 AS passed FROM sampled GROUP BY ALL""",
+SELECT 'm' || label AS model, shard, count(*) AS n, count(*) FILTER (label = 4) AS missing, label NOT IN (3, 4) AS equal,
+  label NOT IN (4, 5) AS keys_ok, label NOT IN (3, 4, 5) AS passed FROM sampled GROUP BY ALL""",
 )
 def feature_recheck(spark, sf):
-    """Stored features against recomputed ones on a seeded sample; one model is damaged, one misnamed."""
+    """Stored features against recomputed ones on a seeded sample; one model is damaged, one not stored, one misnamed."""
     e = _embeddings(spark, sf).select(
         "vec_id",
         F.concat(F.lit("m"), F.col("label").cast("string")).alias("model"),
@@ -425,14 +425,15 @@ def feature_recheck(spark, sf):
         F.when(F.col("model") == "m3", F.transform("embedding", lambda v: (v + 1).cast("float"))).otherwise(F.col("embedding")),
     ).withColumn("stored_key", F.col("vec_id") + (F.col("model") == "m5").cast("int"))
     sample = x.spot_check_sample(e, "shard", "vec_id", 11, shards=5, per_shard=8)
-    again = _patches(sample, "feature").select("vec_id", F.col("feature").alias("embedding"))
-    chosen = stored.join(sample.select("vec_id"), "vec_id", "left_semi")
+    again = _patches(sample, "feature").select("vec_id", "model", "shard", F.col("feature").alias("embedding"))
+    chosen = stored.where("model <> 'm4'").join(sample.select("vec_id"), "vec_id", "left_semi")
     diff = q.feature_diff(chosen, again, ["vec_id"], ["model", "shard"])
-    keys = chosen.groupBy("model", "shard").agg(
-        F.count("*").alias("n"), F.bool_and(F.col("stored_key") == F.col("vec_id")).alias("keys_ok")
+    keys = again.select("model", "shard", "vec_id").join(chosen.select("vec_id", "stored_key"), "vec_id", "left")
+    keys = keys.groupBy("model", "shard").agg(
+        F.count("*").alias("n"), F.bool_and(F.col("vec_id").eqNullSafe(F.col("stored_key"))).alias("keys_ok")
     )
     return diff.join(keys, ["model", "shard"]).select(
-        "model", "shard", "n", "equal", "keys_ok", (F.col("equal") & F.col("keys_ok")).alias("passed")
+        "model", "shard", "n", "missing", "equal", "keys_ok", (F.col("equal") & F.col("keys_ok")).alias("passed")
     )
 
 

@@ -8,7 +8,6 @@ from featmill.functions import tensors as t
 from featmill.functions.naming import model_name_legit
 from featmill.operators.stats import channel_stats, denormalize_features, normalize_features
 from featmill.plans.catalog import model_table
-from featmill.session import small_table
 from featmill.workload.base import MODEL_SQL, SIZE, TOKENS, C, H, W, big, long_form, query, r6, table
 
 
@@ -305,7 +304,7 @@ def transform_hook(spark, sf):
 
 def embeddings_by_model(spark, sf):
     """Embeddings with the model their label stands for."""
-    models = small_table(model_table(spark).select("pos", "model"))
+    models = model_table(spark).select("pos", "model")
     return _embeddings(spark, sf).join(models, F.col("label") % 6 == F.col("pos")).drop("pos")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from featmill.functions import tensors as t
 from featmill.operators import ordinals, stats
 from featmill.operators import quality as q
-from featmill.session import scratch_root, small_table
+from featmill.session import scratch_root
 from featmill.sources import tarshards as ts
 
 
@@ -57,12 +57,6 @@ def test_arranged_rows_are_not_joined_again(spark):
         ts.write_shards(rows, "/nowhere", existing=rows.withColumn("ok", F.lit(True)), arranged=True)
 
 
-def test_small_table_checks_its_bound(spark):
-    df = spark.range(100)
-    assert "LocalTableScan" in executed(small_table(df, rows=100))
-    assert small_table(df, rows=99) is df
-
-
 class Session:
     """Stands for a session whose settings a test chooses."""
 

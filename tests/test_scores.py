@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from featmill.operators import columns as j
-from featmill.operators import losses, meters, panels, stats
+from featmill.operators import losses, meters, panels, quality, stats
 
 
 def tensors(spark, x, extra=()):
@@ -166,3 +166,50 @@ def test_panels_without_a_result_are_black(spark):
     rows = j.compare_panel(images, {"mask": mask}, "k", 2, 2, channels=1).orderBy("k").collect()
     assert rows[0]["px"] == [1, 1, 5, 6, 1, 1, 7, 8]
     assert rows[1]["px"] == [2, 2, 0, 0, 2, 2, 0, 0]
+
+
+def test_unequal_null_and_unweighted_predictions_fail(spark):
+    def scored(pred, target, weights=None):
+        rows = spark.createDataFrame([("k", "m", pred, target)], "key string, model string, pred array<float>, target array<float>")
+        return losses.distill_losses(losses.model_losses(losses.sample_losses(rows)), weights).first()
+
+    assert scored([1.0, 2.0], [1.0, 4.0], {"m": 1.0})["mse"] == 2.0
+    for pred, target in (([1.0], [1.0, 9.0]), ([1.0, 2.0], [1.0]), (None, [1.0]), ([1.0], None)):
+        with pytest.raises(Exception, match="differ in size"):
+            scored(pred, target)
+    with pytest.raises(Exception, match="no weight for model m"):
+        scored([1.0], [1.0], {"other": 1.0})
+
+
+def test_differences_count_missing_and_misshapen_samples(spark):
+    def rows(*values):
+        return spark.createDataFrame(values, "k int, g string, embedding array<float>")
+
+    stored = rows((1, "a", [1.0, 2.0]), (2, "b", [1.0]), (3, "c", None), (5, "e", [1.0, 1.0]))
+    again = rows((1, "a", [1.0, 2.0]), (2, "b", [1.0, 2.0]), (3, "c", [1.0]), (4, "d", [1.0]), (5, "e", [1.0, 3.0]))
+    got = {r.g: tuple(r)[1:] for r in quality.feature_diff(stored, again, ["k"], ["g"]).collect()}
+    assert got == {
+        "a": (0.0, 0.0, 0, 0, True), "b": (0.0, 0.0, 0, 1, False), "c": (0.0, 0.0, 1, 0, False),
+        "d": (0.0, 0.0, 1, 0, False), "e": (2.0, 2.0, 0, 0, False),
+    }
+
+
+def test_constant_images_single_values_and_empty_meters(spark):
+    df = spark.createDataFrame([([2.0, 2.0],)], "x array<float>")
+    assert df.select(panels.minmax_image(F.col("x"))).first()[0] == [0.0, 0.0]
+    one = spark.createDataFrame([(0, 1, 2.0, 0.0)], "channel int, n bigint, mean double, m2 double")
+    assert stats.merge_moments(one).first()["std"] is None
+    meter = spark.createDataFrame([("t", "m", "l", 1.0, 0)], "mode string, model string, loss string, val double, n int")
+    assert meters.meter_avg(meter).first()["avg"] is None
+    assert meters.meter_merge(meters.meter_avg(meter)).first()["avg"] is None
+
+
+def test_projection_of_wide_vectors(spark):
+    rng = np.random.default_rng(0)
+    width, values = 1024, rng.normal(size=(200, 1024))
+    values[:, 7] *= 30
+    df = spark.createDataFrame([(v.tolist(),) for v in values], "vector array<double>")
+    fit = panels.fit_pca(df, 1)
+    got = [r.pc1 for r in panels.project(df, fit).select("pc1").collect()]
+    assert len(fit.mean) == width and np.argmax(np.abs(fit.components[0])) == 7
+    assert np.allclose(sorted(got), sorted((values - values.mean(axis=0)) @ np.array(fit.components[0])))

@@ -115,10 +115,36 @@ def test_l2_normalize_of_zeros(spark):
 def test_null_stays_null_and_a_wrong_size_fails(spark):
     assert one(spark, None, t.chw_to_tokens("x", 1, 2, 2)) is None
     assert one(spark, None, t.pool_mean("x", 1, 4)) is None
-    with pytest.raises(Exception, match="INVALID_ARRAY_INDEX"):
+    with pytest.raises(Exception, match="4 elements was expected"):
         one(spark, [1.0, 2.0], t.chw_to_tokens("x", 1, 2, 2))
 
 
+@pytest.mark.parametrize(
+    "apply",
+    [
+        lambda: t.chw_to_tokens("x", 1, 2, 2),
+        lambda: t.center_crop("x", 1, 2, 2, 1),
+        lambda: t.pool_spatial("x", 1, 4),
+        lambda: t.pool_mean("x", 1, 4),
+        lambda: t.block_upscale("x", 2, 2, 1, 5),
+        lambda: t.concat_models(["x", "x"], [1, 1], 4),
+        lambda: t.feature_normalize("x", F.array(F.lit(0.0)), F.array(F.lit(1.0)), 1, 4),
+        lambda: t.feature_denormalize("x", F.array(F.lit(0.0)), F.lit(None).cast("array<double>"), 1, 4),
+    ],
+)
+@pytest.mark.parametrize("n", [3, 5])
+def test_shorter_and_larger_tensors_fail(spark, apply, n):
+    with pytest.raises(Exception, match="elements was expected"):
+        one(spark, [1.0] * n, apply())
+
+
+def test_statistics_of_another_length_fail_and_a_zero_spread_counts_as_one(spark):
+    stats = [F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(0.0), F.lit(0.5))]
+    assert one(spark, [1.0, 2.0, 3.0, 4.0], t.feature_normalize("x", *stats, 2, 2)) == [0.0, 0.0, 2.0, 4.0]
+    with pytest.raises(Exception, match="statistics of 1 channels"):
+        one(spark, [1.0, 2.0, 3.0, 4.0], t.feature_normalize("x", *stats, 1, 4))
+
+
 def test_bf16_special_values(spark):
     x = [1.0, -0.0, float("inf"), float("-inf"), 1.00390625, 1.01171875, 3.4e38, 1e-40]
     got = one(spark, x, t.bf16_round("x"))
