@@ -96,7 +96,7 @@ def mix_plan(
     Datasets empty in the split drop out; validation counts every dataset with weight 1. Every view of a
     dataset is an entry of its own. A dataset the registry does not know is an error, found right away.
     """
-    unknown = [row["dataset"] for row in mix_unknown(mix, registry).limit(20).collect()]
+    unknown = [row["dataset"] for row in mix_unknown(mix, registry).collect()]
     if unknown:
         raise ValueError(f"unknown datasets in the mix: {sorted(unknown)}")
     selected = F.when(F.size("views") == 0, F.array(F.lit(OWN_VIEW))).otherwise(view_select(F.col("views"), views))

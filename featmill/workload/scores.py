@@ -256,16 +256,19 @@ def meter_merge(spark, sf):
 
 @query(
     "merge_columns",
-    """SELECT vec_id AS key, label::BIGINT AS label, lang, n_chars, quality::BIGINT AS quality FROM embeddings JOIN documents ON vec_id = doc_id
-JOIN labels USING (doc_id)""",
+    """SELECT vec_id AS key, label::BIGINT AS label, lang, n_chars, quality::BIGINT AS quality, md5(text) AS text_md5,
+  i AS pos, embedding[i + 1]::DOUBLE AS value
+FROM embeddings JOIN documents ON vec_id = doc_id JOIN labels USING (doc_id), range(64) r(i)""",
 )
 def merge_columns(spark, sf):
+    """Columns with their payloads, texts and features, side by side."""
     columns = [
-        table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), big("label").alias("label")),
-        table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "lang", "n_chars"),
+        table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), big("label").alias("label"), "embedding"),
+        table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "lang", "n_chars", "text"),
         table(spark, sf, "labels").select(F.col("doc_id").alias("key"), big("quality").alias("quality")),
     ]
-    return j.merge_columns(columns, ["key"])
+    merged = j.merge_columns(columns, ["key"]).withColumn("text_md5", F.md5("text"))
+    return long_form(merged, ["key", "label", "lang", "n_chars", "quality", "text_md5"], F.col("embedding"))
 
 
 @query(
@@ -283,21 +286,22 @@ def merge_positional(spark, sf):
 
 @query(
     "merge_first_wins",
-    """SELECT vec_id AS key, embedding[1]::DOUBLE AS image,
-  CASE WHEN label < 5 THEN embedding[2]::DOUBLE ELSE embedding[4]::DOUBLE END AS feature,
-  embedding[5]::DOUBLE AS extra FROM embeddings""",
+    """SELECT vec_id AS key, i AS pos, embedding[i + 1]::DOUBLE AS image,
+  CASE WHEN label < 5 THEN embedding[i + 1] ELSE embedding[64 - i] END::DOUBLE AS feature,
+  embedding[i + 1]::DOUBLE * 2 AS extra FROM embeddings, range(64) r(i)""",
 )
 def merge_first_wins(spark, sf):
     """A packed source that has the feature for some samples only, and separate columns for all."""
     e = table(spark, sf, "embeddings")
-    at = lambda i: F.col("embedding")[i].cast("double")
-    packed = e.select(
-        F.col("vec_id").alias("key"), at(0).alias("image"), F.when(F.col("label") < 5, at(1)).alias("feature")
-    )
+    whole = F.col("embedding").cast("array<double>")
+    packed = e.select(F.col("vec_id").alias("key"), whole.alias("image"), F.when(F.col("label") < 5, whole).alias("feature"))
     separate = e.select(
-        F.col("vec_id").alias("key"), at(2).alias("image"), at(3).alias("feature"), at(4).alias("extra")
+        F.col("vec_id").alias("key"), F.reverse(whole).alias("image"), F.reverse(whole).alias("feature"),
+        F.transform(whole, lambda v: v * 2).alias("extra"),
     )
-    return j.merge_first_wins([packed, separate], ["key"])
+    merged = j.merge_first_wins([packed, separate], ["key"])
+    rows = merged.select("key", F.posexplode(F.arrays_zip("image", "feature", "extra")).alias("pos", "_v"))
+    return rows.select("key", big("pos").alias("pos"), "_v.image", "_v.feature", "_v.extra")
 
 
 @query(
@@ -420,29 +424,33 @@ def feature_diff(spark, sf):
 
 @query(
     "minmax_scale",
-    """WITH long AS (SELECT vec_id, i AS token, embedding[i * 4 + 1]::DOUBLE AS a, embedding[i * 4 + 2]::DOUBLE AS b
-  FROM embeddings, range(16) r(i)),
-kept AS (SELECT min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb FROM long WHERE a >= 0),
-im AS (SELECT vec_id, min(embedding[i + 1]) AS lo, max(embedding[i + 1]) AS hi FROM embeddings, range(64) r(i) GROUP BY ALL)
+    """WITH long AS (SELECT vec_id, i AS token, embedding[i * 4 + 1]::DOUBLE AS a, embedding[i * 4 + 2]::DOUBLE AS b,
+  embedding[i * 4 + 3]::DOUBLE AS c, embedding[i * 4 + 4]::DOUBLE AS d FROM embeddings, range(16) r(i)),
+kept AS (SELECT min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb, min(c) AS lc, max(c) AS hc, min(d) AS ld,
+  max(d) AS hd FROM long WHERE a >= 0),
+im AS (SELECT vec_id, min(embedding[i + 1])::DOUBLE AS lo, max(embedding[i + 1])::DOUBLE AS hi
+  FROM embeddings, range(64) r(i) GROUP BY ALL)
 SELECT vec_id, token, round(CASE WHEN a >= 0 THEN (a - la) / (ha - la) ELSE 0 END, 6) + 0.0 AS pc1,
   round(CASE WHEN a >= 0 THEN (b - lb) / (hb - lb) ELSE 0 END, 6) + 0.0 AS pc2,
-  round((embedding[token + 1]::DOUBLE - lo) / (hi::DOUBLE - lo), 6) + 0.0 AS depth
-FROM long JOIN im USING (vec_id) JOIN embeddings USING (vec_id), kept""",
+  round(CASE WHEN a >= 0 THEN (c - lc) / (hc - lc) ELSE 0 END, 6) + 0.0 AS pc3,
+  round(CASE WHEN a >= 0 THEN (d - ld) / (hd - ld) ELSE 0 END, 6) + 0.0 AS pc4,
+  round((a - lo) / (hi - lo), 6) + 0.0 AS depth1, round((b - lo) / (hi - lo), 6) + 0.0 AS depth2,
+  round((c - lo) / (hi - lo), 6) + 0.0 AS depth3, round((d - lo) / (hi - lo), 6) + 0.0 AS depth4
+FROM long JOIN im USING (vec_id), kept""",
 )
 def minmax_scale(spark, sf):
-    """Two components over the foreground of all samples, and each sample's own values."""
+    """All components over the foreground of all samples, and each sample's own values."""
     e = _embeddings(spark, sf).withColumn("depth", p.minmax_image(F.col("embedding")))
+    parts = [f"pc{k + 1}" for k in range(C)]
     rows = p.token_rows(e, ["vec_id", "depth"], "embedding", C, TOKENS).select(
         "vec_id",
         "token",
-        F.col("depth")[F.col("token")].alias("depth"),
-        F.col("vector")[0].cast("double").alias("pc1"),
-        F.col("vector")[1].cast("double").alias("pc2"),
-    )
-    scaled = p.minmax_scale(rows, ["pc1", "pc2"], F.col("pc1") >= 0)
-    return scaled.select(
-        "vec_id", big("token").alias("token"), *[r6(c).alias(c) for c in ("pc1", "pc2", "depth")]
+        *[F.col("depth")[F.col("token") * C + k].alias(f"depth{k + 1}") for k in range(C)],
+        *[F.col("vector")[k].cast("double").alias(name) for k, name in enumerate(parts)],
     )
+    scaled = p.minmax_scale(rows, parts, F.col("pc1") >= 0)
+    shown = [*parts, *[f"depth{k + 1}" for k in range(C)]]
+    return scaled.select("vec_id", big("token").alias("token"), *[r6(c).alias(c) for c in shown])
 
 
 @query("pca_rgb")

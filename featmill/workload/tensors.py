@@ -146,16 +146,16 @@ def concat_models(spark, sf):
 
 @query(
     "image_normalize",
-    f"""WITH px AS (SELECT vec_id, i, {_PX.format("i")}::DOUBLE AS x FROM embeddings, range(48) r(i))
+    f"""WITH px AS (SELECT vec_id, i, ({_PX.format("(i // 3)")})::DOUBLE AS x FROM embeddings, range(192) r(i))
 SELECT vec_id, i AS pos, round((x / 255 - [0.485, 0.456, 0.406][i % 3 + 1]::DOUBLE)
        / [0.229, 0.224, 0.225][i % 3 + 1]::DOUBLE, 6) + 0.0 AS value, x AS plain FROM px""",
 )
 def image_normalize(spark, sf):
-    """The first 48 values as a 4 by 4 RGB image, normalised and as plain floats."""
-    df = _embeddings(spark, sf).select("vec_id", F.slice(_pixels(), 1, 48).alias("px"))
+    """All values as an 8 by 8 gray image made RGB, normalised and as plain floats."""
+    df = _embeddings(spark, sf).select("vec_id", t.gray_to_rgb(_pixels(), 64).alias("px"))
     both = df.select(
         "vec_id",
-        F.posexplode(F.arrays_zip(t.image_normalize("px", 16).alias("value"), t.image_to_float("px").alias("plain"))),
+        F.posexplode(F.arrays_zip(t.image_normalize("px", 64).alias("value"), t.image_to_float("px").alias("plain"))),
     )
     return both.select("vec_id", big("pos").alias("pos"), r6("col.value").alias("value"), "col.plain")
 
@@ -248,34 +248,27 @@ def l2_normalize(spark, sf):
 
 @query(
     "block_upscale",
-    """SELECT vec_id, i AS pos, CASE WHEN i // 42 >= 12 OR (i % 42) // 3 >= 12 THEN 0.0
-  ELSE embedding[((i // 42) // 3) * 12 + (((i % 42) // 3) // 3) * 3 + i % 3 + 1]::DOUBLE END AS value
-FROM embeddings, range(588) r(i)""",
+    """SELECT vec_id, i AS pos, CASE WHEN i // 20 >= 16 OR i % 20 >= 16 THEN 0.0
+  ELSE embedding[((i // 20) // 2) * 8 + (i % 20) // 2 + 1]::DOUBLE END AS value FROM embeddings, range(400) r(i)""",
 )
 def block_upscale(spark, sf):
-    """The first 48 values as a 4 by 4 RGB image, each cell three times both ways, in a 14 by 14 image."""
-    df = _embeddings(spark, sf)
-    return long_form(df, ["vec_id"], t.block_upscale(F.slice("embedding", 1, 48), H, W, 3, out=14))
+    """All values as an 8 by 8 image, each cell twice both ways, in a 20 by 20 image."""
+    return long_form(_embeddings(spark, sf), ["vec_id"], t.block_upscale("embedding", 8, 8, 1, out=20))
 
 
 @query(
     "foreground_mask",
-    """WITH long AS (SELECT vec_id, i AS token, embedding[i * 4 + 1]::DOUBLE AS pc1,
-  embedding[i * 4 + 2]::DOUBLE AS pc2 FROM embeddings, range(16) r(i))
-SELECT vec_id, token, CASE WHEN pc1 < 0.05 THEN 0.0 ELSE pc1 END AS pc1,
-       CASE WHEN pc1 < 0.05 THEN 0.0 ELSE pc2 END AS pc2 FROM long""",
+    """WITH long AS (SELECT vec_id, i AS token, embedding[i * 4 + 1]::DOUBLE AS pc1, embedding[i * 4 + 2]::DOUBLE AS pc2,
+  embedding[i * 4 + 3]::DOUBLE AS pc3, embedding[i * 4 + 4]::DOUBLE AS pc4 FROM embeddings, range(16) r(i))
+SELECT vec_id, token, CASE WHEN pc1 < 0.05 THEN 0.0 ELSE pc1 END AS pc1, CASE WHEN pc1 < 0.05 THEN 0.0 ELSE pc2 END AS pc2,
+  CASE WHEN pc1 < 0.05 THEN 0.0 ELSE pc3 END AS pc3, CASE WHEN pc1 < 0.05 THEN 0.0 ELSE pc4 END AS pc4 FROM long""",
 )
 def foreground_mask(spark, sf):
     from featmill.operators.panels import apply_foreground, token_rows
 
     rows = token_rows(_embeddings(spark, sf), ["vec_id"], "embedding", C, TOKENS)
-    projected = rows.select(
-        "vec_id",
-        big("token").alias("token"),
-        F.col("vector")[0].cast("double").alias("pc1"),
-        F.col("vector")[1].cast("double").alias("pc2"),
-    )
-    return apply_foreground(projected, 0.05)
+    components = [F.col("vector")[k].cast("double").alias(f"pc{k + 1}") for k in range(C)]
+    return apply_foreground(rows.select("vec_id", big("token").alias("token"), *components), 0.05)
 
 
 @query(
