@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,6 +143,8 @@ def split_dataset(spark: SparkSession, root: str, dataset: str, samples_per_shar
     )
     # Only the last shard can be short, so only its headers are read.
     last = files.agg(F.max(F.struct("shard", "found")).alias("last")).first()["last"]
+    if last is None:
+        raise ValueError(f"no image shards in {path}")
     counted = q.count_steps(read_shards(spark, path, last["found"], payload=False)).first()["n"]
     size = F.when(F.col("found") == last["found"], F.lit(counted)).otherwise(samples_per_shard)
     shards = materialize(split_assign(files.withColumn("n", size.cast("bigint")), "dataset", "shard"), "splits")
@@ -149,9 +152,14 @@ def split_dataset(spark: SparkSession, root: str, dataset: str, samples_per_shar
     folder = qualified(spark, path)
 
     def rename(rows):
+        handle, base = _filesystem(folder)
         for row in rows:
-            handle, base = _filesystem(folder)
-            handle.move(f"{base}/{row['found']}", f"{base}/{row['target']}")
+            here, there = (f"{base}/{row[name]}" for name in ("found", "target"))
+            # A repeated task finds what it has moved already under its new name.
+            if handle.get_file_info(here).type != FileType.NotFound:
+                handle.move(here, there)
+            elif handle.get_file_info(there).type == FileType.NotFound:
+                raise FileNotFoundError(here)
 
     shards.select("found", target.alias("target")).where("found <> target").foreachPartition(rename)
     write_splits(split_totals(shards.select("dataset", "shard", "n"), "dataset", "shard", "n", samples_per_shard), root)

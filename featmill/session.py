@@ -39,8 +39,16 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below :func:`scratch_root`; nothing is created yet."""
-    return qualified(spark, f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}")
+    """A fresh path in the application's own folder below :func:`scratch_root`; nothing is at it yet.
+
+    The file system removes the folder when the driver's JVM ends, so no scratch table outlives its application.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/featmill-{spark.sparkContext.applicationId}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return qualified(spark, f"{folder.toString()}/{label}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

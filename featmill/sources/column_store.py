@@ -15,10 +15,15 @@ SAMPLE = ("dataset", "split", "shard_idx", "key")
 
 
 def write_column(df: DataFrame, root: str, column: str) -> None:
-    """Append samples ``(dataset, split, shard_idx, key, ...)`` to a column.
+    """Add the shards of samples ``(dataset, split, shard_idx, key, ...)`` that a column does not have yet.
 
-    Rows are range-partitioned by shard, so a large dataset spreads over as many files as it needs.
+    Shards are written whole, so a repeated call leaves the column as it is. Rows are range-partitioned by shard, so a
+    large dataset spreads over as many files as it needs.
     """
+    spark, shard = df.sparkSession, ["dataset", "split", "shard_idx"]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{column}")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        df = df.join(done_shards(read_column(spark, root, column)).select(*shard), shard, "left_anti").select(*df.columns)
     (
         df.repartitionByRange("dataset", "split", "shard_idx")
         .sortWithinPartitions("dataset", "split", "shard_idx", "key")

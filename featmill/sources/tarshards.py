@@ -256,12 +256,21 @@ def read_shards(spark: SparkSession, path: str, pattern: str = "*.tar", payload:
     )
 
 
-def payload_tasks(spark: SparkSession) -> int:
+# Payload bytes a task is given, and those it holds at a time.
+TASK_BYTES, FETCH_BYTES = 1 << 29, 1 << 26
+
+
+def payload_tasks(spark: SparkSession, listed: DataFrame | None = None, size: str = "size") -> int:
     """Tasks for work whose rows are small but whose payloads are not.
 
-    An explicit number, as adaptive execution would merge the partitions of a listing into a single one.
+    An explicit number, as adaptive execution would merge the partitions of a listing into a single one. With a
+    listing it follows the bytes listed; they are added up by a job of its own, which reads no payload.
     """
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if listed is None or size not in listed.columns:
+        return tasks
+    total = listed.agg(F.sum(size)).first()[0] or 0
+    return max(tasks, -(-total // TASK_BYTES))
 
 
 def shard_of(spark: SparkSession, root: str) -> Column:
@@ -299,7 +308,19 @@ def arrange(members: DataFrame, shard: str = "shard", member: str = "member") ->
 
     Done on a listing before the payloads are fetched, it saves shuffling them.
     """
-    return members.repartition(payload_tasks(members.sparkSession), shard).sortWithinPartitions(shard, member)
+    return members.repartition(payload_tasks(members.sparkSession, members), shard).sortWithinPartitions(shard, member)
+
+
+def bounded_runs(sizes: list[int], most: int = FETCH_BYTES) -> Iterator[tuple[int, int]]:
+    """``(start, end)`` of consecutive runs of rows with at most ``most`` bytes; a larger row is a run of its own."""
+    start, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > start and held + size > most:
+            yield start, k
+            start, held = k, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def fetch_members(members: DataFrame, path: str, shard: str = "shard", arranged: bool = False) -> DataFrame:
@@ -318,10 +339,9 @@ def fetch_members(members: DataFrame, path: str, shard: str = "shard", arranged:
         base = base.rstrip("/")
         opened, handle = None, None
         for batch in batches:
-            # A few rows at a time, as payloads can be megabytes each.
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                names = part.schema.names
+            names = batch.schema.names
+            for start, end in bounded_runs(batch.column(names.index("size")).to_pylist()):
+                part = batch.slice(start, end - start)
                 places = zip(*(part.column(names.index(c)).to_pylist() for c in (shard, "offset", "size")), strict=True)
                 data = []
                 for name, offset, size in places:
@@ -336,7 +356,7 @@ def fetch_members(members: DataFrame, path: str, shard: str = "shard", arranged:
             handle.close()
 
     if not arranged:
-        listed = listed.repartitionByRange(payload_tasks(members.sparkSession), shard, "offset")
+        listed = listed.repartitionByRange(payload_tasks(members.sparkSession, listed), shard, "offset")
         listed = listed.sortWithinPartitions(shard, "offset")
     return listed.mapInArrow(fetch, schema)
 

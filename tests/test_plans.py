@@ -88,3 +88,10 @@ def test_scratch_follows_the_cluster_setting(spark):
 def test_intermediate_tables_are_written_below_it(spark):
     out = ordinals.number_rows(spark.range(10), order=["id"], ordinal="i")
     assert all(scratch_root(spark).removeprefix("file:") in f for f in out.inputFiles()) and out.count() == 10
+
+
+def test_scratch_belongs_to_the_application(spark):
+    from featmill.session import scratch_path
+
+    one, two = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert one != two and all(f"featmill-{spark.sparkContext.applicationId}/x-" in p for p in (one, two))

@@ -216,3 +216,17 @@ def test_bucketed_columns_join_without_a_shuffle(spark, samples, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
         spark.sql("DROP TABLE IF EXISTS left_column")
         spark.sql("DROP TABLE IF EXISTS right_column")
+
+
+def test_writing_a_shard_again_changes_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([("d", "train", s, f"{s}-{k}", k) for s in range(3) for k in range(4)], "dataset string, split string, shard_idx int, key string, v int")
+    write_column(rows.where("shard_idx < 2"), str(tmp_path), "c")
+    write_column(rows, str(tmp_path), "c")
+    assert read_column(spark, str(tmp_path), "c").count() == 12
+
+
+def test_runs_are_bounded_by_bytes():
+    from featmill.sources.tarshards import bounded_runs
+
+    assert list(bounded_runs([3, 3, 3, 20, 1, 1], 6)) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert list(bounded_runs([], 6)) == []
