@@ -19,7 +19,7 @@ import tempfile
 import unicodedata
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -52,13 +52,14 @@ LATER_LOWER = {
     0xA7DC: 0x19B, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
 }
 _LOWER = LATER_LOWER | {ord("Σ"): "σ"}
+_LAST_SHORT = 0xFFFF  # the last code point that one unit of UTF-16 holds
 
 
-def _class(first: str, later: tuple) -> str:
-    """The code points whose general category starts with ``first``, as ranges of a character class."""
-    ranges, start = [f"\\U{a:08x}-\\U{b:08x}" for a, b in later], None
-    for c in range(0x110001):
-        inside = c < 0x110000 and unicodedata.category(chr(c))[0] == first
+def _class(first: str, later: tuple, most: int) -> str:
+    """The code points up to ``most`` whose general category starts with ``first``, as ranges of a character class."""
+    ranges, start = [f"\\U{a:08x}-\\U{b:08x}" for a, b in later if b <= most], None
+    for c in range(most + 2):
+        inside = c <= most and unicodedata.category(chr(c))[0] == first
         if inside and start is None:
             start = c
         elif not inside and start is not None:
@@ -92,16 +93,40 @@ class Tokenizer:
         letters = _byte_letters()
         self.inner = [vocabulary[x] for x in letters]
         self.last = [vocabulary[x + _END] for x in letters]
-        letter, number = _class("L", LATER_LETTERS), _class("N", LATER_NUMBERS)
-        self.pattern = f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{_SPACE}{letter}{number}]+"
+        # Matching is several times faster where a class ends with the code points of one UTF-16 unit.
+        self.patterns = tuple(
+            f"'(?:s|t|re|ve|m|ll|d)|[{letter}]+|[{number}]|[^{_SPACE}{letter}{number}]+"
+            for letter, number in (
+                (_class("L", LATER_LETTERS, most), _class("N", LATER_NUMBERS, most)) for most in (_LAST_SHORT, 0x10FFFF)
+            )
+        )
+        self.rare = "[" + "".join(f"\\U{c:08x}" for c in sorted(_LOWER)) + "]"
         self.split = "(" + "|".join(re.escape(t) for t in self.special) + ")"
 
-    def words(self, text: str, find, split) -> list[str]:
-        """The text's words in order; special tokens, which are found before anything is changed, stand for themselves."""
-        if "<|" not in text:
-            return find(_plain(text))
-        parts = split(text)
-        return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else find(_plain(part)))]
+    def splitter(self) -> Callable[[str | None], list[str]]:
+        """A function that gives a text's words in order, none for a null text.
+
+        Special tokens, which are found before anything is changed, stand for themselves.
+        """
+        short, wide = (re.compile(p).findall for p in self.patterns)
+        special, rare = re.compile(self.split).split, re.compile(self.rare).search
+
+        def plain(text: str) -> list[str]:
+            if text.isascii():
+                return short(text.lower())
+            text = unicodedata.normalize("NFC", text)
+            # Lower case letter by letter: only some capitals need more than Python's own rule.
+            text = (text.translate(_LOWER) if rare(text) else text).lower()
+            return (short if len(text.encode("utf-16-le")) == 2 * len(text) else wide)(text)
+
+        def words(text: str | None) -> list[str]:
+            if not text:
+                return []
+            if "<|" not in text:
+                return plain(text)
+            return [w for k, part in enumerate(special(text)) for w in ([part] if k % 2 else plain(part))]
+
+        return words
 
     def merge(self, word: str) -> tuple[int, ...]:
         """The ids of one word: the pair of lowest rank is merged first, of equal ones the leftmost."""
@@ -146,13 +171,6 @@ class Tokenizer:
         return [i for i in ids if i >= 0]
 
 
-def _plain(text: str) -> str:
-    """Canonical composition and lower case, letter by letter."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).translate(_LOWER)
-    return text.lower()
-
-
 def compile_lexicon(words: dict[str, tuple[int, ...]]) -> bytes:
     """A minimal acyclic automaton over the words' bytes with the words' ids, as one buffer.
 
@@ -259,7 +277,7 @@ def frequent_words(docs: DataFrame, tokenizer: Tokenizer, limit: int = WORDS) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
-        find, split = re.compile(t.pattern).findall, re.compile(t.split).split
+        split = t.splitter()
         held: Counter[str] = Counter()
 
         def hand_on() -> pa.RecordBatch:
@@ -271,7 +289,7 @@ def frequent_words(docs: DataFrame, tokenizer: Tokenizer, limit: int = WORDS) ->
 
         for batch in batches:
             for text in batch.column(0):
-                held.update(t.words(text.as_py() or "", find, split))
+                held.update(split(text.as_py()))
                 if len(held) > HELD:
                     yield hand_on()
         if held:
@@ -291,12 +309,12 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, lexicon: bytes, keep: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, compiled = shared.value
-        find, split, known = re.compile(t.pattern).findall, re.compile(t.split).split, Lexicon(compiled)
+        split, known = t.splitter(), Lexicon(compiled)
         memo: dict[str, tuple[int, ...]] = {}
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
-                texts = [t.words(x or "", find, split) for x in batch.column(batch.num_columns - 1).to_pylist()]
+                texts = [split(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
                 if len(memo) > HELD:
                     memo.clear()
                 new = list(set().union(*texts) - memo.keys())
