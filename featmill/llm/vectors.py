@@ -140,7 +140,7 @@ def top_inner_products(rows: DataFrame, is_query: Column, k: int = 10) -> DataFr
     def pack(df: DataFrame, part: str) -> DataFrame:
         dealt = df.withColumn("_k", F.pmod(spread, F.col(part)).cast("int"))
 
-        def one(key, group: pd.DataFrame) -> pd.DataFrame:
+        def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
             return _block(group).assign(part=key[1])
 
         return dealt.groupBy("dim", "_k").applyInPandas(one, packed + ", part int")
@@ -171,7 +171,7 @@ def top_inner_products(rows: DataFrame, is_query: Column, k: int = 10) -> DataFr
         if best is not None:
             yield hand_on(here, queries[0], best)
 
-    def hand_on(key, owners, best) -> pd.DataFrame:
+    def hand_on(key: tuple, owners: np.ndarray, best: list) -> pd.DataFrame:
         return pd.DataFrame(
             {
                 "dim": key[0], "block": key[1],
@@ -187,7 +187,7 @@ def top_inner_products(rows: DataFrame, is_query: Column, k: int = 10) -> DataFr
     first = firsts.join(shards, ["dim", "part"]).withColumn("grp", F.lit(0)).withColumn("floors", F.lit(None).cast("binary"))
     start = materialize(first.repartition("dim", "block").mapInPandas(search, found), "first")
 
-    def floors(key, group: pd.DataFrame) -> pd.DataFrame:
+    def floors(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "q": [group["query_id"].tolist()], "f": [group["score"].astype(float).tolist()]})
 
     least = start.groupBy("dim", "block", "query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).where(F.col("n") >= k)
