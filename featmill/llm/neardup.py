@@ -6,12 +6,15 @@ their Jaccard similarity. Bands of four values (two permutations) make 24 keys;
 a chance of 1 - 2e-8.
 
 Texts with equal sets form a class, and only its representative, the smallest id, goes on. Representatives that share
-a key are compared on their full sets, but not all pairs of a bucket: every member is compared with the bucket's most
-central member, the one whose keys are the most common, which links a group of copies to its original in one round.
+a key are compared on their full sets, but not all pairs of a bucket: every member is first compared with the bucket's
+most central member, the one whose keys are the most common, which links a group of copies to its original at once.
 Linked representatives are contracted to components. A bucket whose members are all in one component is settled: more
-links would change nothing. In the others, members are compared with more and more of the central members of other
-components, four times as many each round, until every bucket is settled or all its pairs have been compared. No pair
-is given up, so the components are those of all links between representatives that share a key.
+links would change nothing. In the others, members that do not belong to the bucket's largest component are compared
+with all members of other components, in blocks: a task holds some of the former and lets the latter pass by, so that
+neither a large bucket nor a large component meets in one task. Before that, shingles that only one representative of
+such buckets has are counted; they bound a pair's similarity from above, and what cannot reach the threshold is not
+compared. No pair that can is given up, so the components are those of all links between representatives that share a
+key.
 """
 
 from __future__ import annotations
@@ -21,13 +24,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featmill.llm.common import materialize, mixed, rolling, word_hashes
 
-# Words in a shingle, permutations, permutations to a band, shingles evaluated at a time, members compared at first.
-SHINGLE, PERMUTATIONS, TO_BAND, CHUNK, HUBS, PER_TASK = 5, 48, 2, 1 << 15, 32, 256
+# Words in a shingle, permutations, permutations to a band, shingles evaluated at a time.
+SHINGLE, PERMUTATIONS, TO_BAND, CHUNK = 5, 48, 2, 1 << 15
+# Pairs that share a copy of a hub's set; members a task holds, and members it lets pass by.
+PER_TASK, HELD, PASSING = 256, 512, 4096
 BANDS = PERMUTATIONS // TO_BAND
 _BASE = 0x5851F42D4C957F2D
 _LAST = (1 << 63) - 1  # stands for a null id
@@ -96,38 +101,125 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for one, two in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_py(), "<u8") for v in (one, two))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
+            pairs = zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True)
+            good = [_linked(x, len(x), y, len(y), percent) for x, y in pairs]
             yield batch.select(["a", "hub"]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(alike, "a bigint, hub bigint").distinct()
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _linked(x: np.ndarray, n: int, y: np.ndarray, m: int, percent: int) -> bool:
+    """Whether sets of ``n`` and ``m`` hashes, of which ``x`` and ``y`` may be in both, are similar enough."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (n + m - common)
+
+
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """``(id, own)``: how many of its hashes no other row of ``sets(id, shingles)`` has; rows without any are left out."""
+    each = sets.select("id", F.explode("shingles").alias("h"))
+    single = each.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    return single.groupBy("id").agg(F.count("*").cast("int").alias("own"))
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, hub)`` between members of different components of a bucket.
+
+    ``members(key, rep, component)`` lists buckets with several components, ``sets(id, shingles, keys)`` what their
+    members have. Each pair is compared in the first bucket that it shares.
+    """
+    known = materialize(sets.join(_own_shingles(sets), "id", "left").select(
+        "id", "shingles", "keys", F.size("shingles").alias("n"), F.coalesce("own", F.lit(0)).alias("own")
+    ), "known")
+    # A member with too many hashes of its own is linked with nothing.
+    possible = known.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent).select(F.col("id").alias("rep"))
+    members = members.join(possible, "rep")
+    shares = members.groupBy("key", "component").agg(F.count("*").alias("here"))
+    buckets = shares.groupBy("key").agg(F.max_by("component", F.struct("here", "component")).alias("main"), F.max("here").alias("here"), F.sum("here").alias("all"))
+    buckets = buckets.where("here < all").select(
+        "key", "main", F.ceil((F.col("all") - F.col("here")) / HELD).cast("int").alias("blocks"), F.ceil(F.col("all") / PASSING).cast("int").alias("lanes")
+    )
+    placed = members.join(buckets, "key")
+    spread = F.xxhash64("rep", F.lit(7))
+    held = placed.where("component <> main").select(
+        "key", "rep", "component", F.lit(0).alias("kind"), F.pmod(spread, "blocks").cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"),
+    )
+    passing = placed.select(
+        "key", "rep", "component", F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("rep", F.lit(8)), "lanes").cast("int").alias("lane"),
+    )
+    met = held.select(*passing.columns).union(passing).join(known.withColumnRenamed("id", "rep"), "rep")
+    met = met.repartition("key", "block", "lane").sortWithinPartitions("key", "block", "lane", "kind")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, block = None, None
+        for batch in batches:
+            plain = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "lane", "kind", "rep", "component", "n", "own")}
+            shingles, keys = _lists(batch.column("shingles")), _lists(batch.column("keys"))
+            links = []
+            for k in range(batch.num_rows):
+                group = (plain["key"][k], plain["block"][k], plain["lane"][k])
+                if group != here:
+                    here, block = group, []
+                row = (plain["rep"][k], plain["component"][k], int(plain["n"][k]), int(plain["own"][k]), shingles[k], keys[k])
+                if plain["kind"][k] == 0:
+                    block.append((*row[:4], row[4].copy(), row[5].copy()))
+                    continue
+                if isinstance(block, list):
+                    block = _Block(block)
+                links += [(row[0], rep) for rep in block.linked(row, group[0], percent)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "hub"]
+            )
+
+    return met.mapInArrow(compare, "a bigint, hub bigint").distinct()
+
+
+class _Block:
+    """Members that a task holds while others pass by."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        self.rows = rows
+        self.component, self.n, self.own = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
+        self.keys = np.stack([r[5] for r in rows]) if rows else np.zeros((0, BANDS), np.int64)
+
+    def linked(self, row: tuple, key: int, percent: int) -> list[int]:
+        rep, component, n, own, shingles, keys = row
+        # No more can be common than what neither has for itself, and no less in either than what one has.
+        most, least = np.minimum(self.n - self.own, n - own), np.maximum(self.n + own, n + self.own)
+        shared = self.keys == keys
+        first = shared.any(axis=1) & (self.keys[np.arange(len(self.n)), shared.argmax(axis=1)] == key)
+        found = np.flatnonzero((self.component != component) & (100 * most >= percent * least) & first)
+        return [self.rows[k][0] for k in found if _linked(shingles, n, self.rows[k][4], self.rows[k][2], percent)]
+
+
 def connected(links: DataFrame) -> DataFrame:
     """``(id, component)`` of every id in ``links(a, b)``, by large-star and small-star contraction.
 
-    Each round replaces a node's links by links to its smallest neighbour; it ends when nothing changes, and every
-    node is then linked to the smallest of its component.
+    Each round links a node's larger neighbours, then its smaller ones, to the smallest of them all. It ends when
+    every node has one link and none is linked to a node that has one itself: that is its component's smallest.
     """
-    links = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = None
+    links = materialize(
+        links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
+    )
     while True:
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        floor = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        ends = links.select("a", F.lit(1).alias("up")).union(links.select("b", F.lit(0)))
+        per = ends.groupBy("a").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+        if per.where("up > 1 OR (up = 1 AND least = 0)").isEmpty():
+            break
+        both = links.union(links.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        floor = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(floor, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = materialize(small.union(floor.select("a", F.col("m").alias("b"))).distinct(), "links")
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == mark:
-            return links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
-                links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-            )
-        mark = now
+    roots = links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+    return links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 
 
 def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -151,46 +243,38 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     ids = members.select("rep").distinct()
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = _factors()
         for batch in batches:
-            found = [shingle_set(t.as_py()).astype("<u8").tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
+            found = [shingle_set(t.as_py()) for t in batch.column(1)]
+            keys = [band_keys(x, factors).view(np.int64) if len(x) else [] for x in found]
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([x.view(np.int64) for x in found], kind), pa.array(keys, kind)], names=["id", "shingles", "keys"]
+            )
 
     texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "text").join(
         ids.withColumnRenamed("rep", "id"), "id", "left_semi"
     )
-    sets = materialize(texts.mapInArrow(as_sets, "id bigint, shingles binary").where(F.octet_length("shingles") > 0), "sets")
+    sets = materialize(
+        texts.mapInArrow(as_sets, "id bigint, shingles array<bigint>, keys array<bigint>").where(F.size("shingles") > 0), "sets"
+    )
 
+    # Every member with the most central member of its bucket.
     centre = members.groupBy("rep").agg(F.sum("members").alias("centre"))
-    members = materialize(members.join(centre, "rep"), "members")
-    best = members.groupBy("key").agg(F.max(F.struct("centre", -F.col("rep"))).alias("best"))
-    pairs = members.join(best.select("key", (-F.col("best.col2")).alias("hub")), "key").where("rep <> hub")
+    best = members.join(centre, "rep").groupBy("key").agg(F.min_by("rep", F.struct(-F.col("centre"), F.col("rep"))).alias("hub"))
+    pairs = members.join(best, "key").where("rep <> hub")
     tried = materialize(pairs.select(F.col("rep").alias("a"), "hub").distinct(), "pairs")
     found = [materialize(_verified(tried, sets, percent), "links")]
-    done, hubs = [tried], HUBS
-    while True:
-        own = reduce(DataFrame.union, [f.select("a", F.col("hub").alias("b")) for f in found])
-        parts = materialize(connected(own), "components")
-        placed = members.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep")
-        )
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b")
-        placed = materialize(placed.join(open_keys.select("key"), "key", "left_semi"), "open")
-        most = placed.agg(F.max("members")).first()[0]
-        if most is None or hubs >= 4 * most:
-            break
-        central = Window.partitionBy("key").orderBy(F.desc("centre"), "rep")
-        chosen = placed.withColumn("_r", F.row_number().over(central)).where(F.col("_r") <= hubs)
-        chosen = chosen.select("key", F.col("rep").alias("hub"), F.col("component").alias("_hub_component"))
-        # Each pair once, under the name of its smaller id.
-        pairs = placed.join(chosen, "key").where(F.col("component") != F.col("_hub_component"))
-        pairs = pairs.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("hub")).distinct()
-        for seen in done:
-            known = seen.select(F.greatest("a", "hub").alias("a"), F.least("a", "hub").alias("hub"))
-            pairs = pairs.join(known, ["a", "hub"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        found.append(materialize(_verified(pairs, sets, percent), "links"))
-        done.append(pairs)
-        hubs *= 4
+    # What is left to compare lies in buckets that still hold several components.
+    parts = connected(found[0].select("a", F.col("hub").alias("b")))
+    placed = members.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep")
+    )
+    placed = materialize(placed, "placed")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b")
+    placed = materialize(placed.join(open_keys.select("key"), "key", "left_semi").select("key", "rep", "component"), "open")
+    there = sets.join(placed.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    found.append(materialize(_across(placed, there, percent), "links"))
 
     own = reduce(DataFrame.union, [f.select("a", F.col("hub").alias("b")) for f in found])
     parts = materialize(connected(reduce(DataFrame.union, [own, *links])), "components")
