@@ -13,6 +13,7 @@ the first element of each bin is its smallest hash or the mark that the bin is e
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,9 +118,13 @@ def next_documents(docs: DataFrame, edit: Callable[[Column, Column], Column]) ->
     Only ids and hashes are put in order. Texts are shuffled once by key, and once more on their way to the document
     before.
     """
-    key = ["doc_id", "_hash", "_chars"]
+    # No key is null, so that the texts grouped by key and joined on it twice are dealt out once.
+    key = ["_known", "_id", "_hash", "_chars"]
     texts = docs.select("doc_id", text_of("text").alias("text"))
-    texts = texts.select("doc_id", F.xxhash64("text").alias("_hash"), F.length("text").alias("_chars"), "text")
+    texts = texts.select(
+        F.col("doc_id").isNotNull().alias("_known"), F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("_id"),
+        F.xxhash64("text").alias("_hash"), F.length("text").alias("_chars"), "text",
+    )
     placed = materialize(number_rows(texts.drop("text"), order=key, global_ordinal="_o", ties=True), "places")
     count = placed.count()
     before = placed.select(
@@ -131,18 +136,16 @@ def next_documents(docs: DataFrame, edit: Callable[[Column, Column], Column]) ->
     right = whole.select(*[F.col(k).alias(f"_r{k}") for k in key], "_v")
 
     def joined(rows: DataFrame, prefix: str) -> DataFrame:
-        match = None
-        for k in key:
-            one = F.col(f"{prefix}{k}").eqNullSafe(F.col(f"_r{k}"))
-            match = one if match is None else match & one
+        match = reduce(Column.__and__, [F.col(f"{prefix}{k}") == F.col(f"_r{k}") for k in key])
         return rows.join(right, match).drop(*[f"_r{k}" for k in key])
 
     sent = joined(links, "_next").select(
         *key, "_o", F.left(F.col("_v.text"), F.expr("_chars div 2")).alias("_begin"), F.col("_v._fp").alias("next_fp")
     )
     both = joined(sent, "").select(
-        "doc_id", F.col("_chars").cast("bigint").alias("n_chars"), F.col("_v.text").alias("text"),
-        edit(F.col("_v.text"), F.col("_begin")).alias("edited"), F.col("_v._fp").alias("fp"), "next_fp",
+        F.when(F.col("_known"), F.col("_id")).alias("doc_id"), F.col("_chars").cast("bigint").alias("n_chars"),
+        F.col("_v.text").alias("text"), edit(F.col("_v.text"), F.col("_begin")).alias("edited"),
+        F.col("_v._fp").alias("fp"), "next_fp",
     )
     return add_fingerprint(both, "edited", "edited_fp")
 
