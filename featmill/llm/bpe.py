@@ -87,9 +87,8 @@ class Tokenizer:
         self.tokens = [""] * (1 + max([*vocabulary.values(), *self.special.values()]))
         for word, i in chain(vocabulary.items(), self.special.items()):
             self.tokens[i] = word
-        self.merges = {
-            (vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(merges)
-        }
+        self.ranks = {(vocabulary[a], vocabulary[b]): rank for rank, (a, b) in enumerate(merges)}
+        self.made = [vocabulary[a + b] for a, b in merges]
         letters = _byte_letters()
         self.inner = [vocabulary[x] for x in letters]
         self.last = [vocabulary[x + _END] for x in letters]
@@ -137,37 +136,38 @@ class Tokenizer:
         return tuple(self._merge_short(ids) if len(ids) <= _SHORT else self._merge_long(ids))
 
     def _merge_short(self, ids: list[int]) -> list[int]:
-        rank_of = self.merges.get
-        while len(ids) > 1:
-            best = None
-            for k, pair in enumerate(zip(ids, ids[1:])):
-                found = rank_of(pair)
-                if found is not None and (best is None or found[0] < best[0]):
-                    best = (*found, k)
-            if best is None:
-                break
-            ids[best[2] : best[2] + 2] = [best[1]]
+        rank_of, made = self.ranks.get, self.made
+        none = len(made)
+        ranks = [rank_of(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < none:
+            k = ranks.index(best)
+            ids[k : k + 2] = [made[best]]
+            del ranks[k]
+            # Only the pairs beside the new symbol have changed.
+            if k:
+                ranks[k - 1] = rank_of((ids[k - 1], ids[k]), none)
+            if k < len(ranks):
+                ranks[k] = rank_of((ids[k], ids[k + 1]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap and linked neighbours, in n log n steps."""
         n = len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(*found, k, ids[k], ids[k + 1]) for k in range(n - 1) if (found := self.merges.get((ids[k], ids[k + 1])))]
-        heap = [(rank, k, new, a, b) for rank, new, k, a, b in heap]
+        heap = [(r, k, *pair) for k, pair in enumerate(zip(ids, ids[1:])) if (r := self.ranks.get(pair)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, new, a, b = heapq.heappop(heap)
+            rank, k, a, b = heapq.heappop(heap)
             right = after[k]
             if ids[k] != a or right < 0 or ids[right] != b:
                 continue
-            ids[k], ids[right] = new, -1
+            ids[k], ids[right] = self.made[rank], -1
             after[k] = after[right]
             if after[k] >= 0:
                 before[after[k]] = k
             for x, y in ((before[k], k), (k, after[k])):
-                if x >= 0 and y >= 0 and (found := self.merges.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (found[0], x, found[1], ids[x], ids[y]))
+                if x >= 0 and y >= 0 and (r := self.ranks.get((ids[x], ids[y]))) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [i for i in ids if i >= 0]
 
 
