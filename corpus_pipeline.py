@@ -36,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that of the smallest id."""
+    """One row of each component of near copies: that of the smallest id."""
     return neardup.near_deduplicated(docs, SIMILARITY)
 
 

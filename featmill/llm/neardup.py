@@ -5,8 +5,9 @@ its smallest and its largest value: 96 signature values for 48 evaluations, each
 their Jaccard similarity. Bands of four values (two permutations) make 24 keys; sets of similarity 0.85 share one with
 a chance of 1 - 2e-8.
 
-Texts with equal sets form a class, and only its representative, the smallest id, goes on. Representatives that share
-a key are compared on their full sets, but not all pairs of a bucket: every member is first compared with the bucket's
+Rows are numbered once; a row is known by its doc_id, which may be null or repeat, and the 128-bit digest of its text.
+Rows with equal sets form a class, and only its representative, the row of the smallest id, goes on. Representatives
+that share a key are compared on their full sets, but not all pairs of a bucket: every member is first compared with the bucket's
 most central member, the one whose keys are the most common, which links a group of copies to its original at once.
 Linked representatives are contracted to components. A bucket whose members are all in one component is settled: more
 links would change nothing. In the others, members that do not belong to the bucket's largest component are compared
@@ -24,10 +25,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featmill.llm.common import materialize, mixed, rolling, word_hashes
+from featmill.llm.common import materialize, mixed, rolling, rows_once, text_of, word_hashes
 
 # Words in a shingle, permutations, permutations to a band, shingles evaluated at a time.
 SHINGLE, PERMUTATIONS, TO_BAND, CHUNK = 5, 48, 2, 1 << 15
@@ -35,7 +36,6 @@ SHINGLE, PERMUTATIONS, TO_BAND, CHUNK = 5, 48, 2, 1 << 15
 PER_TASK, HELD, PASSING = 256, 512, 4096
 BANDS = PERMUTATIONS // TO_BAND
 _BASE = 0x5851F42D4C957F2D
-_LAST = (1 << 63) - 1  # stands for a null id
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -63,8 +63,14 @@ def band_keys(shingles: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> n
     return keys
 
 
+def _digest() -> Column:
+    """128-bit name of a row's text."""
+    return F.unhex(F.md5(text_of("text").cast("binary")))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """``(id, n, set, keys)``: size and 128-bit name of each text's set, and its band keys."""
+    """``(row, id, digest, n, set, keys)``: number, doc_id and digest of each row, size and 128-bit name of its text's
+    set, and its band keys. Rows keep their numbers only once they are written."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -72,18 +78,19 @@ def signatures(docs: DataFrame) -> DataFrame:
         factors = _factors()
         for batch in batches:
             sizes, names, keys = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 shingles = shingle_set(text.as_py())
                 sizes.append(len(shingles))
                 names.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                 keys.append(band_keys(shingles, factors).view(np.int64) if len(shingles) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "n", "set", "keys"],
+                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "digest", "n", "set", "keys"],
             )
 
-    rows = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "text")
-    return rows.mapInArrow(sign, "id bigint, n bigint, set binary, keys array<bigint>")
+    rows = docs.select(F.col("doc_id").alias("id"), _digest().alias("digest"), "text")
+    signed = rows.mapInArrow(sign, "id bigint, digest binary, n bigint, set binary, keys array<bigint>")
+    return signed.select(F.monotonically_increasing_id().alias("row"), "*")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -222,25 +229,18 @@ def connected(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 
 
-def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs(doc_id, text)``; other columns are not read.
-
-    Words are runs of characters other than space and U+0009 to U+000D, with A-Z in lower case. Sets are linked if
-    100 * intersection >= percent * union; a text without words is linked with nothing. A component's id is its
-    smallest doc_id. Rows that share an id are one document, linked by any of its texts. A null id counts as larger
-    than all others; rows with null ids share one component where they are linked with nothing else, which then has a
-    null id.
-    """
+def _placed(docs: DataFrame, percent: int) -> DataFrame:
+    """``(row, id, digest, n, component_id, kept)`` for each row of ``docs(doc_id, text)``."""
     signed = materialize(signatures(docs), "signatures")
-    classes = signed.where("n > 0").groupBy("set").agg(F.min("id").alias("rep"))
-    named = materialize(signed.select("id", "n", "set").join(classes, "set", "left").drop("set"), "named")
-    # Rows with one id and different texts hold their classes together.
-    links = [named.where("rep <> id").groupBy("id", "rep").agg(F.lit(0)).select(F.col("id").alias("a"), F.col("rep").alias("b"))]
-    reps = signed.where("n > 0").join(classes, "set").where("id = rep")
-    keyed = reps.select(F.col("rep"), F.explode("keys").alias("key")).distinct()
+    # Null ids last; rows that share an id follow each other in the order of their texts' digests.
+    order = F.struct(F.col("id").isNull().alias("missing"), "id", "digest", "row")
+    classes = signed.where("n > 0").groupBy("set").agg(F.min(order).alias("first"))
+    classes = materialize(classes.select(F.col("first.row").alias("rep"), "set", "first"), "classes")
+    reps = signed.join(classes.select("rep"), F.col("row") == F.col("rep"))
+    keyed = reps.select("rep", "id", "digest", F.explode("keys").alias("key")).distinct()
     buckets = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = materialize(keyed.join(buckets, "key"), "members")
-    ids = members.select("rep").distinct()
+    keyed = materialize(keyed.join(buckets, "key"), "members")
+    members = keyed.select("rep", "key", "members")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _factors()
@@ -252,11 +252,13 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
                 [batch.column(0), pa.array([x.view(np.int64) for x in found], kind), pa.array(keys, kind)], names=["id", "shingles", "keys"]
             )
 
-    texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "text").join(
-        ids.withColumnRenamed("rep", "id"), "id", "left_semi"
-    )
+    # Rows that repeat give a representative's text once.
+    known = [F.col("id").isNotNull().alias("_known"), F.coalesce("id", F.lit(0).cast("bigint")).alias("_id"), "digest"]
+    texts = docs.select(F.col("doc_id").alias("id"), _digest().alias("digest"), "text").select(*known, "text")
+    names = keyed.select("rep", "id", "digest").distinct().select(*known, "rep")
+    texts = rows_once(texts.join(names, ["_known", "_id", "digest"]), ["_known", "_id", "digest", "rep"], "text")
     sets = materialize(
-        texts.mapInArrow(as_sets, "id bigint, shingles array<bigint>, keys array<bigint>").where(F.size("shingles") > 0), "sets"
+        texts.select("rep", "text").mapInArrow(as_sets, "id bigint, shingles array<bigint>, keys array<bigint>"), "sets"
     )
 
     # Every member with the most central member of its bucket.
@@ -276,21 +278,48 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     there = sets.join(placed.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     found.append(materialize(_across(placed, there, percent), "links"))
 
-    own = reduce(DataFrame.union, [f.select("a", F.col("hub").alias("b")) for f in found])
-    parts = materialize(connected(reduce(DataFrame.union, [own, *links])), "components")
-    out = named.join(parts, "id", "left")
-    component = F.coalesce("component", "id")
-    shown = F.when(component < _LAST, component)
+    links = reduce(DataFrame.union, [f.select("a", F.col("hub").alias("b")) for f in found])
+    parts = materialize(connected(links), "components")
+    linked = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep")
+    )
+    heads = linked.groupBy("component").agg(F.min("first").alias("head"))
+    heads = linked.join(heads, "component").select("set", F.col("head.id").alias("component_id"), F.col("head.row").alias("head"))
+    out = signed.drop("keys").join(heads, "set", "left")
+    alone = F.col("head").isNull()
     return out.select(
-        F.when(F.col("id") < _LAST, F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"),
-        shown.alias("component_id"), (F.col("id") == component).alias("kept"),
+        "row", "id", "digest", "n", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        (alone | (F.col("row") == F.col("head"))).alias("kept"),
     )
 
 
+def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs(doc_id, text)``; other columns are not read.
+
+    Words are runs of characters other than space and U+0009 to U+000D, with A-Z in lower case. Sets are linked if
+    100 * intersection >= percent * union; a text without words is linked with nothing. Rows are linked by their texts
+    only, whatever their ids: rows that share an id, or have none, are rows of their own. A component's id is its
+    smallest doc_id, null if it has none but null ids, and of its rows exactly one is kept: one of those with that id.
+    """
+    return _placed(docs, percent).select("id", "n", "component_id", "kept").toDF("doc_id", "n_shingles", "component_id", "kept")
+
+
 def near_deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One document of each component: ``docs`` without the rows whose id is not their component's; all columns stay.
+    """One row of each component, that of the smallest doc_id, and every row without words; all columns stay.
 
-    Of rows that share an id all stay, or none.
+    Of rows with one id and text, the one whose columns have the smallest hash stands for the others.
     """
-    gone = near_components(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    same = ["id", "digest"]
+    groups = _placed(docs, percent).groupBy(*same).agg(F.max("kept").alias("kept"), (F.max("n") > 0).alias("words"), F.count("*").alias("rows"))
+    # Only what does not simply stay: rows of other documents, and rows of which one stays.
+    changed = groups.where("NOT kept OR (words AND rows > 1)").select(*[F.col(c).alias(f"_gone_{c}") for c in same], "kept")
+    changed = materialize(changed.withColumnRenamed("kept", "_gone_kept"), "changed")
+    repeated = changed.where("_gone_kept")
+    match = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (_digest() == F.col("_gone_digest"))
+    rest = docs.join(changed, match, "left_anti")
+    if repeated.isEmpty():
+        return rest
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    one = docs.join(repeated, match).groupBy("_gone_id", "_gone_digest").agg(F.min_by(F.struct(*columns), hashed).alias("_gone_row"))
+    return rest.union(one.select("_gone_row.*"))

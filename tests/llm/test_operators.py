@@ -192,6 +192,27 @@ def test_components_of_copies(make):
     assert {r.doc_id for r in near_deduplicated(make(rows)).collect()} == {2, 3, 5, 6}
 
 
+def test_rows_without_an_id_or_with_anothers(make):
+    """Null and repeated ids link nothing, and one row of each component stays."""
+    texts = {k: " ".join(f"{k}w{j}" for j in range(100)) for k in "abcdefg"}
+    near = texts["b"].replace("bw50 ", "")
+    rows = [(5, texts["a"]), (9, texts["b"]), (None, texts["a"]), (None, near), (None, texts["c"]), (None, texts["d"])]
+    # Two texts under one id, both of them copies; one row three times; a text that only rows without id have, twice.
+    rows += [(20, texts["a"]), (20, texts["b"]), (20, texts["e"]), (30, texts["f"])] + [(30, texts["f"])] * 2 + [(None, texts["g"])] * 2
+    rows += [(None, None), (40, " ")]
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_components(make(rows)).collect())
+    assert got == Counter({
+        (5, 5, True): 1, (9, 9, True): 1, (None, 5, False): 1, (None, 9, False): 1, (None, None, True): 4, (20, 5, False): 1,
+        (20, 9, False): 1, (20, 20, True): 1, (30, 30, True): 1, (30, 30, False): 2, (None, None, False): 1, (40, 40, True): 1,
+    })
+    want = [(5, texts["a"]), (9, texts["b"]), (None, texts["c"]), (None, texts["d"]), (20, texts["e"]), (30, texts["f"])]
+    want += [(None, texts["g"]), (None, None), (40, " ")]
+    docs = make(rows, "id,digest,n,kept,row")
+    once = near_deduplicated(docs)
+    assert once.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in once.collect()) == Counter(want)
+
+
 def test_many_copies_of_one_original_that_is_not_the_first(make):
     """Copies that are alike only through their original, in one bucket, whose smallest id is a copy."""
     rng = np.random.default_rng(1)
