@@ -4,7 +4,8 @@ Every run of three words of every text is hashed and joined with the places of t
 A match of text word p with template word t votes for the diagonal p - t; a template that stands in the text
 unchanged gets a vote for each of its runs on one diagonal, an edited one gets its votes on neighbouring diagonals,
 which are merged. A span counts if enough of the template's runs are found within a stretch not much longer than the
-template. Hash matches are confirmed on the words themselves, so a vote is never wrong.
+template, and no better span of another template lies over it: templates that differ in one word find each other's
+notices. Hash matches are confirmed on the words themselves, so a vote is never wrong.
 """
 
 from __future__ import annotations
@@ -75,7 +76,8 @@ def scan_licenses(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
 
     ``spans`` is an array of ``(first_word, last_word, label, is_base, coverage)`` in order; words count from 0. Base
     phrases appear at every place where all their words stand consecutively, notices where at least 60 % of their runs
-    do. Rows with equal ids and texts get equal results. Other columns are not read.
+    do; of notices that overlap, those of the highest coverage. Rows with equal ids and texts get equal results. Other
+    columns are not read.
     """
     key = ["doc_id", "_hash"]
     texts = docs.select("doc_id", text_of("text").alias("text"))
@@ -99,25 +101,42 @@ def scan_licenses(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
     ).where(F.col("_gram").isNull() | F.col("template").isNotNull())
     votes = hits.groupBy(
         *key, "template", "label", "is_base", "runs", (F.col("_p") - 1 - F.col("t")).alias("_diagonal")
-    ).agg(F.count("*").alias("_votes"), F.min("t").alias("_low"), F.max("t").alias("_high"), F.max("_n").alias("_n"))
+    ).agg(
+        F.count("*").alias("_votes"), F.collect_set("t").alias("_runs"), F.min("t").alias("_low"), F.max("t").alias("_high"),
+        F.max("_n").alias("_n"),
+    )
     per_doc = Window.partitionBy(*key)
     along = Window.partitionBy(*key, "template").orderBy("_diagonal")
     # Rows that repeat have voted together; their number is the number of null elements.
     votes = votes.withColumn("_rows", F.max(F.when(F.col("template").isNull(), F.col("_votes"))).over(per_doc))
-    # Places of a base phrase stay apart: only notices merge.
-    apart = F.col("is_base") | F.coalesce(F.col("_diagonal") - F.lag("_diagonal").over(along) > GAP, F.lit(True))
+    # Places of a base phrase stay apart: only notices merge, and only over less than their own length.
+    gap = F.least(F.lit(GAP), F.col("runs") + (RUN - 2))
+    apart = F.col("is_base") | F.coalesce(F.col("_diagonal") - F.lag("_diagonal").over(along) > gap, F.lit(True))
     votes = votes.withColumn("_new", apart.cast("int"))
     votes = votes.withColumn("_cluster", F.sum("_new").over(along))
     first, last = F.col("_diagonal") + F.col("_low"), F.col("_diagonal") + F.col("_high") + (RUN - 1)
     spans = votes.groupBy(*key, "template", "_cluster", "label", "is_base", "runs").agg(
         F.max("_rows").alias("_rows"), F.max("_n").alias("_n"), F.min(first).alias("first_word"),
-        F.max(last).alias("last_word"), (F.sum("_votes") / F.max("_rows")).alias("_found"),
-    )
-    coverage = F.least(F.lit(1.0), F.col("_found") / F.col("runs"))
+        F.max(last).alias("last_word"), F.size(F.array_distinct(F.flatten(F.collect_list("_runs")))).alias("_found"),
+    ).withColumn("_coverage", F.col("_found") / F.col("runs"))
+    coverage = F.col("_coverage")
     length = F.col("last_word") - F.col("first_word") + 1
     good = F.when(F.col("is_base"), F.col("_found") == F.col("runs")).otherwise(
         (coverage >= SHARE) & (length <= (F.col("runs") + RUN - 1) * STRETCH)
     )
+    # No span is longer than this, so what overlaps starts within it.
+    reach = int(STRETCH * max((len(words.split()) for _, words in notices), default=0))
+    around = Window.partitionBy(*key).orderBy("first_word").rangeBetween(-reach, reach)
+    notice = F.struct("template", "first_word", "last_word", "_coverage")
+    spans = spans.withColumn("_good", good).withColumn(
+        "_around", F.collect_list(F.when(F.col("_good") & ~F.col("is_base"), notice)).over(around)
+    )
+    better = F.exists(
+        "_around",
+        lambda o: (o["template"] != F.col("template")) & (o["first_word"] <= F.col("last_word"))
+        & (o["last_word"] >= F.col("first_word")) & (o["_coverage"] > F.col("_coverage")),
+    )
+    good = F.col("_good") & (F.col("is_base") | ~better)
     span = F.struct(
         F.col("first_word").cast("bigint").alias("first_word"), F.col("last_word").cast("bigint").alias("last_word"),
         "label", "is_base", coverage.alias("coverage"),

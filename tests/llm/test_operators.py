@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from featmill.llm import bpe, language, quality
 from featmill.llm.fingerprints import add_fingerprint, fingerprint_text, likeness, next_documents, replace_end
-from featmill.llm.licenses import license_summary, scan_licenses
+from featmill.llm.licenses import NOTICES, license_summary, scan_licenses
 from featmill.llm.mixing import document_sizes, mix_documents, mix_plan
 from featmill.llm.neardup import connected, near_components, near_deduplicated
 from featmill.llm.pii import find_personal_data, personal_data_summary, redacted
@@ -95,6 +95,19 @@ def test_license_places_and_edited_notices(make):
     assert (r.labels, r.score, r.first_word) == ("", 0.0, None)
 
 
+def test_licenses_that_differ_in_one_word(make):
+    """Each notice gets its own label only, whole or edited, and a short notice counts wherever it repeats."""
+    own = ("cc-by", "cc-by-nc", "cc-by-sa", "gpl", "lgpl", "agpl")
+    notices = [(label, words) for label, words in NOTICES if label in own]
+    rows = [(k, f"so {words} and more") for k, (_, words) in enumerate(notices)]
+    rows += [(10, "licensed under a creative commons attribution noncommercial 3 0 international license")]
+    rows += [(20 + k, "all rights reserved " + between + "all rights reserved") for k, between in enumerate(("", "x "))]
+    rows += [(30, f"{dict(notices)['cc-by']} {dict(notices)['cc-by-nc']}")]
+    got = {r.doc_id: r.labels for r in license_summary(scan_licenses(make(rows))).collect()}
+    want = {k: label for k, (label, _) in enumerate(notices)}
+    assert got == want | {10: "cc-by-nc", 20: "all-rights-reserved", 21: "all-rights-reserved", 30: "cc-by,cc-by-nc"}
+
+
 def test_mix_reaches_targets(make):
     rows = [(k, "w " * (1 + k % 7), "en", f"s{k % 4}" if k % 3 else "s0") for k in range(400)]
     plan = mix_plan(document_sizes(make(rows))).collect()
