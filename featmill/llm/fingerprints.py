@@ -3,8 +3,10 @@
 A text's words are cut into shingles of five, each shingle is hashed once, and the hash's top bits choose one of 256
 bins. A bin keeps its smallest hash. An empty bin takes the value of a filled one by optimal densification: it
 probes bins drawn by a hash of its own number, the same for all documents, until one is filled. After eight probes the
-rest of the sequence is a pseudo-random order of all bins, of which the first filled one is taken at once. Of each bin the low 4 bits are packed, 16 bins to a long. Two unrelated bins agree with chance 1/16, so the
-share of equal bins is corrected by that chance.
+rest of the sequence is a pseudo-random order of all bins, of which the first filled one is taken at once. The bin's
+number is mixed into its value, so that bins filled from one source have bits of their own. Of each bin the low 4 bits
+are packed, 16 bins to a long. Two unrelated bins agree with chance 1/16, so the share of equal bins is corrected by
+that chance.
 
 Finding each bin's smallest hash needs no lookup: the hashes and one largest value per bin are sorted together, and
 the first element of each bin is its smallest hash or the mark that the bin is empty.
@@ -58,7 +60,7 @@ def add_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
             kept(F.get(F.col("_least"), F.pmod(F.xxhash64(i, F.lit(t)), F.lit(BINS)).cast("int"))) for t in range(PROBES)
         ]
         rest = F.transform(filled, lambda f: F.struct(F.xxhash64(i, _bin(f)).alias("rank"), f.alias("value")))
-        return F.coalesce(kept(value), *probes, F.array_min(rest)["value"])
+        return F.xxhash64(F.coalesce(kept(value), *probes, F.array_min(rest)["value"]), i)
 
     def pack(dense: Column) -> Column:
         low = F.lit((1 << LOW_BITS) - 1).cast("bigint")

@@ -73,6 +73,14 @@ def test_a_shingle_set_of_one_has_a_full_fingerprint(make):
     assert got[1] == got[2] != got[5] and len(got[3]) == 256 and got[4] == ""
 
 
+def test_short_unrelated_texts_are_unlike_one_by_one(make):
+    """One shingle, or a few, fills all bins: their bits must not agree together."""
+    rows = [(k, " ".join(f"{k}x{j}" for j in range(1 + k % 8))) for k in range(64)]
+    got = next_documents(make(rows), replace_end).select("fp", likeness("fp", "next_fp").alias("l"), fingerprint_text("fp").alias("f")).collect()
+    assert max(r.l for r in got) < 0.1
+    assert all(len(set(r.f)) > 8 for r in got) and len({r.f for r in got}) == 64
+
+
 def test_next_of_the_last_is_the_first(make):
     docs = make([(5, "abcdef"), (2, "uvwxyz"), (9, "12345"), (None, "")])
     got = {r.doc_id: r.edited for r in next_documents(docs, replace_end).collect()}
