@@ -205,3 +205,15 @@ def op6_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     from featmill.llm.pii import find_personal_data, personal_data_summary
 
     return personal_data_summary(find_personal_data(documents(spark, sf)))
+
+
+@query("op11_prefix_trie")
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    from featmill.llm.prefixes import prefix_trie, rebuild
+
+    nodes = prefix_trie(rebuild(spark.read.parquet(f"{sf}/conversations.parquet")))
+    return nodes.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
+    )
