@@ -217,3 +217,22 @@ def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("ends", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
     )
+
+
+@query("op13_repair_conversations")
+def op13_repair_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults and cheapest repair of each damaged conversation."""
+    from featmill.llm.repair import damaged, repair_report
+
+    return repair_report(damaged(spark.read.parquet(f"{sf}/conversations.parquet")))
+
+
+@query("op12_secret_scan")
+def op12_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in each document."""
+    import public_tokenizers
+
+    from featmill.llm.secretscan import find_secrets, secrets_summary
+
+    found = find_secrets(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
+    return secrets_summary(found, ["doc_id"])
