@@ -1,11 +1,14 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-The corpus' frequent words are merged once, on the driver, and compiled into a minimal acyclic automaton over their
-UTF-8 bytes: words share their beginnings and, because equal states are merged, their ends. A transition carries the
-number of words that sort before it, so a walk adds up to the word's index, and the index leads to the word's ids.
-The automaton is a few flat arrays in one buffer; tasks write it to an unnamed temporary file and memory-map it.
-All unseen words of a batch walk through the automaton together, a byte at a step; words it does not have are merged
-exactly, lowest rank first.
+The corpus' frequent words, as they stand between white space, are merged once, on the driver, and compiled into a
+minimal acyclic automaton over their UTF-8 bytes: words share their beginnings and, because equal states are merged,
+their ends. A transition carries the number of words that sort before it, so a walk adds up to the word's index, and
+the index leads to the word's ids. The automaton is a few flat arrays in one buffer; tasks write it to an unnamed
+temporary file and memory-map it.
+
+A batch's texts are cut at white space and its distinct words walk through the automaton together, a byte at a step.
+Those it does not have are split by the tokenizer's own pattern, and the parts merged exactly, lowest rank first. Ids and
+decoded text are then put together from those of the distinct words, all in flat arrays.
 
 Word counts cover the whole corpus; the lexicon's size only decides how many words take the fast way.
 """
@@ -17,19 +20,21 @@ import json
 import re
 import tempfile
 import unicodedata
-from array import array
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Words in the lexicon, their most bytes; words a task counts or remembers at a time; documents handled at a time.
-WORDS, LONGEST, HELD, ROWS = 1 << 16, 48, 300_000, 256
+from featmill.llm.common import materialize
+
+# Words in the lexicon, their most bytes; words a task counts or remembers at a time; rows given back at a time; bytes of
+# text handled at a time.
+WORDS, LONGEST, HELD, ROWS, BYTES = 1 << 16, 48, 300_000, 10_000, 8 << 20
 _SHORT = 24
 _END = "</w>"
 # White space of Unicode (fixed values).
@@ -102,25 +107,30 @@ class Tokenizer:
         self.rare = "[" + "".join(f"\\U{c:08x}" for c in sorted(_LOWER)) + "]"
         self.split = "(" + "|".join(re.escape(t) for t in self.special) + ")"
 
-    def splitter(self) -> Callable[[str | None], list[str]]:
+    def splitter(self) -> Callable[..., list[str]]:
         """A function that gives a text's words in order, none for a null text.
 
-        Special tokens, which are found before anything is changed, stand for themselves.
+        Special tokens, which are found before anything is changed, stand for themselves. With ``lines``, line ends between
+        words are given too.
         """
         short, wide = (re.compile(p).findall for p in self.patterns)
+        on_lines = re.compile(self.patterns[0] + "|\n").findall
         special, rare = re.compile(self.split).split, re.compile(self.rare).search
 
-        def plain(text: str) -> list[str]:
+        def plain(text: str, lines: bool = False) -> list[str]:
+            near = on_lines if lines else short
             if text.isascii():
-                return short(text.lower())
+                return near(text.lower())
             text = unicodedata.normalize("NFC", text)
             # Lower case letter by letter: only some capitals need more than Python's own rule.
             text = (text.translate(_LOWER) if rare(text) else text).lower()
-            return (short if len(text.encode("utf-16-le")) == 2 * len(text) else wide)(text)
+            return near(text) if lines or len(text.encode("utf-16-le")) == 2 * len(text) else wide(text)
 
-        def words(text: str | None) -> list[str]:
+        def words(text: str | None, lines: bool = False) -> list[str]:
             if not text:
                 return []
+            if lines:
+                return plain(text, True)
             if "<|" not in text:
                 return plain(text)
             return [w for k, part in enumerate(special(text)) for w in ([part] if k % 2 else plain(part))]
@@ -240,63 +250,244 @@ class Lexicon:
             whole[a:b] for a, b in zip(ends, ends[1:])
         )
 
-    def find(self, words: list[str]) -> list[tuple[int, ...] | None]:
-        """The ids of each word, None for those the lexicon does not have."""
-        coded = [w.encode() for w in words]
-        lengths = np.array([len(w) for w in coded], np.int64)
-        data = np.frombuffer(b"".join(coded), np.uint8)
-        starts = np.cumsum(lengths) - lengths
-        state, index = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Of each word its index in the lexicon, -1 for those it does not have."""
+        if not len(words):
+            return np.zeros(0, np.int64)
+        offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        starts, lengths = offsets[:-1], np.diff(offsets)
+        out = np.full(len(words), -1, np.int64)
         going = np.flatnonzero((lengths <= LONGEST) & (len(self.keys) > 0))
-        state[np.setdiff1d(np.arange(len(words)), going, assume_unique=True)] = -1
+        state, index = np.full(len(going), self.root, np.int64), np.zeros(len(going), np.int64)
         step = 0
         while len(going):
-            going = going[lengths[going] > step]
-            if not len(going):
-                break
-            key = state[going] << 8 | data[starts[going] + step]
+            ended = lengths[going] == step
+            found = ended & (self.finals[state] == 1)
+            out[going[found]] = index[found]
+            going, state, index = going[~ended], state[~ended], index[~ended]
+            key = state << 8 | data[starts[going] + step]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[at] == key
-            state[going[~hit]] = -1
             going, at = going[hit], at[hit]
-            state[going] = self.targets[at]
-            index[going] += self.skips[at]
+            state, index = self.targets[at], index[hit] + self.skips[at]
             step += 1
-        known = np.flatnonzero(state >= 0)
-        known = known[self.finals[state[known]] == 1]
-        out: list[tuple[int, ...] | None] = [None] * len(words)
-        begin, end = self.starts[index[known]].tolist(), self.starts[index[known] + 1].tolist()
-        for k, a, b in zip(known.tolist(), begin, end, strict=True):
-            out[k] = tuple(self.ids[a:b].tolist())
         return out
 
+    def find(self, words: list[str]) -> list[tuple[int, ...] | None]:
+        """The ids of each word, None for those the lexicon does not have."""
+        at = self.places(pa.array(words, pa.string()))
+        return [tuple(self.ids[self.starts[k] : self.starts[k + 1]].tolist()) if k >= 0 else None for k in at.tolist()]
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of stretches one after another: ``starts[0]``, ``starts[0] + 1`` and so on."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about eight megabytes of text, its last column; a longer text is alone."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + BYTES, "right")))
+        yield batch.slice(start, end - start)
+        start = end
 
-def frequent_words(docs: DataFrame, tokenizer: Tokenizer, limit: int = WORDS) -> list[str]:
-    """The ``limit`` most frequent words of all texts, ties by code point; words over 48 bytes are left out."""
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+
+def chunks(texts: pa.Array) -> pa.ListArray:
+    """What stands between ASCII white space in each text, A-Z in lower case; it may be empty at the ends.
+
+    Words never reach over white space, and what a chunk's words are does not depend on the chunks around it. Lower
+    case changes no word's ids, except where a text may have special tokens, which are told apart by case.
+    """
+    texts = pc.fill_null(texts, "")
+    return pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+
+
+def frequent_words(docs: DataFrame, limit: int = WORDS) -> list[str]:
+    """The most frequent chunks of all texts, up to ``limit``: all that occur as often as some number, twice at least.
+
+    Chunks over 48 bytes are left out. The number is found from a histogram of a few hundred rows, so that nothing is
+    sorted and no task meets more than its share.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        split = t.splitter()
-        held: Counter[str] = Counter()
-
-        def hand_on() -> pa.RecordBatch:
-            rows = [(w, n) for w, n in held.items() if len(w.encode()) <= LONGEST and w not in t.special]
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["word", "n"]
-            )
+        held: list[pa.Table] = []
+
+        def merged() -> pa.Table:
+            return pa.TableGroupBy(pa.concat_tables(held), "word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                held.update(split(text.as_py()))
-                if len(held) > HELD:
-                    yield hand_on()
+            for part in pieces(batch):
+                found = pc.value_counts(chunks(part.column(0)).flatten())
+                table = pa.table({"word": found.field(0), "n": found.field(1)})
+                size = pc.binary_length(table["word"])
+                held.append(table.filter(pc.and_(pc.greater(size, 0), pc.less_equal(size, LONGEST))))
+                if sum(map(len, held)) > HELD:
+                    held[:] = [merged()]
+                    if len(held[0]) > HELD // 2:
+                        yield from held.pop().to_batches(ROWS)
         if held:
-            yield hand_on()
+            yield from merged().to_batches(ROWS)
 
     counted = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(limit).select("word").toLocalIterator()]
+    counted = materialize(counted.where("n > 1"), "words")
+    steps = counted.groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least"))
+    least, total = None, 0
+    for row in sorted(steps.collect(), key=lambda r: -r["step"]):
+        total += row["words"]
+        if total > limit:
+            break
+        least = row["least"]
+    if least is None:
+        return []
+    return [r["word"] for r in counted.where(F.col("n") >= least).select("word").toLocalIterator()]
+
+
+class Merges:
+    """Merges many words side by side: one merge of each word at a step, so that all get shorter together."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        self.merge = tokenizer.merge
+        pairs = np.array([(a, b, rank) for (a, b), rank in tokenizer.ranks.items()], np.int64).reshape(-1, 3)
+        keys = pairs[:, 0] << 32 | pairs[:, 1]
+        order = np.argsort(keys)
+        self.keys, self.by_key = keys[order], pairs[order, 2]
+        self.made, self.none = np.array(tokenizer.made, np.int64), len(tokenizer.made)
+        self.inner, self.last = np.array(tokenizer.inner, np.int64), np.array(tokenizer.last, np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, ``none`` where there is no such merge or no right symbol."""
+        if not len(self.keys):
+            return np.full(left.shape, self.none)
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (right >= 0), self.by_key[at], self.none)
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and their numbers. Special tokens and long words are merged one by one."""
+        sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        rare = pc.or_(pc.starts_with(words, "<|"), pa.array(sizes > LONGEST)).to_numpy(zero_copy_only=False)
+        lengths, found = np.zeros(len(words), np.int64), []
+        for k in np.flatnonzero(rare):
+            own = self.merge(words[int(k)].as_py())
+            lengths[k] = len(own)
+            found.append((np.array([k]), np.array([own], np.int64)))
+        plain = np.flatnonzero(~rare & (sizes > 0))
+        plain = plain[np.argsort(sizes[plain], kind="stable")]
+        offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64) if len(words) else None
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8) if len(words) else None
+        # Words of about the same length lie in one block.
+        for block in np.array_split(plain, max(1, len(plain) >> 13)):
+            if len(block):
+                for rows, ids in self._block(block, offsets, data, sizes):
+                    lengths[rows] = ids.shape[1]
+                    found.append((rows, ids))
+        out, begins = np.empty(lengths.sum(), np.int64), np.cumsum(lengths) - lengths
+        for rows, ids in found:
+            out[begins[rows][:, None] + np.arange(ids.shape[1])] = ids
+        return out, lengths
+
+    def _block(self, rows: np.ndarray, offsets: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(rows, ids)`` of words with the same number of ids."""
+        size, width = sizes[rows], int(sizes[rows].max())
+        column = np.arange(width)
+        raw = data[np.minimum(offsets[rows][:, None] + column, len(data) - 1)]
+        ids = np.where(column == size[:, None] - 1, self.last[raw], self.inner[raw])
+        ids[column >= size[:, None]] = -1
+        ranks = self.ranks(ids[:, :-1], ids[:, 1:])
+        while True:
+            if ids.shape[1] > 1:
+                best = ranks.argmin(axis=1)
+                line = np.arange(len(rows))
+                lowest = ranks[line, best]
+                done = lowest == self.none
+            else:
+                done = np.ones(len(rows), bool)
+            if done.any():
+                number = (ids[done] >= 0).sum(axis=1)
+                for n in np.unique(number):
+                    same = number == n
+                    yield rows[done][same], ids[done][same][:, :n]
+                rows, ids = rows[~done], ids[~done]
+                if not len(rows):
+                    return
+                ranks, best, lowest = ranks[~done], best[~done], lowest[~done]
+                line = np.arange(len(rows))
+            # Every word left has a pair to merge: put in the new symbol, close the gap, look up the pairs beside it.
+            ids[line, best] = self.made[lowest]
+            column = np.arange(ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, column + (column > best[:, None]), 1)
+            column = column[:-1]
+            ranks = np.take_along_axis(ranks, column + (column >= best[:, None]), 1)
+            inside = np.flatnonzero(best < ids.shape[1] - 1)
+            ranks[inside, best[inside]] = self.ranks(ids[inside, best[inside]], ids[inside, best[inside] + 1])
+            inside = np.flatnonzero(best > 0)
+            ranks[inside, best[inside] - 1] = self.ranks(ids[inside, best[inside] - 1], ids[inside, best[inside]])
+
+
+class Encoder:
+    """Encodes batches of texts: the lexicon knows most chunks; of the others, words are looked up and else merged."""
+
+    def __init__(self, tokenizer: Tokenizer, compiled: bytes) -> None:
+        self.merges, self.split, self.lexicon = Merges(tokenizer), tokenizer.splitter(), Lexicon(compiled)
+        self.tokens = pa.array(tokenizer.tokens, pa.string())
+
+    def ids_of(self, distinct: pa.Array, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, or of words if ``whole``, one after another, and their numbers."""
+        lexicon, at = self.lexicon, self.lexicon.places(distinct)
+        known, other = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        lengths = np.zeros(len(at), np.int64)
+        first = lexicon.starts[at[known]]
+        lengths[known] = lexicon.starts[at[known] + 1] - first
+        unseen = distinct.take(pa.array(other))
+        merged, lengths[other] = self.merges(unseen) if whole else self.split_up(unseen)
+        ids, begins = np.empty(lengths.sum(), np.int32), np.cumsum(lengths) - lengths
+        ids[spread(begins[known], lengths[known])] = lexicon.ids[spread(first, lengths[known])]
+        ids[spread(begins[other], lengths[other])] = merged
+        return ids, lengths
+
+    def split_up(self, unseen: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks that the lexicon does not have, by their words."""
+        # Most chunks are split together, a line each; special tokens and letters of two units are looked at one by one.
+        rare = pc.match_substring_regex(unseen, r"<\||[\x{10000}-\x{10FFFF}]").to_numpy(zero_copy_only=False)
+        lines = self.split("".join([c + "\n" for c in unseen.filter(pa.array(~rare)).to_pylist()]), True)
+        alone = [[*self.split(c), "\n"] for c in unseen.filter(pa.array(rare)).to_pylist()]
+        words = pa.array(chain(lines, *alone), pa.string()).dictionary_encode()
+        ended = pc.equal(words.dictionary, "\n")
+        at, is_end = words.indices.to_numpy(), ended.to_numpy(zero_copy_only=False)
+        ids, lengths = self.ids_of(pc.if_else(ended, "", words.dictionary), True)
+        # Each chunk ends with a line end, which has no ids.
+        number = np.diff(np.cumsum(lengths[at])[is_end[at]], prepend=0)
+        order = np.concatenate((np.flatnonzero(~rare), np.flatnonzero(rare)))
+        own, begin = np.zeros((2, len(unseen)), np.int64)
+        own[order], begin[order] = number, np.cumsum(number) - number
+        flat = ids[spread((np.cumsum(lengths) - lengths)[at], lengths[at])]
+        return flat[spread(begin, own)], own
+
+    def encode(self, texts: pa.Array) -> tuple[pa.ListArray, pa.Array]:
+        """Ids and decoded text of each text."""
+        lists = chunks(texts)
+        coded = lists.flatten().dictionary_encode()
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        ids, lengths = self.ids_of(coded.dictionary)
+        begins = np.concatenate(([0], np.cumsum(lengths)))
+        # What each distinct chunk decodes to is put together once.
+        of_chunk = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids))
+        decoded = pc.binary_join(pa.ListArray.from_arrays(of_chunk.offsets, self.tokens.take(of_chunk.values)), " ")
+        at = coded.indices.to_numpy()
+        own = lengths[at]
+        ends = np.concatenate(([0], np.cumsum(own)))[offsets]
+        all_ids = pa.array(ids[spread(begins[at], own)])
+        # Chunks of nothing but rarer white space have no ids and take no part.
+        some = own > 0
+        places = np.concatenate(([0], np.cumsum(some)))[offsets]
+        text = pa.ListArray.from_arrays(pa.array(places, pa.int32()), decoded.take(pa.array(at[some])))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), all_ids), pc.binary_join(text, " ")
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer, lexicon: bytes, keep: list[str]) -> DataFrame:
@@ -308,43 +499,29 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, lexicon: bytes, keep: list[str
     shared = docs.sparkSession.sparkContext.broadcast((tokenizer, lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, compiled = shared.value
-        split, known = t.splitter(), Lexicon(compiled)
-        memo: dict[str, tuple[int, ...]] = {}
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(start, ROWS)
-                texts = [split(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-                if len(memo) > HELD:
-                    memo.clear()
-                new = list(set().union(*texts) - memo.keys())
-                for word, found in zip(new, known.find(new), strict=True):
-                    memo[word] = t.merge(word) if found is None else found
-                ids, ends, decoded = array("i"), [0], []
-                for words in texts:
-                    own = list(chain.from_iterable(map(memo.__getitem__, words)))
-                    ids.extend(own)
-                    ends.append(len(ids))
-                    decoded.append(decode_ids(own, t.tokens))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)) if ids else pa.array([], pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], lists, pa.array(decoded, pa.string())], names=[*keep, "ids", "decoded"]
-                )
+        encoder = Encoder(*shared.value)
+        for batch in batches:
+            for part in pieces(batch):
+                ids, decoded = encoder.encode(part.column(part.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, decoded], names=[*keep, "ids", "decoded"])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
     ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], ids, T.StructField("decoded", T.StringType())]))
 
 
-def decode_ids(ids, tokens: list[str]) -> str:
-    return " ".join([tokens[i] for i in ids])
+def lexicon_of(tokenizer: Tokenizer, found: list[str]) -> bytes:
+    """The compiled lexicon of chunks with the ids of their words."""
+    split, merged = tokenizer.splitter(), {}
+    for word in set(chain.from_iterable(map(split, found))):
+        merged[word] = tokenizer.merge(word)
+    return compile_lexicon({c: tuple(chain.from_iterable(merged[w] for w in split(c))) for c in found})
 
 
 def tokenize(docs: DataFrame, path: str, keep: list[str], words: int = WORDS) -> DataFrame:
-    """:func:`encode` with a lexicon of the texts' own frequent words."""
+    """:func:`encode` with a lexicon of the texts' own frequent chunks."""
     tokenizer = Tokenizer(path)
-    lexicon = compile_lexicon({w: tokenizer.merge(w) for w in frequent_words(docs, tokenizer, words)})
-    return encode(docs, tokenizer, lexicon, keep)
+    return encode(docs, tokenizer, lexicon_of(tokenizer, frequent_words(docs, words)), keep)
 
 
 def token_digests(encoded: DataFrame, keep: list[str]) -> DataFrame:
