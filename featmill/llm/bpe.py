@@ -334,7 +334,8 @@ def frequent_words(docs: DataFrame, limit: int = WORDS) -> list[str]:
             yield from merged().to_batches(ROWS)
 
     counted = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = materialize(counted.where("n > 1"), "words")
+    # Filtered as a written table: a condition here would have the optimiser follow it through all that docs comes from.
+    counted = materialize(counted, "words").where("n > 1")
     steps = counted.groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least"))
     least, total = None, 0
     for row in sorted(steps.collect(), key=lambda r: -r["step"]):

@@ -14,6 +14,14 @@ BLANK = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names`` with as many underscores before them as keep them apart from ``columns``, whatever their case."""
+    taken, mark = {c.lower() for c in columns}, ""
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def text_of(text: Column | str) -> Column:
     """The text, a null one as the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from featmill.llm.common import fresh
+
 # Rows of a profile; letters counted at a time; distinct n-grams a task holds before it hands them on.
 PROFILE, CHUNK, HELD = 300, 1 << 20, 1 << 19
 _MARK = 1
@@ -118,6 +120,7 @@ def predict_language(
     smaller name.
     """
     langs = sorted(profiles)
+    [whole] = fresh([*keep, *names], "text")
     tables = []
     for name in langs:
         order = np.argsort(profiles[name], kind="stable")
@@ -140,13 +143,13 @@ def predict_language(
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = _letter_table()
         for batch in batches:
-            found = [nearest(t, letters) for t in batch["_text"]]
+            found = [nearest(t, letters) for t in batch[whole]]
             out = batch[keep].copy()
             out[names[0]] = [f[0] for f in found]
             out[names[1]] = np.array([f[1] for f in found], float)
             yield out
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(whole))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return rows.mapInPandas(predict, schema)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featmill.llm.common import materialize, mixed, rolling, rows_once, text_of, word_hashes
+from featmill.llm.common import fresh, materialize, mixed, rolling, rows_once, text_of, word_hashes
 
 # Words in a shingle, permutations, permutations to a band, shingles evaluated at a time.
 SHINGLE, PERMUTATIONS, TO_BAND, CHUNK = 5, 48, 2, 1 << 15
@@ -312,14 +312,17 @@ def near_deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     same = ["id", "digest"]
     groups = _placed(docs, percent).groupBy(*same).agg(F.max("kept").alias("kept"), (F.max("n") > 0).alias("words"), F.count("*").alias("rows"))
     # Only what does not simply stay: rows of other documents, and rows of which one stays.
-    changed = groups.where("NOT kept OR (words AND rows > 1)").select(*[F.col(c).alias(f"_gone_{c}") for c in same], "kept")
-    changed = materialize(changed.withColumnRenamed("kept", "_gone_kept"), "changed")
-    repeated = changed.where("_gone_kept")
-    match = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (_digest() == F.col("_gone_digest"))
+    gone_id, gone_digest, gone_kept, gone_row = fresh(docs.columns, "gone_id", "gone_digest", "gone_kept", "gone_row")
+    changed = groups.where("NOT kept OR (words AND rows > 1)").select(
+        F.col("id").alias(gone_id), F.col("digest").alias(gone_digest), F.col("kept").alias(gone_kept)
+    )
+    changed = materialize(changed, "changed")
+    repeated = changed.where(F.col(gone_kept))
+    match = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (_digest() == F.col(gone_digest))
     rest = docs.join(changed, match, "left_anti")
     if repeated.isEmpty():
         return rest
     columns = [F.col(f"`{c}`") for c in docs.columns]
     hashed = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
-    one = docs.join(repeated, match).groupBy("_gone_id", "_gone_digest").agg(F.min_by(F.struct(*columns), hashed).alias("_gone_row"))
-    return rest.union(one.select("_gone_row.*"))
+    one = docs.join(repeated, match).groupBy(gone_id, gone_digest).agg(F.min_by(F.struct(*columns), hashed).alias(gone_row))
+    return rest.union(one.select(f"{gone_row}.*"))

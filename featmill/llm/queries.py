@@ -86,16 +86,19 @@ tp AS (SELECT n, label, is_base, runs, i AS t, array_to_string(words[i + 1:i + 3
   FROM t, unnest(range(runs)) u(i)),
 g AS (SELECT doc_id, i AS p, array_to_string(w[i + 1:i + 3], ' ') AS gram
   FROM d, unnest(range(greatest(len(w) - 2, 0))) u(i)),
-h AS (SELECT doc_id, n, label, is_base, runs, p - t AS diagonal, count(*) AS votes, min(t) AS lo, max(t) AS hi
-  FROM g JOIN tp USING (gram) GROUP BY ALL),
-m AS (SELECT *, CASE WHEN is_base OR coalesce(diagonal - lag(diagonal) OVER x > 4, true) THEN 1 ELSE 0 END AS fresh
+h AS (SELECT doc_id, n, label, is_base, runs, p - t AS diagonal, list(t) AS ts, min(t) AS lo, max(t) AS hi
+  FROM g JOIN tp USING (gram) GROUP BY doc_id, n, label, is_base, runs, p - t),
+-- Diagonals merge over a gap less than the notice is long, and at most 4; places of a base phrase stay apart.
+m AS (SELECT *, CASE WHEN is_base OR coalesce(diagonal - lag(diagonal) OVER x > least(4, runs + 1), true) THEN 1 ELSE 0 END AS fresh
   FROM h WINDOW x AS (PARTITION BY doc_id, n ORDER BY diagonal)),
 c AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, n ORDER BY diagonal) AS cluster FROM m),
-s AS (SELECT doc_id, n, label, is_base, runs, min(diagonal + lo) AS a, max(diagonal + hi + 2) AS z, sum(votes) AS found
-  FROM c GROUP BY doc_id, n, label, is_base, runs, cluster),
-k AS (SELECT doc_id, label, is_base, a, least(1.0::DOUBLE, found::DOUBLE / runs) AS cover FROM s
-  WHERE CASE WHEN is_base THEN found = runs
-        ELSE least(1.0::DOUBLE, found::DOUBLE / runs) >= 0.6::DOUBLE AND z - a + 1 <= (runs + 2) * 1.5 END)
+s AS (SELECT doc_id, n, label, is_base, runs, min(diagonal + lo) AS a, max(diagonal + hi + 2) AS z,
+  len(list_distinct(flatten(list(ts)))) AS found FROM c GROUP BY doc_id, n, label, is_base, runs, cluster),
+f AS (SELECT *, found::DOUBLE / runs AS cover FROM s
+  WHERE CASE WHEN is_base THEN found = runs ELSE found::DOUBLE / runs >= 0.6::DOUBLE AND z - a + 1 <= (runs + 2) * 1.5 END),
+-- Of notices that overlap, those of the highest coverage stay.
+k AS (SELECT * FROM f WHERE is_base OR NOT EXISTS (SELECT 1 FROM f o WHERE o.doc_id = f.doc_id AND NOT o.is_base
+  AND o.n <> f.n AND o.a <= f.z AND o.z >= f.a AND o.cover > f.cover))
 SELECT d.doc_id, len(w)::BIGINT AS n_words, count(k.doc_id) FILTER (is_base)::BIGINT AS n_base,
   (min(a) FILTER (is_base))::BIGINT AS first_word, (max(a) FILTER (is_base))::BIGINT AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base), '') AS base_labels,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from featmill.llm import bpe, language, quality
 from featmill.llm.fingerprints import add_fingerprint, fingerprint_text, likeness, next_documents, replace_end
-from featmill.llm.licenses import NOTICES, license_summary, scan_licenses
+from featmill.llm.licenses import BASE, NOTICES, license_summary, scan_licenses
 from featmill.llm.mixing import document_sizes, mix_documents, mix_plan
 from featmill.llm.neardup import connected, near_components, near_deduplicated
 from featmill.llm.pii import find_personal_data, personal_data_summary, redacted
@@ -116,6 +116,31 @@ def test_licenses_that_differ_in_one_word(make):
     assert got == want | {10: "cc-by-nc", 20: "all-rights-reserved", 21: "all-rights-reserved", 30: "cc-by,cc-by-nc"}
 
 
+def test_license_sql_gives_the_same_labels(make):
+    """Notices that differ in one word, edited, cut, overlapping and repeated ones, and whole licenses."""
+    import duckdb
+    import pandas as pd
+
+    from featmill.llm.queries import SQL
+
+    texts = [words for _, words in NOTICES] + [f"so {words} and so on" for _, words in BASE]
+    texts += [" ".join(w for k, w in enumerate(words.split()) if k % 9 != 4) for _, words in NOTICES]
+    texts += [words.replace(" the ", " this very ", 1) for _, words in NOTICES] + [words[: len(words) * 2 // 3] for _, words in NOTICES]
+    texts += [f"{a} {b}" for (_, a), (_, b) in zip(NOTICES, NOTICES[1:])]
+    texts += ["all rights reserved " * n + tail for n in (1, 2, 5) for tail in ("", "all rights", "x all rights reserved")]
+    texts += ["under the mit license " * 3, "under the mit license under the mit licence", "", "all rights", "Apache License, Version 2.0"]
+    rows = list(enumerate(texts))
+    got = license_summary(scan_licenses(make(rows)))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    result = con.execute(SQL["op4_license_scan"])
+    names = [d[0] for d in result.description]
+    want = {r[names.index("doc_id")]: dict(zip(names, r)) for r in result.fetchall()}
+    assert {r.doc_id: r.asDict() for r in got.collect()} == want
+    labels = [want[k]["labels"].split(",") for k in range(len(NOTICES))]
+    assert all(label in own for (label, _), own in zip(NOTICES, labels))
+
+
 def test_mix_reaches_targets(make):
     rows = [(k, "w " * (1 + k % 7), "en", f"s{k % 4}" if k % 3 else "s0") for k in range(400)]
     plan = mix_plan(document_sizes(make(rows))).collect()
@@ -300,3 +325,34 @@ def test_pipeline_keeps_clean_documents(spark, sf):
     assert clean.count() == once.count()
     assert personal_data_summary(find_personal_data(clean)).agg(F.sum(F.expr("n_email + n_ip + n_phone + n_card"))).first()[0] == 0
     assert clean.where("n_chars <> length(text)").count() == 0
+
+
+# Names that stages give their own columns, or would without the table's names in mind.
+STAGE_NAMES = (
+    "text_,_text,_like,_lang_pred,like,lang_pred,gone_id,gone_digest,gone_kept,gone_row,_gone_id,_gone_digest,_gone_row,"
+    "Gone_Row,Like,digest,set,row,rep,_id,_known,copy,_copy,_doc,_spans,_new,kept,ids,decoded,n_tokens,word,_key,_row,time"
+)
+
+
+def test_no_column_name_ends_a_stage(spark, make, odd_rows):
+    names = [n for n in dict.fromkeys(STAGE_NAMES.split(","))]
+    lower = {}
+    for n in names:
+        lower.setdefault(n.lower(), n)
+    docs, plain = make(odd_rows, ",".join(lower.values())), make(odd_rows)
+    for name, stage in corpus_pipeline.STAGES:
+        out, want = stage(spark, docs, ""), stage(spark, plain, "")
+        columns = want.columns
+        assert sorted(map(str, out.select(*columns).collect())) == sorted(map(str, want.collect()))
+        if name != "tokens":
+            assert out.columns == docs.columns
+            docs, plain = out, want
+
+
+def test_language_stage_keeps_texts_where_nothing_is_learned(spark, make):
+    rows = [(1, "clean words here", None, "a"), (2, "und noch ein Satz", None, "b"), (3, "1234 !", None, "a"), (4, None, None, "a"), (5, "Ελληνικά", None, "a")]
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    assert {r.doc_id for r in stage(spark, make(rows), "").collect()} == {1, 2, 5}
+    # One learned language: its letters are known, others are unlike it.
+    more = [(6, "clean words here and there", "en", "a")]
+    assert {r.doc_id for r in stage(spark, make(rows + more), "").collect()} >= {1, 6}

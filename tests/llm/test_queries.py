@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -170,3 +171,89 @@ def test_languages_of_held_out_documents(spark, sf, texts):
     assert all(r.held_out == held(i, 3, 1) and 0 <= r.score <= 1 for i, r in got.items())
     out = [r for r in got.values() if r.held_out]
     assert sum(r.lang_pred == langs[r.doc_id] for r in out) / len(out) > 0.97
+
+
+def test_quality_against_a_plain_learner(spark, sf, texts):
+    """Follow-the-regularised-leader with dictionaries, one slot at a time."""
+    import regex
+    import xxhash
+    from pyspark.sql import functions as F
+
+    from featmill.llm import quality
+
+    def plain_features(text):
+        tokens = regex.findall(r"[\p{L}\p{N}]+|[^ \t\n\x0b\f\r\p{L}\p{N}]+", text)
+        h = [xxhash.xxh64_intdigest(t.encode(), 42) for t in tokens]
+        most = (1 << 64) - 1
+        slots = [x >> 46 for x in h]
+        slots += [1 if a == b else ((((a * int(quality._PAIR)) & most) ^ (b >> 7)) * int(quality._PAIR) & most) >> 46 for a, b in zip(h, h[1:])]
+        found = Counter(slots)
+        return [(0, 1.0), *[(s, (n / len(slots)) ** 0.5) for s, n in sorted(found.items())]]
+
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if not held(r.doc_id, 5, 0)}
+    ids = spark.createDataFrame([(i,) for i in texts if i in labels], "doc_id bigint").withColumn("h", F.xxhash64("doc_id"))
+    order = [r.doc_id for r in sorted(ids.collect(), key=lambda r: (r.h, r.doc_id))]
+    assert len(order) < 2 * quality.SHARD  # one shard
+    share = sum(labels[i] for i in order) / len(order)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(s):
+        if abs(z[s]) <= quality.L1:
+            return 0.0
+        return -(z[s] - (1 if z[s] > 0 else -1) * quality.L1) / ((quality.BETA + n[s] ** 0.5) / quality.ALPHA + quality.L2)
+
+    def probability(row):
+        return 1 / (1 + math.exp(-sum(weight(s) * x for s, x in row)))
+
+    rows = {i: plain_features(texts[i]) for i in texts}
+    for _ in range(quality.PASSES):
+        for i in order:
+            c = 0.5 / share if labels[i] else 0.5 / (1 - share)
+            away = c * (probability(rows[i]) - labels[i])
+            # Slot 0 may be met twice: its weight counts as it was before the row.
+            before = [(s, x, weight(s), n[s]) for s, x in rows[i]]
+            for s, x, w, old in before:
+                g = away * x
+                z[s] += g - ((old + g * g) ** 0.5 - old**0.5) / quality.ALPHA * w
+                n[s] += g * g
+    got = {r.doc_id: r.score for r in QUERIES["op1_quality"](spark, sf).collect()}
+    assert max(abs(got[i] - probability(rows[i])) for i in texts) < 1e-3
+
+
+def test_languages_against_plain_rank_distances(spark, sf, texts):
+    """Counters of n-grams, ranks and out-of-place distances, one document at a time."""
+    from featmill.llm.language import PROFILE
+
+    def ngrams(text):
+        found = Counter()
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        for k, w in enumerate(words):
+            padded = f"\x01{w}\x01"
+            found.update(w)
+            found.update(padded[i : i + 2] for i in range(len(padded) - 1))
+            found.update(padded[i : i + 3] for i in range(len(padded) - 2))
+        return found
+
+    def code(gram):
+        value = 0
+        for c in gram:
+            value = value << 21 | ord(c)
+        return value
+
+    def ranked(counts):
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[:PROFILE]]
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()
+    totals = defaultdict(Counter)
+    for r in rows:
+        if r.lang is not None and not held(r.doc_id, 3, 1):
+            totals[r.lang].update(ngrams(texts[r.doc_id]))
+    profiles = {lang: {g: k for k, g in enumerate(ranked(c))} for lang, c in totals.items() if c}
+    got = {r.doc_id: r for r in QUERIES["op10_language_id"](spark, sf).collect()}
+    for i, text in texts.items():
+        own = ranked(ngrams(text))
+        if not own:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        away, lang = min((sum(abs(p[g] - k) if g in p else PROFILE for k, g in enumerate(own)), lang) for lang, p in profiles.items())
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(1 - away / (PROFILE * len(own)), abs=1e-12)
