@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 import featmill
 from featmill.llm import bpe, language, mixing, neardup, pii
-from featmill.llm.common import materialize
+from featmill.llm.common import fresh, materialize
 from featmill.llm.queries import word_vocabulary
 
 cloudpickle.register_pickle_by_value(featmill)
@@ -29,10 +29,17 @@ LEAST_LIKE, SIMILARITY = 0.1, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; a null or letterless text is in none."""
+    """Documents in a language; a null or letterless text is in none.
+
+    Where no document has both a language and letters, nothing can be learned, and every text with a letter stays. A text
+    in letters that no profile has is unlike every profile and goes.
+    """
     profiles = language.learn_profiles(docs)
-    judged = language.predict_language(docs, profiles, docs.columns, names=("_lang_pred", "_like"))
-    return judged.where((F.col("_lang_pred") != "und") & (F.col("_like") >= LEAST_LIKE)).drop("_lang_pred", "_like")
+    if not profiles:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    predicted, like = fresh(docs.columns, "lang_pred", "like")
+    judged = language.predict_language(docs, profiles, docs.columns, names=(predicted, like))
+    return judged.where((F.col(predicted) != "und") & (F.col(like) >= LEAST_LIKE)).drop(predicted, like)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
