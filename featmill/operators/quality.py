@@ -10,18 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featmill.functions.naming import member_column, sample_key
-from featmill.operators.ordinals import number_rows
-from featmill.sources.tarshards import _filesystem, count_members, payload_tasks, shard_of
+from featmill.sources.tarshards import _filesystem, count_members, shard_of, spread_files
 
 
 def list_shard_files(spark: SparkSession, path: str, pattern: str = "*.tar") -> DataFrame:
-    """``(shard, path, length)`` of the shard files below ``path``; their content is not read."""
+    """``(shard, path, length, modified)`` of the shard files below ``path``; their content is not read."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .load(path)
-        .select(shard_of(spark, path).alias("shard"), "path", "length")
+        .select(shard_of(spark, path).alias("shard"), "path", "length", F.unix_micros("modificationTime").alias("modified"))
     )
 
 
@@ -47,11 +46,7 @@ def shard_integrity(files: DataFrame, planned: DataFrame | None = None) -> DataF
                 rows.append((shard, error is None, members, error))
             yield pd.DataFrame(rows, columns=["shard", "ok", "n", "error"])
 
-    checked = (
-        files.select("shard", "path")
-        .repartition(payload_tasks(files.sparkSession), "path")
-        .mapInPandas(check, "shard string, ok boolean, n bigint, error string")
-    )
+    checked = spread_files(files, "shard", "path").mapInPandas(check, "shard string, ok boolean, n bigint, error string")
     if planned is None:
         return checked
     return planned.select("shard").join(checked, "shard", "left").select(
@@ -93,9 +88,11 @@ def column_coverage(members: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def nth_member(members: DataFrame, positions: Sequence[int]) -> DataFrame:
-    """Members at the given 0-based positions of each shard's name order; adds ``pos``."""
-    placed = number_rows(members, ["shard"], ["member"], ordinal="pos")
-    return placed.where(F.col("pos").isin([int(p) for p in positions]))
+    """Members at the given 0-based positions of each shard's name order, as ``pos``.
+
+    Listings know the positions (``ordinal``): nothing is shuffled or written.
+    """
+    return members.where(F.col("ordinal").isin([int(p) for p in positions])).withColumnRenamed("ordinal", "pos")
 
 
 def feature_diff(stored: DataFrame, again: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:

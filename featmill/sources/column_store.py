@@ -6,6 +6,8 @@ opens the columns, datasets and splits it needs; a shard range is pruned by the
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -76,3 +78,53 @@ def write_bucketed(df: DataFrame, table: str, path: str, keys: list[str], bucket
         .sortBy(*keys)
         .saveAsTable(table)
     )
+
+
+# What the columns of a bucketed store are dealt out by, all of them alike.
+BUCKET_KEYS = ("dataset", "key")
+
+
+def write_buckets(df: DataFrame, root: str, column: str, buckets: int) -> None:
+    """Store a column of samples in ``buckets`` buckets by (dataset, key), below ``<root>/<column>.b<buckets>``.
+
+    Columns of one number of buckets join without moving a payload; :func:`read_buckets` knows the number from the name.
+    """
+    path = f"{root}/{column}.b{buckets}"
+    write_bucketed(df, _table_name(path), path, list(BUCKET_KEYS), buckets)
+
+
+def _table_name(path: str) -> str:
+    return f"featmill_{hashlib.md5(path.encode()).hexdigest()}"
+
+
+def read_buckets(spark: SparkSession, root: str, column: str) -> DataFrame | None:
+    """A column stored by :func:`write_buckets`, by this session or another; None where there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{column}.b*"))
+    names = sorted(status.getPath().getName() for status in found or [])
+    names = [n for n in names if n.removeprefix(f"{column}.b").isdigit()]
+    if not names:
+        return None
+    if len(names) > 1:
+        raise ValueError(f"{column} is stored in several numbers of buckets: {names}")
+    path, buckets = f"{root}/{names[0]}", int(names[0].removeprefix(f"{column}.b"))
+    table = _table_name(path)
+    if not spark.catalog.tableExists(table):
+        # The files carry their bucket in their names; the session only has to be told that they do.
+        schema = spark.read.parquet(path).schema
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        keys = ", ".join(BUCKET_KEYS)
+        spark.sql(
+            f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS"
+            f" LOCATION '{path}'"
+        )
+    return spark.table(table)
+
+
+def open_column(spark: SparkSession, root: str, column: str, split: str | None = None) -> DataFrame:
+    """A column, bucketed where it is stored so, of one split if it is named."""
+    found = read_buckets(spark, root, column)
+    if found is None:
+        return read_column(spark, root, column, split=split)
+    return found if split is None else found.where(F.col("split") == split)

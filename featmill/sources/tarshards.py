@@ -6,14 +6,25 @@ walks the 512-byte member headers, which seeks over the payloads, and reads the
 start inside its own range. One oversized shard therefore is read by many tasks, and no task ever holds a
 whole shard.
 
-Options: ``path``; ``pattern``, shell-style on the file name, e.g. ``*-train.tar`` (default ``*.tar``);
+A listing also gives each member's ``ordinal``, its position in the name order of its shard, which the task that
+walks the shard knows by itself; it is null where bytes are read, because several tasks may share a shard then.
+
+With the option ``pushdown``, filters on ``shard``, ``member``, ``offset``, ``size`` and, in listings, ``ordinal`` are pushed down: shards that
+cannot match are not opened, and of other members no byte is read. It is off by default, because Spark 4.1 keeps one set of
+pushed filters per DataFrame read from a Python source: it is right for a DataFrame that is used once in a plan and always
+under the same filters, and wrong for one that is joined with itself under others. ``pattern`` and ``members`` belong to the
+source itself and are always safe.
+
+Options: ``path``; ``pattern``, shell-style on the file name, e.g. ``*-train.tar`` (default ``*.tar``); ``members``, shell-style
+on the member name, which listings also count by (default ``*``);
 ``payload=false`` to list members without touching their bytes (``data`` is null; :func:`fetch_members` reads
 the bytes of chosen members afterwards); ``splitBytes``, the most one task reads (default 512 MiB);
 ``parallelism``, the least number of tasks to aim for. Small shards are packed together, each counted with
 the cost of opening it.
 
 Writing expects ``shard``, ``member`` and ``data`` with the rows of a shard next to each other in one task;
-:func:`write_shards` arranges that. Each shard is written under a name no reader lists and renamed when
+:func:`write_shards` arranges that. Shards of one file name in different folders are filled side by side, so one pass
+over a shard's samples can write several sets of them. Each shard is written under a name no reader lists and renamed when
 complete, so a lost or repeated task leaves no half shard behind.
 """
 
@@ -22,7 +33,7 @@ from __future__ import annotations
 import fnmatch
 import tarfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from io import BytesIO
 
@@ -33,14 +44,27 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualNullSafe,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
     InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    Not,
+    StringContains,
+    StringEndsWith,
+    StringStartsWith,
     WriterCommitMessage,
 )
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from featmill.session import qualified
 
-SCHEMA = "shard string, member string, offset bigint, size bigint, data binary"
+SCHEMA = "shard string, member string, offset bigint, size bigint, ordinal bigint, data binary"
 # A batch is handed to Spark at this many rows or bytes, whichever comes first.
 BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
 # Opening a shard counts like reading this many bytes.
@@ -126,16 +150,67 @@ def pack_ranges(
     return packed
 
 
+# What a pushed filter asks of a value that is never null.
+_ASKS = {
+    EqualTo: lambda v, x: v == x,
+    EqualNullSafe: lambda v, x: v == x,
+    GreaterThan: lambda v, x: v > x,
+    GreaterThanOrEqual: lambda v, x: v >= x,
+    LessThan: lambda v, x: v < x,
+    LessThanOrEqual: lambda v, x: v <= x,
+    In: lambda v, x: v in x,
+    StringStartsWith: lambda v, x: v.startswith(x),
+    StringEndsWith: lambda v, x: v.endswith(x),
+    StringContains: lambda v, x: x in v,
+    IsNotNull: lambda v, x: True,
+}
+
+
+def asked(f: Filter, columns: tuple[str, ...]) -> tuple[str, Callable] | None:
+    """``(column, test)`` of a filter on one of ``columns``; None for one that Spark has to apply itself."""
+    if isinstance(f, Not):
+        inner = asked(f.child, columns)
+        return None if inner is None or isinstance(f.child, IsNotNull) else (inner[0], lambda v: not inner[1](v))
+    test = _ASKS.get(type(f))
+    if test is None or len(f.attribute) != 1 or f.attribute[0].lower() not in columns:
+        return None
+    value = getattr(f, "value", None)
+    if value is None and not isinstance(f, IsNotNull):
+        return None
+    if isinstance(f, In):
+        if any(x is None for x in value):
+            return None
+        value = set(value)
+    return f.attribute[0].lower(), lambda v: test(v, value)
+
+
 class TarShardReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.pattern = options.get("pattern", "*.tar")
+        self.members = options.get("members", "*")
         self.payload = options.get("payload", "true").lower() == "true"
+        self.pushdown = options.get("pushdown", "false").lower() == "true"
         self.split_bytes = int(options.get("splitbytes", 512 << 20))
         self.parallelism = int(options.get("parallelism", 8))
+        self.filters: list[Filter] = []
+
+    def _columns(self) -> tuple[str, ...]:
+        return ("shard", "member", "offset", "size", *(() if self.payload else ("ordinal",)))
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if not self.pushdown or asked(f, self._columns()) is None:
+                yield f
+            else:
+                self.filters.append(f)
+
+    def _tests(self, *columns: str) -> list[tuple[str, Callable]]:
+        return [a for a in (asked(f, self._columns()) for f in self.filters) if a[0] in columns]
 
     def partitions(self):
-        shards = list_shards(self.path, self.pattern)
+        tests = self._tests("shard")
+        shards = [(s, size) for s, size in list_shards(self.path, self.pattern) if all(test(s) for _, test in tests)]
         if not self.payload:
             # Headers alone are one cheap walk per shard, whatever its size.
             return pack_ranges([(shard, 0) for shard, _ in shards], self.split_bytes, self.parallelism, split=False)
@@ -145,17 +220,31 @@ class TarShardReader(DataSourceReader):
         if partition is None:
             return
         files, base = _filesystem(self.path)
+        by_header, by_place = self._tests("member", "offset", "size"), self._tests("ordinal")
+
+        def wanted(info) -> bool:
+            values = {"member": info.name, "offset": info.offset_data, "size": info.size}
+            return all(test(values[c]) for c, test in by_header)
+
         rows, held = [], 0
         for shard, start, end in partition.ranges:
             with files.open_input_file(f"{base.rstrip('/')}/{shard}") as handle:
+                if not self.payload:
+                    # Numbered before anything is filtered away.
+                    for ordinal, info in enumerate(named_members(handle, self.members)):
+                        if wanted(info) and all(test(ordinal) for _, test in by_place):
+                            rows.append((shard, info.name, info.offset_data, info.size, ordinal, None))
+                            if len(rows) >= BATCH_ROWS:
+                                yield _batch(rows)
+                                rows = []
+                    continue
                 for tar, info in walk_members(handle):
-                    if self.payload and info.offset >= end:
+                    if info.offset >= end:
                         break
-                    if info.offset < start:
+                    if info.offset < start or not fnmatch.fnmatchcase(info.name, self.members) or not wanted(info):
                         continue
-                    data = tar.extractfile(info).read() if self.payload else None
-                    rows.append((shard, info.name, info.offset_data, info.size, data))
-                    held += info.size if self.payload else 0
+                    rows.append((shard, info.name, info.offset_data, info.size, None, tar.extractfile(info).read()))
+                    held += info.size
                     if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
                         yield _batch(rows)
                         rows, held = [], 0
@@ -163,17 +252,27 @@ class TarShardReader(DataSourceReader):
             yield _batch(rows)
 
 
+def named_members(handle, pattern: str = "*") -> list[tarfile.TarInfo]:
+    """Headers of the members whose names match, in name order; those of one name in file order.
+
+    One archive's headers are held at a time.
+    """
+    found = [info for _, info in walk_members(handle) if fnmatch.fnmatchcase(info.name, pattern)]
+    return sorted(found, key=lambda info: info.name.encode("utf-8", "surrogateescape"))
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    shard, member, offset, size, data = zip(*rows, strict=True)
+    shard, member, offset, size, ordinal, data = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(shard, pa.string()),
             pa.array(member, pa.string()),
             pa.array(offset, pa.int64()),
             pa.array(size, pa.int64()),
+            pa.array(ordinal, pa.int64()),
             pa.array(data, pa.binary()),
         ],
-        names=["shard", "member", "offset", "size", "data"],
+        names=["shard", "member", "offset", "size", "ordinal", "data"],
     )
 
 
@@ -193,6 +292,41 @@ def publish(files, part: str, final: str) -> None:
         files.move(part, final)
 
 
+def fill_archives(
+    files, base: str, iterator: Iterator[pa.RecordBatch], arranged: bool = True
+) -> Iterator[tuple[str, str, int]]:
+    """Write rows to archives under names that no reader lists; gives ``(shard, name, members)`` of each that is complete.
+
+    Shards of one file name in several folders fill side by side; one of another file name completes those before it. Rows that
+    are not ``arranged`` keep all their shards open to the end.
+    """
+    opened: dict[str, list] = {}
+
+    def complete() -> Iterator[tuple[str, str, int]]:
+        for name, (part, stream, tar, members) in opened.items():
+            tar.close()
+            stream.close()
+            yield name, part, members
+        opened.clear()
+
+    for batch in iterator:
+        columns = [batch.column(batch.schema.get_field_index(c)) for c in ("shard", "member", "data")]
+        for i in range(batch.num_rows):
+            shard, member, data = (column[i].as_py() for column in columns)
+            if shard not in opened:
+                if arranged and any(name.rsplit("/", 1)[-1] != shard.rsplit("/", 1)[-1] for name in opened):
+                    yield from complete()
+                part = f"{base}/{shard}.{uuid.uuid4().hex}.part"
+                files.create_dir(part.rsplit("/", 1)[0], recursive=True)
+                stream = files.open_output_stream(part)
+                opened[shard] = [part, stream, tarfile.open(fileobj=stream, mode="w|"), 0]
+            info = tarfile.TarInfo(member)
+            info.size = len(data)
+            opened[shard][2].addfile(info, BytesIO(data))
+            opened[shard][3] += 1
+    yield from complete()
+
+
 class TarShardWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -200,33 +334,11 @@ class TarShardWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> ShardsWritten:
         files, base = _filesystem(self.path)
         base = base.rstrip("/")
-        shards = members = 0
-        name = part = stream = tar = None
-
-        def finish():
-            tar.close()
-            stream.close()
-            publish(files, part, f"{base}/{name}")
-
-        for batch in iterator:
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("shard", "member", "data")]
-            for i in range(batch.num_rows):
-                shard, member, data = (column[i].as_py() for column in columns)
-                if shard != name:
-                    if name is not None:
-                        finish()
-                    name, part = shard, f"{base}/{shard}.{uuid.uuid4().hex}.part"
-                    files.create_dir(part.rsplit("/", 1)[0], recursive=True)
-                    stream = files.open_output_stream(part)
-                    tar = tarfile.open(fileobj=stream, mode="w|")
-                    shards += 1
-                info = tarfile.TarInfo(member)
-                info.size = len(data)
-                tar.addfile(info, BytesIO(data))
-                members += 1
-        if name is not None:
-            finish()
-        return ShardsWritten(shards, members)
+        shards = total = 0
+        for shard, part, members in fill_archives(files, base, iterator):
+            publish(files, part, f"{base}/{shard}")
+            shards, total = shards + 1, total + members
+        return ShardsWritten(shards, total)
 
 
 class TarShards(DataSource):
@@ -243,14 +355,34 @@ class TarShards(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> TarShardWriter:
         return TarShardWriter(self.options)
 
+    def streamReader(self, schema: StructType):
+        from featmill.sources.tarstream import TarShardStreamReader
+
+        return TarShardStreamReader(self.options)
 
-def read_shards(spark: SparkSession, path: str, pattern: str = "*.tar", payload: bool = True) -> DataFrame:
-    """One row per member of the shards below ``path``."""
+    def streamWriter(self, schema: StructType, overwrite: bool):
+        from featmill.sources.tarstream import TarShardStreamWriter
+
+        return TarShardStreamWriter(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``tarshards`` known to the session, and let sources take filters where they are asked to."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TarShards)
+
+
+def read_shards(
+    spark: SparkSession, path: str, pattern: str = "*.tar", payload: bool = True, members: str = "*", pushdown: bool = False
+) -> DataFrame:
+    """One row per member, whose name matches ``members``, of the shards below ``path``."""
+    register(spark)
     return (
         spark.read.format("tarshards")
         .option("pattern", pattern)
+        .option("members", members)
         .option("payload", str(payload).lower())
+        .option("pushdown", str(pushdown).lower())
         .option("parallelism", spark.sparkContext.defaultParallelism)
         .load(qualified(spark, path))
     )
@@ -278,8 +410,23 @@ def shard_of(spark: SparkSession, root: str) -> Column:
     return F.replace(F.col("path"), F.lit(qualified(spark, root).rstrip("/") + "/"), F.lit(""))
 
 
+# Shards whose headers one task walks.
+TASK_SHARDS = 16
+
+
+def spread_files(files: DataFrame, *columns: str) -> DataFrame:
+    """``(columns...)`` of shard files, dealt out to tasks by their number, at least one for each core while there are files."""
+    spark = files.sparkSession
+    rows = files.select(*columns)
+    if files.isStreaming:
+        return rows.repartition(payload_tasks(spark), columns[-1])
+    number = rows.count()
+    tasks = max(1, min(number, max(spark.sparkContext.defaultParallelism, -(-number // TASK_SHARDS))))
+    return rows.repartition(tasks, columns[-1])
+
+
 def list_members(files: DataFrame) -> DataFrame:
-    """``(shard, member, offset, size)`` of the given shard files ``(shard, path)``, from their headers.
+    """``(shard, member, offset, size, ordinal)`` of the given shard files ``(shard, path)``, from their headers.
 
     Like a listing by :func:`read_shards`, for shards that a query has chosen.
     """
@@ -289,18 +436,15 @@ def list_members(files: DataFrame) -> DataFrame:
             names = batch.schema.names
             for shard, path in zip(*(batch.column(names.index(c)).to_pylist() for c in ("shard", "path")), strict=True):
                 handles, local = _filesystem(path)
-                rows = []
                 with handles.open_input_file(local) as handle:
-                    for _, info in walk_members(handle):
-                        rows.append((shard, info.name, info.offset_data, info.size, None))
-                        if len(rows) >= BATCH_ROWS:
-                            yield _batch(rows).drop_columns(["data"])
-                            rows = []
-                if rows:
+                    found = named_members(handle)
+                for start in range(0, len(found), BATCH_ROWS):
+                    part = enumerate(found[start : start + BATCH_ROWS], start)
+                    rows = [(shard, info.name, info.offset_data, info.size, k, None) for k, info in part]
                     yield _batch(rows).drop_columns(["data"])
 
-    spread = files.select("shard", "path").repartition(payload_tasks(files.sparkSession), "path")
-    return spread.mapInArrow(walk, "shard string, member string, offset bigint, size bigint")
+    spread = spread_files(files, "shard", "path")
+    return spread.mapInArrow(walk, "shard string, member string, offset bigint, size bigint, ordinal bigint")
 
 
 def arrange(members: DataFrame, shard: str = "shard", member: str = "member") -> DataFrame:
@@ -362,20 +506,25 @@ def fetch_members(members: DataFrame, path: str, shard: str = "shard", arranged:
 
 
 def fetch_files(files: DataFrame, path: str = "path") -> DataFrame:
-    """Add the bytes of whole files as ``data``, in the tasks and order the rows are in."""
+    """Add the bytes of whole files as ``data``, in the tasks and order the rows are in.
+
+    Sizes are asked for first, so that a task holds no more than ``FETCH_BYTES`` at a time, or one larger file.
+    """
     schema = StructType([*files.schema.fields, StructField("data", BinaryType())])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                names = part.schema.names
-                data = []
-                for name in part.column(names.index(path)).to_pylist():
-                    handles, local = _filesystem(name)
-                    with handles.open_input_stream(local) as stream:
-                        data.append(stream.read())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=[*names, "data"])
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                some = batch.slice(start, BATCH_ROWS)
+                places = [_filesystem(name) for name in some.column(some.schema.names.index(path)).to_pylist()]
+                sizes = [handles.get_file_info(local).size or 0 for handles, local in places]
+                for begin, end in bounded_runs(sizes):
+                    data = []
+                    for handles, local in places[begin:end]:
+                        with handles.open_input_stream(local) as stream:
+                            data.append(stream.read())
+                    part = some.slice(begin, end - begin)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=[*part.schema.names, "data"])
 
     return files.mapInArrow(fetch, schema)
 
@@ -387,7 +536,7 @@ def write_shards(df: DataFrame, path: str, existing: DataFrame | None = None, ar
     Unless the rows are ``arranged`` already, they are shuffled by shard first.
     """
     spark = df.sparkSession
-    spark.dataSource.register(TarShards)
+    register(spark)
     if existing is not None:
         if arranged:
             raise ValueError("leave finished shards out before arranging the others")
@@ -397,6 +546,7 @@ def write_shards(df: DataFrame, path: str, existing: DataFrame | None = None, ar
         "member",
         F.lit(None).cast("bigint").alias("offset"),
         F.length("data").cast("bigint").alias("size"),
+        F.lit(None).cast("bigint").alias("ordinal"),
         "data",
     )
     if not arranged:

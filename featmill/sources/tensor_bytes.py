@@ -95,20 +95,30 @@ def decode_features(data: Column, c: int, h: int, w: int) -> Column:
     return decode(data)
 
 
-def encode_features(embedding: Column, c: int, h: int, w: int, cls: Column | None = None, bf16: bool = False):
-    """Safetensors bytes of an embedding ``[c, h, w]`` and, where given, a class token."""
+def encode_features(
+    embedding: Column, c: int, h: int, w: int, cls: Column | None = None, bf16: bool = False, pooled: Column | None = None,
+    size: tuple[int, int] | None = None,
+) -> Column:
+    """Safetensors bytes of an embedding ``[c, h, w]`` and, where given, of a class token and a pooled one.
+
+    With ``size`` the embedding is stored as ``[c, *size]``, each cell the nearest one's value.
+    """
+    rows, columns = (np.arange(s) * n // s for s, n in zip(size or (h, w), (h, w), strict=True))
 
     @F.pandas_udf(BinaryType())
-    def encode(values: pd.Series, token: pd.Series) -> pd.Series:
+    def encode(values: pd.Series, token: pd.Series, pooled_token: pd.Series) -> pd.Series:
         blobs = []
-        for v, t in zip(values, token, strict=True):
-            tensors = {"embedding": np.asarray(v, dtype=np.float32).reshape(c, h, w)}
-            if t is not None:
-                tensors["cls_token"] = np.asarray(t, dtype=np.float32)
+        for v, *tokens in zip(values, token, pooled_token, strict=True):
+            whole = np.asarray(v, dtype=np.float32).reshape(c, h, w)
+            tensors = {"embedding": whole if size is None else whole[:, rows][:, :, columns]}
+            for name, t in zip(("cls_token", "pooled_cls_token"), tokens, strict=True):
+                if t is not None:
+                    tensors[name] = np.asarray(t, dtype=np.float32)
             blobs.append(save_tensors(tensors, bf16))
         return pd.Series(blobs)
 
-    return encode(embedding, F.lit(None).cast("array<float>") if cls is None else cls)
+    none = F.lit(None).cast("array<float>")
+    return encode(embedding, none if cls is None else cls, none if pooled is None else pooled)
 
 
 @F.pandas_udf(IMAGE_TYPE)

@@ -11,11 +11,8 @@ from pyspark.sql.types import StructType
 
 from featmill.operators.meters import METER, meter_avg
 from featmill.operators.stats import channel_stats
-from featmill.sources.tarshards import fetch_members, list_members, shard_of
-
-# Schema of Spark's binaryFile source.
-FILE = "path string, modificationTime timestamp, length bigint, content binary"
-
+from featmill.session import qualified
+from featmill.sources.tarshards import register
 
 def stream_shards(
     spark: SparkSession, path: str, schema: StructType, max_files: int | None = None
@@ -28,19 +25,44 @@ def stream_shards(
 
 
 def stream_archives(
-    spark: SparkSession, path: str, pattern: str = "*.tar", max_files: int | None = None
+    spark: SparkSession, path: str, log: str, pattern: str = "*.tar", max_shards: int | None = None, members: str = "*"
 ) -> DataFrame:
-    """Tar shards arriving below ``path`` as a stream of members ``(shard, member, offset, size, data)``.
+    """Tar shards arriving below ``path`` as a stream of members ``(shard, member, offset, size, ordinal, data)``.
 
-    The stream carries file names only; archives are walked and members fetched by the tasks of a trigger.
-    Shards appear under their name when complete, so none is picked up half written.
+    ``log`` is a folder of the query's own, beside its checkpoint; it remembers which shards have been offered
+    (:mod:`featmill.sources.tarstream`). Shards appear under their name when complete, so none is picked up half written.
     """
-    reader = spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", pattern)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    files = reader.option("recursiveFileLookup", "true").load(path)
-    named = files.select(shard_of(spark, path).alias("shard"), "path")
-    return fetch_members(list_members(named), path, arranged=True)
+    register(spark)
+    return (
+        spark.readStream.format("tarshards")
+        .option("log", qualified(spark, log))
+        .option("pattern", pattern)
+        .option("members", members)
+        .option("maxShards", max_shards or 0)
+        .option("parallelism", spark.sparkContext.defaultParallelism)
+        .load(qualified(spark, path))
+    )
+
+
+def drain_archives(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write all that has arrived of ``(shard, member, data)`` as tar shards below ``path`` and stop.
+
+    A trigger's shards carry its number, ``<shard>-<trigger>.tar``, and appear when the trigger is committed; one that is repeated
+    leaves no second copy. Members come in the order in which they arrive.
+    """
+    spark = stream.sparkSession
+    register(spark)
+    none = F.lit(None).cast("bigint")
+    rows = stream.select("shard", "member", none.alias("offset"), none.alias("size"), none.alias("ordinal"), "data")
+    query = (
+        rows.repartition("shard")
+        .writeStream.format("tarshards")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start(qualified(spark, path))
+    )
+    query.awaitTermination()
+    return query
 
 
 def stream_channel_stats(shards: DataFrame, tensor: str, c: int, n_tokens: int, by: Sequence[str] = ()) -> DataFrame:
@@ -66,15 +88,22 @@ def drain(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return query
 
 
+# Versions of a table that are kept.
+KEPT = 2
+
+
 def drain_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep the complete result of a streaming aggregation as a Parquet table, replaced at every trigger.
 
     Each trigger writes its own folder ``v=<batch>``; :func:`latest` reads the newest. A repeated trigger
-    overwrites its own folder only.
+    overwrites its own folder only. The newest two versions are kept.
     """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        # A reader may still be at the version before; older ones go.
+        hadoop = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/v={batch_id - KEPT}")
+        hadoop.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
     query = (
         stream.writeStream.outputMode("complete")

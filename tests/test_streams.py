@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from featmill.operators.stats import channel_stats
+from featmill.sources.tarshards import read_shards, register, write_shards
+from featmill.sources.tarstream import TarShardStreamWriter
 from featmill.streaming import shards as st
 
 
@@ -60,3 +65,69 @@ def test_extraction_survives_a_crash(spark, features, tmp_path):
     rows = spark.read.parquet(out).collect()
     assert sorted(r["id"] for r in rows) == list(range(300))
     assert all(r["y"] == 2 * r["id"] for r in rows)
+
+
+def documents(spark, first, last):
+    rows = [(f"s{i % 4}-{i // 8}.tar", f"m{i:04d}.txt", f"{i}".encode() * 40) for i in range(first, last)]
+    return spark.createDataFrame(rows, "shard string, member string, data binary")
+
+
+def test_arriving_archives_are_read_once_after_a_broken_trigger(spark, tmp_path):
+    arrived, out, progress, log = (str(tmp_path / n) for n in ("in", "out", "progress", "log"))
+    write_shards(documents(spark, 0, 16), arrived)
+    stream = st.stream_archives(spark, arrived, log, max_shards=3)
+    broken = stream.withColumn("member", F.when(F.col("member") == "m0005.txt", F.raise_error(F.lit("lost"))).otherwise(F.col("member")))
+    with pytest.raises(Exception, match="lost"):
+        st.drain(broken.select("shard", "member", "data"), out, progress)
+    # More arrive, one of them under a name and with a time before those that have been read.
+    write_shards(documents(spark, 16, 40), arrived)
+    os.utime(f"{arrived}/s0-2.tar", (1, 1))
+    for _ in range(8):
+        st.drain(st.stream_archives(spark, arrived, log, max_shards=3).select("shard", "member", "data"), out, progress)
+    got = spark.read.parquet(out).collect()
+    want = documents(spark, 0, 40).collect()
+    assert sorted((r.shard, r.member, bytes(r.data)) for r in got) == sorted((r.shard, r.member, bytes(r.data)) for r in want)
+
+
+def test_a_log_is_needed(spark, tmp_path):
+    register(spark)
+    with pytest.raises(Exception, match="option log"):
+        spark.readStream.format("tarshards").load(str(tmp_path)).writeStream.format("noop").trigger(availableNow=True).option(
+            "checkpointLocation", str(tmp_path / "c")
+        ).start().awaitTermination()
+
+
+def test_a_repeated_trigger_leaves_no_second_copy(spark, tmp_path):
+    writer = TarShardStreamWriter({"path": str(tmp_path)})
+    batch = pa.RecordBatch.from_pydict({"shard": ["a.tar", "a.tar", "b.tar"], "member": ["1", "2", "1"], "data": [b"x", b"y", b"z"]})
+    first = writer.write(iter([batch]))
+    assert not [n for n in os.listdir(tmp_path) if n.endswith(".tar")]
+    writer.commit([first, None], 4)
+    # The driver was lost before it noted the commit: the trigger runs again.
+    writer.commit([writer.write(iter([batch]))], 4)
+    assert sorted(os.listdir(tmp_path)) == ["a-000004.tar", "b-000004.tar"]
+    assert read_shards(spark, str(tmp_path)).count() == 3
+    # A task that failed leaves nothing; one shard from two tasks is refused.
+    writer.abort([writer.write(iter([batch]))], 5)
+    with pytest.raises(ValueError, match="several tasks"):
+        writer.commit([writer.write(iter([batch])), writer.write(iter([batch]))], 6)
+    assert sorted(os.listdir(tmp_path)) == ["a-000004.tar", "b-000004.tar"]
+
+
+def test_stream_to_shards(spark, tmp_path):
+    arrived, out, progress, log = (str(tmp_path / n) for n in ("in", "out", "progress", "log"))
+    for first, last in ((0, 10), (10, 20), (20, 20)):
+        if last > first:
+            write_shards(documents(spark, first * 8, last * 8), arrived)
+        st.drain_archives(st.stream_archives(spark, arrived, log, members="m0*"), out, progress)
+    got = read_shards(spark, out).select("member", "data").collect()
+    assert sorted((r.member, bytes(r.data)) for r in got) == [(f"m{i:04d}.txt", f"{i}".encode() * 40) for i in range(160)]
+
+
+def test_old_versions_of_a_table_go(spark, features, tmp_path):
+    arrived, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for k in range(4):
+        features.where(F.col("shard_idx") == k % 3).write.mode("append").parquet(arrived)
+        st.drain_table(st.stream_channel_stats(st.stream_shards(spark, arrived, features.schema), "x", 2, 2), out, progress)
+    assert len([n for n in os.listdir(out) if n.startswith("v=")]) == st.KEPT
+    assert st.latest(spark, out).agg(F.sum("n")).first()[0] == 2 * 2 * 400
