@@ -52,6 +52,32 @@ def buffer_shuffle(
     return placed.withColumn("position", position).drop("_ord", "_buffer")
 
 
+# Parts of a position, or of the mean gap of the heaviest dataset, that hashed delays and gaps are counted in.
+_PARTS, _TICKS = 1 << 20, 1 << 24
+
+
+def sliding_shuffle(
+    df: DataFrame, order: Sequence[str], key: str, seed: int, buffer: int = 1000, rank: int = 0, epoch: int = 0
+) -> DataFrame:
+    """Shuffle as a buffer of ``buffer`` rows does that a stream runs through; adds ``position``.
+
+    A row that enters a full buffer waits there until it is drawn, which happens to it with a chance of one in ``buffer`` at every
+    step: a delay of ``buffer`` rows on average, without an end. Here each row gets its delay from its own key, exponentially
+    distributed with that mean, and rows are ordered by position plus delay, all at once. Both are whole numbers of
+    parts of a position, so the result is the same under any partitioning. Rows leave the neighbourhood they came from,
+    which those of :func:`buffer_shuffle` never do.
+    """
+    delay = -F.log(seeded_uniform(seed, F.lit(rank), F.lit(epoch), F.col(key))) * float(buffer * _PARTS)
+    placed = number_rows(df, order=order, ordinal="_ord")
+    due = placed.withColumn("_due", F.col("_ord") * _PARTS + F.floor(delay)).drop("_ord")
+    return number_rows(due, order=["_due", key], ordinal="position").drop("_due")
+
+
+def _ticks(u: Column) -> Column:
+    """A gap of a stream of rate ``_w`` as a whole number; the heaviest stream has rate 1."""
+    return F.floor(-F.log(u) / F.col("_w") * float(_TICKS)).cast("decimal(24,0)")
+
+
 def _race(
     df: DataFrame, weights: DataFrame, dataset: str, order: Sequence[str], key: str, seed: int
 ) -> DataFrame:
@@ -59,12 +85,14 @@ def _race(
 
     The next arrival over all streams belongs to a live stream with probability proportional to its weight,
     and a stream that has ended simply stops, which leaves the others with renormalised weights. The gap
-    before a sample comes from the sample's own key, so it needs no position and one pass gives all. Adds
-    ``_j`` (rank in the dataset), ``_n`` (its size), ``_w`` and ``_t`` (arrival time).
+    before a sample comes from the sample's own key, so it needs no position and one pass gives all. Times are
+    whole numbers, whose sums do not depend on how rows are dealt out. Adds ``_j`` (rank in the dataset), ``_n`` (its
+    size), ``_w`` (its rate) and ``_t`` (arrival time).
     """
-    rates = materialize(weights.where(F.col("weight") > 0).select(F.col(dataset), F.col("weight").alias("_w")), "rates")
-    gap = -F.log(seeded_uniform(seed, F.col(dataset), F.col(key))) / F.col("_w")
-    stepped = df.join(rates, dataset).withColumn("_gap", gap)
+    rates = materialize(weights.where(F.col("weight") > 0).select(F.col(dataset), F.col("weight").cast("double").alias("_w")), "rates")
+    # The largest weight, unlike their sum, is the same whatever the order of the rows.
+    rates = rates.withColumn("_w", F.col("_w") / rates.agg(F.max("_w").alias("_top")).scalar())
+    stepped = df.join(rates, dataset).withColumn("_gap", _ticks(seeded_uniform(seed, F.col(dataset), F.col(key))))
     return number_rows(stepped, [dataset], order, ordinal="_j", size="_n", running={"_t": "_gap"}).drop("_gap")
 
 
@@ -90,7 +118,7 @@ def mix_first_exhausted(
     """The same interleave up to the first draw from a dataset that has nothing left."""
     raced = _race(df, weights, dataset, order, key, seed)
     # The draw that finds nothing is one more arrival after the dataset's last sample.
-    extra = -F.log(seeded_uniform(seed, F.col(dataset), F.lit("end"))) / F.col("_w")
+    extra = _ticks(seeded_uniform(seed, F.col(dataset), F.lit("end")))
     ends = raced.where(F.col("_j") == F.col("_n") - 1).select((F.col("_t") + extra).alias("_end"))
     stop = ends.agg(F.min("_end").alias("_stop"))
     kept = raced.where(F.col("_t") < stop.scalar())

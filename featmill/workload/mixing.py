@@ -52,14 +52,28 @@ def buffer_shuffle(spark, sf):
     return out.select("event_id", "position")
 
 
+@query(
+    "sliding_shuffle",
+    """WITH placed AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS o FROM events),
+due AS (SELECT event_id, o * 1048576 + floor(-ln((('0x' || substr(md5('11:2:3:' || event_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+  / 4294967296.0::DOUBLE) * 1048576000.0::DOUBLE)::BIGINT AS due FROM placed)
+SELECT event_id, row_number() OVER (ORDER BY due, event_id) - 1 AS position FROM due""",
+)
+def sliding_shuffle(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "ts")
+    out = x.sliding_shuffle(events, ["ts", "event_id"], "event_id", _SEED, buffer=1000, rank=2, epoch=3)
+    return out.select("event_id", "position")
+
+
 # Mix weights by event type (the mix of a run is a short list).
 _WEIGHTS = {"click": 2.0, "view": 1.0, "purchase": 0.5, "signup": 1.0, "error": 0.25}
+# The heaviest stream, of weight 2, has rate 1; gaps are whole numbers of ticks.
+_TICKS_SQL = """floor(-ln((('0x' || substr(md5('11:' || event_type || ':' || {}), 1, 8))::BIGINT + 0.5::DOUBLE)
+  / 4294967296.0::DOUBLE) / (w / 2.0::DOUBLE) * 16777216.0::DOUBLE)::DECIMAL(24,0)"""
 _RACE_SQL = f"""weights(event_type, w) AS (VALUES {",".join(f"('{k}',{v}::DOUBLE)" for k, v in _WEIGHTS.items())}),
 placed AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS j,
   count(*) OVER (PARTITION BY event_type) AS n FROM events),
-gaps AS (SELECT *, -ln((('0x' || substr(md5('11:' || event_type || ':' || event_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / w AS gap,
-  -ln((('0x' || substr(md5('11:' || event_type || ':end'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / w AS extra
-  FROM placed JOIN weights USING (event_type)),
+gaps AS (SELECT *, {_TICKS_SQL.format("event_id")} AS gap, {_TICKS_SQL.format("'end'")} AS extra FROM placed JOIN weights USING (event_type)),
 raced AS (SELECT *, sum(gap) OVER (PARTITION BY event_type ORDER BY j) AS t FROM gaps)"""
 
 

@@ -63,6 +63,43 @@ def test_buffer_shuffle_stays_in_the_buffer(spark):
     assert sum(r["id"] == r["position"] for r in out) < 30
 
 
+def test_sliding_shuffle_delays_like_a_buffer(spark):
+    n, buffer = 40_000, 1000
+    rows = x.sliding_shuffle(spark.range(n), ["id"], "id", seed=1, buffer=buffer).collect()
+    assert sorted(r["position"] for r in rows) == list(range(n))
+    # Away from the ends, delays less their mean: exponential, so half of the rows come before ln 2 of it, and a
+    # seventh wait longer than two buffers.
+    away = [r["position"] - r["id"] + buffer for r in rows if 5000 <= r["id"] < n - 10_000]
+    assert abs(sum(away) / len(away) - buffer) < 60
+    assert abs(sum(a < buffer * 0.6931 for a in away) / len(away) - 0.5) < 0.03
+    assert abs(sum(a > 2 * buffer for a in away) / len(away) - 0.1353) < 0.02
+    # Most leave their block of 1,000, which a shuffle within buffers never lets them.
+    assert sum(r["id"] // buffer != r["position"] // buffer for r in rows) > n / 2
+
+
+def test_any_partitioning_gives_the_same_order(spark):
+    """A million samples of weights from 1e-6 to 1e6 on few and on many partitions."""
+    names = [f"d{k:02d}" for k in range(13)]
+    heavy = spark.createDataFrame([(d, 10.0 ** (k - 6)) for k, d in enumerate(names)], "dataset string, weight double")
+    df = spark.range(1_000_000).select(F.concat(F.lit("d"), F.lpad((F.col("id") % 13).cast("string"), 2, "0")).alias("dataset"), "id")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    sums = []
+    try:
+        for parts in (3, 61):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            rows, w = df.repartition(parts), heavy.repartition(min(parts, 13))
+            made = []
+            for mix in (x.mix_all_exhausted, x.mix_first_exhausted):
+                mixed = mix(rows, w, "dataset", ["id"], "id", seed=7)
+                made.append(mixed.agg(F.count("*"), F.sum(F.xxhash64("dataset", "id", "mix_rank").cast("decimal(38,0)"))).first())
+            shuffled = x.sliding_shuffle(rows.select("id"), ["id"], "id", seed=7, buffer=500)
+            made.append(shuffled.agg(F.sum(F.xxhash64("id", "position").cast("decimal(38,0)"))).first())
+            sums.append([tuple(m) for m in made])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sums[0] == sums[1] and sums[0][0][0] == 1_000_000
+
+
 def test_epoch_limit_rounds_up_to_whole_steps(spark):
     mixed = spark.range(1000).withColumnRenamed("id", "mix_rank")
     expected = spark.sql("SELECT 100.5D AS expected")
