@@ -17,7 +17,7 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -318,9 +318,10 @@ def bf16_values(bits: np.ndarray) -> np.ndarray:
     return (bits.astype(np.uint32) << 16).view(np.float32)
 
 
-@F.pandas_udf(ArrayType(FloatType()))
-def bf16_round(tensor: pd.Series) -> pd.Series:
-    """Round every element to the nearest bfloat16 value."""
-    return tensor.map(
-        lambda v: None if v is None else bf16_values(bf16_bits(np.asarray(v, dtype=np.float32)))
-    )
+@F.arrow_udf(ArrayType(FloatType()))
+def bf16_round(tensor: pa.Array) -> pa.Array:
+    """Round every element to the nearest bfloat16 value, all tensors of an Arrow batch at once."""
+    flat = tensor.values.cast(pa.float32())
+    rounded = bf16_values(bf16_bits(flat.to_numpy(zero_copy_only=False)))
+    values = pa.array(rounded, pa.float32(), mask=flat.is_null().to_numpy(zero_copy_only=False) if flat.null_count else None)
+    return pa.ListArray.from_arrays(tensor.offsets, values, mask=tensor.is_null() if tensor.null_count else None)

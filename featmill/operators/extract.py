@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from featmill.functions.tensors import resize_nearest
 
@@ -34,6 +34,69 @@ def model_family(model: str) -> str:
     raise NotImplementedError(f"model {model} is not supported")
 
 
+def outputs_of(model: str) -> tuple[str, ...]:
+    """Tensors that a model, by its file-system name, has to return; a model of no known family returns its embedding."""
+    try:
+        return OUTPUTS[model_family(model)]
+    except NotImplementedError:
+        return ("embedding",)
+
+
+def stored_sets(model: str, c: int, h: int, w: int) -> dict[str, tuple[int, int, int]]:
+    """``{name: [c, h, w]}`` of the feature sets stored for a model; the first is the model's own."""
+    try:
+        sides = STORED_SIZE.get(model_family(model), (None,))
+    except NotImplementedError:
+        sides = (None,)
+    return {
+        model if side is None or len(sides) == 1 else f"{model}_{side}": (c, h, w) if side is None else (c, side, side)
+        for side in sides
+    }
+
+
+def extract_tensors(
+    df: DataFrame,
+    image: str,
+    make_model: Callable[[], Callable[[np.ndarray], Mapping[str, np.ndarray]]],
+    input_shape: Sequence[int],
+    outputs: Sequence[str],
+    tensors: str = "tensors",
+    batch_size: int = 8,
+) -> DataFrame:
+    """Run a user model once over every sample; adds the struct ``tensors`` with one flat array for each of ``outputs``.
+
+    ``make_model`` is called once per Python worker and returns a function from a stacked batch ``[b, *input_shape]`` to named
+    tensors ``[b, ...]``, or to one tensor where there is one output. A model that returns other names than
+    ``outputs``, or a tensor of another number of samples, ends the job.
+    """
+    names = list(outputs)
+
+    def make_predict():
+        model = make_model()
+
+        def predict(images: np.ndarray) -> dict[str, np.ndarray]:
+            found = model(images)
+            if not isinstance(found, Mapping):
+                found = {names[0]: found} if len(names) == 1 else {}
+            if set(found) != set(names):
+                raise ValueError(f"the model has to return {names}, not {sorted(found)}")
+            flat = {name: np.asarray(found[name], dtype=np.float32) for name in names}
+            for name, values in flat.items():
+                if len(values) != len(images):
+                    raise ValueError(f"{len(values)} tensors {name} for {len(images)} images")
+            return {name: values.reshape(len(images), -1) for name, values in flat.items()}
+
+        return predict
+
+    run = predict_batch_udf(
+        make_predict,
+        return_type=StructType([StructField(name, ArrayType(FloatType())) for name in names]),
+        batch_size=batch_size,
+        input_tensor_shapes=[list(input_shape)],
+    )
+    return df.withColumn(tensors, run(F.col(image)))
+
+
 def extract_features(
     df: DataFrame,
     image: str,
@@ -67,14 +130,10 @@ def extract_features(
 
 def stored_embeddings(embedding: Column, model: str, c: int, h: int, w: int) -> dict[str, Column]:
     """What is stored for a model: its embedding, resized as its family requires, by column name."""
-    out = {}
-    for side in STORED_SIZE.get(model_family(model), (None,)):
-        if side is None:
-            out[model] = embedding
-        else:
-            name = model if STORED_SIZE[model_family(model)] == (side,) else f"{model}_{side}"
-            out[name] = resize_nearest(embedding, c, h, w, side, side)
-    return out
+    return {
+        name: embedding if shape == (c, h, w) else resize_nearest(embedding, c, h, w, *shape[1:])
+        for name, shape in stored_sets(model, c, h, w).items()
+    }
 
 
 def stored_rows(df: DataFrame, models: Sequence[str], c: int, h: int, w: int) -> DataFrame:

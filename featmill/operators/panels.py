@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,19 +34,105 @@ def token_rows(df: DataFrame, keys: Sequence[str], tokens: str, c: int, n_tokens
     return unroll(df, keys, vectors, "token", "vector")
 
 
-def fit_pca(tokens: DataFrame, k: int = 3) -> Projection:
-    """Fit ``k`` components on all token vectors.
+# Bytes of co-moment matrices that a fit may shuffle; it decides how many tasks read the tokens.
+MOMENT_BYTES = 16 << 30
 
-    Only channel means and the component matrix reach the driver. Each component's sign is fixed by
-    making its largest loading positive.
+
+@dataclass
+class CoMoments:
+    """Number of vectors, their mean, and the sum of products of their deviations; mergeable."""
+
+    n: int
+    mean: np.ndarray
+    c: np.ndarray
+
+    @classmethod
+    def of(cls, rows: np.ndarray) -> CoMoments:
+        mean = rows.mean(axis=0)
+        away = rows - mean
+        return cls(len(rows), mean, away.T @ away)
+
+    def merged(self, other: CoMoments) -> CoMoments:
+        if len(self.mean) != len(other.mean):
+            raise ValueError(f"vectors of {len(self.mean)} and of {len(other.mean)} channels")
+        n, gap = self.n + other.n, other.mean - self.mean
+        self.c += other.c
+        self.c += np.outer(gap, gap) * (self.n * other.n / n)
+        return CoMoments(n, self.mean + gap * (other.n / n), self.c)
+
+
+def co_moments(df: DataFrame, tokens: str, c: int | None = None) -> CoMoments | None:
+    """Co-moments of all token vectors, from one scan; None without any.
+
+    ``tokens`` holds flat tensors ``[n_tokens, c]`` of any number of tokens, or one vector a row where ``c`` is not given. A null is
+    passed over; a tensor that is no multiple of ``c``, or vectors of several lengths, end the job. Each task adds up one
+    matrix while its rows pass by; matrices meet in about the square root of their number of tasks and then in one, one
+    at a time.
     """
-    vectors = tokens.select(array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
-    means = vectors.select(Summarizer.mean(F.col("v"))).first()[0].toArray()
-    loadings = PCA(k=k, inputCol="v", outputCol="p").fit(vectors).pc.toArray()
-    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
-    return Projection(
-        tuple(float(m) for m in means), tuple(tuple(map(float, row)) for row in (loadings * signs).T)
-    )
+    spark = df.sparkSession
+    width = c
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            # Any null ones are passed over by taking values through the offsets of the others.
+            column = batch.column(0).drop_null()
+            sizes = np.diff(column.offsets.to_numpy())
+            if not len(sizes):
+                continue
+            most = width or int(sizes.max())
+            if (sizes % most).any() or (width is None and (sizes != most).any()):
+                raise ValueError(f"tensors of sizes {sorted(set(sizes.tolist()))[:5]} for {most} channels")
+            rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, most)
+            if len(rows):
+                total = CoMoments.of(rows) if total is None else total.merged(CoMoments.of(rows))
+        if total is not None:
+            yield _moment_batch(total)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for n, mean, products in zip(*(batch.column(k) for k in range(3)), strict=True):
+                mean = np.frombuffer(mean.as_py())
+                part = CoMoments(n.as_py(), mean, np.frombuffer(products.as_py()).reshape(len(mean), -1).copy())
+                total = part if total is None else total.merged(part)
+        if total is not None:
+            yield _moment_batch(total)
+
+    kind = "n bigint, mean binary, products binary"
+    side = 8 * (c or 1) ** 2
+    tasks = max(spark.sparkContext.defaultParallelism, MOMENT_BYTES // side)
+    parts = df.select(tokens).coalesce(int(min(tasks, 1 << 20))).mapInArrow(add, kind)
+    middle = max(1, math.isqrt(spark.sparkContext.defaultParallelism))
+    found = parts.repartition(middle).mapInArrow(meet, kind).repartition(1).mapInArrow(meet, kind).collect()
+    if not found:
+        return None
+    mean = np.frombuffer(found[0]["mean"])
+    return CoMoments(found[0]["n"], mean, np.frombuffer(found[0]["products"]).reshape(len(mean), -1))
+
+
+def _moment_batch(total: CoMoments) -> pa.RecordBatch:
+    columns = [pa.array([total.n], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (total.mean, total.c)]]
+    return pa.RecordBatch.from_arrays(columns, names=["n", "mean", "products"])
+
+
+def principal(moments: CoMoments, k: int = 3) -> Projection:
+    """The ``k`` directions of greatest variance. Each one's sign is fixed by making its largest loading positive."""
+    values, vectors = np.linalg.eigh(moments.c)
+    loadings = vectors[:, np.argsort(-values, kind="stable")[:k]]
+    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
+    return Projection(tuple(map(float, moments.mean)), tuple(tuple(map(float, row)) for row in (loadings * signs).T))
+
+
+def fit_pca(tokens: DataFrame, k: int = 3, column: str = "vector", c: int | None = None) -> Projection:
+    """Fit ``k`` components on all token vectors, in one scan; see :func:`co_moments`.
+
+    One matrix of ``c`` by ``c`` reaches the driver. Without any vector there is nothing to fit, an error.
+    """
+    moments = co_moments(tokens, column, c)
+    if moments is None:
+        raise ValueError("no vectors to fit")
+    return principal(moments, k)
 
 
 def project(tokens: DataFrame, fit: Projection) -> DataFrame:
@@ -110,8 +195,9 @@ def pca_rgb(
     Tokens whose first component is below ``threshold`` are background and black; the others are scaled
     per component over the whole foreground.
     """
+    # Whole tensors are fitted as they are; only the projection takes tokens apart.
+    fit = fit or fit_pca(df, 3, tokens, c)
     rows = token_rows(df, keys, tokens, c, n_tokens)
-    fit = fit or fit_pca(rows)
     projected = project(rows, fit).drop("vector")
     scaled = minmax_scale(
         projected.withColumns({"r": F.col("pc1"), "g": F.col("pc2"), "b": F.col("pc3")}),

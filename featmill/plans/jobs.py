@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyarrow.fs import FileType
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featmill.functions.naming import (
@@ -26,13 +26,14 @@ from featmill.functions.naming import (
 from featmill.operators import extract as ex
 from featmill.operators import quality as q
 from featmill.operators.columns import merge_columns, resume_pending
-from featmill.operators.mixing import buffer_shuffle, epoch_limit, mix_all_exhausted, pick_shards, sample_per_shard
-from featmill.operators.ordinals import number_rows, shard_assign, split_assign, split_totals, subsample_global
+from featmill.operators.mixing import epoch_limit, mix_all_exhausted, pick_shards, sample_per_shard, sliding_shuffle
+from featmill.operators.ordinals import number_rows, shard_assign, split_assign, split_totals, subsample_listed
 from featmill.operators.stats import channel_stats, normalize_model
 from featmill.plans.catalog import mix_concat, mix_entries, mix_weights
 from featmill.session import materialize, qualified
-from featmill.sources.column_store import read_column
+from featmill.sources.column_store import open_column
 from featmill.sources.files import read_image_folder, read_stats, write_splits, write_stats
+from featmill.sources.member_index import indexed_members, indexed_report
 from featmill.sources.tarshards import (
     _filesystem,
     arrange,
@@ -50,10 +51,15 @@ VIDEO_RATES = {"ego4d": 150, "ssv2": 32, "epic_kitchen": 60}
 
 @dataclass(frozen=True)
 class Extractor:
-    """A user model: ``make()`` returns a function from pixel batches ``[b, h, w, 3]`` to ``[b, c, h, w]``."""
+    """A user model: ``make()`` returns a function from pixel batches ``[b, h, w, 3]`` to the tensors of its family.
+
+    The family follows from the model's name and says which tensors those are (``operators.extract.OUTPUTS``): an
+    ``embedding`` ``[b, c, h, w]`` and, for some, ``cls_token`` and ``pooled_cls_token`` ``[b, n]``. Models of no known family return an
+    embedding.
+    """
 
     model: str
-    make: Callable[[], Callable[[np.ndarray], np.ndarray]]
+    make: Callable[[], Callable[[np.ndarray], np.ndarray | Mapping[str, np.ndarray]]]
     input_shape: tuple[int, int, int]
     output_shape: tuple[int, int, int]
     batch_size: int = 8
@@ -62,11 +68,29 @@ class Extractor:
     def column(self) -> str:
         return self.model.replace("/", "_").lower()
 
+    @property
+    def sets(self) -> dict[str, tuple[int, int, int]]:
+        """Feature sets stored for the model, with the shapes of their embeddings; the model's own comes first."""
+        return ex.stored_sets(self.column, *self.output_shape)
+
     def run(self, images: DataFrame) -> DataFrame:
-        """``embedding`` for rows whose ``data`` is a stored image."""
+        """The tensors, one column each, for rows whose ``data`` is a stored image."""
         decoded = images.withColumn("_px", decode_images("data")["px"]).drop("data")
         floats = decoded.withColumn("_px", F.col("_px").cast("array<float>"))
-        return ex.extract_features(floats, "_px", self.make, self.input_shape, "embedding", self.batch_size).drop("_px")
+        outputs = ex.outputs_of(self.column)
+        found = ex.extract_tensors(floats, "_px", self.make, self.input_shape, outputs, "_tensors", self.batch_size)
+        return found.select("*", *[F.col(f"_tensors.{name}") for name in outputs]).drop("_px", "_tensors")
+
+    def encoded(self, found: DataFrame, bf16: bool) -> list[Column]:
+        """Structs ``(name, data)``: the bytes stored in each set for rows of :meth:`run`."""
+        tokens = [F.col(name) if name in found.columns else None for name in ("cls_token", "pooled_cls_token")]
+        out = []
+        for k, (name, shape) in enumerate(self.sets.items()):
+            # Resized copies hold the embedding only.
+            cls, pooled = tokens if k == 0 else (None, None)
+            data = encode_features(F.col("embedding"), *self.output_shape, cls=cls, bf16=bf16, pooled=pooled, size=shape[1:])
+            out.append(F.struct(F.lit(name).alias("name"), data.alias("data")))
+        return out
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -76,11 +100,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return files.get_file_info(local).type != fs.FileType.NotFound
 
 
+def index_of(path: str) -> str:
+    """Where the member index of the shards in a dataset's folder ``path`` is kept."""
+    root, _, folder = path.rstrip("/").rpartition("/")
+    return f"{root}/_index/{folder}"
+
+
 def shard_report(spark: SparkSession, path: str) -> DataFrame:
-    """Integrity of the shards below ``path``; none if there is no such folder."""
+    """Integrity of the shards below ``path``; none if there is no such folder. Shards are walked once, and when they change."""
     if not _exists(spark, path):
         return spark.createDataFrame([], "shard string, ok boolean, n bigint, error string")
-    return q.shard_integrity(q.list_shard_files(spark, path))
+    return indexed_report(q.list_shard_files(spark, path), index_of(path))
 
 
 def _arranged(samples: DataFrame, name, path: str) -> DataFrame:
@@ -118,9 +148,9 @@ def subsample_videos(
             raise NotImplementedError(f"{dataset} has no default rate")
         rate = VIDEO_RATES[dataset]
     target = f"{root}/{dataset}_1in{rate}/images"
-    frames = read_shards(spark, archives, payload=False).drop("data").where(F.col("member").contains(".jpg"))
-    kept = subsample_global(frames, "shard", ["member"], rate).withColumnRenamed("ordinal", "_at")
-    placed = shard_assign(kept.drop("_at", "member"), ["shard", "frame_idx"], samples_per_shard)
+    frames = materialize(read_shards(spark, archives, payload=False, members="*.jpg*").drop("data"), "frames")
+    kept = subsample_listed(frames, "shard", "ordinal", rate)
+    placed = shard_assign(kept.drop("member"), ["shard", "frame_idx"], samples_per_shard)
     video = F.replace(F.col("shard"), F.lit(".tar"), F.lit(""))
     keyed = placed.withColumn("key", video_frame_key(video, F.col("frame_idx")))
     name = F.format_string("%s-%06d.tar", F.lit(f"{dataset}_1in{rate}"), "shard_idx")
@@ -169,22 +199,35 @@ def extract_dataset(
     spark: SparkSession, root: str, dataset: str, extractor: Extractor, split: str = "train", start: int = 0,
     num: int = -1, samples_per_shard: int = 1000, bf16: bool = True,
 ) -> None:
-    """Extract a model's features for every image shard of a split that has no complete feature shard yet.
+    """Extract a model's features for every image shard of a split that lacks a complete shard in one of the model's sets.
+
+    The sets are folders beside ``images``: the model's own, with all tensors of its family, and resized copies where
+    the family has them. One pass over the images writes all of them.
 
     ``start`` and ``num`` restrict the samples, rounded out to whole shards.
     """
-    images, features = f"{root}/{dataset}/images", f"{root}/{dataset}/{extractor.column}"
-    files = q.list_shard_files(spark, images, f"*-{split}.tar").select("shard", "path")
+    images, target = f"{root}/{dataset}/images", f"{root}/{dataset}"
+    files = q.list_shard_files(spark, images, f"*-{split}.tar")
     ranked = number_rows(files, order=["shard"], ordinal="_idx", size="_shards")
     first, end = shard_range(start, num, F.col("_shards") * samples_per_shard, samples_per_shard)
-    wanted = ranked.where((F.col("_idx") >= first) & (F.col("_idx") < end)).select("shard", "path")
-    pending = resume_pending(wanted, shard_report(spark, features).where("ok"), ["shard"])
-    # A shard's images are fetched, extracted and written in one task; only the listing is shuffled.
-    rows = fetch_members(arrange(list_members(pending)), images, arranged=True)
+    wanted = ranked.where((F.col("_idx") >= first) & (F.col("_idx") < end)).drop("_idx", "_shards")
+    done = None
+    for name in extractor.sets:
+        complete = shard_report(spark, f"{target}/{name}").where("ok").select("shard")
+        done = complete if done is None else done.join(complete, "shard", "left_semi")
+    pending = resume_pending(wanted, done, ["shard"])
+    # A shard's images are fetched, extracted and written in one task, to all sets at once; only the listing is shuffled.
+    listed = indexed_members(materialize(pending, "pending"), index_of(images))
+    rows = fetch_members(arrange(listed), images, arranged=True)
     found = extractor.run(rows.select("shard", sample_key(F.col("member")).alias("key"), "data"))
-    data = encode_features(F.col("embedding"), *extractor.output_shape, bf16=bf16)
-    member = F.concat("key", F.lit(f".{extractor.column}.safetensors"))
-    write_shards(found.select("shard", member.alias("member"), data.alias("data")), features, arranged=True)
+    stored = found.select("shard", "key", F.array(*extractor.encoded(found, bf16)).alias("_sets")).select("shard", "key", F.inline("_sets"))
+    write_shards(
+        stored.select(
+            F.concat_ws("/", "name", "shard").alias("shard"), F.concat("key", F.lit("."), "name", F.lit(".safetensors")).alias("member"), "data"
+        ),
+        target,
+        arranged=True,
+    )
 
 
 def feature_statistics(
@@ -221,45 +264,46 @@ def check_dataset(
         return q.list_shard_files(spark, path, f"*-{split}.tar").select("shard", "path")
 
     def positions(chosen: DataFrame) -> DataFrame:
-        return number_rows(list_members(chosen), ["shard"], ["member"], ordinal="pos")
+        return list_members(chosen).withColumnRenamed("ordinal", "pos")
 
     # Shards are chosen by name, so only the headers of those are read.
     chosen = materialize(pick_shards(files(images), "shard", seed, shards), "chosen")
     sample = materialize(sample_per_shard(positions(chosen), "shard", "member", seed, per_shard), "sample")
     out = None
     for extractor in extractors:
-        path = f"{root}/{dataset}/{extractor.column}"
-        listed = positions(files(path).join(chosen.select("shard"), "shard", "left_semi"))
-        stored = fetch_members(listed.join(sample.select("shard", "pos"), ["shard", "pos"], "left_semi"), path)
-        stored = stored.select(
-            "shard",
-            "pos",
-            F.lit(extractor.model).alias("model"),
-            sample_key(F.col("member")).alias("feature_key"),
-            decode_features(F.col("data"), *extractor.output_shape)["embedding"].alias("embedding"),
-        )
         again = extractor.run(fetch_members(sample, images)).select(
             "shard", "pos", sample_key(F.col("member")).alias("image_key"), "embedding"
         )
-        c, h, w = extractor.output_shape
-        again = again.withColumn("embedding", _as_stored(F.col("embedding"), c, h, w))
-        again = again.withColumn("model", F.lit(extractor.model))
-        diff = q.feature_diff(stored, again, ["shard", "pos"], ["model", "shard"])
-        keys = (
-            again.select("shard", "pos", "image_key")
-            .join(stored.select("shard", "pos", "feature_key"), ["shard", "pos"], "full_outer")
-            .groupBy("shard")
-            .agg(F.bool_and(F.col("image_key").eqNullSafe(F.col("feature_key"))).alias("keys_ok"))
-        )
-        # A sampled shard without features has a row too: all its samples are missing.
-        part = diff.join(keys, "shard").withColumn("passed", F.col("equal") & F.col("keys_ok"))
-        out = part if out is None else out.unionByName(part)
+        for name, shape in extractor.sets.items():
+            path = f"{root}/{dataset}/{name}"
+            model = extractor.model + name.removeprefix(extractor.column)
+            listed = positions(files(path).join(chosen.select("shard"), "shard", "left_semi"))
+            stored = fetch_members(listed.join(sample.select("shard", "pos"), ["shard", "pos"], "left_semi"), path)
+            stored = stored.select(
+                "shard",
+                "pos",
+                F.lit(model).alias("model"),
+                sample_key(F.col("member")).alias("feature_key"),
+                decode_features(F.col("data"), *shape)["embedding"].alias("embedding"),
+            )
+            as_stored = _as_stored(F.col("embedding"), extractor.output_shape, shape)
+            mine = again.withColumn("embedding", as_stored).withColumn("model", F.lit(model))
+            diff = q.feature_diff(stored, mine, ["shard", "pos"], ["model", "shard"])
+            keys = (
+                mine.select("shard", "pos", "image_key")
+                .join(stored.select("shard", "pos", "feature_key"), ["shard", "pos"], "full_outer")
+                .groupBy("shard")
+                .agg(F.bool_and(F.col("image_key").eqNullSafe(F.col("feature_key"))).alias("keys_ok"))
+            )
+            # A sampled shard without features has a row too: all its samples are missing.
+            part = diff.join(keys, "shard").withColumn("passed", F.col("equal") & F.col("keys_ok"))
+            out = part if out is None else out.unionByName(part)
     return out
 
 
-def _as_stored(embedding, c: int, h: int, w: int):
-    """What storing and reading back makes of a feature: bfloat16 values as tokens."""
-    return decode_features(encode_features(embedding, c, h, w, bf16=True), c, h, w)["embedding"]
+def _as_stored(embedding: Column, shape: tuple[int, int, int], stored: tuple[int, int, int]) -> Column:
+    """What storing and reading back makes of a feature: bfloat16 values as tokens, in the size of the set."""
+    return decode_features(encode_features(embedding, *shape, bf16=True, size=stored[1:]), *stored)["embedding"]
 
 
 def batch_columns(
@@ -285,7 +329,7 @@ def batch_columns(
         mixed = epoch_limit(mixed, expected, batch_size, world)
     if shuffle_buffer:
         tagged = mixed.withColumn("_id", F.concat_ws("/", "dataset", "key"))
-        mixed = buffer_shuffle(tagged, ["mix_rank"], "_id", seed, shuffle_buffer).drop("_id", "mix_rank")
+        mixed = sliding_shuffle(tagged, ["mix_rank"], "_id", seed, shuffle_buffer).drop("_id", "mix_rank")
         mixed = mixed.withColumnRenamed("position", "mix_rank")
     placed = mixed.select(
         "dataset",
@@ -312,12 +356,13 @@ def frame_batches(
 ) -> DataFrame:
     """:func:`batch_columns` of a column store, weighted by a mix and the datasets' lengths.
 
+    Columns stored by ``write_buckets`` stay where they are: only keys are shuffled.
     Features are normalised where ``stats`` are given. Every dataset of the mix contributes; in validation
     all count alike. With ``world`` ranks given, the result is one epoch: as many samples as the weighted
     lengths, times ``ratio``, come to in whole steps, and at most all; otherwise it is one pass over all.
     """
     stored = "val" if split == "eval" else split
-    images = read_column(spark, root, "images", split=stored)
+    images = open_column(spark, root, "images", stored)
     entries = mix_concat(mix_entries(spark, mix))
     lengths = images.groupBy("dataset").agg(F.count("*").alias("n")).join(entries, "dataset")
     if stored == "val":
@@ -326,7 +371,7 @@ def frame_batches(
     features = {}
     for model, (c, h, w) in models.items():
         name = model.replace("/", "_").lower()
-        feature = read_column(spark, root, name, split=stored)
+        feature = open_column(spark, root, name, stored)
         features[name] = feature if stats is None else normalize_model(feature, stats, name, c, h * w)
     expected = None if world is None else weights.agg(F.max("expected").alias("expected"))
     weights = weights.select("dataset", "weight")

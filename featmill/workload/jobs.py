@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featmill.functions.naming import sample_key
 from featmill.operators.ordinals import number_rows, shard_assign
 from featmill.operators.stats import channel_stats
+from featmill.operators.extract import outputs_of
 from featmill.plans import jobs
+from featmill.plans.registry import MODEL_SIZES
 from featmill.session import scratch_path
-from featmill.sources.column_store import write_column
+from featmill.sources.column_store import write_buckets, write_column
 from featmill.sources.files import read_splits
 from featmill.sources.tarshards import read_shards, write_shards
 from featmill.sources.tensor_bytes import decode_features, encode_image
@@ -77,25 +82,51 @@ def subsample_and_split(spark, sf):
     return rows.join(F.broadcast(sizes), "split").drop("split")
 
 
-def patch_means():
-    """Means of 4 by 4 patches, ``[b, 8, 8, 3]`` to ``[b, 3, 2, 2]``."""
+def patch_tensors(outputs):
+    """A stand-in model: means of 4 by 4 patches, ``[b, 8, 8, 3]`` to ``[b, 3, 2, 2]``, as class token the means of the colours and
+    as pooled token their largest values; ``outputs`` says which of them it returns."""
+
+    def make():
+        def run(px):
+            found = {
+                "embedding": np.moveaxis(px.reshape(len(px), 2, 4, 2, 4, 3).mean(axis=(2, 4)), 3, 1),
+                "cls_token": px.mean(axis=(1, 2)),
+                "pooled_cls_token": px.max(axis=(1, 2)),
+            }
+            return {name: found[name] for name in outputs}
+
+        return run
+
+    return make
 
-    def run(px):
-        return np.moveaxis(px.reshape(len(px), 2, 4, 2, 4, 3).mean(axis=(2, 4)), 3, 1)
 
-    return run
+# Embeddings that each set stores: side, and the tokens beside it.
+_SETS_SQL = """(VALUES ('google_vit-huge-patch14-224-in21k', 2, true, false), ('facebook_sam-vit-huge', 2, false, false),
+  ('facebook_sam-vit-huge_32', 32, false, false), ('openai_clip-vit-large-patch14', 2, true, true),
+  ('facebook_dinov2-large', 2, true, true), ('llava-hf_llava-1.5-7b-hf', 2, false, false),
+  ('liheyoung_depth-anything-large-hf', 64, false, false)) s("set", side, has_cls, has_pooled)"""
 
 
 @query(
     "extract_dataset",
     f"""WITH px AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS o, vec_id, embedding FROM embeddings),
 cells AS (SELECT o, vec_id, i, {_PX.format("i")}::DOUBLE AS x FROM px, range(64) r(i)),
-means AS (SELECT o, vec_id, (i // 32) * 2 + (i % 8) // 4 AS token, avg(x) AS v FROM cells GROUP BY ALL)
-SELECT printf('emb_train-%06d-train.tar', o // 50) AS shard, lpad(vec_id::VARCHAR, 8, '0') AS key,
-  token * 3 + ch AS pos, v::FLOAT::DOUBLE AS value FROM means, range(3) c(ch)""",
+means AS (SELECT o, vec_id, (i // 32) * 2 + (i % 8) // 4 AS patch, avg(x) AS v, max(x) AS largest FROM cells GROUP BY ALL),
+images AS (SELECT o, vec_id, list(v ORDER BY patch) AS v, avg(v) AS mean, max(largest) AS largest FROM means GROUP BY ALL),
+tensors AS (
+  SELECT o, vec_id, "set", 'embedding' AS tensor, list_transform(range(side * side * 3),
+    lambda i: v[(i // 3 // side) * 2 // side * 2 + (i // 3 % side) * 2 // side + 1]) AS t FROM images, {_SETS_SQL}
+  UNION ALL SELECT o, vec_id, "set", 'cls', [mean, mean, mean] FROM images, {_SETS_SQL} WHERE has_cls
+  UNION ALL SELECT o, vec_id, "set", 'pooled_cls', [largest, largest, largest] FROM images, {_SETS_SQL} WHERE has_pooled)
+SELECT "set", printf('emb_train-%06d-train.tar', o // 50) AS shard, lpad(vec_id::VARCHAR, 8, '0') AS key, tensor,
+  len(t)::BIGINT AS size, t[1] AS "first", t[-1] AS "last", list_sum(t) AS total,
+  list_sum(list_transform(t, lambda x, i: x * (i % 97))) AS placed FROM tensors""",
 )
 def extract_dataset(spark, sf):
-    """Embeddings as gray images; features of the first shards are extracted, then of all that lack them."""
+    """Embeddings as gray images; the tensors of all six model families, of the first shards and then of all that lack them.
+
+    Of every stored tensor: its size, its first and last value, its sum, and its sum by place.
+    """
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
     placed = shard_assign(e.select("vec_id"), ["vec_id"], 50).join(e, "vec_id")
     root = scratch_path(spark, "root")
@@ -107,37 +138,60 @@ def extract_dataset(spark, sf):
         ),
         f"{root}/emb/images",
     )
-    extractor = jobs.Extractor("Test/Patch", patch_means, (8, 8, 3), (3, 2, 2))
-    jobs.extract_dataset(spark, root, "emb", extractor, num=130, samples_per_shard=50, bf16=False)
-    jobs.extract_dataset(spark, root, "emb", extractor, samples_per_shard=50, bf16=False)
-    rows = read_shards(spark, f"{root}/emb/test_patch", "*-train.tar")
-    tokens = rows.withColumn("feature", decode_features(F.col("data"), 3, 2, 2)).select(
-        "shard", sample_key(F.col("member")).alias("key"), "feature.embedding"
+    parts = []
+    for k, model in enumerate(MODEL_SIZES):
+        outputs = outputs_of(model.replace("/", "_").lower())
+        extractor = jobs.Extractor(model, patch_tensors(outputs), (8, 8, 3), (3, 2, 2))
+        if k == 0:
+            jobs.extract_dataset(spark, root, "emb", extractor, num=130, samples_per_shard=50, bf16=False)
+        jobs.extract_dataset(spark, root, "emb", extractor, samples_per_shard=50, bf16=False)
+        for name, shape in extractor.sets.items():
+            rows = read_shards(spark, f"{root}/emb/{name}", "*-train.tar")
+            decoded = rows.withColumn("f", decode_features(F.col("data"), *shape))
+            tensors = [F.struct(F.lit(t).alias("tensor"), F.col(f"f.{t}").cast("array<double>").alias("t")) for t in ("embedding", "cls", "pooled_cls")]
+            long = decoded.select(F.lit(name).alias("set"), "shard", sample_key(F.col("member")).alias("key"), F.inline(F.array(*tensors)))
+            parts.append(long.where(F.col("t").isNotNull()))
+    rows = reduce(DataFrame.unionAll, parts)
+    zero = F.lit(0.0)
+    by_place = F.transform("t", lambda x, i: x * ((i + 1) % 97))
+    return rows.select(
+        "set", "shard", "key", "tensor", big(F.size("t")).alias("size"), F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last"),
+        F.aggregate("t", zero, lambda a, x: a + x).alias("total"), F.aggregate(by_place, zero, lambda a, x: a + x).alias("placed"),
     )
-    return long_form(tokens, ["shard", "key"], F.col("embedding"))
 
 
-_MIX = {"d0": 1.0, "d1": 2.0, "d2": 0.5, "d3": 1.0, "d4": 1.0, "d5": 1.0, "d6": 3.0, "d7": 1.0}
+_MIX = {"d0": 1.0, "d1": 2.0, "d2": 0.5, "d3": 1.0, "d4": 1.0, "d5": 1.0, "d6": 3.0, "d7": 1.0, "d8": 2.0, "d9": 1.0}
 
 
-@query(
-    "frame_batches",
-    f"""WITH mix(dataset, w) AS (VALUES {",".join(f"('{k}',{v}::DOUBLE)" for k, v in _MIX.items())}),
+_BATCHES_SQL = f"""WITH mix(dataset, w) AS (VALUES {",".join(f"('{k}',{v}::DOUBLE)" for k, v in _MIX.items())}),
 s AS (SELECT 'd' || label AS dataset, lpad(vec_id::VARCHAR, 8, '0') AS key, vec_id, embedding FROM embeddings),
 lens AS (SELECT dataset, w, count(*) AS n FROM s JOIN mix USING (dataset) GROUP BY ALL),
 weights AS (SELECT dataset, w * n / (SELECT sum(w * n) FROM lens) AS weight FROM lens),
-gaps AS (SELECT *, -ln((('0x' || substr(md5('5:' || dataset || ':' || key), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)
-  / weight AS gap FROM s JOIN weights USING (dataset)),
+rates AS (SELECT dataset, weight / (SELECT max(weight) FROM weights) AS rate FROM weights),
+gaps AS (SELECT *, floor(-ln((('0x' || substr(md5('5:' || dataset || ':' || key), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)
+  / rate * 16777216.0::DOUBLE)::DECIMAL(24,0) AS gap FROM s JOIN rates USING (dataset)),
 raced AS (SELECT *, sum(gap) OVER (PARTITION BY dataset ORDER BY vec_id) AS t FROM gaps),
 ranked AS (SELECT *, row_number() OVER (ORDER BY t, dataset, vec_id) - 1 AS mix_rank FROM raced),
 long AS (SELECT i // 16 AS channel, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) r(i)),
 stats AS (SELECT channel, avg(v) AS mean, stddev_samp(v) AS std FROM long GROUP BY ALL)
 SELECT dataset, key, mix_rank // 16 AS batch_idx, mix_rank % 16 AS batch_pos, vec_id AS image, i AS pos,
   round((embedding[(i % 4) * 16 + i // 4 + 1]::DOUBLE - mean) / std, 6) + 0.0 AS value
-FROM ranked, range(64) r(i) JOIN stats ON channel = i % 4""",
-)
+FROM ranked, range(64) r(i) JOIN stats ON channel = i % 4"""
+
+
+@query("frame_batches", _BATCHES_SQL)
 def frame_batches(spark, sf):
-    """Embeddings of eight labels mixed, normalised and batched from a column store."""
+    """Embeddings of all ten labels mixed, normalised and batched from a column store."""
+    return _batches(spark, sf, write_column)
+
+
+@query("bucketed_batches", _BATCHES_SQL)
+def bucketed_batches(spark, sf):
+    """The same from columns in buckets by (dataset, key), which stay where they are."""
+    return _batches(spark, sf, partial(write_buckets, buckets=8))
+
+
+def _batches(spark, sf, write):
     from featmill.functions.tensors import chw_to_tokens
 
     e = table(spark, sf, "embeddings")
@@ -150,8 +204,8 @@ def frame_batches(spark, sf):
         chw_to_tokens("embedding", C, H, W).alias("embedding"),
     )
     root = scratch_path(spark, "columns")
-    write_column(samples.drop("embedding"), root, "images")
-    write_column(samples.drop("image"), root, "facebook_dinov2-large")
+    write(samples.drop("embedding"), root, "images")
+    write(samples.drop("image"), root, "facebook_dinov2-large")
     model = "facebook/dinov2-large"
     stats = channel_stats(
         e.select(F.lit("facebook_dinov2-large").alias("model"), "embedding"), "embedding", C, H * W, ["model"]

@@ -343,29 +343,30 @@ def resume_pending(spark, sf):
     return j.resume_pending(planned, done, ["shard"]).select("dataset", "shard", "n_samples")
 
 
-_PANEL = "SELECT vec_id, i AS pos, CASE (i % 48) // 3 // 4 {} END AS value FROM embeddings, range(192) r(i)"
-_INNER = "((i // 48) * 12 + (((i % 48) // 3) % 4) * 3 + i % 3)"
+_PIXEL = "((i // 96) * 8 + i % 96 // 3 % 8)"
 
 
 @query(
     "compare_panel",
-    _PANEL.format(
-        f"""WHEN 0 THEN embedding[{_INNER} + 1]::DOUBLE WHEN 1 THEN embedding[16 + {_INNER} + 1]::DOUBLE
-  WHEN 2 THEN CASE WHEN label < 5 THEN embedding[8 + {_INNER} + 1]::DOUBLE ELSE 0.0 END
-  ELSE embedding[{_INNER} // 3 + 1]::DOUBLE"""
-    ),
+    f"""SELECT vec_id, i AS pos, CASE i % 96 // 3 // 8 WHEN 0 THEN embedding[({_PIXEL} + i % 3 * 21) % 64 + 1]::DOUBLE
+  WHEN 1 THEN embedding[({_PIXEL} + i % 3 * 5) % 64 + 1]::DOUBLE
+  WHEN 2 THEN CASE WHEN label < 5 THEN embedding[64 - {_PIXEL}]::DOUBLE ELSE 0.0 END
+  ELSE embedding[{_PIXEL} + 1]::DOUBLE END AS value FROM embeddings, range(768) r(i)""",
 )
 def compare_panel(spark, sf):
-    """Input, projection, mask (missing for half of the labels) and depth, as 4 by 4 images."""
-    e = _embeddings(spark, sf)
-    wide = F.transform("embedding", lambda v: v.cast("double"))
-    images = e.select("vec_id", F.slice(wide, 1, 48).alias("px"))
+    """Input, projection, mask (missing for half of the labels) and depth, as 8 by 8 images of all 64 values."""
+    e = _embeddings(spark, sf).select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+
+    def colours(apart: int):
+        return F.transform(F.sequence(F.lit(0), F.lit(191)), lambda i: F.get("v", (F.floor(i / 3) + i % 3 * apart) % 64))
+
+    images = e.select("vec_id", colours(21).alias("px"))
     panels = {
-        "pca": e.select("vec_id", F.slice(wide, 17, 48).alias("px")),
-        "mask": e.where("label < 5").select("vec_id", F.slice(wide, 9, 48).alias("px")),
-        "depth": e.select("vec_id", t.gray_to_rgb(F.slice(wide, 1, 16), 16).alias("px")),
+        "pca": e.select("vec_id", colours(5).alias("px")),
+        "mask": e.where("label < 5").select("vec_id", t.gray_to_rgb(F.reverse("v"), 64).alias("px")),
+        "depth": e.select("vec_id", t.gray_to_rgb("v", 64).alias("px")),
     }
-    return long_form(j.compare_panel(images, panels, "vec_id", H, W), ["vec_id"], F.col("px"))
+    return long_form(j.compare_panel(images, panels, "vec_id", 8, 8), ["vec_id"], F.col("px"))
 
 
 @query(
@@ -453,9 +454,41 @@ def minmax_scale(spark, sf):
     return scaled.select("vec_id", big("token").alias("token"), *[r6(c).alias(c) for c in shown])
 
 
-@query("pca_rgb")
+# One rotation of Jacobi's method at a step; 60 are ten times around the six pairs of four channels.
+_ROTATED = """list_transform(range(16), lambda k: CASE k % 4 WHEN p THEN co * {0}[k // 4 * 4 + p + 1] - si * {0}[k // 4 * 4 + q + 1]
+  WHEN q THEN si * {0}[k // 4 * 4 + p + 1] + co * {0}[k // 4 * 4 + q + 1] ELSE {0}[k + 1] END)"""
+_COVARIANCE = ", ".join(f"covar_samp(x[{i}], x[{j}])" for i in range(1, 5) for j in range(1, 5))
+
+
+@query(
+    "pca_rgb",
+    f"""WITH RECURSIVE long AS (SELECT vec_id, i AS token, [embedding[i + 1]::DOUBLE, embedding[16 + i + 1]::DOUBLE,
+  embedding[32 + i + 1]::DOUBLE, embedding[48 + i + 1]::DOUBLE] AS x FROM embeddings, range(16) r(i)),
+moments AS (SELECT [avg(x[1]), avg(x[2]), avg(x[3]), avg(x[4])] AS mu, [{_COVARIANCE}] AS a FROM long),
+turned AS (
+  SELECT a, [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1]::DOUBLE[] AS v, 0 AS step FROM moments
+  UNION ALL
+  SELECT list_transform(range(16), lambda k: CASE k // 4 WHEN p THEN co * b[p * 4 + k % 4 + 1] - si * b[q * 4 + k % 4 + 1]
+      WHEN q THEN si * b[p * 4 + k % 4 + 1] + co * b[q * 4 + k % 4 + 1] ELSE b[k + 1] END), {_ROTATED.format("v")}, step + 1
+  FROM (SELECT *, {_ROTATED.format("a")} AS b FROM (SELECT *, cos(angle) AS co, sin(angle) AS si FROM (
+    SELECT *, 0.5::DOUBLE * atan2(2 * a[p * 4 + q + 1], a[q * 5 + 1] - a[p * 5 + 1]) AS angle FROM (
+      SELECT *, [0, 0, 0, 1, 1, 2][step % 6 + 1] AS p, [1, 2, 3, 2, 3, 3][step % 6 + 1] AS q FROM turned WHERE step < 60))))),
+axes AS (SELECT a[k * 5 + 1] AS variance, [v[k + 1], v[k + 5], v[k + 9], v[k + 13]] AS axis FROM turned, range(4) r(k)
+  WHERE step = 60),
+fit AS (SELECT list(CASE WHEN list_max(axis) >= -list_min(axis) THEN axis ELSE list_transform(axis, lambda y: -y) END
+  ORDER BY variance DESC) AS pc FROM axes),
+centred AS (SELECT vec_id, token, list_transform(x, lambda y, i: y - mu[i]) AS x FROM long, moments),
+pcs AS (SELECT vec_id, token, list_inner_product(x, pc[1]) AS pc1, list_inner_product(x, pc[2]) AS pc2,
+  list_inner_product(x, pc[3]) AS pc3 FROM centred, fit),
+kept AS (SELECT min(pc1) AS l1, max(pc1) AS h1, min(pc2) AS l2, max(pc2) AS h2, min(pc3) AS l3, max(pc3) AS h3
+  FROM pcs WHERE pc1 >= -0.2)
+SELECT vec_id, token, round(pc1, 6) + 0.0 AS pc1,
+  round(CASE WHEN pc1 >= -0.2 THEN (pc1 - l1) / (h1 - l1) ELSE 0 END, 6) + 0.0 AS r,
+  round(CASE WHEN pc1 >= -0.2 THEN (pc2 - l2) / (h2 - l2) ELSE 0 END, 6) + 0.0 AS g,
+  round(CASE WHEN pc1 >= -0.2 THEN (pc3 - l3) / (h3 - l3) ELSE 0 END, 6) + 0.0 AS b FROM pcs, kept""",
+)
 def pca_rgb(spark, sf):
-    """Fit, project, drop the background, scale; a component's colours depend on the fit."""
+    """Fit, project, drop the background, scale; a component's sign is that of its largest loading, so the fit is one."""
     tokens = _embeddings(spark, sf).withColumn("tokens", t.chw_to_tokens("embedding", C, H, W))
     rgb, _ = p.pca_rgb(tokens, ["vec_id"], "tokens", C, TOKENS, threshold=-0.2)
     return rgb.select("vec_id", big("token").alias("token"), *[r6(c).alias(c) for c in ("pc1", "r", "g", "b")])

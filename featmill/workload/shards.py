@@ -204,11 +204,10 @@ def frame_archive_scan(spark, sf):
     notes = frames.where("frame = 0").select(shard.alias("shard"), F.lit("about.txt").alias("member"), "data")
     path = scratch_path(spark, "videos")
     write_shards(jpg.unionByName(notes), path)
-    found = read_shards(spark, path).where(F.col("member").contains(".jpg"))
-    placed = number_rows(
-        found.select("shard", "member", F.md5("data").alias("digest")), ["shard"], ["member"], ordinal="frame_idx"
-    )
-    return placed.select(sample_key(F.col("shard")).alias("video"), "frame_idx", "digest")
+    # Frames are numbered by the task that lists their archive, and only their bytes are read.
+    listed = read_shards(spark, path, payload=False, members="*.jpg").drop("data")
+    found = fetch_members(listed.withColumnRenamed("ordinal", "frame_idx"), path)
+    return found.select(sample_key(F.col("shard")).alias("video"), "frame_idx", F.md5("data").alias("digest"))
 
 
 @query(
@@ -245,15 +244,16 @@ def decode_features_query(spark, sf):
     "decode_images",
     f"""SELECT vec_id, 'gray' AS kind, 8::BIGINT AS h, i AS pos, ({_PX.format("i // 3")})::DOUBLE AS value FROM embeddings, range(192) r(i)
 UNION ALL SELECT vec_id, 'rgba', 4, i, ({_PX.format("(i // 3) * 4 + i % 3")})::DOUBLE FROM embeddings, range(48) r(i)
-UNION ALL SELECT vec_id, 'rgb', 4, i, ({_PX.format("i")})::DOUBLE FROM embeddings, range(48) r(i)""",
+UNION ALL SELECT vec_id, 'rgb', 8, i, ({_PX.format("(i // 3 + i % 3 * 21) % 64")})::DOUBLE FROM embeddings, range(192) r(i)""",
 )
 def decode_images_query(spark, sf):
-    """Gray, RGBA and RGB images made from every embedding."""
+    """Gray, RGBA and RGB images made from all values of every embedding; the colours of RGB are apart by 21 values."""
     e = _embeddings(spark, sf).select("vec_id", _pixels().alias("px"))
+    rgb = F.transform(F.sequence(F.lit(0), F.lit(191)), lambda i: F.get("px", (F.floor(i / 3) + i % 3 * 21) % 64))
     stored = {
         "gray": encode_image(F.col("px"), 8, 8),
         "rgba": encode_image(F.col("px"), 4, 4, 4),
-        "rgb": encode_image(F.slice("px", 1, 48), 4, 4, 3),
+        "rgb": encode_image(rgb, 8, 8, 3),
     }
     out = None
     for kind, data in stored.items():
@@ -383,8 +383,9 @@ def decoder_hook(spark, sf):
 @query(
     "collate_batches",
     """WITH placed AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS o FROM embeddings),
-b AS (SELECT o // 16 AS batch_idx, o % 16 AS pos, vec_id, embedding FROM placed)
-SELECT batch_idx, pos, vec_id, count(*) OVER (PARTITION BY batch_idx) AS size, embedding[1]::DOUBLE AS first FROM b""",
+b AS (SELECT o // 16 AS batch_idx, o % 16 AS pos, vec_id, embedding FROM placed),
+sized AS (SELECT *, count(*) OVER (PARTITION BY batch_idx) AS size FROM b)
+SELECT batch_idx, pos, vec_id, size, i AS at, embedding[i + 1]::DOUBLE AS value FROM sized, range(64) r(i)""",
 )
 def collate_batches(spark, sf):
     """Batches of 16 stacked samples, unrolled again to be compared."""
@@ -392,13 +393,8 @@ def collate_batches(spark, sf):
     placed = batch_assign(e.select("vec_id"), ["vec_id"], 16).join(e, "vec_id")
     batches = ex.collate_batches(placed, "batch_idx", "batch_pos", ["vec_id", "embedding"])
     rows = batches.select("batch_idx", "size", F.posexplode(F.arrays_zip("vec_id", "embedding")).alias("pos", "row"))
-    return rows.select(
-        "batch_idx",
-        big("size").alias("size"),
-        big("pos").alias("pos"),
-        "row.vec_id",
-        F.col("row.embedding")[0].cast("double").alias("first"),
-    )
+    rows = rows.select("batch_idx", big("size").alias("size"), big("pos").alias("pos"), "row.vec_id", F.posexplode("row.embedding").alias("at", "value"))
+    return rows.withColumns({"at": big("at"), "value": F.col("value").cast("double")})
 
 
 @query(
@@ -462,16 +458,34 @@ def stream_shards(spark, sf):
 )
 def stream_archives(spark, sf):
     """Tar shards of documents that arrive in two goes; each member lands once."""
-    arrived, out, progress = (scratch_path(spark, n) for n in ("arrived", "landed", "progress"))
+    arrived, out, progress, log = (scratch_path(spark, n) for n in ("arrived", "landed", "progress", "log"))
     members = document_members(spark, sf)
     early = F.col("shard") < "src2"
     for part in (early, ~early):
         write_shards(members.where(part), arrived)
-        stream = st.stream_archives(spark, arrived, max_files=500)
+        stream = st.stream_archives(spark, arrived, log, max_shards=500)
         st.drain(stream.select("shard", "member", "size", F.md5("data").alias("digest")), out, progress)
     return spark.read.parquet(out)
 
 
+@query(
+    "stream_archive_sink",
+    f"""WITH {_MEMBERS_SQL} SELECT shard, member, octet_length(encode(data)) AS size, md5(data) AS digest FROM members""",
+)
+def stream_archive_sink(spark, sf):
+    """Documents' shards that arrive in two goes, written to shards again by a stream that is run three times."""
+    arrived, out, progress, log = (scratch_path(spark, n) for n in ("arrived", "shards", "progress", "log"))
+    members = document_members(spark, sf)
+    early = F.col("shard") < "src2"
+    for part in (early, ~early, None):
+        if part is not None:
+            write_shards(members.where(part), arrived)
+        st.drain_archives(st.stream_archives(spark, arrived, log), out, progress)
+    rows = read_shards(spark, out)
+    name = F.regexp_replace("shard", r"-\d{6}\.tar$", ".tar")
+    return rows.select(name.alias("shard"), "member", "size", F.md5("data").alias("digest"))
+
+
 @query(
     "stream_channel_stats",
     """WITH long AS (SELECT i // 16 AS channel, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) r(i))

@@ -303,13 +303,17 @@ def embeddings_by_model(spark, sf):
 
 @query(
     "normalize_join",
-    f"""WITH {_STATS_SQL}, named AS (SELECT e.vec_id, e.label, lower(replace(m.model, '/', '_')) AS model
-  FROM embeddings e JOIN {MODEL_SQL} ON e.label % 6 = m.pos),
-by_model AS (SELECT model, channel, avg(v) AS mean, stddev_samp(v) AS std FROM long JOIN named USING (vec_id)
-  WHERE NOT contains(model, 'llava') GROUP BY ALL)
-SELECT vec_id, model, (i % 16) * 4 + i // 16 AS pos,
-       round(CASE WHEN mean IS NULL THEN v ELSE (v - mean) / std END, 6) + 0.0 AS value
-FROM long JOIN named USING (vec_id) LEFT JOIN by_model USING (model, channel)""",
+    f"""WITH e AS (SELECT vec_id, lower(replace(m.model, '/', '_')) AS model, embedding::DOUBLE[] AS v
+  FROM embeddings JOIN {MODEL_SQL} ON label % 6 = m.pos),
+one AS (SELECT model, c, unnest(v[c * 16 + 1:c * 16 + 16]) AS x FROM (SELECT model, v, unnest(range(4)) AS c FROM e
+  WHERE NOT contains(model, 'llava'))),
+stats AS (SELECT model, list(mean ORDER BY c) AS mean, list(std ORDER BY c) AS std
+  FROM (SELECT model, c, avg(x) AS mean, stddev_samp(x) AS std FROM one GROUP BY model, c) GROUP BY model),
+normal AS (SELECT vec_id, model, CASE WHEN mean IS NULL THEN v
+  ELSE list_transform(v, lambda x, i: (x - mean[(i - 1) // 16 + 1]) / std[(i - 1) // 16 + 1]) END AS v
+  FROM e LEFT JOIN stats USING (model))
+SELECT vec_id, model, (i % 16) * 4 + i // 16 AS pos, round(v[i + 1], 6) + 0.0 AS value
+FROM (SELECT *, unnest(range(64)) AS i FROM normal)""",
 )
 def normalize_join(spark, sf):
     """Normalise by model; one model has no statistics and keeps its values."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from featmill.plans import jobs
 from featmill.sources import tarshards as ts
-from featmill.sources.column_store import write_bucketed, write_column
+from featmill.sources.column_store import _table_name, open_column, write_bucketed, write_buckets, write_column
 from featmill.sources.tensor_bytes import load_tensors
 
 # Workers cannot import this module.
@@ -237,3 +237,40 @@ def test_bucketed_payloads_do_not_move(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
         spark.sql("DROP TABLE IF EXISTS bucketed_images")
         spark.sql("DROP TABLE IF EXISTS bucketed_features")
+
+
+def test_batches_of_bucketed_columns_move_only_keys(spark, tmp_path):
+    """The job itself, on a store that another session has written."""
+    samples = spark.range(500).select(
+        F.when(F.col("id") < 300, "a").otherwise("b").alias("dataset"),
+        F.when(F.col("id") % 50 == 0, "val").otherwise("train").alias("split"),
+        F.expr("id div 40").alias("shard_idx"),
+        F.format_string("k%04d", "id").alias("key"),
+        F.col("id").alias("image"),
+        F.array(F.col("id").cast("float")).alias("embedding"),
+    )
+    root = str(tmp_path)
+    write_buckets(samples.drop("embedding"), root, "images", 8)
+    write_buckets(samples.drop("image"), root, "m_x", 8)
+    for column in ("images", "m_x"):
+        # What a session knows of a table ends with it; the files stay.
+        spark.sql(f"DROP TABLE {_table_name(f'{root}/{column}.b8')}")
+    stats = spark.createDataFrame([("m_x", 0, 10.0, 2.0)], "model string, channel int, mean double, std double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        batches = jobs.frame_batches(spark, root, {"a": 1.0, "b": 2.0}, {"M/x": (1, 1, 1)}, batch_size=16, stats=stats, shuffle_buffer=64)
+        plan = batches._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Bucketed: true") == 2
+        for line in plan.splitlines():
+            if "Exchange" in line:
+                below = plan[plan.index(line) :].splitlines()[1:4]
+                assert not any("image#" in b or "embedding#" in b for b in below), line
+        rows = batches.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+    assert sorted(r["image"] for r in rows) == [i for i in range(500) if i % 50]
+    assert all(r["m_x"] == [(r["image"] - 10.0) / 2.0] for r in rows)
+    assert open_column(spark, root, "images", "val").count() == 10
+    write_buckets(samples.drop("image"), root, "m_x", 4)
+    with pytest.raises(ValueError, match="several numbers of buckets"):
+        open_column(spark, root, "m_x")

@@ -204,6 +204,41 @@ def test_constant_images_single_values_and_empty_meters(spark):
     assert meters.meter_merge(meters.meter_avg(meter)).first()["avg"] is None
 
 
+def test_co_moments_of_parts_are_those_of_the_whole(spark):
+    """However rows are dealt out, with a large mean, nulls, empty tensors and several tokens a row."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 7, 4)) @ np.diag([3, 1, 0.1, 0.01]) + 1e6
+    rows = [(v.ravel().tolist(),) for v in x] + [(None,), ([],)]
+    flat = x.reshape(-1, 4)
+    for parts in (1, 5, 40):
+        df = spark.createDataFrame(rows, "t array<double>").repartition(parts)
+        found = panels.co_moments(df, "t", 4)
+        assert found.n == 630 and found.mean == pytest.approx(flat.mean(axis=0), rel=1e-14)
+        away = flat - flat.mean(axis=0)
+        assert found.c == pytest.approx(away.T @ away, rel=1e-6, abs=1e-5)
+    assert panels.co_moments(df.where("false"), "t", 4) is None
+    for bad in ([1.0, 2.0, 3.0], [1.0] * 9):
+        with pytest.raises(Exception, match="channels"):
+            panels.co_moments(spark.createDataFrame([(bad,)], "t array<double>"), "t", 4)
+    with pytest.raises(ValueError, match="no vectors"):
+        panels.fit_pca(df.where("false"), 2, "t", 4)
+
+
+def test_a_fit_scans_once(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    spark.createDataFrame([(v.tolist(),) for v in rng.normal(size=(50, 12))], "t array<float>").write.parquet(str(tmp_path / "t"))
+    scanned = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            scanned.add(batch.num_rows)
+            yield batch
+
+    df = spark.read.parquet(str(tmp_path / "t")).mapInArrow(counted, "t array<float>")
+    panels.fit_pca(df, 3, "t", 4)
+    assert scanned.value == 50
+
+
 def test_projection_of_wide_vectors(spark):
     rng = np.random.default_rng(0)
     width, values = 1024, rng.normal(size=(200, 1024))

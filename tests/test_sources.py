@@ -230,3 +230,19 @@ def test_runs_are_bounded_by_bytes():
 
     assert list(bounded_runs([3, 3, 3, 20, 1, 1], 6)) == [(0, 2), (2, 3), (3, 4), (4, 6)]
     assert list(bounded_runs([], 6)) == []
+
+
+def test_segments_are_bounded_by_bytes(spark):
+    """Steps of a megabyte and of a kilobyte; only keys reach the scratch table."""
+    steps = spark.range(60).select(
+        F.expr("id div 30").alias("ep"), (F.col("id") % 30).alias("frame"),
+        F.create_map(F.lit("front"), F.expr("encode(repeat('x', if(id % 7 = 0, 1000000, 1000)), 'UTF-8')")).alias("observation"),
+    )
+    nested = nest_episodes(steps, "ep", ["frame"], length=8, segment_bytes=2_000_000)
+    rows = nested.select("ep", "segment", F.size("steps").alias("n"), F.col("steps.frame").alias("frames"),
+                         F.aggregate("steps", F.lit(0), lambda a, s: a + F.octet_length(s["observation"]["front"])).alias("bytes")).collect()
+    assert sum(r["n"] for r in rows) == 60
+    assert all(r["n"] <= 8 and r["bytes"] <= 3_000_000 and r["frames"] == list(range(r["frames"][0], r["frames"][0] + r["n"])) for r in rows)
+    assert max(r["bytes"] for r in rows) > 1_900_000 and len(rows) < 20
+    frames = episode_frames(nested, "ep")
+    assert frames.count() == 60 and frames.where("frame_idx = 14").count() == 2
