@@ -184,7 +184,7 @@ _PRIOR, _START, _ROUNDS, _STEPS, _RIDGE = 0.5, 0.85, 30, 400, 1e-3
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of each combination of votes, and each labeler's chance of being right where it votes.
 
-    One pseudo-count on either side keeps labelers that hardly vote near their start.
+    A hundred pseudo-counts keep labelers that hardly vote near their start.
     """
     right = np.full(patterns.shape[1], _START)
     prior, posterior = _PRIOR, np.full(len(patterns), _PRIOR)

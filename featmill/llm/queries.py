@@ -210,7 +210,35 @@ def op6_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return personal_data_summary(find_personal_data(documents(spark, sf)))
 
 
-@query("op11_prefix_trie")
+# crc32 of a short ASCII text, byte by byte over a table of 256 entries that a rule gives.
+CRC_TABLE = """crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+CRC = """xor(list_reduce([4294967295] || list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+TRIE_SQL = f"""
+WITH {CRC_TABLE},
+turns AS (SELECT conv_id, turn, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+  octet_length(encode(coalesce(text, ''))) AS n FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(struct_pack(id := id, n := n) ORDER BY turn NULLS FIRST, id) AS turns FROM turns GROUP BY conv_id),
+heads AS (SELECT conv_id, turns, ({CRC.format("conv_id::VARCHAR")} % 9)::INTEGER AS h FROM own, crc),
+whole AS (SELECT o.conv_id, CASE WHEN b.turns IS NULL THEN o.turns[h + 1:] ELSE b.turns[1:h] || o.turns[h + 1:] END AS turns
+  FROM heads o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+ways AS (SELECT conv_id, d, array_to_string(list_transform(turns[1:d], lambda x: x.id), '') AS node,
+  coalesce(turns[d].n, 0) AS n, len(turns) = d AS ends FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM whole)),
+nodes AS (SELECT node, d, any_value(n) AS n, min(conv_id) AS conv_id, count(*) AS n_convs,
+  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM ways GROUP BY node, d),
+kids AS (SELECT left(node, 32 * (d - 1)::INTEGER) AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+known AS (SELECT *, coalesce(n_children, 0) AS children FROM nodes LEFT JOIN kids USING (node)),
+below AS (SELECT left(node, 32 * a::INTEGER) AS node, count(*) FILTER (children = 0) AS n_leaves, sum((n_convs - 1) * n) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM known) GROUP BY ALL)
+SELECT k.conv_id, k.d AS depth, up.conv_id AS parent_conv_id, k.n_convs, k.children AS n_children, n_leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, sha256(k.ids) AS ends_sha256
+FROM known k JOIN below USING (node) LEFT JOIN known up ON k.d > 0 AND up.node = left(k.node, 32 * (k.d - 1)::INTEGER)
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
 def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes of the prefix trie of the rebuilt conversations."""
     from featmill.llm.prefixes import prefix_trie, rebuild
@@ -222,7 +250,71 @@ def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("op13_repair_conversations")
+def _repair_sql() -> str:
+    """Edits by recursion from the end: of each of four states the cheapest, ASCII-least rest and the text it leaves.
+
+    States: 0 nothing yet, 1 after a system turn, 2 after a user's, 3 after the assistant's.
+    """
+    def row(cost: str, letter: str, to: int, line: str | None = None) -> str:
+        left = f"v[{to + 1}].r" if line is None else f"[{line}] || v[{to + 1}].r"
+        return f"{{'c': v[{to + 1}].c + {cost}, 'a': '{letter}' || v[{to + 1}].a, 'r': {left}}}"
+
+    never = "{'c': 1000000000, 'a': '', 'r': []::VARCHAR[]}"
+    after, kept = (2, 2, 3, 2), ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
+    names = {2: "user", 3: "assistant"}
+    best = []
+    for state in range(4):
+        keep = " ".join(f"WHEN initial = '{i}' THEN {row('late', 'K', to, 'line')}" for i, to in kept[state].items())
+        again = row("3 + late", "R", after[state], f"'{names[after[state]]}:' || text")
+        best.append(
+            f"list_sort([{row('4', 'D', state)}, CASE WHEN gone THEN {never} {keep} ELSE {never} END,"
+            f" CASE WHEN gone THEN {never} ELSE {again} END])[1]"
+        )
+
+    def inserted(state: int, times: int) -> str:
+        letters, lines = "I" * times, []
+        for _ in range(times):
+            state = after[state]
+            lines.append(f"'{names[state]}:'")
+        return f"{{'c': b[{state + 1}].c + {3 * times}, 'a': '{letters}' || b[{state + 1}].a, 'r': [{', '.join(lines)}]::VARCHAR[] || b[{state + 1}].r}}"
+
+    ahead = [f"list_sort([{', '.join(inserted(state, n) for n in range(3))}])[1]" for state in range(4)]
+    ends = ["{'c': 0, 'a': '', 'r': []::VARCHAR[]}", "{'c': 6, 'a': 'II', 'r': ['user:', 'assistant:']}",
+            "{'c': 3, 'a': 'I', 'r': ['assistant:']}", "{'c': 0, 'a': '', 'r': []::VARCHAR[]}"]
+    blank = r"'[^\x20\x09-\x0D]'"
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+hashed AS (SELECT *, md5(length(role)::VARCHAR || ':' || role || text) AS tie, {CRC.format("name")} % 20 AS fault FROM given, crc),
+spoilt AS (SELECT conv_id, turn, tie, copy, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+  CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, (VALUES (0), (1)) c(copy) WHERE fault <> 0 AND (copy = 0 OR fault = 3)),
+placed AS (SELECT *, row_number() OVER w AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, tie, copy) > 1
+  AS again, left(role, 1) AS initial, lag(left(role, 1)) OVER w AS before FROM spoilt
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tie, copy)),
+judged AS (SELECT *, CASE WHEN NOT regexp_matches(text, {blank}) THEN 'blank' WHEN again THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+sizes AS (SELECT conv_id, count(*) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+  count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+way AS (
+  SELECT conv_id, n AS k, [{", ".join(ends)}] AS v FROM sizes
+  UNION ALL
+  SELECT conv_id, k, [{", ".join(ahead)}] FROM (SELECT conv_id, k, [{", ".join(best)}] AS b FROM (
+    SELECT w.conv_id, w.k - 1 AS k, w.v, j.initial, j.text, j.role || ':' || j.text AS line, j.fault IN ('blank', 'duplicate') AS gone,
+      CASE WHEN j.fault = 'truncated' THEN 3 ELSE 0 END AS late
+    FROM way w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.k = w.k)))
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v[1].c, 0)::BIGINT AS cost,
+  coalesce(v[1].a, '') AS audit, sha256(coalesce(array_to_string(v[1].r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM g.conv_id
+LEFT JOIN way w ON w.k = 0 AND w.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+
+
+@query("op13_repair_conversations", _repair_sql())
 def op13_repair_conversations(spark: SparkSession, sf: str) -> DataFrame:
     """Faults and cheapest repair of each damaged conversation."""
     from featmill.llm.repair import damaged, repair_report
