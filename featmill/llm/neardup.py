@@ -150,7 +150,7 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     buckets = buckets.where("here < all").select(
         "key", "main", F.ceil((F.col("all") - F.col("here")) / HELD).cast("int").alias("blocks"), F.ceil(F.col("all") / PASSING).cast("int").alias("lanes")
     )
-    placed = members.join(buckets, "key")
+    placed = members.join(materialize(buckets, "open-buckets"), "key")
     spread = F.xxhash64("rep", F.lit(7))
     held = placed.where("component <> main").select(
         "key", "rep", "component", F.lit(0).alias("kind"), F.pmod(spread, "blocks").cast("int").alias("block"),
@@ -220,9 +220,11 @@ def connected(links: DataFrame) -> DataFrame:
         if per.where("up > 1 OR (up = 1 AND least = 0)").isEmpty():
             break
         both = links.union(links.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # A component's smallest id has very many links: what is known of an id is written before it is joined to them.
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        floor = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialize(large, "large")
+        floor = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "floor")
         small = large.join(floor, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = materialize(small.union(floor.select("a", F.col("m").alias("b"))).distinct(), "links")
     roots = links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
@@ -238,7 +240,10 @@ def _placed(docs: DataFrame, percent: int) -> DataFrame:
     classes = materialize(classes.select(F.col("first.row").alias("rep"), "set", "first"), "classes")
     reps = signed.join(classes.select("rep"), F.col("row") == F.col("rep"))
     keyed = reps.select("rep", "id", "digest", F.explode("keys").alias("key")).distinct()
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    keyed = materialize(keyed, "keyed")
+    # Aggregates of a key are written before they are joined to its rows: only then both sides are dealt out by the join
+    # alone, and adaptive execution splits a key that a great many rows have.
+    buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("members")), "buckets").where("members > 1")
     keyed = materialize(keyed.join(buckets, "key"), "members")
     members = keyed.select("rep", "key", "members")
 
@@ -264,6 +269,7 @@ def _placed(docs: DataFrame, percent: int) -> DataFrame:
     # Every member with the most central member of its bucket.
     centre = members.groupBy("rep").agg(F.sum("members").alias("centre"))
     best = members.join(centre, "rep").groupBy("key").agg(F.min_by("rep", F.struct(-F.col("centre"), F.col("rep"))).alias("hub"))
+    best = materialize(best, "hubs")
     pairs = members.join(best, "key").where("rep <> hub")
     tried = materialize(pairs.select(F.col("rep").alias("a"), "hub").distinct(), "pairs")
     found = [materialize(_verified(tried, sets, percent), "links")]
@@ -273,7 +279,8 @@ def _placed(docs: DataFrame, percent: int) -> DataFrame:
         "component", F.coalesce("component", "rep")
     )
     placed = materialize(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
+    open_keys = materialize(open_keys, "open-keys").where("_a < _b")
     placed = materialize(placed.join(open_keys.select("key"), "key", "left_semi").select("key", "rep", "component"), "open")
     there = sets.join(placed.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     found.append(materialize(_across(placed, there, percent), "links"))
@@ -283,7 +290,8 @@ def _placed(docs: DataFrame, percent: int) -> DataFrame:
     linked = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep")
     )
-    heads = linked.groupBy("component").agg(F.min("first").alias("head"))
+    linked = materialize(linked, "linked")
+    heads = materialize(linked.groupBy("component").agg(F.min("first").alias("head")), "heads")
     heads = linked.join(heads, "component").select("set", F.col("head.id").alias("component_id"), F.col("head.row").alias("head"))
     out = signed.drop("keys").join(heads, "set", "left")
     alone = F.col("head").isNull()
