@@ -94,7 +94,8 @@ def extract_tensors(
         batch_size=batch_size,
         input_tensor_shapes=[list(input_shape)],
     )
-    return df.withColumn(tensors, run(F.col(image)))
+    # Called that, the model runs once where several columns use its tensors: the optimiser copies no such expression.
+    return df.withColumn(tensors, run.asNondeterministic()(F.col(image)))
 
 
 def extract_features(
