@@ -148,10 +148,12 @@ def span_text(spans: Column) -> Column:
 
 def secrets_summary(found: DataFrame, keep: list[str]) -> DataFrame:
     """Counts and digests, one row for each of :func:`find_secrets`."""
-    counts = [
-        F.size(F.filter("spans", lambda s, place=place: s["place"] == place)).cast("bigint").alias(f"n_{KINDS[place]}")
-        for place in range(BASE)
-    ]
+
+    def count(place: int) -> Column:
+        # A lambda of two parameters would get the span's position as its second one.
+        return F.size(F.filter("spans", lambda s: s["place"] == place)).cast("bigint")
+
+    counts = [count(place).alias(f"n_{KINDS[place]}") for place in range(BASE)]
     base = F.filter("spans", lambda s: s["place"] < BASE)
     return found.select(
         *keep, *counts, F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans")
