@@ -35,7 +35,6 @@ import tarfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from io import BytesIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,11 +61,13 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from featmill.session import qualified
+from featmill.session import materialize, qualified
 
 SCHEMA = "shard string, member string, offset bigint, size bigint, ordinal bigint, data binary"
 # A batch is handed to Spark at this many rows or bytes, whichever comes first.
 BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
+# Bytes of an archive gathered before they are written.
+WRITE_BYTES = 1 << 16
 # Opening a shard counts like reading this many bytes.
 OPEN_COST = 1 << 20
 
@@ -292,6 +293,54 @@ def publish(files, part: str, final: str) -> None:
         files.move(part, final)
 
 
+# A header as ``tarfile`` writes it, for a member without a name or bytes, and the sum of its bytes beside the sum's own field.
+_PLAIN = tarfile.TarInfo("").tobuf()
+_PLAIN_SUM = int(_PLAIN[148:154], 8)
+
+
+def member_header(name: str, size: int) -> bytes:
+    """The header of a member, the same bytes as ``tarfile`` gives. Short plain names are put into a ready header."""
+    if not name.isascii() or len(name) > tarfile.LENGTH_NAME or "\0" in name or size >= 8**11:
+        info = tarfile.TarInfo(name)
+        info.size = size
+        return info.tobuf()
+    label, digits = name.encode(), b"%011o" % size
+    total = _PLAIN_SUM + sum(label) + sum(digits) - 11 * ord("0")
+    return b"".join((label, _PLAIN[len(label) : 124], digits, _PLAIN[135:148], b"%06o\0" % total, _PLAIN[155:]))
+
+
+class Archive:
+    """An archive being written; its bytes are those of ``tarfile``, gathered to fewer writes."""
+
+    def __init__(self, files, path: str) -> None:
+        self.path, self.members, self.stream = path, 0, files.open_output_stream(path)
+        self.parts: list[bytes] = []
+        self.held = self.written = 0
+
+    def _put(self, *parts: bytes) -> None:
+        self.parts += parts
+        self.held += sum(map(len, parts))
+        if self.held >= WRITE_BYTES:
+            self._flush()
+
+    def _flush(self) -> None:
+        # Large members go on their own, not copied once more.
+        for whole in self.parts if self.held > 4 * WRITE_BYTES else [b"".join(self.parts)]:
+            self.stream.write(whole)
+        self.written, self.held = self.written + self.held, 0
+        self.parts.clear()
+
+    def add(self, member: str, data: bytes) -> None:
+        self._put(member_header(member, len(data)), data, bytes(-len(data) % tarfile.BLOCKSIZE))
+        self.members += 1
+
+    def close(self) -> None:
+        self._put(bytes(2 * tarfile.BLOCKSIZE))
+        self._put(bytes(-(self.written + self.held) % tarfile.RECORDSIZE))
+        self._flush()
+        self.stream.close()
+
+
 def fill_archives(
     files, base: str, iterator: Iterator[pa.RecordBatch], arranged: bool = True
 ) -> Iterator[tuple[str, str, int]]:
@@ -300,13 +349,13 @@ def fill_archives(
     Shards of one file name in several folders fill side by side; one of another file name completes those before it. Rows that
     are not ``arranged`` keep all their shards open to the end.
     """
-    opened: dict[str, list] = {}
+    opened: dict[str, Archive] = {}
+    folders: set[str] = set()
 
     def complete() -> Iterator[tuple[str, str, int]]:
-        for name, (part, stream, tar, members) in opened.items():
-            tar.close()
-            stream.close()
-            yield name, part, members
+        for name, archive in opened.items():
+            archive.close()
+            yield name, archive.path, archive.members
         opened.clear()
 
     for batch in iterator:
@@ -317,13 +366,12 @@ def fill_archives(
                 if arranged and any(name.rsplit("/", 1)[-1] != shard.rsplit("/", 1)[-1] for name in opened):
                     yield from complete()
                 part = f"{base}/{shard}.{uuid.uuid4().hex}.part"
-                files.create_dir(part.rsplit("/", 1)[0], recursive=True)
-                stream = files.open_output_stream(part)
-                opened[shard] = [part, stream, tarfile.open(fileobj=stream, mode="w|"), 0]
-            info = tarfile.TarInfo(member)
-            info.size = len(data)
-            opened[shard][2].addfile(info, BytesIO(data))
-            opened[shard][3] += 1
+                folder = part.rsplit("/", 1)[0]
+                if folder not in folders:
+                    files.create_dir(folder, recursive=True)
+                    folders.add(folder)
+                opened[shard] = Archive(files, part)
+            opened[shard].add(member, data)
     yield from complete()
 
 
@@ -500,6 +548,8 @@ def fetch_members(members: DataFrame, path: str, shard: str = "shard", arranged:
             handle.close()
 
     if not arranged:
+        # Read three times: for its bytes, for the borders of the ranges, and for its rows. Headers are walked once.
+        listed = materialize(listed, "chosen")
         listed = listed.repartitionByRange(payload_tasks(members.sparkSession, listed), shard, "offset")
         listed = listed.sortWithinPartitions(shard, "offset")
     return listed.mapInArrow(fetch, schema)

@@ -246,3 +246,48 @@ def test_segments_are_bounded_by_bytes(spark):
     assert max(r["bytes"] for r in rows) >= 1_000_000 and len(rows) < 20
     frames = episode_frames(nested, "ep")
     assert frames.count() == 60 and frames.where("frame_idx = 14").count() == 2
+
+
+def test_archives_have_the_bytes_that_tarfile_gives(tmp_path):
+    import io
+    import tarfile
+
+    from pyarrow.fs import LocalFileSystem
+
+    from featmill.sources.tarshards import Archive, member_header
+
+    sizes = [0, 1, 511, 512, 513, 5000, 70_000, 300_000]
+    names = ["a.jpg", "x" * 100, "x" * 101, "dir/ü.text", "d" * 120 + "/" + "y" * 140, "n" * 99 + "é", "frame_000001.jpg", "", "b\0c"]
+    for name in names:
+        for size in [*sizes, 8**11 - 1, 8**11]:
+            info = tarfile.TarInfo(name)
+            info.size = size
+            assert member_header(name, size) == info.tobuf()
+    for n in (0, 1, 7, 9, len(names)):
+        plain, archive = io.BytesIO(), Archive(LocalFileSystem(), str(tmp_path / f"{n}.tar"))
+        with tarfile.open(fileobj=plain, mode="w|") as tar:
+            for name, size in zip(names[:n], [*sizes, 3]):
+                info = tarfile.TarInfo(name)
+                info.size = size
+                tar.addfile(info, io.BytesIO(b"z" * size))
+                archive.add(name, b"z" * size)
+        archive.close()
+        assert (tmp_path / f"{n}.tar").read_bytes() == plain.getvalue() and archive.members == min(n, len(names))
+
+
+def test_headers_of_chosen_members_are_walked_once(spark, tmp_path):
+    from featmill.sources import tarshards as ts
+
+    rows = spark.createDataFrame([("a.tar", f"m{k}", bytes([k])) for k in range(9)], "shard string, member string, data binary")
+    ts.write_shards(rows, str(tmp_path))
+    walks = spark.sparkContext.accumulator(0)
+
+    def walked(batches):
+        for batch in batches:
+            walks.add(batch.num_rows)
+            yield batch
+
+    listed = ts.read_shards(spark, str(tmp_path), payload=False).drop("data")
+    found = ts.fetch_members(listed.mapInArrow(walked, listed.schema), str(tmp_path))
+    assert sorted((r["member"], r["data"][0]) for r in found.collect()) == [(f"m{k}", k) for k in range(9)]
+    assert walks.value == 9
