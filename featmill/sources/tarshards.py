@@ -458,18 +458,25 @@ def shard_of(spark: SparkSession, root: str) -> Column:
     return F.replace(F.col("path"), F.lit(qualified(spark, root).rstrip("/") + "/"), F.lit(""))
 
 
-# Shards whose headers one task walks.
-TASK_SHARDS = 16
+# Shards whose headers one task walks where there are very many, as many as a listing packs together; tasks for each core that
+# write down which shards those are.
+TASK_SHARDS, LISTING_TASKS = 512, 4
 
 
 def spread_files(files: DataFrame, *columns: str) -> DataFrame:
-    """``(columns...)`` of shard files, dealt out to tasks by their number, at least one for each core while there are files."""
+    """``(columns...)`` of shard files, dealt out to tasks by their number, at least one for each core while there are files.
+
+    Spark packs a folder's files by the cost of opening them, a few dozen to a task. Their names are written by a few tasks first,
+    so that the shuffle does not have a piece for each two of very many tasks.
+    """
     spark = files.sparkSession
     rows = files.select(*columns)
     if files.isStreaming:
         return rows.repartition(payload_tasks(spark), columns[-1])
+    cores = spark.sparkContext.defaultParallelism
+    rows = materialize(rows.coalesce(LISTING_TASKS * cores), "files")
     number = rows.count()
-    tasks = max(1, min(number, max(spark.sparkContext.defaultParallelism, -(-number // TASK_SHARDS))))
+    tasks = max(1, min(number, max(cores, -(-number // TASK_SHARDS))))
     return rows.repartition(tasks, columns[-1])
 
 

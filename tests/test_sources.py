@@ -291,3 +291,19 @@ def test_headers_of_chosen_members_are_walked_once(spark, tmp_path):
     found = ts.fetch_members(listed.mapInArrow(walked, listed.schema), str(tmp_path))
     assert sorted((r["member"], r["data"][0]) for r in found.collect()) == [(f"m{k}", k) for k in range(9)]
     assert walks.value == 9
+
+
+def test_checks_of_many_shards_take_few_tasks(spark, tmp_path):
+    from featmill.operators import quality as q
+    from featmill.sources import tarshards as ts
+
+    rows = spark.range(600).selectExpr("format_string('s%04d.tar', id) AS shard", "'m' AS member", "CAST('x' AS binary) AS data")
+    ts.write_shards(rows, str(tmp_path))
+    files = q.list_shard_files(spark, str(tmp_path))
+    cores = spark.sparkContext.defaultParallelism
+    spread = ts.spread_files(files, "shard", "path")
+    assert spread.rdd.getNumPartitions() == cores
+    # What is shuffled are the names written by a few tasks.
+    assert len(spread.inputFiles()) <= 4 * cores and not any(f.endswith(".tar") for f in spread.inputFiles())
+    report = q.shard_integrity(files)
+    assert report.where("ok AND n = 1").count() == 600
