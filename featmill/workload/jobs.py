@@ -5,8 +5,10 @@ from __future__ import annotations
 from functools import partial, reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from featmill.functions.naming import sample_key
 from featmill.operators.ordinals import number_rows, shard_assign
@@ -100,6 +102,26 @@ def patch_tensors(outputs):
     return make
 
 
+_TENSORS, _SUMS = ("embedding", "cls", "pooled_cls"), ("size", "first", "last", "total", "placed")
+
+
+@F.pandas_udf(StructType([StructField(f"{t}_{c}", LongType() if c == "size" else DoubleType()) for t in _TENSORS for c in _SUMS]))
+def tensor_sums(features: pd.DataFrame) -> pd.DataFrame:
+    """Of each decoded tensor its size, its first and last value, its sum and its sum by place, added up from front to back."""
+
+    def sums(t):
+        if t is None:
+            return (None,) * len(_SUMS)
+        t = np.asarray(t, np.float64)
+        placed = t * (np.arange(1, len(t) + 1) % 97)
+        # A running sum keeps the order; the zero to start from makes no negative one.
+        return len(t), t[0], t[-1], t.cumsum()[-1] + 0.0, placed.cumsum()[-1] + 0.0
+
+    rows = [sum(map(sums, tensors), ()) for tensors in zip(*(features[t] for t in _TENSORS), strict=True)]
+    out = pd.DataFrame(rows, columns=[f"{t}_{c}" for t in _TENSORS for c in _SUMS])
+    return out.astype({c: "Int64" if c.endswith("_size") else "float64" for c in out.columns})
+
+
 # Embeddings that each set stores: side, and the tokens beside it.
 _SETS_SQL = """(VALUES ('google_vit-huge-patch14-224-in21k', 2, true, false), ('facebook_sam-vit-huge', 2, false, false),
   ('facebook_sam-vit-huge_32', 32, false, false), ('openai_clip-vit-large-patch14', 2, true, true),
@@ -147,17 +169,15 @@ def extract_dataset(spark, sf):
         jobs.extract_dataset(spark, root, "emb", extractor, samples_per_shard=50, bf16=False)
         for name, shape in extractor.sets.items():
             rows = read_shards(spark, f"{root}/emb/{name}", "*-train.tar")
-            decoded = rows.withColumn("f", decode_features(F.col("data"), *shape))
-            tensors = [F.struct(F.lit(t).alias("tensor"), F.col(f"f.{t}").cast("array<double>").alias("t")) for t in ("embedding", "cls", "pooled_cls")]
-            long = decoded.select(F.lit(name).alias("set"), "shard", sample_key(F.col("member")).alias("key"), F.inline(F.array(*tensors)))
-            parts.append(long.where(F.col("t").isNotNull()))
+            # Tensors are summed up by the task that decodes them.
+            summed = rows.withColumn("s", tensor_sums(decode_features(F.col("data"), *shape)))
+            tensors = [F.struct(F.lit(t).alias("tensor"), *[F.col(f"s.{t}_{c}").alias(c) for c in _SUMS]) for t in _TENSORS]
+            long = summed.select(F.lit(name).alias("set"), "shard", sample_key(F.col("member")).alias("key"), F.inline(F.array(*tensors)))
+            parts.append(long.where(F.col("size").isNotNull()))
     rows = reduce(DataFrame.unionAll, parts)
-    zero = F.lit(0.0)
-    by_place = F.transform("t", lambda x, i: x * ((i + 1) % 97))
-    return rows.select(
-        "set", "shard", "key", "tensor", big(F.size("t")).alias("size"), F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last"),
-        F.aggregate("t", zero, lambda a, x: a + x).alias("total"), F.aggregate(by_place, zero, lambda a, x: a + x).alias("placed"),
-    )
+    # Pandas knows no null beside NaN; a tensor that is there has all its sums.
+    values = [F.coalesce(c, F.lit(float("nan"))).alias(c) for c in _SUMS[1:]]
+    return rows.select("set", "shard", "key", "tensor", "size", *values)
 
 
 _MIX = {"d0": 1.0, "d1": 2.0, "d2": 0.5, "d3": 1.0, "d4": 1.0, "d5": 1.0, "d6": 3.0, "d7": 1.0, "d8": 2.0, "d9": 1.0}

@@ -274,3 +274,24 @@ def test_batches_of_bucketed_columns_move_only_keys(spark, tmp_path):
     write_buckets(samples.drop("image"), root, "m_x", 4)
     with pytest.raises(ValueError, match="several numbers of buckets"):
         open_column(spark, root, "m_x")
+
+
+def test_stored_tensors_are_summed_where_they_are_decoded(spark, sf):
+    from featmill.sources.tensor_bytes import decode_features, encode_features
+    from featmill.workload.jobs import _SUMS, extract_dataset, tensor_sums
+
+    # Values whose sum depends on the order, negative zeros, NaN, and no class token.
+    tensors = [[1e8, 1.0, -1e8, 0.1] * 64, [-0.0] * 256, [float("nan")] + [1.0] * 255]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(tensors)], "k int, e array<float>")
+    stored = rows.select("k", encode_features(F.col("e"), 1, 16, 16).alias("data"))
+    got = {r["k"]: r["s"] for r in stored.select("k", tensor_sums(decode_features(F.col("data"), 1, 16, 16)).alias("s")).collect()}
+    by_hand = F.expr("aggregate(transform(cast(e AS array<double>), (x, i) -> x * ((i + 1) % 97)), 0D, (a, x) -> a + x)")
+    want = rows.select("k", F.expr("aggregate(cast(e AS array<double>), 0D, (a, x) -> a + x)").alias("total"), by_hand.alias("placed"), F.col("e")[255].alias("last"))
+    for r in want.collect():
+        found = got[r["k"]]
+        assert found["embedding_size"] == 256 and found["cls_size"] is None and found["embedding_last"] == r["last"]
+        for c in ("total", "placed"):
+            assert r["k"] == 2 or str(found[f"embedding_{c}"]) == str(r[c])
+    plan = extract_dataset(spark, sf)
+    assert plan.columns == ["set", "shard", "key", "tensor", *_SUMS]
+    assert "aggregate(" not in plan._jdf.queryExecution().optimizedPlan().toString()
