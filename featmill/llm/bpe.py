@@ -34,7 +34,7 @@ from featmill.llm.common import materialize
 
 # Words in the lexicon, their most bytes; words a task counts or remembers at a time; rows given back at a time; bytes of
 # text handled at a time.
-WORDS, LONGEST, HELD, ROWS, BYTES = 1 << 16, 48, 300_000, 10_000, 8 << 20
+WORDS, LONGEST, HELD, ROWS, BYTES = 1 << 16, 48, 300_000, 10_000, 2 << 20
 _SHORT = 24
 _END = "</w>"
 # White space of Unicode (fixed values).
@@ -287,7 +287,7 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """``batch`` in slices of about eight megabytes of text, its last column; a longer text is alone."""
+    """``batch`` in slices of about two megabytes of text, its last column; a longer text is alone."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:

@@ -14,15 +14,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featmill.llm.common import fresh
 
-# Rows of a profile; letters counted at a time; distinct n-grams a task holds before it hands them on.
-PROFILE, CHUNK, HELD = 300, 1 << 20, 1 << 19
+# Rows of a profile; letters counted at a time; distinct n-grams a task holds before it hands them on;
+# rows it hands back at a time.
+PROFILE, CHUNK, HELD, ROWS = 300, 1 << 20, 1 << 19, 512
 _MARK = 1
 _BITS = 21
 
@@ -71,35 +72,45 @@ def _ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return codes[np.lexsort((codes, -counts))[:size]]
 
 
-def learn_profiles(docs: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
-    """``{lang: n-grams by falling frequency}`` from ``docs(text, lang)``.
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(lang, gram, n)`` of rows ``(lang, text)``; a language may come several times.
 
-    Rows with a null language or text teach nothing; a language without letters in any text has no profile.
+    Texts are taken one by one, and no more than about twice ``HELD`` n-grams are kept at a time.
     """
+    letters, held = _letter_table(), {}
+
+    def hand_on() -> Iterator[pa.RecordBatch]:
+        for lang, [(codes, counts)] in held.items():
+            names = pa.repeat(pa.scalar(lang, pa.string()), len(codes))
+            yield pa.RecordBatch.from_arrays([names, pa.array(codes), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
+        held.clear()
+
+    def merge() -> int:
+        for lang, parts in held.items():
+            held[lang] = [_merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
+        return sum(len(codes) for [(codes, _)] in held.values())
+
+    waiting = 0
+    for batch in batches:
+        for lang, text in zip(*batch.columns, strict=True):
+            part = ngram_counts(text.as_py(), letters)
+            held.setdefault(lang.as_py(), []).append(part)
+            waiting += len(part[0]) + 1
+            if waiting > HELD:
+                waiting = 0
+                if merge() > HELD:
+                    yield from hand_on()
+    merge()
+    yield from hand_on()
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        letters, held = _letter_table(), {}
 
-        def hand_on() -> pd.DataFrame:
-            rows = [
-                pd.DataFrame({"lang": lang, "gram": codes, "n": counts}) for lang, (codes, counts) in held.items()
-            ]
-            held.clear()
-            return pd.concat(rows)
-
-        for batch in batches:
-            for lang, group in batch.groupby("lang"):
-                parts = [ngram_counts(t, letters) for t in group["text"]]
-                if lang in held:
-                    parts.append(held[lang])
-                held[lang] = _merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            if sum(len(codes) for codes, _ in held.values()) > HELD:
-                yield hand_on()
-        if held:
-            yield hand_on()
+def learn_profiles(docs: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
+    """``{lang: n-grams by falling frequency}`` from ``docs(text, lang)``.
 
+    Rows with a null language or text teach nothing; a language without letters in any text has no profile.
+    """
     known = docs.select("lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = known.mapInPandas(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = known.mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = totals.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size)
     found = top.select("lang", "rank", "gram").toPandas().sort_values(["lang", "rank"])
@@ -140,18 +151,23 @@ def predict_language(
                 best = (away, name)
         return best[1], float(1.0 - best[0] / (size * len(own)))
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # A text that is kept is sent once.
+    there = keep.index("text") if "text" in keep else len(keep)
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letter_table()
         for batch in batches:
-            found = [nearest(t, letters) for t in batch[whole]]
-            out = batch[keep].copy()
-            out[names[0]] = [f[0] for f in found]
-            out[names[1]] = np.array([f[1] for f in found], float)
-            yield out
-
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(whole))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return rows.mapInPandas(predict, schema)
+            # Handed back a few at a time: texts may be among the columns.
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                found = [nearest(t.as_py(), letters) for t in part.column(there)]
+                made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=[*keep, *names])
+
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    rows = kept if there < len(keep) else docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(whole))
+    schema = T.StructType([*kept.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return rows.mapInArrow(predict, schema)
 
 
 def held_out(doc_id: Column | str, parts: int, part: int) -> Column:

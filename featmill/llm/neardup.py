@@ -34,6 +34,8 @@ from featmill.llm.common import fresh, materialize, mixed, rolling, rows_once, t
 SHINGLE, PERMUTATIONS, TO_BAND, CHUNK = 5, 48, 2, 1 << 15
 # Pairs that share a copy of a hub's set; members a task holds, and members it lets pass by.
 PER_TASK, HELD, PASSING = 256, 512, 4096
+# Texts whose sets a task holds at a time before it writes them.
+SETS = 256
 BANDS = PERMUTATIONS // TO_BAND
 _BASE = 0x5851F42D4C957F2D
 
@@ -249,13 +251,16 @@ def _placed(docs: DataFrame, percent: int) -> DataFrame:
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _factors()
+        kind = pa.list_(pa.int64())
         for batch in batches:
-            found = [shingle_set(t.as_py()) for t in batch.column(1)]
-            keys = [band_keys(x, factors).view(np.int64) if len(x) else [] for x in found]
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.view(np.int64) for x in found], kind), pa.array(keys, kind)], names=["id", "shingles", "keys"]
-            )
+            # A text's set is as large as the text: a few are made at a time.
+            for start in range(0, batch.num_rows, SETS):
+                part = batch.slice(start, SETS)
+                found = [shingle_set(t.as_py()) for t in part.column(1)]
+                keys = [band_keys(x, factors).view(np.int64) if len(x) else [] for x in found]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([x.view(np.int64) for x in found], kind), pa.array(keys, kind)], names=["id", "shingles", "keys"]
+                )
 
     # Rows that repeat give a representative's text once.
     known = [F.col("id").isNotNull().alias("_known"), F.coalesce("id", F.lit(0).cast("bigint")).alias("_id"), "digest"]

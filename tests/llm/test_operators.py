@@ -356,3 +356,38 @@ def test_language_stage_keeps_texts_where_nothing_is_learned(spark, make):
     # One learned language: its letters are known, others are unlike it.
     more = [(6, "clean words here and there", "en", "a")]
     assert {r.doc_id for r in stage(spark, make(rows + more), "").collect()} >= {1, 6}
+
+
+def test_languages_pass_columns_through_as_they_are(spark):
+    """Large ids beside null ones stay whole, and a kept text is sent to the tasks once."""
+    docs = spark.createDataFrame([((1 << 53) + 1, "one text"), (None, None), (None, "zwei")], "doc_id bigint, text string")
+    judged = language.predict_language(docs, {"en": np.arange(97, 123)}, docs.columns)
+    assert {(r.doc_id, r.text) for r in judged.collect()} == {((1 << 53) + 1, "one text"), (None, None), (None, "zwei")}
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert judged.columns == ["doc_id", "text", "lang_pred", "score"] and " AS " not in plan
+
+
+def test_learning_holds_few_ngrams_at_a_time(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    letters, rng = language._letter_table(), np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 123, 3000))) for _ in range(60)]
+    langs = [("en", "de")[k % 2] for k in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(langs * 10), pa.array(texts * 10)], names=["lang", "text"])
+    monkeypatch.setattr(language, "HELD", 1 << 15)
+    tracemalloc.start()
+    got = {}
+    for out in language._counted(iter([batch])):
+        for lang, gram, n in zip(*(c.to_pylist() for c in out.columns)):
+            got[lang, gram] = got.get((lang, gram), 0) + n
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = {}
+    for lang, text in zip(langs, texts):
+        for gram, n in zip(*(x.tolist() for x in language.ngram_counts(text, letters))):
+            want[lang, gram] = want.get((lang, gram), 0) + 10 * n
+    assert got == want
+    # All texts' n-grams side by side take 50 MB.
+    assert most < 25 << 20
