@@ -3,7 +3,8 @@
 Source: an offset counts the entries of a log. When a trigger looks for new shards, those that no entry names yet are
 written down as the next entry, and only then offered; an entry's shards are read by byte ranges like any others. So a shard
 is read by exactly one trigger, whichever order shards arrive in and whatever their times are, and a trigger that is repeated
-after a crash reads the same shards again. Options: those of the batch source; ``log``, a folder of its own for each
+after a crash reads the same shards again. What one trigger finds beyond its share waits for the next ones, and the folder is
+listed again when nothing waits. Options: those of the batch source; ``log``, a folder of its own for each
 query that has to live as long as its checkpoint; ``maxShards``, the most a trigger takes.
 
 Sink: tasks write shards under names that no reader lists, and the trigger's commit gives them their names, which carry the
@@ -18,6 +19,7 @@ import json
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSourceStreamArrowWriter, DataSourceStreamReader, WriterCommitMessage
@@ -71,6 +73,8 @@ class TarShardStreamReader(DataSourceStreamReader):
         self.log = ArrivalLog(options["log"])
         self.most = int(options.get("maxshards", 0))
         self.known: set[str] | None = None
+        # Shards that a listing has found and no entry names yet.
+        self.waiting: Iterator[tuple[str, int]] = iter(())
 
     def initialOffset(self) -> dict:
         return {"entry": 0}
@@ -79,14 +83,20 @@ class TarShardStreamReader(DataSourceStreamReader):
         last = self.log.last()
         if self.known is None:
             self.known = {shard for shard, _ in self.log.entries(0, last)}
-        new = [s for s in list_shards(self.reader.path, self.reader.pattern) if s[0] not in self.known]
+        new = self.share()
+        if not new:
+            found = list_shards(self.reader.path, self.reader.pattern)
+            self.waiting = iter([s for s in found if s[0] not in self.known])
+            new = self.share()
         if not new:
             return {"entry": last}
-        new = new[: self.most] if self.most else new
         self.log.add(new)
         self.known.update(shard for shard, _ in new)
         return {"entry": last + 1}
 
+    def share(self) -> list[tuple[str, int]]:
+        return list(islice(self.waiting, self.most or None))
+
     def partitions(self, start: dict, end: dict) -> list[ShardRanges]:
         shards = self.log.entries(start["entry"], end["entry"])
         return list(pack_ranges(sorted(shards), self.reader.split_bytes, self.reader.parallelism))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from featmill.operators.meters import METER, meter_avg
@@ -31,6 +31,7 @@ def stream_archives(
 
     ``log`` is a folder of the query's own, beside its checkpoint; it remembers which shards have been offered
     (:mod:`featmill.sources.tarstream`). Shards appear under their name when complete, so none is picked up half written.
+    ``max_shards`` bounds one trigger; the functions below run as many triggers as it takes.
     """
     register(spark)
     return (
@@ -44,6 +45,26 @@ def stream_archives(
     )
 
 
+def _run_through(stream: DataFrame, writer: DataStreamWriter) -> StreamingQuery:
+    """Run ``writer``, made of ``stream``, until all that has arrived is through, and stop it.
+
+    Spark's ``availableNow`` goes on to the end for its own sources only; of a source written in Python it takes one trigger's
+    share and stops. So where archives are read, triggers follow each other until one finds nothing new.
+    """
+    leaves = stream._jdf.queryExecution().analyzed().collectLeaves()
+    relations = (leaves.apply(k) for k in range(leaves.size()))
+    if not any(r.nodeName() == "StreamingRelationV2" and r.sourceName() == "tarshards" for r in relations):
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query
+    query = writer.trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
+
+
 def drain_archives(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write all that has arrived of ``(shard, member, data)`` as tar shards below ``path`` and stop.
 
@@ -54,15 +75,13 @@ def drain_archives(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
     register(spark)
     none = F.lit(None).cast("bigint")
     rows = stream.select("shard", "member", none.alias("offset"), none.alias("size"), none.alias("ordinal"), "data")
-    query = (
+    writer = (
         rows.repartition("shard")
         .writeStream.format("tarshards")
+        .option("path", qualified(spark, path))
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(qualified(spark, path))
     )
-    query.awaitTermination()
-    return query
+    return _run_through(stream, writer)
 
 
 def stream_channel_stats(shards: DataFrame, tensor: str, c: int, n_tokens: int, by: Sequence[str] = ()) -> DataFrame:
@@ -77,15 +96,8 @@ def stream_meters(updates: DataFrame, by: Sequence[str] = METER) -> DataFrame:
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append all that has arrived to a Parquet folder and stop."""
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return query
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return _run_through(stream, writer)
 
 
 # Versions of a table that are kept.
@@ -105,15 +117,8 @@ def drain_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
         hadoop = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/v={batch_id - KEPT}")
         hadoop.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
-    query = (
-        stream.writeStream.outputMode("complete")
-        .foreachBatch(publish)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return query
+    writer = stream.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", checkpoint)
+    return _run_through(stream, writer)
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
@@ -140,11 +145,4 @@ def stream_extract(
     def process(batch: DataFrame, batch_id: int) -> None:
         extract(batch).write.mode("overwrite").partitionBy(partition).parquet(f"{path}/batch_id={batch_id}")
 
-    query = (
-        shards.writeStream.foreachBatch(process)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return query
+    return _run_through(shards, shards.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint))

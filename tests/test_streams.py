@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from check import connect, rows_of
 from pyspark.sql import functions as F
 
+from featmill import workload
 from featmill.operators.stats import channel_stats
 from featmill.sources.tarshards import read_shards, register, write_shards
-from featmill.sources.tarstream import TarShardStreamWriter
+from featmill.sources.tarstream import ArrivalLog, TarShardStreamWriter
 from featmill.streaming import shards as st
 
 
@@ -89,6 +92,44 @@ def test_arriving_archives_are_read_once_after_a_broken_trigger(spark, tmp_path)
     assert sorted((r.shard, r.member, bytes(r.data)) for r in got) == sorted((r.shard, r.member, bytes(r.data)) for r in want)
 
 
+def extracted(stream, out, progress):
+    st.stream_extract(stream.select("shard", "member"), lambda batch: batch, out, progress, partition="shard")
+
+
+RUNS = {
+    "drain": (lambda stream, out, progress: st.drain(stream.select("member"), out, progress), lambda spark, out: spark.read.parquet(out)),
+    "drain_archives": (st.drain_archives, read_shards),
+    "drain_table": (lambda stream, out, progress: st.drain_table(stream.groupBy("member").count(), out, progress), st.latest),
+    "stream_extract": (extracted, lambda spark, out: spark.read.parquet(out)),
+}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_one_run_takes_all_archives_that_have_arrived(spark, tmp_path, name):
+    arrived, out, progress, log = (str(tmp_path / n) for n in ("in", "out", "progress", "log"))
+    run, read = RUNS[name]
+    for first, last, triggers in ((0, 24, 4), (24, 40, 7)):
+        write_shards(documents(spark, first, last), arrived)
+        run(st.stream_archives(spark, arrived, log, max_shards=3), out, progress)
+        assert sorted(r.member for r in read(spark, out).select("member").collect()) == [f"m{i:04d}.txt" for i in range(last)]
+        # A trigger still takes no more than its share.
+        offered = ArrivalLog(log)
+        assert offered.last() == triggers and all(len(offered.entry(k)) <= 3 for k in range(1, triggers + 1))
+
+
+def test_the_query_reads_more_archives_than_a_trigger_takes(spark, tmp_path):
+    # 501 shards arrive in the first go, 502 in the second.
+    docs = spark.range(5015).selectExpr("id AS doc_id", "'text ' || id AS text", "'en' AS lang", "if(id < 2505, 'src0', 'src3') AS source")
+    labels = spark.range(0, 5015, 7).selectExpr("id AS doc_id", "id % 2 AS quality", "id % 3 AS toxic")
+    for name, rows in (("documents", docs), ("labels", labels)):
+        pq.write_table(rows.toArrow(), tmp_path / f"{name}.parquet")
+    df = workload.QUERIES["stream_archives"](spark, str(tmp_path))
+    want = connect(str(tmp_path)).execute(workload.SQL["stream_archives"])
+    names = [d[0] for d in want.description]
+    assert df.select("shard").distinct().count() == 501 + 502
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(names, want.fetchall())
+
+
 def test_a_log_is_needed(spark, tmp_path):
     register(spark)
     with pytest.raises(Exception, match="option log"):
